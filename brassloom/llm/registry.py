@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from brassloom.llm import op3_linededup, op6_mix
+from brassloom.llm.op1_langid import op1_langid
+from brassloom.llm.op2_merkle import op2_merkle
+from brassloom.llm.op9_quality import op9_quality
 from brassloom.llm.op10_bpe import op10_bpe
 
 QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_merkle": op2_merkle,
+    "op3_linededup": op3_linededup.op3_linededup,
+    "op6_mix": op6_mix.op6_mix,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_linededup": op3_linededup.SQL,
+    "op6_mix": op6_mix.SQL,
+}
