@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that an Arrow batch may hold: whole documents are wide, so a batch of Spark's default size could be a gigabyte.
 ARROW_ROWS = 500
+#: Rows of one or two numbers each up to which a counted table is broadcast (24 MB at most).
+FEW_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import fold, save, ship, table
+from brassloom.llm.common import FEW_IDS, fold, save, ship, table
 
 FEATURES = 160
 RIDGE = 1e-3
@@ -181,17 +181,31 @@ def score_stats(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs.
+    """doc_id, held_out, score and predicted for each row of docs."""
+    return _scored(docs, labels, [])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, more: list[str]) -> DataFrame:
+    """The same with further columns of docs.
 
     Learned from labels of documents whose crc32(doc_id) mod 5 is not 0: remainder 4 calibrates, 1 to 3 fit.
     """
     rest = fold(F.col("doc_id"), 5)
-    stats = save(extract(docs.select("doc_id", "text"), ["doc_id"]), "quality-stats")
+    stats = save(extract(docs, ["doc_id", *more]), "quality-stats")
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (rest != 0)).groupBy(F.col("doc_id").alias("of")).agg(F.avg("quality").alias("y"))
     known = stats.join(marks, stats.doc_id == marks.of).select("stats", "doc_id", "y")
     model = fit(known, rest.isin(1, 2, 3), rest == 4)
     return score_stats(stats.withColumn("held_out", rest == 0), model)
 
 
+def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier keeps. Scores are joined back by doc_id and a hash of the text, which equal rows share."""
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rejected = save(_scored(docs.withColumn("_key", key), labels, ["_key"]).where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct(), "quality-rejected")
+    few = rejected.count() <= FEW_IDS
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    return docs.withColumn("_key", key).join(F.broadcast(rejected) if few else rejected, same, "left_anti").select(*docs.columns)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
