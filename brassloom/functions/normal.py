@@ -36,8 +36,8 @@ def cdf_sql(x: str) -> str:
 
 
 def cdf(x: str) -> Column:
-    """cdf_sql as a Column; x is the name of a column, so that it is computed once."""
-    return F.expr(cdf_sql(x))
+    """cdf_sql of a column, by its name. As a lambda's variable the value is computed once, however often the formula names it."""
+    return F.expr(f"transform(array({x}), z_ -> {cdf_sql('z_')})[0]")
 
 
 def quantile(p: float) -> float:
