@@ -100,10 +100,10 @@ def o_pnl_at_expiry(spark, d):
     return _pnl(spark, d)
 
 
-@query("o_max_loss", "position unbounded", "loss", f"WITH {_L}, {_POINTS} SELECT position, max(CASE WHEN spot = 2 * hi THEN pnl END) < max(CASE WHEN spot = hi THEN pnl END) - 1e-9 AS unbounded, greatest(0e0, -min(pnl)) AS loss FROM pl GROUP BY 1")
+@query("o_max_loss", "position unbounded", "loss", f"WITH {_L}, {_POINTS} SELECT position, max(CASE WHEN spot = 2 * hi THEN pnl END) < max(CASE WHEN spot = hi THEN pnl END) - 1e-6 AS unbounded, greatest(0e0, -min(pnl)) AS loss FROM pl GROUP BY 1")
 def o_max_loss(spark, d):
     at = lambda k: F.max(F.when(F.col("spot") == F.col("hi") * k, F.col("pnl")))
-    return _pnl(spark, d).groupBy("position").agg((at(2) < at(1) - 1e-9).alias("unbounded"), F.greatest(F.lit(0.0), -F.min("pnl")).alias("loss"))
+    return _pnl(spark, d).groupBy("position").agg((at(2) < at(1) - 1e-6).alias("unbounded"), F.greatest(F.lit(0.0), -F.min("pnl")).alias("loss"))
 
 
 @query("o_buying_power", "position kind", "need", f"""WITH {_L}, op AS (SELECT position, count(*) AS legs, any_value(opt) AS opt, any_value(side) AS side, any_value(strike) AS strike, any_value(qty) AS qty, sum(CASE side WHEN 'sell' THEN px ELSE -px END * 100 * qty) - sum(qty) * {_PER} AS cash FROM fl GROUP BY 1)
@@ -230,11 +230,17 @@ def k_favourites(spark, d):
     return prediction.simulate_trades(_markets(spark, d).withColumn("p", F.lit(None).cast("double")), 0.0, fee_mult=2.0, longshot=0.3)
 
 
+def _days(spark, d) -> DataFrame:
+    """Every day that markets cover, per decision time."""
+    day = F.to_date("ts")
+    ends = table(spark, d, "events").where("user_id < 40").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    return ends.select(F.explode(F.sequence("lo", "hi")).alias("date")).withColumn("dt_name", F.explode(F.array(F.lit("DT1"), F.lit("DT2"))))
+
+
 @query("k_daily_returns", "dt_name date", "r", f"WITH {_TRADES}, sp AS (SELECT min(D) AS lo, max(D) AS hi FROM j3), cal AS (SELECT x.dt_name, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM sp CROSS JOIN (VALUES ('DT1'), ('DT2')) x(dt_name)), dy AS (SELECT dt_name, D AS date, sum(pnl) / 5e3 AS r FROM ktr GROUP BY 1, 2) SELECT cal.dt_name, cal.date, coalesce(dy.r, 0e0) AS r FROM cal LEFT JOIN dy ON dy.dt_name = cal.dt_name AND dy.date = cal.date")
 def k_daily_returns(spark, d):
     rows = _with_p(spark, d)
-    days = rows.agg(F.min("D").alias("lo"), F.max("D").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("date"), F.array(F.lit("DT1"), F.lit("DT2")).alias("n")).select("date", F.explode("n").alias("dt_name"))
-    return prediction.daily_returns(prediction.simulate_trades(rows, 0.05), ["dt_name"], days)
+    return prediction.daily_returns(prediction.simulate_trades(rows, 0.05), ["dt_name"], _days(spark, d))
 
 
 @query("k_trade_summary", "dt_name n_trades", "win_rate avg_pnl", f"WITH {_TRADES} SELECT dt_name, count(*) AS n_trades, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate, avg(pnl) AS avg_pnl FROM ktr GROUP BY 1")
@@ -276,6 +282,5 @@ def k_event_date(spark, d):
 def k_summary(spark, d):
     """Metrics of the simulated trades' daily returns."""
     rows = _with_p(spark, d)
-    days = rows.agg(F.min("D").alias("lo"), F.max("D").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("date")).withColumn("dt_name", F.explode(F.array(F.lit("DT1"), F.lit("DT2"))))
-    r = prediction.daily_returns(prediction.simulate_trades(rows, 0.05), ["dt_name"], days)
+    r = prediction.daily_returns(prediction.simulate_trades(rows, 0.05), ["dt_name"], _days(spark, d))
     return metrics.summarize(r.withColumn("rf", F.lit(0.0)), ["dt_name"], 365)
