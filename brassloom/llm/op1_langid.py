@@ -154,8 +154,11 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Train on a bounded sample of labelled (doc_id, text, lang); which rows it takes depends on their ids only."""
     key = F.xxhash64(F.col("doc_id"))
+    known = labelled.where(F.col("lang").isNotNull())
+    # The hash lets through little more than the sample, so that tasks don't send many texts each.
+    part = min(1.0, 1.5 * sample / max(1, known.count()))
     rows = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+        known.where((F.pmod(key, F.lit(1 << 30)) < int(part * (1 << 30))) & F.col("text").isNotNull() & (F.length("text") <= longest))
         .select(key.alias("key"), "text", "lang")
         .orderBy("key", "text")
         .limit(sample)
