@@ -195,7 +195,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     if count is None:
         scored = seeds
     else:
-        meets = ready.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(int(count)))).cast("long")).join(of, "group").where("high >= least")
+        meets = ready.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(count)).cast("long")))).join(of, "group").where("high >= least")
         scored = seeds.unionByName(_scores(meets, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
