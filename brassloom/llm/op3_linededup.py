@@ -15,9 +15,9 @@ A key that a third of all documents hold is counted by partial sums, and the
 keys to drop are counted before they are broadcast; beyond ``FEW`` they are
 joined by a shuffle, in which Spark splits skewed partitions.
 
-Edge cases: null text is one empty line, and every row is a document of its own,
-so a repeated row counts again and rows with the same largest doc_id all keep
-the line. A null doc_id is smaller than any other; a key held by null ids only
+Edge cases: null text is one empty line. Rows equal in doc_id and text are one
+document; rows with the same doc_id and other texts count each, and those with
+the largest doc_id all keep the line. A null doc_id is smaller than any other; a key held by null ids only
 is never dropped. Other columns are ignored by the query and kept by ``dedup``.
 """
 
