@@ -154,3 +154,20 @@ def s_bars(spark, d):
     """The streaming bar builder's plan, on a batch."""
     return bars(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
 
+
+
+@query("s_markets", "ticker result closed", "strike", "SELECT 'M' || event_id AS ticker, CASE WHEN value > 60 THEN 'yes' ELSE 'no' END AS result, ts::TIMESTAMP AS closed, CASE WHEN event_id % 5 <> 0 THEN value END AS strike FROM events WHERE event_type IN ('view', 'click')")
+def s_markets(spark, d):
+    """Listings of two sources that overlap: united, one row per ticker, numbers and times parsed leniently."""
+    e = table(spark, d, "events")
+    strike = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    listed = e.select("event_type", F.concat(F.lit("M"), F.col("event_id").cast("string")).alias("ticker"), F.when(F.col("value") > 60, "yes").otherwise("no").alias("result"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("closed"), strike.alias("strike"))
+    archive, live = listed.where("event_type IN ('view', 'click')"), listed.where("event_type = 'view'")
+    return parsers.parse_markets(archive.unionByName(live), "ticker", ["result"], ["strike"], ["closed"])
+
+
+@query("s_forecasts", "runtime ftime station", "txn", "SELECT date_trunc('hour', ts)::TIMESTAMP AS runtime, (ts::DATE + 1)::TIMESTAMP AS ftime, user_id AS station, max(value) AS txn FROM events WHERE value > 20 GROUP BY 1, 2, 3")
+def s_forecasts(spark, d):
+    """Forecast rows, the largest of those with one run and time, without rows that hold no forecast."""
+    e = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("runtime"), F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("ftime"), F.col("user_id").alias("station"), F.when(F.col("value") > 20, F.col("value")).alias("txn"))
+    return e.where("txn IS NOT NULL").groupBy(F.col("runtime").cast("timestamp").alias("runtime"), "ftime", "station").agg(F.max("txn").alias("txn"))

@@ -284,3 +284,30 @@ def k_summary(spark, d):
     rows = _with_p(spark, d)
     r = prediction.daily_returns(prediction.simulate_trades(rows, 0.05), ["dt_name"], _days(spark, d))
     return metrics.summarize(r.withColumn("rf", F.lit(0.0)), ["dt_name"], 365)
+
+
+# --- the grid of configurations: thresholds and favourites, at plain and doubled fees --------------------------------------
+
+THETAS, COSTS = (0.03, 0.05, 0.08), (1.0, 2.0)
+
+
+def _config_sql(theta: float, cost: float) -> str:
+    """The trades of one configuration, over the common table of probabilities."""
+    k = f"{cost:.17e}"
+    tail = _TRADES[len(_PROB):].replace("edge >= 5e-2", f"edge >= {theta:.17e}").replace("- 7e-2 * py", f"- 7e-2 * {k} * py").replace("- 7e-2 * pn", f"- 7e-2 * {k} * pn").replace("1e2, 9)) / 1e2 AS fee", f"1e2, 9)) / 1e2 * {k} AS fee")
+    return f"SELECT {theta:.17e} AS theta, {k} AS cost, * FROM (WITH {tail.lstrip(', ')} SELECT dt_name, count(*) AS n_trades, sum(pnl) AS pnl, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate FROM ktr GROUP BY 1)"
+
+
+@query("k_grid", "dt_name n_trades", "theta cost pnl win_rate", f"WITH {_PROB} " + " UNION ALL ".join(_config_sql(t, c) for t in THETAS for c in COSTS))
+def k_grid(spark, d):
+    """All configurations: the rows with probabilities are kept, so that six simulations don't repeat their joins."""
+    from pyspark.storagelevel import StorageLevel
+
+    rows = _with_p(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    out = None
+    for theta in THETAS:
+        for cost in COSTS:
+            t = prediction.simulate_trades(rows, theta, fee_mult=cost).groupBy("dt_name").agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("pnl"), F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_rate"))
+            t = t.withColumn("theta", F.lit(theta)).withColumn("cost", F.lit(cost))
+            out = t if out is None else out.unionByName(t)
+    return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, signals, stats
+from brassloom.operators.verdict import report_lines, verdicts
 from brassloom.plans.panel import Splits
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
 from brassloom.sources.tables import order_panel, table
@@ -404,18 +405,54 @@ def _grid(spark, d) -> DataFrame:
     return reduce(lambda df, n: df.withColumn(f"_m{n}", rolling_mean("adj_close", n)), GRID, p).select(*p.columns, F.inline(held)).withColumn("rf", F.lit(0.0008))
 
 
-def _grid_sql() -> str:
+def _grid_sql(cost: float = 1.0, out: str = "SELECT split, asset AS variant, n_periods, cagr, sharpe, max_dd, sr_period FROM summ") -> str:
     names = "variant, asset"
     weights = " UNION ALL ".join(f"SELECT 'sma{n:02d}' AS variant, *, {_flag('adj_close > ' + roll('avg', 'adj_close', n))} / 5e0 AS weight FROM panel" for n in GRID)
     sim = _sim("next_close").replace(_WEIGHTS, f"wt AS ({weights})").replace(BY, f"PARTITION BY {names} ORDER BY date").replace("PARTITION BY asset)", f"PARTITION BY {names})").replace("d AS (PARTITION BY date)", "d AS (PARTITION BY variant, date)")
     per = _PERIODS.replace("SELECT date,", "SELECT variant, date,").replace("GROUP BY date", "GROUP BY variant, date")
+    if cost != 1.0:
+        k = f"{cost:.17e}"
+        sim = sim.replace("turnover * 2e0 / 1e4 AS", f"turnover * 2e0 / 1e4 * {k} AS").replace(", 0e0)) AS regulatory", f", 0e0)) * {k} AS regulatory").replace("THEN 1e0 / 5e3", f"THEN 1e0 / 5e3 * {k}").replace("* 5e1 / 1e4 AS borrow", f"* 5e1 / 1e4 * {k} AS borrow").replace("/ 365e0 AS fin", f"/ 365e0 * {k} AS fin")
     tail = _SUMMARY[len(_RET):].lstrip(", \n")
     ser = "ser AS (SELECT variant AS asset, date, net AS r, 8e-4 AS rf FROM net)"
-    return panel_sql("SELECT split, asset AS variant, n_periods, cagr, sharpe, max_dd, sr_period FROM summ", f"{SPLIT_TABLE}, {sim}, {per}, {ser}, {tail}")
+    return panel_sql(out, f"{SPLIT_TABLE}, {sim}, {per}, {ser}, {tail}")
 
 
 @query("flagship_grid", "split variant n_periods", "cagr sharpe max_dd sr_period", _grid_sql())
 def flagship_grid(spark, d):
     """Panel, signals, simulation, net returns and metrics of all variants on all splits, as one plan."""
-    net = B.periods(B.simulate(_grid(spark, d), "next_close", _COST)).select("variant", "date", F.col("net").alias("r"), "rf")
+    return _grid_summary(spark, d, 1.0)
+
+
+def _grid_summary(spark, d, cost: float) -> DataFrame:
+    net = B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost))).select("variant", "date", F.col("net").alias("r"), "rf")
     return metrics.summarize(SPLITS.explode(net), ["split", "variant"], PPY)
+
+
+@query("flagship_double_cost", "split variant n_periods", "cagr sharpe max_dd sr_period", _grid_sql(2.0))
+def flagship_double_cost(spark, d):
+    """The same at twice the costs."""
+    return _grid_summary(spark, d, 2.0)
+
+
+_NEAR = ", ".join(f"('sma{a:02d}', 'sma{b:02d}')" for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2]))
+_VERDICT = f"""WITH p AS ({_grid_sql()}), h AS ({_grid_sql(2.0)}), nb(variant, neighbour) AS (VALUES {_NEAR}),
+ own AS (SELECT variant, max(sharpe) FILTER (WHERE split = 'DEVELOPMENT') > 0 AS dev_positive, max(sharpe) FILTER (WHERE split = 'VALIDATION') > 0 AS val_positive, max(max_dd) FILTER (WHERE split = 'DEV+VAL') > -2.5e-1 AS drawdown_ok, max(sharpe) FILTER (WHERE split = 'DEV+VAL') AS s FROM p GROUP BY 1),
+ hard AS (SELECT variant, max(cagr) FILTER (WHERE split = 'DEV+VAL') > 0 AS holds_at_double_cost FROM h GROUP BY 1),
+ near AS (SELECT nb.variant, bool_and(own.s > 0) AS neighbours_positive FROM nb JOIN own ON own.variant = nb.neighbour GROUP BY 1)
+ SELECT *, dev_positive AND val_positive AND holds_at_double_cost AND neighbours_positive AND drawdown_ok AS passes FROM own JOIN hard USING (variant) JOIN near USING (variant)"""
+
+
+@query("verdicts", "variant dev_positive val_positive holds_at_double_cost neighbours_positive drawdown_ok passes", "", _VERDICT)
+def verdict_table(spark, d):
+    """Whether each variant of the grid passes all checks; its neighbours are the next shorter and longer averages."""
+    pairs = [(f"sma{a:02d}", f"sma{b:02d}") for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2])]
+    near = spark.createDataFrame(pairs, "variant string, neighbour string")
+    return verdicts(_grid_summary(spark, d, 1.0), _grid_summary(spark, d, 2.0), near)
+
+
+@query("report_lines", "asset year line", "", panel_sql("SELECT asset, year, concat_ws(' ', rpad(asset, 16, ' '), rpad(year::VARCHAR, 16, ' '), lpad(printf('%.4f', round(ret * 1e4) / 1e4), 12, ' ')) AS line FROM (SELECT asset, year(date) AS year, product(1e0 + r) - 1e0 AS ret FROM ser GROUP BY 1, 2)", _RET))
+def report_table(spark, d):
+    """A fixed-width text line for each asset and year."""
+    yearly = metrics.compounded(_returns(spark, d), ["asset"], "year").select("asset", F.year("year").cast("long").alias("year"), (F.round(F.col("ret") * 1e4) / 1e4).alias("ret"))
+    return report_lines(yearly, ["asset", "year"], ["ret"])

@@ -101,3 +101,9 @@ def manifest(df: DataFrame, key: str, date: str, columns: list[str]) -> DataFram
     """key, rows, first, last and a hash of the content that doesn't depend on the order of rows."""
     row = F.xxhash64(*columns).cast("decimal(38,0)")
     return df.agg(F.lit(key).alias("key"), F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"), F.sha2(F.sum(row).cast("string").cast("binary"), 256).alias("digest"))
+
+
+def parse_markets(rows: DataFrame, key: str, texts: list[str], numbers: list[str], times: list[str]) -> DataFrame:
+    """One row per key (the smallest, where they differ), with text columns cast to numbers and UTC times; what can't be is NULL."""
+    typed = rows.select(key, *texts, *[F.col(c).try_cast("double").alias(c) for c in numbers], *[F.col(c).try_cast("timestamp").alias(c) for c in times])
+    return typed.groupBy(key).agg(F.min(F.struct(*texts, *numbers, *times)).alias("s")).select(key, "s.*")
