@@ -9,8 +9,13 @@ link when their sets' Jaccard similarity reaches the threshold (``PERCENT``).
    elements. Cut into more slices than that by their elements' hashes, they
    agree in a whole slice at least: sets that share no (size range, slice,
    content) key can't link. Each size range overlaps the next by what sizes of
-   linked sets may differ. ``SPARE`` slices more than needed let empty slices go
+   linked sets may differ. Some slices more than needed let empty slices go
    without a key.
+   Shingles that a bounded sample of documents finds in several of them (a
+   passage that many documents quote) would make slices agree by themselves.
+   Slices leave them out, which takes nothing from the argument, unless they are
+   over half of a set; such sets are sliced whole. Sets that may link with sets
+   of either kind are sliced both ways, so the sample bears on speed alone.
 3. Sets that share a key, directly or over others, form a cluster.
 4. A cluster of up to ``CHUNK`` sets is one signature tree. Each node holds the
    OR of its sets' token bitmaps and the range of their sizes. The tree is
@@ -46,7 +51,8 @@ from brassloom.llm.common import FEW_IDS, save, ship, table
 from brassloom.llm.components import components
 
 WORDS, PERCENT = 3, 90
-SPARE = 2
+#: Documents in the sample that finds common shingles, in how many of them a shingle is common, and how many are kept.
+SAMPLE, COMMON, KEPT = 20_000, 3, 1_000_000
 #: Sets, and elements of their sets, that one tree may hold.
 CHUNK, ELEMENTS = 512, 1_000_000
 REMEMBER = 400_000
@@ -95,10 +101,16 @@ def size_ranges(percent: int) -> list[int]:
     return out
 
 
-def slice_keys(s: np.ndarray, percent: int, ranges: list[int]) -> np.ndarray:
+def slice_keys(s: np.ndarray, percent: int, ranges: list[int], common: np.ndarray) -> np.ndarray:
     """The keys of a set: in its own size range, and in the next if a set of that size may link with it."""
     n, out = len(s), []
     at = bisect_right(ranges, n) - 1
+    rare = s
+    if len(common):
+        rare = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s]
+    # A set of which a greater part than this is rare links with sets only of which half is.
+    sure = (50 + (100 - percent)) / percent
+    ways = ([rare] if 2 * len(rare) >= n else []) + ([s] if len(rare) <= sure * n and len(rare) < n else [])
     for j in (at, at + 1):
         if j > at and 100 * n < percent * ranges[j]:
             continue
@@ -106,73 +118,104 @@ def slice_keys(s: np.ndarray, percent: int, ranges: list[int]) -> np.ndarray:
         differ = 2 * most * (100 - percent) // (100 + percent)
         if not differ:
             continue  # only equal sets can link
-        k = differ + 1 + SPARE
-        part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part, mixed = part[order], _scramble(s[order] ^ _MIX[0])
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        content, slices = np.add.reduceat(mixed, starts), part[starts]
-        if k - len(starts) > SPARE:
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), slices)
-            content, slices = np.r_[content, np.zeros(len(empty), np.uint64)], np.r_[slices, empty]
-        out.append(_scramble(content ^ _scramble(slices * _MIX[1] + np.uint64(j))))
+        spare = 2 + differ * (100 - percent) // 80
+        k = differ + 1 + spare
+        for way in ways or [s]:
+            part = ((way >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part, mixed = part[order], _scramble(way[order] ^ _MIX[0])
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            content, slices = np.add.reduceat(mixed, starts), part[starts]
+            if k - len(starts) > spare:
+                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), slices)
+                content, slices = np.r_[content, np.zeros(len(empty), np.uint64)], np.r_[slices, empty]
+            out.append(_scramble(content ^ _scramble(slices * _MIX[1] + np.uint64(2 * j + (way is s and len(rare) < n)))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One pass over the texts, written as three kinds of rows, each with columns of its own.
+def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """Shingles of several documents in a bounded sample of different texts, the KEPT most frequent of them, sorted."""
+    part = min(1.0, SAMPLE / max(1, docs.count()))
 
-    doc_id, n and sid (a hash of the whole set; null if empty) of each document.
-    bucket, x, y: many keys of a bucket, and the set of each (packed, two arrays of 64-bit numbers).
-    a, b: pairs of sets that were seen to share a key, packed alike.
-    A key that many sets of one task share goes on once only, so that a hot key is as good as gone before the shuffle.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(x, size).view(np.int64) for x in batch.column(0).to_pylist()]
+            flat = np.concatenate([*found, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["h"])
+
+    texts = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(part * (1 << 30))).select("text")
+    counts = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.col("n").desc(), "h").limit(KEPT).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n and sid (a hash of the whole set; null if empty) of each document, written."""
     ship(docs.sparkSession)
-    buckets = max(1024, docs.count() // 32_768)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "sid", "bucket", "x", "y", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = size_ranges(percent)
-        held: list[tuple[np.ndarray, int]] = []
-        many = 0
-        id_type = pa.int64()
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            n, sid = [], []
-            for text in batch.column(1).to_pylist():
+            found = [shingles(x, size) for x in batch.column(1).to_pylist()]
+            sid = [_sid(s) if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+
+    return save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long"), "jaccard-sets")
+
+
+#: What stands for a set where keys meet: its hash's last 40 bits. Sets that share them are one more pair to verify.
+SHORT = (1 << 40) - 1
+
+
+def key_rows(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+    """Keys of many sets by bucket, packed (five bytes of a key, five of its set); pairs of sets that met on the way have no bucket.
+
+    A key that many sets of one task share goes on once only, so a hot key is as good as gone before the shuffle.
+    """
+    buckets = max(1024, docs.count() // 32_768)
+    sent = docs.sparkSession.sparkContext.broadcast(common)  # KEPT numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, held, many = size_ranges(percent), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
                 s = shingles(text, size)
-                n.append(len(s))
-                sid.append(_sid(s) if len(s) else None)
                 if len(s):
-                    held.append((slice_keys(s, percent, ranges), sid[-1]))
+                    held.append((slice_keys(s, percent, ranges, sent.value), _sid(s) & SHORT))
                     many += len(held[-1][0])
-                    if many >= FLUSH:
-                        yield out(packed(held, buckets), id_type)
-                        held, many = [], 0
-            nothing = pa.nulls(len(batch), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(len(batch), pa.int64()), nothing, nothing, nothing, nothing], names=names)
+                if many >= FLUSH:
+                    yield out(packed(held, buckets))
+                    held, many = [], 0
         if many:
-            yield out(packed(held, buckets), id_type)
+            yield out(packed(held, buckets))
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], names=["bucket", "x", "y"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, x binary, y binary")
 
-    def out(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), *[pa.binary()] * 4])]
-        none = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), id_type), none, none, *columns], names=names)
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, bucket long, x binary, y binary, a binary, b binary")
-    return save(rows, "jaccard-sets")
+def _five(x: np.ndarray) -> bytes:
+    """The last five bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def packed(held: list[tuple[np.ndarray, int]], buckets: int) -> list[tuple]:
-    """(bucket, x, y, a, b): the keys by bucket, and in a row without one the pairs found on the way."""
+    """(bucket, x, y): the keys by bucket, and in a row without one the pairs found on the way."""
     keys = np.concatenate([k for k, _ in held])
     sids = np.repeat(np.array([s for _, s in held], np.int64), [len(k) for k, _ in held])
     keys, sids, pairs = hubs(keys, sids)
-    out: list[tuple] = [(None, None, None, pairs[0].tobytes(), pairs[1].tobytes())] if len(pairs[0]) else []
+    out: list[tuple] = [(None, _five(pairs[0]), _five(pairs[1]))] if len(pairs[0]) else []
     at = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-    return out + [(int(at[i]), keys[i:j].tobytes(), sids[i:j].tobytes(), None, None) for i, j in zip(cuts, cuts[1:]) if j > i]
+    # A bucket's keys share their first bits, so the last five bytes tell them apart.
+    return out + [(int(at[i]), _five(keys[i:j]), _five(sids[i:j])) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
 def hubs(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -186,24 +229,26 @@ def hubs(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, tu
     return keys[first], sids[first], (pairs[:, 0], pairs[:, 1])
 
 
-def key_pairs(packed_rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of sets that share a key, each set with the smallest of its key."""
+def key_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of short set numbers that share a key, each set with the smallest of its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, 1):
-            x, y = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (1, 2))
-            _, _, (a, b) = hubs(x.view(np.uint64), y)
+        for group in groups(batches, 1):
+            x, y = (np.concatenate([_numbers(r[k]) for r in group]) for k in (1, 2))
+            a, b = (x.view(np.int64), y.view(np.int64)) if group[0][0] is None else hubs(x, y.view(np.int64))[2]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["a", "b"])
+    # Pairs that have met already are spread over all tasks, one row at a time.
+    spread = F.coalesce("bucket", F.xxhash64("x"))
+    return rows.repartition(spread).sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
 
-    met = packed_rows.where("bucket IS NOT NULL").select("bucket", "x", "y").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
-    seen = packed_rows.where("a IS NOT NULL").select("a", "b").mapInArrow(unpack, "a long, b long")
-    return met.unionByName(seen).distinct()
+
+def _full(pairs: DataFrame, once: DataFrame) -> DataFrame:
+    """Pairs of short numbers as pairs (a, b) of sets."""
+    short = once.select("sid", F.col("sid").bitwiseAND(SHORT).alias("k"))
+    p = pairs.join(short.select(F.col("sid").alias("a_"), F.col("k").alias("a")), "a").join(short.select(F.col("sid").alias("b_"), F.col("k").alias("b")), "b")
+    return p.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).where("a <> b")
 
 
 def _sid(s: np.ndarray) -> int:
@@ -339,22 +384,34 @@ def _order(rows: list[tuple], at: int) -> list[tuple]:
     return sorted(rows, key=lambda r: (len(r[at]), r[at][:8]))
 
 
-def _links_in(grouped: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Links (a, b) in each group of rows (by..., side, sid, comp, elements); sides 0 and 1 are compared, or side 0 with itself."""
+def _links_in(grouped: DataFrame, by: list[str], percent: int, labels: bool = False) -> DataFrame:
+    """Links (a, b) in each group of rows (by..., side, sid, comp, elements); sides 0 and 1 are compared, or side 0 with itself.
+
+    labels: a row (a: the smallest set linked, b: the set) for each set of the group instead, where groups are whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(by)
         for rows in groups(batches, k):
             sides = [_order([r for r in rows if r[k] == side], k + 3) for side in (0, 1)]
             sets = [[np.frombuffer(r[k + 3], np.uint64) for r in side] for side in sides]
-            comp = [np.array([r[k + 2] for r in side], np.int64) for side in sides]
             sids = [r[k + 1] for side in sides for r in side]
             # Components go by numbers from 0, as -1 stands for none in common.
-            names = {c: i for i, c in enumerate(sorted({int(c) for x in comp for c in x}))}
-            comp = [np.array([names[int(c)] for c in x], np.int64) for x in comp]
+            names = {c: i for i, c in enumerate(sorted({r[k + 2] for r in rows}))}
+            comp = [np.array([names[r[k + 2]] for r in side], np.int64) for side in sides]
             found = links_of(sets[0], sets[1], comp[0], comp[1], percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([sids[x] for x, _ in found], pa.int64()), pa.array([sids[y] for _, y in found], pa.int64())], names=["a", "b"])
+            if labels:
+                of = _Union(len(sids))
+                for x, y in found:
+                    of.up[of.find(x)] = of.find(y)
+                least: dict[int, int] = {}
+                for x, sid in enumerate(sids):
+                    least[of.find(x)] = min(sid, least.get(of.find(x), sid))
+                a, b = [least[of.find(x)] for x in range(len(sids))], sids
+            else:
+                a, b = [sids[x] for x, _ in found], [sids[y] for _, y in found]
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = grouped.select(*by, "side", "sid", "comp", "elements").repartition(*by).sortWithinPartitions(*by)
     return rows.mapInArrow(run, "a long, b long")
@@ -372,39 +429,39 @@ def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield out.filter(same)
 
     rows = docs.select("doc_id", "text").join(_small(wanted), F.col("doc_id") == F.col("first")).select("text", "sid", "cluster")
-    return rows.mapInArrow(run, "sid long, cluster long, n long, elements binary").dropDuplicates(["sid"])
+    return rows.mapInArrow(run, "sid long, cluster long, n long, elements binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id long, text string)."""
-    rows = shingle_sets(docs, size, percent)
-    sets = rows.where("n IS NOT NULL").select("doc_id", "n", "sid")
+    sets = shingle_sets(docs, size)
     once = save(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "jaccard-once")
-    pairs = save(key_pairs(rows), "jaccard-pairs")
+    short = save(key_pairs(key_rows(docs, size, percent, common_shingles(docs, size))), "jaccard-short")
+    pairs = save(_full(short, once), "jaccard-pairs")
     cluster = components(pairs, "jaccard-cluster").select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
-    members = save(_elements(docs, save(cluster.join(once, "sid").where("first IS NOT NULL").select("sid", "cluster", "first"), "jaccard-wanted"), size), "jaccard-elements")
-    links = _cluster_links(members, pairs, percent)
-    labels = components(links, "jaccard-links").withColumnRenamed("node", "sid")
+    wanted = save(cluster.join(once, "sid").where("first IS NOT NULL").select("sid", "cluster", "first"), "jaccard-wanted")
+    members = save(_elements(docs, wanted, size), "jaccard-elements")
+    labels = _cluster_labels(members, pairs, percent)
     # Only sets that have copies or links need to be looked up; any other document is its own component.
     joined = once.join(labels, "sid", "left").where("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "sid"))
     least = joined.groupBy("label").agg(F.min("first").alias("component"))
-    found = save(joined.join(least, "label").select(F.col("sid").alias("_sid"), "component"), "jaccard-components")
+    found = save(joined.join(least, "label").select(F.col("sid").alias("_sid"), "component").distinct(), "jaccard-components")
     out = sets.join(_small(found), F.col("sid") == F.col("_sid"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _cluster_links(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links that join all linked sets of each cluster."""
-    sizes = save(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("elements_n")), "jaccard-sizes")
-    large = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("elements_n") / ELEMENTS))
-    sizes = sizes.withColumn("chunks", large)
-    over = save(sizes.where("chunks > 1").select("cluster", "chunks"), "jaccard-large")
+def _cluster_labels(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """sid, label: the smallest set of each linked set's component."""
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / ELEMENTS))
+    over = save(members.groupBy("cluster").agg(chunks.alias("chunks")).where("chunks > 1"), "jaccard-large")
     rows = members.withColumn("side", F.lit(0)).withColumn("comp", F.col("sid"))
+    named = lambda df, a, b: df.select(F.col(b).alias("sid"), F.col(a).alias("label"))
     if not over.limit(1).count():
-        return save(_links_in(rows, ["cluster"], percent), "jaccard-found")
-    small = save(_links_in(rows.join(_small(over), "cluster", "left_anti"), ["cluster"], percent), "jaccard-found")
+        return named(save(_links_in(rows, ["cluster"], percent, True), "jaccard-found"), "a", "b").distinct()
+    small = save(_links_in(rows.join(_small(over), "cluster", "left_anti"), ["cluster"], percent, True), "jaccard-found")
     inside = members.join(_small(over), "cluster").drop("chunks")
-    return small.unionByName(_large_links(inside, pairs, percent))
+    large = components(_large_links(inside, pairs, percent), "jaccard-links")
+    return named(small, "a", "b").unionByName(named(large, "label", "node")).distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
