@@ -227,8 +227,8 @@ _SUMMARY = f"""{_RET}, spl AS (SELECT split, ser.* FROM ser JOIN splits ON date
  qt AS (SELECT split, asset, quantile_cont(r, 0.05) AS q FROM spl GROUP BY 1, 2),
  cv AS (SELECT s.split, s.asset, CASE WHEN count(r) >= 20 THEN avg(r) FILTER (WHERE r <= q) END AS cvar FROM spl s JOIN qt USING (split, asset) GROUP BY 1, 2),
  ag AS (SELECT split, asset, min(date) AS start, max(date) AS stop, count(r) AS n_periods, CASE WHEN product(1e0 + r) > 0 THEN pow(product(1e0 + r), 52e0 / count(r)) - 1e0 ELSE -1e0 END AS cagr, stddev_samp(r) * sqrt(52e0) AS ann_vol,
-   avg(r - rf) / stddev_samp(r - rf) * sqrt(52e0) AS sharpe, avg(r - rf) / sqrt(avg(pow(least(r - rf, 0e0), 2e0))) * sqrt(52e0) AS sortino, min(dd) AS max_dd, min(r) AS worst_period, product(1e0 + r) - 1e0 AS total_return,
-   avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5e0) AS skew, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2e0) AS kurt, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS pct_positive, avg(r - rf) / stddev_samp(r - rf) AS sr_period FROM dd GROUP BY 1, 2),
+   avg(r - rf) / nullif(stddev_samp(r - rf), 0) * sqrt(52e0) AS sharpe, avg(r - rf) / nullif(sqrt(avg(pow(least(r - rf, 0e0), 2e0))), 0) * sqrt(52e0) AS sortino, min(dd) AS max_dd, min(r) AS worst_period, product(1e0 + r) - 1e0 AS total_return,
+   avg(pow(r - m, 3)) / nullif(pow(avg(pow(r - m, 2)), 1.5e0), 0) AS skew, avg(pow(r - m, 4)) / nullif(pow(avg(pow(r - m, 2)), 2e0), 0) AS kurt, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS pct_positive, avg(r - rf) / nullif(stddev_samp(r - rf), 0) AS sr_period FROM dd GROUP BY 1, 2),
  summ AS (SELECT *, CASE WHEN max_dd < 0 THEN cagr / abs(max_dd) END AS calmar FROM ag JOIN ln USING (split, asset) JOIN mo USING (split, asset) JOIN cv USING (split, asset))"""
 SPLIT_TABLE = "splits(split, a, b) AS (VALUES ('DEVELOPMENT', DATE '1900-01-01', DATE '1998-12-31'), ('VALIDATION', DATE '1999-01-01', DATE '2000-06-30'), ('DEV+VAL', DATE '1900-01-01', DATE '2000-06-30'))"
 _VALUES = "cagr ann_vol sharpe sortino max_dd worst_period worst_month cvar total_return skew kurt pct_positive calmar sr_period"
@@ -275,13 +275,13 @@ def _pairs(spark, d) -> DataFrame:
     return r.join(r.groupBy("date").agg(F.avg("r").alias("b")), "date").withColumnRenamed("r", "s")
 
 
-@query("a_compare", "asset n beats_on_sharpe beats_on_cagr", "sharpe_s sharpe_b sharpe_diff cagr_s cagr_b beta alpha corr", panel_sql("""SELECT *, ss AS sharpe_s, sb AS sharpe_b, ss - sb AS sharpe_diff, ss > sb AS beats_on_sharpe, cagr_s > cagr_b AS beats_on_cagr, (ms - beta * mb) * 52 AS alpha FROM (SELECT asset, count(*) AS n, avg(s - rf) / stddev_samp(s - rf) * sqrt(52e0) AS ss, avg(b - rf) / stddev_samp(b - rf) * sqrt(52e0) AS sb,
+@query("a_compare", "asset n beats_on_sharpe beats_on_cagr", "sharpe_s sharpe_b sharpe_diff cagr_s cagr_b beta alpha corr", panel_sql("""SELECT *, ss AS sharpe_s, sb AS sharpe_b, ss - sb AS sharpe_diff, ss > sb AS beats_on_sharpe, cagr_s > cagr_b AS beats_on_cagr, (ms - beta * mb) * 52 AS alpha FROM (SELECT asset, count(*) AS n, avg(s - rf) / nullif(stddev_samp(s - rf), 0) * sqrt(52e0) AS ss, avg(b - rf) / nullif(stddev_samp(b - rf), 0) * sqrt(52e0) AS sb,
   pow(product(1e0 + s), 52e0 / count(s)) - 1e0 AS cagr_s, pow(product(1e0 + b), 52e0 / count(b)) - 1e0 AS cagr_b, covar_samp(s - rf, b - rf) / var_samp(b - rf) AS beta, avg(s - rf) AS ms, avg(b - rf) AS mb, corr(s, b) AS corr FROM pr GROUP BY asset)""", _PAIRS))
 def a_compare(spark, d):
     return metrics.compare(_pairs(spark, d), ["asset"], PPY)
 
 
-@query("a_sharpe_difference", "asset n", "z p", panel_sql(f"SELECT *, 1e0 - {cdf_sql('z')} AS p FROM (SELECT asset, n, (sa - sb) / sqrt((2 - 2 * rho + 5e-1 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / n) AS z FROM (SELECT asset, count(*) AS n, avg(s) / stddev_samp(s) AS sa, avg(b) / stddev_samp(b) AS sb, corr(s, b) AS rho FROM pr GROUP BY asset))", _PAIRS))
+@query("a_sharpe_difference", "asset n", "z p", panel_sql(f"SELECT *, 1e0 - {cdf_sql('z')} AS p FROM (SELECT asset, n, (sa - sb) / sqrt((2 - 2 * rho + 5e-1 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / n) AS z FROM (SELECT asset, count(*) AS n, avg(s) / nullif(stddev_samp(s), 0) AS sa, avg(b) / nullif(stddev_samp(b), 0) AS sb, corr(s, b) AS rho FROM pr GROUP BY asset))", _PAIRS))
 def a_sharpe_difference(spark, d):
     return stats.sharpe_difference(_pairs(spark, d), ["asset"], "s", "b")
 
@@ -291,7 +291,7 @@ def a_sharpe_difference(spark, d):
 _TRIALS = f"""o AS (SELECT c_mktsegment AS family, o_orderpriority AS variant, date_trunc('month', o_orderdate)::DATE AS date, avg(o_totalprice) AS px FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
  r AS (SELECT family, variant, date, 5e-2 * (px / lag(px) OVER (PARTITION BY family, variant ORDER BY date) - 1e0) - 2e-3 AS r FROM o),
  rm AS (SELECT *, avg(r) OVER (PARTITION BY family, variant) AS m FROM r WHERE r IS NOT NULL),
- tr AS (SELECT family, variant, count(r) AS n_periods, avg(r) / stddev_samp(r) AS sr_period, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5e0) AS skew, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2e0) AS kurt FROM rm GROUP BY 1, 2)"""
+ tr AS (SELECT family, variant, count(r) AS n_periods, avg(r) / nullif(stddev_samp(r), 0) AS sr_period, avg(pow(r - m, 3)) / nullif(pow(avg(pow(r - m, 2)), 1.5e0), 0) AS skew, avg(pow(r - m, 4)) / nullif(pow(avg(pow(r - m, 2)), 2e0), 0) AS kurt FROM rm GROUP BY 1, 2)"""
 
 
 def _trials(spark, d) -> DataFrame:
@@ -437,9 +437,9 @@ def flagship_double_cost(spark, d):
 
 _NEAR = ", ".join(f"('sma{a:02d}', 'sma{b:02d}')" for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2]))
 _VERDICT = f"""WITH p AS ({_grid_sql()}), h AS ({_grid_sql(2.0)}), nb(variant, neighbour) AS (VALUES {_NEAR}),
- own AS (SELECT variant, max(sharpe) FILTER (WHERE split = 'DEVELOPMENT') > 0 AS dev_positive, max(sharpe) FILTER (WHERE split = 'VALIDATION') > 0 AS val_positive, max(max_dd) FILTER (WHERE split = 'DEV+VAL') > -2.5e-1 AS drawdown_ok, max(sharpe) FILTER (WHERE split = 'DEV+VAL') AS s FROM p GROUP BY 1),
- hard AS (SELECT variant, max(cagr) FILTER (WHERE split = 'DEV+VAL') > 0 AS holds_at_double_cost FROM h GROUP BY 1),
- near AS (SELECT nb.variant, bool_and(own.s > 0) AS neighbours_positive FROM nb JOIN own ON own.variant = nb.neighbour GROUP BY 1)
+ own AS (SELECT variant, coalesce(max(sharpe) FILTER (WHERE split = 'DEVELOPMENT') > 0, false) AS dev_positive, coalesce(max(sharpe) FILTER (WHERE split = 'VALIDATION') > 0, false) AS val_positive, coalesce(max(max_dd) FILTER (WHERE split = 'DEV+VAL') > -2.5e-1, false) AS drawdown_ok, max(sharpe) FILTER (WHERE split = 'DEV+VAL') AS s FROM p GROUP BY 1),
+ hard AS (SELECT variant, coalesce(max(cagr) FILTER (WHERE split = 'DEV+VAL') > 0, false) AS holds_at_double_cost FROM h GROUP BY 1),
+ near AS (SELECT nb.variant, coalesce(bool_and(own.s > 0), true) AS neighbours_positive FROM nb JOIN own ON own.variant = nb.neighbour GROUP BY 1)
  SELECT *, dev_positive AND val_positive AND holds_at_double_cost AND neighbours_positive AND drawdown_ok AS passes FROM own JOIN hard USING (variant) JOIN near USING (variant)"""
 
 
