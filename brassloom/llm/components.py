@@ -11,20 +11,26 @@ from brassloom.llm.common import save
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a, b: long) to (node, label): the smallest node reachable from each node that has an edge.
 
-    Every round takes the smallest label among neighbours, then follows each label to its own label, so long
-    chains halve. Rounds are written tables; only a count of changes comes to the driver. A node with very many
-    neighbours is reduced by partial minima before the shuffle.
+    In every round each node goes to its smallest neighbour's smallest neighbour, and the graph is contracted:
+    edges become edges between the nodes they went to, equal ones and loops go. Stars vanish in a round and chains
+    shorten fast, so later rounds are small. Rounds are written tables; a node with very many neighbours is reduced
+    by partial minima before the shuffle, and only whether edges are left comes to the driver.
     """
-    both = edges.where("a <> b").select("a", "b")
-    both = save(both.union(both.select("b", "a")).distinct(), f"{name}-edges")
-    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), f"{name}-labels")
+    left = save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    labels = None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        up = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        new = new.join(up, F.col("label") == F.col("n"), "left").select("node", "old", F.least("label", "l").alias("label"))
-        new = save(new, f"{name}-labels")
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        both = left.union(left.select("b", "a"))
+        step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"))
+        step = save(step, f"{name}-step")
+        up = step.select(F.col("node").alias("n"), F.col("label").alias("l"))
+        step = save(step.join(up, F.col("label") == F.col("n")).select("node", F.col("l").alias("label")), f"{name}-step")
+        if labels is None:
+            labels = step
+        else:
+            to = step.select(F.col("node").alias("n"), F.col("label").alias("l"))
+            labels = save(labels.join(to, F.col("label") == F.col("n"), "left").select("node", F.coalesce("l", "label").alias("label")), f"{name}-labels")
+        one, other = step.toDF("a", "a_"), step.toDF("b", "b_")
+        moved = left.join(one, "a").join(other, "b").where("a_ <> b_").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+        left = save(moved.distinct(), f"{name}-edges")
+        if not left.limit(1).count():
             return labels
