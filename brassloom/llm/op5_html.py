@@ -39,6 +39,7 @@ from brassloom.llm.common import save, ship, table
 LEAST, PAGES, DAMPING = 0.2, 4, 0.9
 #: Elements that statistics alone never remove.
 KEPT = "html body main article h1 h2 h3 h4 h5 h6 p blockquote pre li td".split()
+_KEPT = frozenset(KEPT)
 #: Removed branches (a host and a path each) up to which they are broadcast.
 FEW = 100_000
 
@@ -225,10 +226,20 @@ def importances(features: DataFrame) -> DataFrame:
     return node.join(content, ["host", "path"], "left").select("host", "path", "pages", F.greatest(F.col("content"), (1 - weight) * F.col("node") + weight * F.coalesce("content", F.lit(0.0))).alias("importance"))
 
 
+def _removed(path: str, low: list[str]) -> bool:
+    """Whether a block is at or below a low node, with no element of KEPT from that node down to the block."""
+    for node in low:
+        if (path + ">").startswith(node + ">"):
+            down = path[node.rfind(">") + 1 :].split(">")
+            if not any(step.split(".", 1)[0] in _KEPT for step in down):
+                return True
+    return False
+
+
 def extract(pages: DataFrame, least: float = LEAST, at_least: int = PAGES) -> DataFrame:
     """page_id, url, text and n_chars: the main text of each page."""
     low = importances(style_features(pages)).where((F.col("pages") >= at_least) & (F.col("importance") < least))
-    # Headings and paragraphs are never removed by statistics alone: a host may hold copies of one article only.
+    # Headings and paragraphs are never removed by statistics alone, whatever holds them: a host may hold copies of one article only.
     tag = F.element_at(F.split(F.element_at(F.split("path", ">"), -1), "\\."), 1)
     low = save(low.where(~tag.isin(*KEPT)).groupBy("host").agg(F.collect_list("path").alias("low")), "style-low")
     ids = pages.schema["page_id"].dataType.simpleString()
@@ -239,8 +250,7 @@ def extract(pages: DataFrame, least: float = LEAST, at_least: int = PAGES) -> Da
             for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 found = main_blocks(page or "")
                 if gone:
-                    under = tuple(x + ">" for x in gone)
-                    found = [b for b in found if not (b[0] + ">").startswith(under)]
+                    found = [b for b in found if not _removed(b[0], gone)]
                 texts.append(" ".join(t for _, t in found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -32,3 +32,14 @@ def test_edge_cases(spark):
     # a host that holds copies of one article keeps it
     same = spark.createDataFrame([(k, "http://h/", "<article><h1>T</h1><p>One text</p></article>") for k in range(8)], schema)
     assert {r.text for r in extract(same).collect()} == {"T One text"}
+
+
+def test_copies_keep_paragraphs_in_low_branches(spark):
+    schema = "page_id long, url string, html string"
+    page = "<article><div class='entry'><h1>T</h1><p>One text</p><ul><li>item</li></ul><span>plain</span></div></article>"
+    rows = [(k, "http://h/", page) for k in range(8)] + [(k, None, page.replace("article", "div")) for k in range(8, 16)]
+    df = spark.createDataFrame(rows, schema)
+    low = {(r.host, r.path) for r in importances(style_features(df)).where("importance < 0.2").collect()}
+    assert {("h", ">article>div.entry"), ("", ">div>div.entry")} <= low
+    # the words that stand in the low div itself go, as before
+    assert {r.text for r in extract(df).collect()} == {"T One text item"}
