@@ -10,8 +10,9 @@ its content: blocks that differ from page to page matter, blocks that recur on
 all of them don't. Branches below ``LEAST`` importance on hosts with at least
 ``PAGES`` pages are removed from each page. Names that declare a part's role
 (``nav``, ``footer``, class ``ad`` ...) decide at once, as menus and adverts whose words
-differ on every page have a high entropy; so does ``article`` or ``main``, which
-bounds the main text where a page has one. A host's statistics are sums that
+differ on every page have a high entropy; they count as whole names, and never on
+the page, ``article`` or ``main`` itself. ``article`` or ``main`` bounds the main text
+where it holds most of a page's text. A host's statistics are sums that
 Spark adds up from all its pages; no host's pages meet in one task.
 
 Text blocks are what block elements delimit. References are decoded, white space
@@ -45,8 +46,8 @@ FEW = 100_000
 
 _QUOTED = r"""=\s*"[^"]*"|=\s*'[^']*'"""
 _TAG = re.compile(rf"<!--(.*?)-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:{_QUOTED}|[^>])*+)>", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+#: An attribute's name and value; values in quotes are passed over as a whole.
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'=/]""")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -56,35 +57,42 @@ _BLOCK = frozenset(
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Elements that never hold main text.
 _DROP = frozenset("script style noscript template head nav aside footer form button select textarea input iframe object embed svg canvas audio video dialog menu title".split())
-#: Names in class, id or role that declare a part that is no main text.
+#: Elements that hold a whole page or its main text, whatever their names say.
+_WHOLE = frozenset("html body main article".split())
+#: Whole names in class, id or role that declare a part that is no main text; so do names made of these words and numbers only (``cookie-notice``, ``ad-2``).
 _NOISE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 _MAIN = frozenset(["article", "main"])
 
 
-def _noise(tag: str, attributes: str, in_main: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Names and values; of a repeated name, the first, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw or ""):
+        if m[1]:
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _noise(tag: str, of: dict[str, str], in_main: bool) -> bool:
     if tag in _DROP or (tag == "header" and not in_main):
         return True
-    if not attributes:
+    if "hidden" in of or of.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", "")):
+        return True
+    if tag in _WHOLE:
         return False
-    for m in _NAMED.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not _NOISE.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+    names = (x for name in ("class", "id", "role") for x in of.get(name, "").split())
+    return any(words and _NOISE.issuperset(words) for words in (re.findall(r"[^-_0-9]+", x) for x in names))
+
+
+def _main(tag: str, of: dict[str, str]) -> bool:
+    return tag in _MAIN or "main" in of.get("role", "").split() or "articlebody" in of.get("itemprop", "").split()
 
 
-def _label(tag: str, attributes: str) -> str:
+def _label(tag: str, of: dict[str, str]) -> str:
     """A node's name in the style tree: its tag and classes."""
-    if not attributes:
-        return tag
-    of = [v for m in _NAMED.finditer(attributes) if m[1].lower() == "class" for v in (m[2] or m[3] or m[4] or "").lower().split()]
-    return ".".join([tag, *sorted(of)])
+    return ".".join([tag, *sorted(of.get("class", "").split())])
 
 
 def blocks(page: str) -> list[tuple[str, str, bool]]:
@@ -159,17 +167,21 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                     break
                 if stack[depth][0] in bounds:
                     break
-        in_main = state[3] or tag in _MAIN or bool(attributes and re.search(r"""(?:role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b)""", attributes, re.I))
-        state = (tag, f"{state[1]}>{_label(tag, attributes)}", state[2] or _noise(tag, attributes, state[3]), in_main)
+        of = _attributes(attributes)
+        in_main = state[3] or _main(tag, of)
+        state = (tag, f"{state[1]}>{_label(tag, of)}", state[2] or _noise(tag, of, state[3]), in_main)
         stack.append(state)
     flush()
     return out
 
 
 def main_blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of the blocks in article or main, or of all where a page has neither."""
+    """(path, text) of the blocks in article or main where they hold most of the page's text, or of all blocks."""
     found = blocks(page)
-    return [b[:2] for b in found if b[2]] or [b[:2] for b in found]
+    inside = [b[:2] for b in found if b[2]]
+    if 2 * sum(len(t) for _, t in inside) > sum(len(b[1]) for b in found):
+        return inside
+    return [b[:2] for b in found]
 
 
 def _hash(x: str) -> int:

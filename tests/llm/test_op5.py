@@ -43,3 +43,26 @@ def test_copies_keep_paragraphs_in_low_branches(spark):
     assert {("h", ">article>div.entry"), ("", ">div>div.entry")} <= low
     # the words that stand in the low div itself go, as before
     assert {r.text for r in extract(df).collect()} == {"T One text item"}
+
+
+def test_declared_roles_are_whole_names():
+    text = lambda page: " ".join(t for _, t in main_blocks(page))
+    for page in [
+        "<body class='has-sidebar comments-open'><article class='post category-ads'><p>Text</p></article>",
+        "<body class='sidebar'><article class='share' id='comments'><p>Text</p></article>",
+        "<div class='content social-proof'><p>Text</p></div>",
+        """<p title="A hidden gem" data-x=' class="ad" style="display:none"'>Text</p>""",
+        "<p data-class='ad' data-hidden title='x hidden'>Text</p>",
+    ]:
+        assert text(page) == "Text"
+    for gone in ["class='x ad'", "class=ad", "id = 'sidebar'", "role=navigation", "class='cookie-notice'", "id='ad-2'", "hidden", "class='a' hidden", "aria-hidden='true'", 'title="x" style="display: none"']:
+        assert text(f"<p>Text</p><div {gone}>no</div>") == "Text"
+    assert text("<body hidden><p>Text</p>") == ""
+
+
+def test_article_bounds_only_what_is_mostly_in_it():
+    text = lambda page: " ".join(t for _, t in main_blocks(page))
+    cards = "<article class='card'><h2>Teaser</h2></article>"
+    assert text(f"<div><p>The long main text of this page</p></div>{cards}{cards}") == "The long main text of this page Teaser Teaser"
+    assert text("<div>Other</div><article><p>The long main text of this page</p></article>") == "The long main text of this page"
+    assert text("<div data-x='role=main'>aa</div><p>b</p>") == "aa b"
