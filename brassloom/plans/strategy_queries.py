@@ -382,13 +382,13 @@ def a_tax_drag(spark, d):
 
 @query("mc_block_bootstrap", "asset n_sims", "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25")
 def mc_block_bootstrap(spark, d):
-    return stats.block_bootstrap(_returns(spark, d), ["asset"], n_sims=2000)
+    return stats.block_bootstrap(_returns(spark, d), ["asset"])
 
 
 @query("mc_trades", "asset n_sims", "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25")
 def mc_trades(spark, d):
     ep = B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST))
-    return stats.resample_trades(ep, ["asset"], "pnl", ["entry"], n_sims=2000)
+    return stats.resample_trades(ep, ["asset"], "pnl", ["entry"])
 
 
 # --- the whole pipeline in one plan: a grid of variants, all splits ---------------------------------------------------
