@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import save, ship, table
+from brassloom.llm.common import FEW_IDS, save, ship, table
 from brassloom.llm.op8_jaccard import groups
 
 SCALE, K, EVERY = 1024, 10, 100
@@ -88,7 +88,11 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     n = rows.count()
     ranged = rows.repartitionByRange(max(1, -(-n // (size * 4))), F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id")
     packed = save(_pack(ranged, size), name)
-    return packed.withColumn("no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("high").desc(), "part", "block")) - 1)
+    # Only a few bytes a block are numbered in one window; the vectors stay where they were written.
+    along = Window.partitionBy(F.lit(0)).orderBy(F.col("high").desc(), "part", "block")
+    numbers = save(packed.select("part", "block", (F.row_number().over(along) - 1).alias("no")), f"{name}-numbers")
+    few = numbers.count() <= FEW_IDS
+    return packed.join(F.broadcast(numbers) if few else numbers, ["part", "block"])
 
 
 def _unpack(ids: bytes, values: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:

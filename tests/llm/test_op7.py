@@ -37,3 +37,14 @@ def test_edge_cases(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df).collect())
     assert got == _brute(rows, 100)
     assert top_k(df.limit(0)).collect() == [] and top_k(df.where("vec_id = 0")).collect() == []
+
+
+def test_vectors_pass_no_window(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(0, 1, (300, 4)))], "vec_id long, embedding array<float>")
+    found = op7_topk.blocks(op7_topk.quantized(df), 20, "topk-test")
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(found.collect(), key=lambda r: r.no)
+    assert [r.no for r in rows] == list(range(len(rows))) and len(rows) >= 15
+    assert [r.high for r in rows] == sorted((r.high for r in rows), reverse=True)
+    assert sum(len(r.ids) // 8 for r in rows) == 300
