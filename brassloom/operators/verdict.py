@@ -1,4 +1,9 @@
-"""The verdict on strategies: every check must hold, on development and validation alone."""
+"""The verdict on strategies: every check of CHECKS must hold, on development and validation alone.
+
+Of the reference's checks (research/phase3.py) these are absent: Sharpe above the benchmark's, DSR of 0.95, 100 trades
+out of sample, worst event's loss, Monte Carlo's 5 % quantile above 1, related assets, profit in each split and DSR at
+doubled costs. Profit is told by Sharpe, not CAGR. So a variant that passes here may fail there.
+"""
 
 from __future__ import annotations
 

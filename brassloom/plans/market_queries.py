@@ -286,7 +286,7 @@ def k_summary(spark, d):
     return metrics.summarize(r.withColumn("rf", F.lit(0.0)), ["dt_name"], 365)
 
 
-# --- the grid of configurations: thresholds and favourites, at plain and doubled fees --------------------------------------
+# --- the grid of configurations: thresholds at plain and doubled fees; no favourites, no splits --------------------------------------
 
 THETAS, COSTS = (0.03, 0.05, 0.08), (1.0, 2.0)
 
