@@ -6,13 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that an Arrow batch may hold: whole documents are wide, so a batch of Spark's default size could be a gigabyte.
+#: Rows of an Arrow batch that become Python objects at a time: whole documents are wide. Spark itself bounds a batch's bytes.
 ARROW_ROWS = 500
 #: Rows of one or two numbers each up to which a counted table is broadcast (24 MB at most).
 FEW_IDS = 1_000_000
@@ -59,7 +61,6 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it."""
     sc: SparkContext = spark.sparkContext
     key = (sc.applicationId, id(sc))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if key in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
@@ -71,6 +72,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(key)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ARROW_ROWS rows, so that what a task makes of one stays small; the session's settings are left alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ARROW_ROWS):
+            yield batch.slice(at, ARROW_ROWS)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))

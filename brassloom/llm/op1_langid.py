@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import fold, ship, table
+from brassloom.llm.common import fold, ship, small_batches, table
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [m.predict(x) for x in batch.column(at).to_pylist()]
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays(

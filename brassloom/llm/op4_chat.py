@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import ship, table
+from brassloom.llm.common import ship, small_batches, table
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, of = None, None
-        for batch in batches:
+        for batch in small_batches(batches):
             done = []
             for conv, text, loss, valid in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if of is None or conv != at:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import FEW_IDS, save, ship, table
+from brassloom.llm.common import FEW_IDS, save, ship, small_batches, table
 from brassloom.llm.op8_jaccard import groups
 
 SCALE, K, EVERY = 1024, 10, 100
@@ -61,7 +61,7 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         block = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             while len(held) >= size:
                 yield out(held[:size], block)
@@ -143,7 +143,7 @@ def _scores(pairs: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id and score of the best of each pair of blocks (q_no, q_dims, q_ids, q_values, floors, dims, ids, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             for row in batch.to_pylist():
                 q_ids, q = _unpack(row["q_ids"], row["q_values"], row["q_dims"])
                 c_ids, c = _unpack(row["ids"], row["values"], row["dims"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import FEW_IDS, fold, save, ship, table
+from brassloom.llm.common import FEW_IDS, fold, save, ship, small_batches, table
 
 FEATURES = 160
 RIDGE = 1e-3
@@ -69,7 +69,7 @@ def extract(docs: DataFrame, keep: list[str]) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [statistics(x or "") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
@@ -133,7 +133,7 @@ def fit(stats: DataFrame, fit_rows: Column, calibration_rows: Column, seed: int
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n = np.zeros((width, width)), np.zeros(width), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             z = model.features(_stats_of(batch))
             a += z.T @ z
             b += z.T @ batch.column(1).to_numpy(zero_copy_only=False)
@@ -153,7 +153,7 @@ def fit(stats: DataFrame, fit_rows: Column, calibration_rows: Column, seed: int
     model.weight = np.linalg.solve(a / n + RIDGE * np.eye(width), values[len(upper[0]) : -1] / n)
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_stats_of(batch))), batch.column(1)], names=["raw", "y"])
 
     def binned(rows: Column) -> list:
@@ -172,7 +172,7 @@ def score_stats(stats: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in stats.columns if c not in ("stats", "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             score = sent.value.score(_stats_of(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
