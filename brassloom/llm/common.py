@@ -46,7 +46,18 @@ def save(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFr
     """Write df to a new table in the shared folder and read it again, which cuts its lineage."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that save() wrote and that nothing will read any more."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

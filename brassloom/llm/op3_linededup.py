@@ -7,7 +7,10 @@ written before - what is left is new, and the batch's largest document holds
 it - and written as a run of its own, sorted by key: (key, documents, holder).
 When a level has ``FANOUT`` runs they are compacted into one of the next level,
 so each key is rewritten a number of times that grows with the logarithm of the
-number of batches. At the end the runs give, for each key, the number of its
+number of batches (``BATCHES``, and one more for each ``BATCH`` documents). A run is sorted
+and holds a key once; the anti-joins and merges of runs are Spark's own joins and
+groupings by key, which sort again what they shuffle. Tables that a merge has
+replaced are deleted. At the end the runs give, for each key, the number of its
 documents and its holder; lines of keys in enough documents are dropped
 everywhere but in the holder.
 
@@ -17,7 +20,7 @@ joined by a shuffle, in which Spark splits skewed partitions.
 
 Edge cases: null text is one empty line. Rows equal in doc_id and text are one
 document; rows with the same doc_id and other texts count each, and those with
-the largest doc_id all keep the line. A null doc_id is smaller than any other; a key held by null ids only
+the largest doc_id all keep the line. Ids may lie any distance apart. A null doc_id is smaller than any other; a key held by null ids only
 is never dropped. Other columns are ignored by the query and kept by ``dedup``.
 """
 
@@ -28,10 +31,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import save, table, text_or_empty
+from brassloom.llm.common import discard, save, table, text_or_empty
 
 LEAST, DOCS = 20, 3
-BATCHES, FANOUT = 4, 2
+BATCHES, BATCH, FANOUT = 4, 50_000_000, 2
 #: Keys to drop (16 bytes and a doc_id each) up to which they are broadcast.
 FEW = 400_000
 WHITE = " \t\n\x0b\x0c\r"
@@ -58,8 +61,10 @@ def row_key() -> Column:
 def line_hashes(docs: DataFrame, least: int = LEAST, batches: int = BATCHES) -> DataFrame:
     """doc_id, rid, pos and the hashes of each line that counts, by batch; batch 0 has the largest ids."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    batch = F.floor((F.lit(high) - F.coalesce(F.col("doc_id"), F.lit(low))).cast("double") * batches / float(high - low + 1))
+    low, high = float(low or 0), float(high or 0)
+    # In doubles, which keep the order of ids and can't overflow.
+    share = (F.lit(high) - F.coalesce(F.col("doc_id").cast("double"), F.lit(low))) / (high - low or 1.0)
+    batch = F.least(F.floor(share * batches), F.lit(batches - 1))
     lines = docs.select("doc_id", row_key().alias("rid"), batch.cast("int").alias("batch"), F.posexplode(F.transform(F.split(text_or_empty(), "\n"), lambda x: _hashes(x, least))).alias("pos", "h"))
     return save(lines.where("h IS NOT NULL").select("doc_id", "rid", "pos", "h.h1", "h.h2", "batch"), "line-hashes", ("batch",))
 
@@ -79,13 +84,14 @@ class Runs:
 
     def add(self, own: DataFrame) -> None:
         """own: the keys of a new batch (h1, h2, docs, holder). Its holders stand only where no earlier run has the key."""
-        known = self.all()
+        known, batch = self.all(), None
         if known is not None:
-            own = save(own, "line-batch")
+            own = batch = save(own, "line-batch")
             new = own.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
             seen = own.join(known.select("h1", "h2"), ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast(own.schema["holder"].dataType))
             own = new.unionByName(seen)
         self._put(own, 0)
+        discard(batch)
 
     def _put(self, run: DataFrame, level: int) -> None:
         at = self.levels.setdefault(level, [])
@@ -94,6 +100,7 @@ class Runs:
             merged = self.merge(at)
             self.levels[level] = []
             self._put(merged, level + 1)
+            discard(*at)
 
     def merge(self, runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
@@ -106,8 +113,9 @@ class Runs:
         return self.merge([r for level in self.levels.values() for r in level])
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST, in_docs: int = DOCS, batches: int = BATCHES) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = LEAST, in_docs: int = DOCS, batches: int | None = None) -> DataFrame:
     """doc_id, rid and the positions (sorted array) of the lines that the document loses."""
+    batches = batches or BATCHES + docs.count() // BATCH
     lines = line_hashes(docs, least, batches)
     runs = Runs(docs.sparkSession)
     for b in range(batches):
@@ -116,6 +124,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST, in_docs: int = DOCS, batc
         own = each.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("holder"))
         runs.add(own)
     drop = save(runs.counts().where(F.col("docs") >= in_docs), "line-drop")
+    discard(*(r for level in runs.levels.values() for r in level))
     few = drop.count() <= FEW
     hit = lines.join(F.broadcast(drop) if few else drop, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull())
     return hit.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
@@ -128,7 +137,7 @@ def _kept(lines: Column, dropped: Column) -> Column:
     return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
-def dedup(docs: DataFrame, least: int = LEAST, in_docs: int = DOCS, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, in_docs: int = DOCS, batches: int | None = None) -> DataFrame:
     """docs without the dropped lines, and n_lines and n_dropped."""
     drop = dropped_lines(docs, least, in_docs, batches).select(F.col("doc_id").alias("_d"), F.col("rid").alias("_r"), "dropped")
     left = docs.withColumn("_rid", row_key())

@@ -3,8 +3,8 @@
 Vectors become integers (floor of ``SCALE`` times each component, in double
 precision). Candidates are ranged by falling length and cut into blocks of up to
 ``BLOCK`` vectors, each with its greatest length; queries into blocks of up to
-``QUERIES``. Every query first meets the block of the longest vectors, which
-gives it a first k-th best score. From then on a block has, for a query, a local
+``QUERIES``. Every query first meets the ``SEEDS`` blocks of the longest vectors,
+which give it a first k-th best score. From then on a block has, for a query, a local
 cosine threshold: k-th best score / (query's length * block's greatest length).
 
 * Above 1, nothing in the block can matter: the block is left out.
@@ -15,15 +15,19 @@ cosine threshold: k-th best score / (query's length * block's greatest length).
 
 Whatever passes is verified with exact integer products; pruning has a margin for
 rounding and keeps equal scores, so results are exact. Query blocks meet
-candidate blocks by an equi-join on groups of blocks; only block pairs that may
-matter come out of it. The query set is the stated one (every ``EVERY``-th id).
+candidate blocks by an equi-join on groups of blocks; a query block is sent to those
+groups only whose longest vector is long enough for one of its queries, and each
+query is pruned by its own floor in every block that it meets. The query set is the stated one (every ``EVERY``-th id).
+
+Blocks hold the smallest kind of integer that their values fit in.
 
 Edge cases: a vector that is null, empty, or holds a null, NaN or infinite
 component takes no part. Vectors of different length are compared on the
 components both have. Rows with the query's own vec_id are not its candidates;
-other repeated rows are candidates each, in rank order. Null vec_ids are neither
-queries nor candidates. With too few candidates there are fewer ranks. Products
-beyond 64 bits wrap.
+other repeated rows are candidates each, in rank order. A query row that is repeated,
+vector and all, is one query; rows of one vec_id with other vectors are queries of their
+own, ranked each. Null vec_ids are neither queries nor candidates. With too few
+candidates there are fewer ranks. Products beyond 64 bits wrap.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from brassloom.llm.common import FEW_IDS, save, ship, small_batches, table
 from brassloom.llm.op8_jaccard import groups
 
 SCALE, K, EVERY = 1024, 10, 100
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES, SEEDS = 4096, 512, 4
 STEEP, COORDINATES = 0.5, 4
 #: Candidate blocks that share a join key.
 GROUP = 16
@@ -76,7 +80,9 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
             m[i, : len(r[2])] = r[2]
         ids = np.array([r[1] for r in rows], np.int64)
         lengths = [r[3] for r in rows]
-        columns = [[rows[0][0]], [block], [min(lengths)], [max(lengths)], [dims], [ids.tobytes()], [m.tobytes()]]
+        low, high = int(m.min()), int(m.max())
+        kind = next(k for k in (np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+        columns = [[rows[0][0]], [block], [min(lengths)], [max(lengths)], [dims], [ids.tobytes()], [m.astype(kind).tobytes()]]
         types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["part", "block", "low", "high", "dims", "ids", "values"])
 
@@ -96,7 +102,9 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def _unpack(ids: bytes, values: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dims)
+    rows = np.frombuffer(ids, np.int64)
+    kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(values) // (len(rows) * dims)]
+    return rows, np.frombuffer(values, kind).astype(np.int64).reshape(-1, dims)
 
 
 def best_of(q_ids, q, c_ids, c, floor: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
@@ -140,7 +148,7 @@ def best_of(q_ids, q, c_ids, c, floor: np.ndarray, k: int = K) -> list[tuple[int
 
 
 def _scores(pairs: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id and score of the best of each pair of blocks (q_no, q_dims, q_ids, q_values, floors, dims, ids, values)."""
+    """query_id, q_no and q_row (the query's block and row), vec_id and score of the best of each pair of blocks (q_no, q_dims, q_ids, q_values, floors, dims, ids, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -151,17 +159,17 @@ def _scores(pairs: DataFrame, k: int) -> DataFrame:
                 found = best_of(q_ids, q, c_ids, c, floor, k)
                 if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([row["q_no"]] * len(found), pa.int32()), pa.array([v for _, v, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())],
-                        names=["query_id", "q_no", "vec_id", "score"],
+                        [pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([row["q_no"]] * len(found), pa.int32()), pa.array([i for i, _, _ in found], pa.int32()), pa.array([v for _, v, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())],
+                        names=["query_id", "q_no", "q_row", "vec_id", "score"],
                     )
 
-    return pairs.select("q_no", "q_dims", "q_ids", "q_values", "floors", "dims", "ids", "values").mapInArrow(run, "query_id long, q_no int, vec_id long, score long")
+    return pairs.select("q_no", "q_dims", "q_ids", "q_values", "floors", "dims", "ids", "values").mapInArrow(run, "query_id long, q_no int, q_row int, vec_id long, score long")
 
 
-def _with_floors(queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
-    """Query blocks with each query's k-th best score so far and the least length at which a vector may reach one of them."""
-    kept = queries.select("q_no", F.lit(1).alias("side"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("score"), "q_dims", "q_ids", "q_values")
-    found = scored.select("q_no", F.lit(0).alias("side"), "query_id", "score", F.lit(None).cast("int").alias("q_dims"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_values"))
+def _with_floors(queries: DataFrame, scored: DataFrame, k: int, highs: np.ndarray) -> DataFrame:
+    """Query blocks with each query's k-th best score so far, the least length at which a vector may reach one of them, and how many groups (highs: their greatest lengths, falling) may hold one."""
+    kept = queries.select("q_no", F.lit(1).alias("side"), F.lit(None).cast("int").alias("q_row"), F.lit(None).cast("long").alias("score"), "q_dims", "q_ids", "q_values")
+    found = scored.select("q_no", F.lit(0).alias("side"), "q_row", "score", F.lit(None).cast("int").alias("q_dims"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, 1):
@@ -172,13 +180,13 @@ def _with_floors(queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
             for r in rows:
                 if r[1]:
                     ids, q = _unpack(r[5], r[6], r[4])
-                    floors = np.array([sorted(best[i])[-k] if len(best.get(i, ())) >= k else -np.inf for i in ids.tolist()], np.float64)
+                    floors = np.array([sorted(best[i])[-k] if len(best.get(i, ())) >= k else -np.inf for i in range(len(ids))], np.float64)
                     length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
                     least = float(np.min(np.where(floors > 0, floors / np.maximum(length, 1e-300), 0.0))) * (1 - 1e-6)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[4]], pa.int32()), pa.array([r[5]], pa.binary()), pa.array([r[6]], pa.binary()), pa.array([floors.tobytes()], pa.binary()), pa.array([least])], names=["q_no", "q_dims", "q_ids", "q_values", "floors", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[4]], pa.int32()), pa.array([r[5]], pa.binary()), pa.array([r[6]], pa.binary()), pa.array([floors.tobytes()], pa.binary()), pa.array([least]), pa.array([np.searchsorted(-highs, -least, side="right")], pa.int32())], names=["q_no", "q_dims", "q_ids", "q_values", "floors", "least", "groups"])
 
     rows = kept.unionByName(found).repartition("q_no").sortWithinPartitions("q_no", "side")
-    return rows.mapInArrow(run, "q_no int, q_dims int, q_ids binary, q_values binary, floors binary, least double")
+    return rows.mapInArrow(run, "q_no int, q_dims int, q_ids binary, q_values binary, floors binary, least double, groups int")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
@@ -186,22 +194,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     ship(vectors.sparkSession)
     rows = quantized(vectors, scale)
     candidates = save(blocks(rows, BLOCK, "topk-packed"), "topk-candidates")
-    queries = blocks(rows.where(F.col("vec_id") % every == 0), QUERIES, "topk-queries")
+    queries = blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), QUERIES, "topk-queries")
     queries = save(queries.select(F.col("no").alias("q_no"), F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")), "topk-query-blocks")
-    # One block of at most BLOCK vectors, whatever the input.
-    longest = candidates.where("no = 0").select("dims", "ids", "values")
-    none = _with_floors(queries, queries.limit(0).select("q_no", F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("score")), k)
-    seeds = save(_scores(none.join(F.broadcast(longest.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")), k), "topk-seeds")
-    ready = _with_floors(queries, seeds, k)
-    # The groups of blocks that a query block has to meet: those whose longest vector is long enough.
-    of = candidates.where("no > 0").withColumn("group", F.floor(F.col("no") / GROUP))
-    count = of.agg(F.max("group")).first()[0]
-    if count is None:
-        scored = seeds
-    else:
-        meets = ready.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(count)).cast("long")))).join(of, "group").where("high >= least")
+    # SEEDS blocks of at most BLOCK vectors, whatever the input.
+    longest = candidates.where(F.col("no") < SEEDS).select("no", "dims", "ids", "values")
+    first = F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))
+    none = _with_floors(queries, queries.limit(0).select("q_no", F.lit(0).alias("q_row"), F.lit(0).cast("long").alias("score")), k, np.empty(0))
+    seeds = save(_scores(none.withColumn("no", first).join(F.broadcast(longest), "no"), k), "topk-seeds")
+    of = candidates.where(F.col("no") >= SEEDS).withColumn("group", F.floor((F.col("no") - SEEDS) / GROUP).cast("int"))
+    # A number for each GROUP * BLOCK vectors.
+    highs = np.array([r.high for r in of.groupBy("group").agg(F.max("high").alias("high")).orderBy("group").collect()])
+    scored = seeds
+    if len(highs):
+        ready = _with_floors(queries, seeds, k, highs).where("groups > 0")
+        meets = ready.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).join(of, "group").where("high >= least")
         scored = seeds.unionByName(_scores(meets, k))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("q_no", "q_row").orderBy(F.col("score").desc(), "vec_id"))
     return scored.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
@@ -213,7 +221,8 @@ SQL = """
 WITH f AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM f),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
+p AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

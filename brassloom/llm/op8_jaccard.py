@@ -11,7 +11,7 @@ link when their sets' Jaccard similarity reaches the threshold (``PERCENT``).
    content) key can't link. Each size range overlaps the next by what sizes of
    linked sets may differ. Some slices more than needed let empty slices go
    without a key.
-   Shingles that a bounded sample of documents finds in several of them (a
+   Shingles that a sample of documents, which grows with them, finds in several of them (a
    passage that many documents quote) would make slices agree by themselves.
    Slices leave them out, which takes nothing from the argument, unless they are
    over half of a set; such sets are sliced whole. Sets that may link with sets
@@ -32,8 +32,11 @@ The result is exact up to collisions of 64-bit hashes.
 
 Edge cases: null and empty texts, and those of white space only, have no shingle
 and link with nothing; texts of one or two words have one shingle, the whole
-sequence. Null doc_ids count in no component's minimum. Rows with the same
-doc_id are separate documents. Extra columns are ignored.
+sequence. Null doc_ids count in no component's minimum, but links run through them as
+through any other document; a component without any other has a null component_id.
+Rows with the same doc_id are separate documents and repeated rows are copies of one
+another. Extra columns are ignored, whatever their names. Tables written on the way
+are deleted when nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -47,12 +50,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import FEW_IDS, save, ship, small_batches, table
+from brassloom.llm.common import FEW_IDS, discard, save, ship, small_batches, table, text_or_empty
 from brassloom.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: Documents in the sample that finds common shingles, in how many of them a shingle is common, and how many are kept.
-SAMPLE, COMMON, KEPT = 20_000, 3, 1_000_000
+#: The sample that finds common shingles: documents at least, and their share of all; in how many of them a shingle is common, and how many are kept.
+SAMPLE, SHARE, COMMON, KEPT = 20_000, 0.01, 3, 1_000_000
 #: Sets, and elements of their sets, that one tree may hold.
 CHUNK, ELEMENTS = 512, 1_000_000
 REMEMBER = 400_000
@@ -134,8 +137,8 @@ def slice_keys(s: np.ndarray, percent: int, ranges: list[int], common: np.ndarra
 
 
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of several documents in a bounded sample of different texts, the KEPT most frequent of them, sorted."""
-    part = min(1.0, SAMPLE / max(1, docs.count()))
+    """Shingles of several documents in a sample of different texts, the KEPT most frequent of them, sorted."""
+    part = min(1.0, max(SHARE, SAMPLE / max(1, docs.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -150,17 +153,21 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and sid (a hash of the whole set; null if empty) of each document, written."""
+    """doc_id, key (a hash of the text), n and sid (a hash of the whole set; null if empty) of each document, written."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [shingles(x, size) for x in batch.column(1).to_pylist()]
+            found = [shingles(x, size) for x in batch.column(2).to_pylist()]
             sid = [_sid(s) if len(s) else None for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "key", "n", "sid"])
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long"), "jaccard-sets")
+    return save(docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, sid long"), "jaccard-sets")
+
+
+def text_key() -> Column:
+    return F.xxhash64(text_or_empty())
 
 
 #: What stands for a set where keys meet: its hash's last 40 bits. Sets that share them are one more pair to verify.
@@ -418,7 +425,7 @@ def _links_in(grouped: DataFrame, by: list[str], percent: int, labels: bool = Fa
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sid, cluster, n and elements (sorted hashes as bytes) of the wanted sets (first: a document that has the set)."""
+    """sid, cluster, n and elements (sorted hashes as bytes) of the wanted sets (first, key: the doc_id and text of one that has the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -428,24 +435,36 @@ def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "n", "elements"])
             yield out.filter(same)
 
-    rows = docs.select("doc_id", "text").join(_small(wanted), F.col("doc_id") == F.col("first")).select("text", "sid", "cluster")
+    wanted = wanted.select("sid", "cluster", "first", F.col("key").alias("of"))
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    small = _small(wanted)
+    rows = texts.join(small, (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("of"))).select("text", "sid", "cluster")
+    nameless = wanted.where("first IS NULL")
+    if nameless.limit(1).count():
+        # Sets of rows without a doc_id only are known by their text; of its copies one will do.
+        found = texts.where("doc_id IS NULL").join(_small(nameless.select(F.col("of").alias("key")).distinct()), "key", "left_semi").dropDuplicates(["key"])
+        rows = rows.unionByName(found.join(_small(nameless), F.col("key") == F.col("of")).select("text", "sid", "cluster"))
     return rows.mapInArrow(run, "sid long, cluster long, n long, elements binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id long, text string)."""
     sets = shingle_sets(docs, size)
-    once = save(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "jaccard-once")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
+    once = sets.where("sid IS NOT NULL").groupBy("sid").agg(named.alias("named"), F.min("key").alias("any"), F.count("*").alias("copies"))
+    once = save(once.select("sid", F.col("named.doc_id").alias("first"), F.coalesce("named.key", "any").alias("key"), "copies"), "jaccard-once")
     short = save(key_pairs(key_rows(docs, size, percent, common_shingles(docs, size))), "jaccard-short")
     pairs = save(_full(short, once), "jaccard-pairs")
     cluster = components(pairs, "jaccard-cluster").select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
-    wanted = save(cluster.join(once, "sid").where("first IS NOT NULL").select("sid", "cluster", "first"), "jaccard-wanted")
+    wanted = save(cluster.join(once, "sid").select("sid", "cluster", "first", "key"), "jaccard-wanted")
     members = save(_elements(docs, wanted, size), "jaccard-elements")
-    labels = _cluster_labels(members, pairs, percent)
+    labels = save(_cluster_labels(members, pairs, percent), "jaccard-labels")
+    discard(short, pairs, wanted, members)
     # Only sets that have copies or links need to be looked up; any other document is its own component.
     joined = once.join(labels, "sid", "left").where("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "sid"))
     least = joined.groupBy("label").agg(F.min("first").alias("component"))
     found = save(joined.join(least, "label").select(F.col("sid").alias("_sid"), "component").distinct(), "jaccard-components")
+    discard(once, labels)
     out = sets.join(_small(found), F.col("sid") == F.col("_sid"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from brassloom.llm import op3_linededup
 from brassloom.llm.op3_linededup import Runs, dedup
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -52,6 +53,15 @@ def test_edge_cases(edge, docs):
     assert sorted((r.doc_id, r.n_dropped) for r in kept) == [(1, 1), (7, 0), (7, 0)]
 
 
+def test_far_ids_and_joins_by_shuffle(docs, monkeypatch):
+    far, line = 9223372036854775000, "this line is in every document"
+    rows = [(-far, line), (0, line + "\nx"), (far, line)]
+    want = {i: n for i, n in zip((-far, 0, far), (1, 1, 0))}
+    for few in (op3_linededup.FEW, 0):
+        monkeypatch.setattr(op3_linededup, "FEW", few)
+        assert {r.doc_id: r.n_dropped for r in dedup(docs([(i, t, "en", "s") for i, t in rows])).collect()} == want
+
+
 def test_runs_are_compacted(spark):
     runs = Runs(spark, fanout=2)
     for b in range(6):

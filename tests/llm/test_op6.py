@@ -1,5 +1,6 @@
 import random
 
+from brassloom.llm import op6_mix
 from brassloom.llm.op6_mix import mix, mix_sizes, sizes, targets
 
 
@@ -25,6 +26,23 @@ def test_taken_is_near_target_and_reruns_agree(docs):
     assert again == {x.doc_id: x.taken for x in rows}
 
 
+def test_null_ids_are_spread_and_joins_by_shuffle_agree(docs, monkeypatch):
+    rows = [(None, f"w{k} " * (k % 5 + 1), "en", "a") for k in range(300)] + [(k, "w " * 3, "en", f"s{k % 7}") for k in range(200)]
+    given = docs(rows)
+    assert sizes(given).where("doc_id IS NULL").select("key").distinct().count() == 300
+    want = sorted((r.source, r.size, r.taken, round(r.target, 6)) for r in mix_sizes(sizes(given)).collect())
+    monkeypatch.setattr(op6_mix, "FEW", 0)
+    assert sorted((r.source, r.size, r.taken, round(r.target, 6)) for r in mix_sizes(sizes(given)).collect()) == want
+
+
+def test_repeated_rows_share_their_copies(docs):
+    given = docs([(1, "a b c", "en", "x")] * 5 + [(2, "d e", "en", "x"), (3, "f", "en", "y")] + [(None, "g h", None, None)] * 3)
+    assert mix(given).groupBy("doc_id").count().orderBy("doc_id").collect() == mix(given).groupBy("doc_id").count().orderBy("doc_id").collect()
+    taken = sum(r.copies for r in mix_sizes(sizes(given)).collect())
+    out = mix(given).collect()
+    assert len(out) == taken and {r.text for r in out} <= {"a b c", "d e", "f", "g h"}
+
+
 def test_edge_cases(edge, docs):
     rows = mix_sizes(sizes(edge)).collect()
     assert len(rows) == 8 and all(r.taken == 0 for r in rows if r.size == 0)

@@ -10,14 +10,14 @@ from brassloom.llm.op7_topk import top_k
 def _brute(rows, every):
     good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for q, a in sorted({(i, tuple(v)) for i, v in good}):
         if q % every == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:10]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [0.1, 1.0])
+@pytest.mark.parametrize("scale", [0.0, 0.1, 1.0])
 def test_against_brute_force_with_small_blocks(spark, monkeypatch, scale):
     monkeypatch.setattr(op7_topk, "BLOCK", 40)
     monkeypatch.setattr(op7_topk, "QUERIES", 7)
@@ -25,7 +25,10 @@ def test_against_brute_force_with_small_blocks(spark, monkeypatch, scale):
     rng = np.random.default_rng(1)
     v = rng.normal(0, 1, (400, 8)) * rng.lognormal(0, scale, (400, 1))
     v[50] = v[60] = v[70]
+    if scale == 0.0:
+        v /= np.linalg.norm(v, axis=1)[:, None]
     rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
+    rows += [rows[20], rows[20], (30, rows[31][1])]  # one query repeated, one id with two vectors
     df = spark.createDataFrame([(i, r, "x", 1) for i, r in rows], "vec_id long, embedding array<float>, rank string, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, every=10).collect())
     assert got == _brute(rows, 10)
@@ -48,3 +51,10 @@ def test_vectors_pass_no_window(spark):
     assert [r.no for r in rows] == list(range(len(rows))) and len(rows) >= 15
     assert [r.high for r in rows] == sorted((r.high for r in rows), reverse=True)
     assert sum(len(r.ids) // 8 for r in rows) == 300
+
+
+def test_large_values_take_wider_integers(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(rng.normal(0, 10.0 ** rng.integers(0, 7, (60, 1)), (60, 3)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, every=7).collect()) == _brute(rows, 7)

@@ -57,6 +57,29 @@ def test_against_brute_force(docs, monkeypatch, size, percent, chunk, common):
     assert got == _brute(rows, size, percent)
 
 
+def test_links_run_through_rows_without_a_doc_id(docs, spark):
+    base = [f"w{k}" for k in range(60)]
+    one, middle, other = " ".join(base), " ".join(base[:-1] + ["x"]), " ".join(["y"] + base[1:-1] + ["x"])
+    far = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, one), (None, middle), (9, other), (None, far), (None, far), (None, far + " z"), (4, "alone here now")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_components(docs([(i, t, "en", "s") for i, t in rows])).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (9, 1), (None, None), (None, None), (None, None), (4, 4)], key=str)
+
+
+def test_repeated_ids_with_other_texts(docs):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (1, "something else entirely stands here"), (2, base), (2, base), (3, "something else entirely stands here")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs([(i, t, "en", "s") for i, t in rows])).collect())
+    assert got == [(1, 3, 1), (1, 58, 1), (2, 58, 1), (2, 58, 1), (3, 3, 1)]
+
+
+def test_joins_by_shuffle_agree(docs, monkeypatch):
+    monkeypatch.setattr(op8_jaccard, "FEW_IDS", 0)
+    rows = _near_copies(17, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs([(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == _brute(rows, 3, 90)
+
+
 def test_edge_cases(edge):
     rows = jaccard_components(edge).collect()
     assert len(rows) == 8
