@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -42,13 +43,41 @@ def build_markets(markets: DataFrame, forecasts: DataFrame, candles: DataFrame)
     e = e.withColumn("avail", F.col("dt") - F.make_dt_interval(hours=F.lit(LAG_HOURS))).withColumn("ftime", F.date_add("D", 1).cast("timestamp"))
     known = forecasts.where((F.hour("ftime") == 0) & F.col("txn").isNotNull())
     e = asof_join(e, known, "avail", "runtime", ["ftime"], ["txn", "xnd"], FORECAST_HOURS * 3600)
-    by = Window.partitionBy("ticker").orderBy("end_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quotes = candles.withColumn("cum", F.sum("volume").over(by))
-    e = asof_join(e, quotes, "dt", "end_ts", ["ticker"], ["end_ts", "bid_close", "ask_close", "cum"], QUOTE_SECONDS)
-    e = e.withColumn("dt6", F.col("dt") - F.make_dt_interval(hours=F.lit(6)))
-    e = asof_join(e, quotes.withColumnRenamed("cum", "cum6"), "dt6", "end_ts", ["ticker"], ["cum6"])
-    age = (F.col("dt").cast("double") - F.col("end_ts").cast("double")) / 3600.0
-    return e.withColumn("volume", F.col("cum") - F.coalesce("cum6", F.lit(0.0))).withColumn("quote_age_h", age).drop("cum", "cum6", "dt6", "end_ts")
+    return with_quotes(e, candles).drop("end_ts")
+
+
+def with_quotes(markets: DataFrame, candles: DataFrame, hours: float = 6) -> DataFrame:
+    """markets (ticker, dt and others) with the quote standing at dt, its age in hours and the volume of the hours before dt.
+
+    Markets and candles are united and shuffled once, by ticker: one frame carries the last quote on, a second one adds up
+    what was traded up to dt and a third what was traded up to some hours before it.
+    """
+    quote = F.struct("end_ts", "bid_close", "ask_close")
+    side = candles.select("ticker", F.col("end_ts").alias("_t"), quote.alias("_q"), F.col("volume").alias("_v")).withColumn("_side", F.lit(0))
+    both = markets.withColumn("_t", F.col("dt")).withColumn("_side", F.lit(1)).unionByName(side, allowMissingColumns=True)
+    both = both.withColumn("_at", F.unix_seconds("_t"))
+    rows = Window.partitionBy("ticker").orderBy("_at", "_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("ticker").orderBy("_at").rangeBetween(Window.unboundedPreceding, -int(hours * 3600))
+    both = both.withColumn("_q", F.last("_q", ignorenulls=True).over(rows)).withColumn("_now", F.sum("_v").over(rows)).withColumn("_then", F.sum("_v").over(before))
+    age = F.col("dt").cast("double") - F.col("_q.end_ts").cast("double")
+    good = age <= QUOTE_SECONDS
+    volume = F.when(good, F.col("_now") - F.coalesce("_then", F.lit(0.0)))
+    found = both.where("_side = 1")
+    return found.select(*markets.columns, *[F.when(good, F.col(f"_q.{c}")).alias(c) for c in ("end_ts", "bid_close", "ask_close")], volume.alias("volume"), F.when(good, age / 3600.0).alias("quote_age_h"))
+
+
+def coverage(markets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, and how many markets, and which share, have a forecast and a quote."""
+    out = markets.groupBy(*keys).agg(F.count("*").alias("n"), F.count("txn").alias("n_forecast"), F.count("ask_close").alias("n_quote"))
+    return out.withColumn("forecast_share", F.col("n_forecast") / F.col("n")).withColumn("quote_share", F.col("n_quote") / F.col("n"))
+
+
+def calendar_returns(bars: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, date, r and rf on every calendar day of bars (keys, date, close, annual): no return on days without a bar, where the last yearly rate still holds."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    known = bars.withColumn("r", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))).withColumn("_gap", F.coalesce(F.lead("date").over(w), F.date_add("date", 1)))
+    days = known.withColumn("_day", F.explode(F.sequence(F.col("date"), F.date_sub("_gap", 1))))
+    return days.select(*keys, F.col("_day").alias("date"), F.when(F.col("_day") == F.col("date"), F.col("r")).otherwise(0.0).alias("r"), (F.col("annual") / 365.0).alias("rf"))
 
 
 def rolling_bias(rows: DataFrame, series: str = "series", window: int = 60, least: int = 20) -> DataFrame:
@@ -95,33 +124,54 @@ def fit_sigma(rows: DataFrame, dev_end: str) -> dict[str, float]:
     return {"a": abs(float(best[0])) + 1e-3, "c": abs(float(best[1])), "n": int(n.sum())}
 
 
-def simulate_trades(rows: DataFrame, theta: float, slip: float = 0.01, fee_mult: float = 1.0, bankroll: float = 5000.0, frac: float = 0.01, top_k: int = 8, vol_frac: float = 0.10, longshot: float | None = None) -> DataFrame:
-    """Trades of rows (ticker, dt_name, D, p, bid_close, ask_close, volume, y).
+@dataclass(frozen=True)
+class Config:
+    """A way to trade: by edge over fees (theta), or favourites within ``longshot`` of certainty; cost scales fees and slippage."""
+
+    variant: str
+    dt_name: str | None
+    theta: float
+    longshot: float | None = None
+    frac: float = 0.01
+    top_k: int = 8
+    cost: float = 1.0
+    slip: float = 0.01
 
-    Yes fills at the ask and no at one less the bid, each with slippage. By edge over fees (theta), or, with a
-    longshot, whichever side is a favourite within it; per decision time and day the top_k edges are taken.
+
+def simulate_configs(rows: DataFrame, configs: list[Config], bankroll: float = 5000.0, vol_frac: float = 0.10) -> DataFrame:
+    """Trades of each configuration (variant) on rows (ticker, dt_name, D, p, bid_close, ask_close, volume, y), in one plan.
+
+    Configurations are few: a row is exploded into those for its decision time. Yes fills at the ask and no at one less the
+    bid, each with slippage. The better edge is taken, or with a longshot whichever side is a favourite; per day (and
+    decision time) the top_k edges stay, or all where it is 0.
     """
-    ask, bid = F.col("ask_close"), F.col("bid_close")
+    number = lambda x, kind="double": F.lit(x).cast(kind)
+    given = F.array(*[F.struct(number(c.variant, "string").alias("variant"), number(c.dt_name, "string").alias("of"), number(c.theta).alias("theta"), number(c.longshot).alias("longshot"), number(c.frac).alias("frac"), number(c.top_k, "int").alias("top_k"), number(c.cost).alias("cost"), number(c.slip * c.cost).alias("slip")) for c in configs])
+    df = rows.withColumn("_c", F.explode(F.filter(given, lambda c: c["of"].isNull() | (c["of"] == F.col("dt_name"))))).withColumn("variant", F.col("_c.variant"))
+    ask, bid, slip, cost, longshot = F.col("ask_close"), F.col("bid_close"), F.col("_c.slip"), F.col("_c.cost"), F.col("_c.longshot")
     ok = ask.isNotNull() & bid.isNotNull() & (F.coalesce("volume", F.lit(0.0)) > 0)
-    df = rows.withColumn("_y", F.when(ok & (ask < 0.99) & (ask > 0), F.least(ask + slip, F.lit(0.99)))).withColumn("_n", F.when(ok & (bid > 0.01) & (bid < 1), F.least(1.0 - bid + slip, F.lit(0.99))))
-    fee = lambda p: 0.07 * fee_mult * p * (1 - p)
+    df = df.withColumn("_y", F.when(ok & (ask < 0.99) & (ask > 0), F.least(ask + slip, F.lit(0.99)))).withColumn("_n", F.when(ok & (bid > 0.01) & (bid < 1), F.least(1.0 - bid + slip, F.lit(0.99))))
+    fee = lambda p: 0.07 * cost * p * (1 - p)
     y, n = F.col("_y"), F.col("_n")
-    if longshot is None:
-        df = df.withColumn("_ey", F.col("p") - y - fee(y)).withColumn("_en", (1 - F.col("p")) - n - fee(n))
-        yes = F.coalesce("_ey", F.lit(-9.0)) >= F.coalesce("_en", F.lit(-9.0))
-        df = df.withColumn("side_yes", yes).withColumn("edge", F.when(yes, F.col("_ey")).otherwise(F.col("_en"))).where(F.col("edge") >= theta)
-    else:
-        fy, fn = F.coalesce(y >= 1 - longshot, F.lit(False)), F.coalesce(n >= 1 - longshot, F.lit(False))
-        df = df.withColumn("side_yes", fy).withColumn("edge", F.lit(1.0)).where(fy | fn)
-    df = df.withColumn("price", F.when(F.col("side_yes"), y).otherwise(n))
-    if longshot is None and top_k:
-        w = Window.partitionBy("dt_name", "D").orderBy(F.col("edge").desc(), "ticker")
-        df = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top_k).drop("_rank")
-    size = F.greatest(F.floor(F.lit(frac * bankroll) / F.col("price")), F.lit(1))
+    df = df.withColumn("_ey", F.col("p") - y - fee(y)).withColumn("_en", (1 - F.col("p")) - n - fee(n))
+    better, by_edge = F.coalesce("_ey", F.lit(-9.0)) >= F.coalesce("_en", F.lit(-9.0)), longshot.isNull()
+    yes, no = F.coalesce(y >= 1 - longshot, F.lit(False)), F.coalesce(n >= 1 - longshot, F.lit(False))
+    df = df.withColumn("side_yes", F.when(by_edge, better).otherwise(yes)).withColumn("edge", F.when(by_edge, F.when(better, F.col("_ey")).otherwise(F.col("_en"))).otherwise(1.0))
+    df = df.where(F.when(by_edge, F.col("edge") >= F.col("_c.theta")).otherwise(yes | no)).withColumn("price", F.when(F.col("side_yes"), y).otherwise(n))
+    if any(c.top_k for c in configs):
+        w = Window.partitionBy("variant", "dt_name", "D").orderBy(F.col("edge").desc(), "ticker")
+        df = df.withColumn("_rank", F.row_number().over(w)).where((F.col("_c.top_k") == 0) | (F.col("_rank") <= F.col("_c.top_k"))).drop("_rank")
+    size = F.greatest(F.floor(F.col("_c.frac") * bankroll / F.col("price")), F.lit(1))
     size = F.least(size, F.greatest(F.lit(1), F.floor(F.lit(vol_frac) * F.coalesce("volume", F.lit(0.0)))))
     df = df.withColumn("n", size.cast("long")).withColumn("win", F.when(F.col("side_yes"), F.col("y") == 1).otherwise(F.col("y") == 0))
-    df = df.withColumn("fee", ceil_cent(0.07 * F.col("n") * F.col("price") * (1.0 - F.col("price"))) * fee_mult)
-    return df.withColumn("pnl", F.col("n") * (F.when(F.col("win"), 1.0).otherwise(0.0) - F.col("price")) - F.col("fee")).drop("_y", "_n", "_ey", "_en")
+    df = df.withColumn("fee", ceil_cent(0.07 * F.col("n") * F.col("price") * (1.0 - F.col("price"))) * cost)
+    return df.withColumn("pnl", F.col("n") * (F.when(F.col("win"), 1.0).otherwise(0.0) - F.col("price")) - F.col("fee")).drop("_y", "_n", "_ey", "_en", "_c")
+
+
+def simulate_trades(rows: DataFrame, theta: float, slip: float = 0.01, fee_mult: float = 1.0, bankroll: float = 5000.0, frac: float = 0.01, top_k: int = 8, vol_frac: float = 0.10, longshot: float | None = None) -> DataFrame:
+    """Trades of one configuration at all decision times; fee_mult scales fees alone."""
+    one = Config("one", None, theta, longshot, frac, 0 if longshot is not None else top_k, fee_mult, slip / fee_mult)
+    return simulate_configs(rows, [one], bankroll, vol_frac).drop("variant")
 
 
 def daily_returns(trades: DataFrame, keys: list[str], days: DataFrame, bankroll: float = 5000.0) -> DataFrame:

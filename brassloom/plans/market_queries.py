@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brassloom.functions import instruments as I
 from brassloom.functions.normal import cdf_sql
 from brassloom.operators import metrics, prediction
+from brassloom.plans.panel import Splits
 from brassloom.plans.registry import query
 from brassloom.sources.tables import table
 
@@ -127,12 +128,11 @@ def c_rounding(spark, d):
     return y.groupBy("o_orderkey").agg(F.max(F.abs(F.col("sh") * F.col("px") / 5000.0 - F.col("w"))).alias("worst"), (F.lit(5000.0) - F.sum(F.col("sh") * F.col("px"))).alias("cash_left"))
 
 
-_TRIPS = "tp AS (SELECT user_id, ts AS entry, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS exit FROM events WHERE event_type IN ('view', 'purchase')), dt AS (SELECT user_id, entry::DATE AS day, count(*) AS n FROM tp WHERE entry::DATE = exit::DATE GROUP BY 1, 2)"
+_TRIPS = "tp AS (SELECT user_id, ts AS entry, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS exit FROM events), dt AS (SELECT user_id, entry::DATE AS day, count(*) AS n FROM tp WHERE entry::DATE = exit::DATE GROUP BY 1, 2)"
 
 
 def _day_trades(spark, d) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_type").isin("view", "purchase"))
-    trips = e.select("user_id", F.col("ts").alias("entry"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("exit"))
+    trips = table(spark, d, "events").select("user_id", F.col("ts").alias("entry"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("exit"))
     return trips.where(F.to_date("entry") == F.to_date("exit")).groupBy("user_id", F.to_date("entry").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -158,9 +158,9 @@ def c_account_fit(spark, d):
 
 # --- prediction pipeline: users' days are markets, their clicks candles, their views forecasts -------------------------------
 
-_K = f"""mk AS (SELECT 'U' || (user_id % 40)::VARCHAR AS ticker, user_id % 5 AS series, ts::DATE AS D, avg(value) AS actual, CASE WHEN avg(value) > 6e1 THEN 1 ELSE 0 END AS y, CASE user_id % 3 WHEN 0 THEN 'greater' WHEN 1 THEN 'less' ELSE 'between' END AS strike_type, 6e1 AS floor_strike, 9e1 AS cap_strike FROM events WHERE user_id < 40 GROUP BY user_id, ts::DATE),
+_K = f"""mk AS (SELECT 'U' || user_id::VARCHAR AS ticker, user_id % 5 AS series, ts::DATE AS D, avg(value) AS actual, CASE WHEN avg(value) > 6e1 THEN 1 ELSE 0 END AS y, CASE user_id % 3 WHEN 0 THEN 'greater' WHEN 1 THEN 'less' ELSE 'between' END AS strike_type, 6e1 AS floor_strike, 9e1 AS cap_strike FROM events GROUP BY user_id, ts::DATE),
  fc AS (SELECT date_trunc('hour', ts) AS runtime, (ts::DATE + 1 + (event_id % 2)::INT)::TIMESTAMP AS ftime, avg(value) AS txn, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE stddev_pop(value) END AS xnd FROM events WHERE event_type = 'view' GROUP BY 1, 2),
- cd AS (SELECT 'U' || (user_id % 40)::VARCHAR AS ticker, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ts, least(max(value) / 5e2, 9.7e-1) AS bid_close, least(max(value) / 5e2 + 2e-2, 9.9e-1) AS ask_close, count(*)::DOUBLE * 2e1 AS volume FROM events GROUP BY 1, 2),
+ cd AS (SELECT 'U' || user_id::VARCHAR AS ticker, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_ts, least(max(value) / 5e2, 9.7e-1) AS bid_close, least(max(value) / 5e2 + 2e-2, 9.9e-1) AS ask_close, count(*)::DOUBLE * 2e1 AS volume FROM events GROUP BY 1, 2),
  cq AS (SELECT *, sum(volume) OVER (PARTITION BY ticker ORDER BY end_ts ROWS UNBOUNDED PRECEDING) AS cum FROM cd),
  dtm AS (SELECT mk.*, x.nm AS dt_name, (D + x.o)::TIMESTAMP + to_hours(x.h) AS dt, (D + x.o)::TIMESTAMP + to_hours(x.h - 3) AS avail, (D + 1)::TIMESTAMP AS ftime FROM mk CROSS JOIN (VALUES ('DT1', -1, 20), ('DT2', 0, 10)) x(nm, o, h)),
  j1 AS (SELECT d.*, CASE WHEN epoch(d.avail) - epoch(f.runtime) <= 43200 THEN f.txn END AS txn, CASE WHEN epoch(d.avail) - epoch(f.runtime) <= 43200 THEN f.xnd END AS xnd FROM dtm d ASOF LEFT JOIN fc f ON f.ftime = d.ftime AND d.avail >= f.runtime),
@@ -170,8 +170,8 @@ _K = f"""mk AS (SELECT 'U' || (user_id % 40)::VARCHAR AS ticker, user_id % 5 AS
 
 def _markets(spark, d) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ticker = F.concat(F.lit("U"), (F.col("user_id") % 40).cast("string")).alias("ticker")
-    mk = e.where("user_id < 40").groupBy("user_id", F.to_date("ts").alias("D")).agg(F.avg("value").alias("actual"))
+    ticker = F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker")
+    mk = e.groupBy("user_id", F.to_date("ts").alias("D")).agg(F.avg("value").alias("actual"))
     kind = F.when(F.col("user_id") % 3 == 0, "greater").when(F.col("user_id") % 3 == 1, "less").otherwise("between")
     mk = mk.select(ticker, (F.col("user_id") % 5).alias("series"), "D", "actual", F.when(F.col("actual") > 60, 1).otherwise(0).alias("y"), kind.alias("strike_type"), F.lit(60.0).alias("floor_strike"), F.lit(90.0).alias("cap_strike"))
     ahead = F.date_add(F.to_date("ts"), 1 + (F.col("event_id") % 2).cast("int")).cast("timestamp")
@@ -233,7 +233,7 @@ def k_favourites(spark, d):
 def _days(spark, d) -> DataFrame:
     """Every day that markets cover, per decision time."""
     day = F.to_date("ts")
-    ends = table(spark, d, "events").where("user_id < 40").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    ends = table(spark, d, "events").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     return ends.select(F.explode(F.sequence("lo", "hi")).alias("date")).withColumn("dt_name", F.explode(F.array(F.lit("DT1"), F.lit("DT2"))))
 
 
@@ -271,9 +271,10 @@ def k_fit_sigma(spark, d):
     return spark.createDataFrame([(n, f["n"], f["a"], f["c"]) for n, f in found], "dt_name string, n long, a double, c double")
 
 
-@query("k_event_date", "o_orderkey date", "", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders WHERE year(o_orderdate) >= 2000")
+@query("k_event_date", "o_orderkey date", "", "SELECT o_orderkey, make_date(2000 + (year(o_orderdate) % 100)::INT, month(o_orderdate)::INT, day(o_orderdate)::INT) AS date FROM orders")
 def k_event_date(spark, d):
-    o = table(spark, d, "orders").where(F.year("o_orderdate") >= 2000)
+    """Tickers have two digits for the year, which count from 2000."""
+    o = table(spark, d, "orders")
     t = F.concat(F.lit("KX-"), F.upper(F.date_format("o_orderdate", "yyMMMdd")))
     return o.select("o_orderkey", prediction.event_date(t).alias("date"))
 
@@ -286,28 +287,57 @@ def k_summary(spark, d):
     return metrics.summarize(r.withColumn("rf", F.lit(0.0)), ["dt_name"], 365)
 
 
-# --- the grid of configurations: thresholds at plain and doubled fees; no favourites, no splits --------------------------------------
-
-THETAS, COSTS = (0.03, 0.05, 0.08), (1.0, 2.0)
-
-
-def _config_sql(theta: float, cost: float) -> str:
-    """The trades of one configuration, over the common table of probabilities."""
-    k = f"{cost:.17e}"
-    tail = _TRADES[len(_PROB):].replace("edge >= 5e-2", f"edge >= {theta:.17e}").replace("- 7e-2 * py", f"- 7e-2 * {k} * py").replace("- 7e-2 * pn", f"- 7e-2 * {k} * pn").replace("1e2, 9)) / 1e2 AS fee", f"1e2, 9)) / 1e2 * {k} AS fee")
-    return f"SELECT {theta:.17e} AS theta, {k} AS cost, * FROM (WITH {tail.lstrip(', ')} SELECT dt_name, count(*) AS n_trades, sum(pnl) AS pnl, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate FROM ktr GROUP BY 1)"
-
-
-@query("k_grid", "dt_name n_trades", "theta cost pnl win_rate", f"WITH {_PROB} " + " UNION ALL ".join(_config_sql(t, c) for t in THETAS for c in COSTS))
+# --- the grid of configurations: thresholds and favourites, at plain and doubled costs, on each split ---------------------------------
+
+PREDICTION = Splits("2024-01-15", "2024-01-25")
+CONFIGS = [
+    prediction.Config(f"{dt}_{name}_x{cost:.0f}", dt, theta, longshot, frac, top_k, cost)
+    for dt in prediction.DECISIONS
+    for name, theta, longshot, frac, top_k in [("theta3", 0.03, None, 0.01, 8), ("theta5", 0.05, None, 0.01, 8), ("theta8", 0.08, None, 0.01, 8), ("fav5", 0.0, 0.05, 0.0025, 0), ("fav10", 0.0, 0.10, 0.0025, 0)]
+    for cost in (1.0, 2.0)
+]
+_CFG = "cfg(variant, of, theta, longshot, frac, topk, cost) AS (VALUES " + ", ".join(f"('{c.variant}', '{c.dt_name}', {c.theta:.17e}, {'NULL' if c.longshot is None else f'{c.longshot:.17e}'}, {c.frac:.17e}, {c.top_k}, {c.cost:.17e})" for c in CONFIGS) + ")"
+_BOUNDS = f"bd(split, a, b) AS (VALUES ('DEVELOPMENT', DATE '1900-01-01', DATE '{PREDICTION.dev_end}'), ('VALIDATION', DATE '{PREDICTION.dev_end}' + 1, DATE '{PREDICTION.val_end}'), ('DEV+VAL', DATE '1900-01-01', DATE '{PREDICTION.val_end}'))"
+_GRID = f"""{_PROB}, {_CFG}, {_BOUNDS},
+ q1 AS (SELECT *, CASE WHEN ask_close IS NOT NULL AND bid_close IS NOT NULL AND coalesce(volume, 0) > 0 AND ask_close < 9.9e-1 AND ask_close > 0 THEN least(ask_close + 1e-2 * cost, 9.9e-1) END AS py, CASE WHEN ask_close IS NOT NULL AND bid_close IS NOT NULL AND coalesce(volume, 0) > 0 AND bid_close > 1e-2 AND bid_close < 1 THEN least(1e0 - bid_close + 1e-2 * cost, 9.9e-1) END AS pn FROM kp JOIN cfg ON cfg.of = kp.dt_name WHERE p IS NOT NULL AND D <= DATE '{PREDICTION.val_end}'),
+ q2 AS (SELECT *, p - py - 7e-2 * cost * py * (1 - py) AS ey, (1 - p) - pn - 7e-2 * cost * pn * (1 - pn) AS en FROM q1),
+ q3 AS (SELECT *, CASE WHEN longshot IS NULL THEN coalesce(ey, -9e0) >= coalesce(en, -9e0) ELSE coalesce(py >= 1e0 - longshot, false) END AS side_yes FROM q2),
+ q4 AS (SELECT *, CASE WHEN longshot IS NULL THEN CASE WHEN side_yes THEN ey ELSE en END ELSE 1e0 END AS edge, CASE WHEN side_yes THEN py ELSE pn END AS price FROM q3),
+ q5 AS (SELECT *, row_number() OVER (PARTITION BY variant, D ORDER BY edge DESC, ticker) AS rk FROM q4 WHERE CASE WHEN longshot IS NULL THEN edge >= theta ELSE side_yes OR coalesce(pn >= 1e0 - longshot, false) END),
+ q6 AS (SELECT *, least(greatest(floor(frac * 5e3 / price), 1), greatest(1, floor(1e-1 * coalesce(volume, 0))))::BIGINT AS n, CASE WHEN side_yes THEN y = 1 ELSE y = 0 END AS win FROM q5 WHERE topk = 0 OR rk <= topk),
+ q7 AS (SELECT *, n * (CASE WHEN win THEN 1e0 ELSE 0e0 END - price) - ceil(round(7e-2 * n * price * (1e0 - price) * 1e2, 9)) / 1e2 * cost AS pnl FROM q6),
+ qs AS (SELECT variant, split, count(*) AS n_trades, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate, avg(pnl) AS avg_pnl FROM q7 JOIN bd ON D BETWEEN a AND b GROUP BY 1, 2),
+ sp AS (SELECT min(D) AS lo FROM kp WHERE p IS NOT NULL), days AS (SELECT unnest(generate_series(lo::TIMESTAMP, TIMESTAMP '{PREDICTION.val_end}', INTERVAL 1 DAY))::DATE AS date FROM sp),
+ qd AS (SELECT variant, D, sum(pnl) / 5e3 AS r FROM q7 GROUP BY 1, 2), dl AS (SELECT cfg.variant, days.date, coalesce(r, 0e0) AS r FROM cfg CROSS JOIN days LEFT JOIN qd ON qd.variant = cfg.variant AND qd.D = days.date),
+ qe AS (SELECT variant, split, date, r, product(1e0 + r) OVER (PARTITION BY variant, split ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM dl JOIN bd ON date BETWEEN a AND b),
+ qm AS (SELECT variant, split, count(*) AS n_periods, CASE WHEN product(1e0 + r) > 0 THEN pow(product(1e0 + r), 3.65e2 / count(r)) - 1e0 ELSE -1e0 END AS cagr, avg(r) / nullif(stddev_samp(r), 0) * sqrt(3.65e2) AS sharpe, min(dd) AS max_dd FROM (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY variant, split ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1e0 AS dd FROM qe) GROUP BY 1, 2)"""
+
+
+def _settled(spark, d) -> DataFrame:
+    """Markets up to the end of validation whose probability is known."""
+    return _with_p(spark, d).where(F.col("p").isNotNull() & (F.col("D") <= F.lit(PREDICTION.val_end).cast("date")))
+
+
+@query("k_grid", "variant split n_trades n_periods", "win_rate avg_pnl cagr sharpe max_dd", f"WITH {_GRID} SELECT * FROM qs JOIN qm USING (variant, split)")
 def k_grid(spark, d):
-    """All configurations: the rows with probabilities are kept, so that six simulations don't repeat their joins."""
-    from pyspark.storagelevel import StorageLevel
-
-    rows = _with_p(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    for theta in THETAS:
-        for cost in COSTS:
-            t = prediction.simulate_trades(rows, theta, fee_mult=cost).groupBy("dt_name").agg(F.count("*").alias("n_trades"), F.sum("pnl").alias("pnl"), F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_rate"))
-            t = t.withColumn("theta", F.lit(theta)).withColumn("cost", F.lit(cost))
-            out = t if out is None else out.unionByName(t)
-    return out
+    """All configurations in one plan: a market is exploded into those that trade it, each day's trades into the splits that hold it."""
+    trades = prediction.simulate_configs(_settled(spark, d), CONFIGS)
+    counts = PREDICTION.explode(trades.withColumn("date", F.col("D"))).groupBy("variant", "split").agg(F.count("*").alias("n_trades"), F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl").alias("avg_pnl"))
+    first = _settled(spark, d).agg(F.min("D").alias("lo"))
+    days = first.select(F.explode(F.sequence("lo", F.lit(PREDICTION.val_end).cast("date"))).alias("date")).withColumn("variant", F.explode(F.array(*[F.lit(c.variant) for c in CONFIGS])))
+    daily = prediction.daily_returns(trades, ["variant"], days).withColumn("rf", F.lit(0.0))
+    return metrics.summarize(PREDICTION.explode(daily), ["variant", "split"], 365).join(counts, ["variant", "split"])
+
+
+@query("k_coverage", "series dt_name n n_forecast n_quote", "forecast_share quote_share", f"WITH {_K} SELECT series, dt_name, count(*) AS n, count(txn) AS n_forecast, count(ask_close) AS n_quote, count(txn) / count(*)::DOUBLE AS forecast_share, count(ask_close) / count(*)::DOUBLE AS quote_share FROM j3 GROUP BY 1, 2")
+def k_coverage(spark, d):
+    """How many markets have a forecast and a standing quote when they are decided on."""
+    return prediction.coverage(_markets(spark, d), ["series", "dt_name"])
+
+
+@query("k_calendar_returns", "date", "r rf", "WITH bar AS (SELECT ts::DATE AS date, arg_max(value, event_id) AS close FROM events WHERE isodow(ts) <= 5 GROUP BY 1), px AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1e0 AS r, close / 1e3 AS annual FROM bar), cal AS (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM bar) SELECT c.date, coalesce(p.r, 0e0) AS r, q.annual / 3.65e2 AS rf FROM cal c LEFT JOIN px p ON p.date = c.date ASOF LEFT JOIN px q ON c.date >= q.date")
+def k_calendar_returns(spark, d):
+    """Returns of a series that has weekdays only on every calendar day, and a yearly rate spread over 365 days."""
+    e = table(spark, d, "events").where(F.weekday("ts") < 5)
+    bars = e.groupBy(F.to_date("ts").alias("date")).agg(F.max_by("value", "event_id").alias("close")).withColumn("asset", F.lit("all"))
+    return prediction.calendar_returns(bars.withColumn("annual", F.col("close") / 1000.0), ["asset"])
