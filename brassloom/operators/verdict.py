@@ -1,36 +1,76 @@
-"""The verdict on strategies: every check of CHECKS must hold, on development and validation alone.
-
-Of the reference's checks (research/phase3.py) these are absent: Sharpe above the benchmark's, DSR of 0.95, 100 trades
-out of sample, worst event's loss, Monte Carlo's 5 % quantile above 1, related assets, profit in each split and DSR at
-doubled costs. Profit is told by Sharpe, not CAGR. So a variant that passes here may fail there.
-"""
+"""The verdict on strategies: every check must hold. Checks whose input isn't given are left out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHECKS = ("dev_positive", "val_positive", "holds_at_double_cost", "neighbours_positive", "drawdown_ok")
+from brassloom.operators import stats
+
+# The limits of the checks, and the periods that a ratio needs more than.
+MAX_LOSS, MIN_DSR, MIN_TRADES, MIN_PERIODS = 0.25, 0.95, 100, 10
+
+
+def _on(split: str, c: str) -> Column:
+    """The value on a split, for series of more than MIN_PERIODS periods."""
+    return F.max(F.when((F.col("split") == split) & (F.col("n_periods") > MIN_PERIODS), F.col(c)))
+
+
+def _earns(splits: tuple[str, ...] = ("DEVELOPMENT", "VALIDATION")) -> Column:
+    return reduce(Column.__and__, [F.coalesce(_on(s, "cagr") > 0, F.lit(False)) for s in splits])
+
+
+def _dsr(summary: DataFrame, trials: DataFrame, to: str) -> DataFrame:
+    """variant and its deflated ratio on DEV+VAL; trials (one row): n_trials and the robust variance of their ratios."""
+    own = summary.where("split = 'DEV+VAL'").crossJoin(F.broadcast(trials))
+    own = own.withColumn("variance", F.greatest(F.coalesce("robust", F.lit(0.0)), F.lit(1.0) / F.greatest("n_periods", F.lit(2))))
+    return stats.deflated(own).select("variant", F.col("dsr").alias(to))
 
 
-def verdicts(plain: DataFrame, doubled: DataFrame, neighbours: DataFrame, max_drawdown: float = 0.25) -> DataFrame:
+def evaluate(
+    plain: DataFrame, bench: DataFrame, trials: DataFrame, trades: DataFrame, events: DataFrame, doubled: DataFrame | None = None, nudged: DataFrame | None = None, related: DataFrame | None = None, paths: DataFrame | None = None, holdout: DataFrame | None = None
+) -> DataFrame:
     """variant, each check and ``passes``.
 
-    plain, doubled: summaries (variant, split, sharpe, cagr, max_dd) at plain and at doubled costs. neighbours:
-    (variant, neighbour), the variants whose parameters are nudged; a variant without any passes that check.
+    plain, doubled: summaries (variant, split, n_periods, cagr, sharpe, max_dd, sr_period, skew, kurt) at plain and at
+    doubled costs. bench: summaries of the benchmark (split, sharpe). trials: one row (n_trials, robust). trades: (variant,
+    n) after development. events: (variant, worst), the worst of stress windows and runs of periods. nudged: (variant,
+    neighbour), variants with nudged parameters. related: (variant, cagr) on related assets over DEV+VAL. paths: (variant,
+    final_p05) of resampled blocks. holdout: (variant, cagr).
     """
-    on = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
-    own = plain.groupBy("variant").agg(
-        (on("DEVELOPMENT", "sharpe") > 0).alias("dev_positive"), (on("VALIDATION", "sharpe") > 0).alias("val_positive"), (on("DEV+VAL", "max_dd") > -max_drawdown).alias("drawdown_ok"), on("DEV+VAL", "sharpe").alias("_sharpe")
-    )
-    hard = doubled.groupBy("variant").agg((on("DEV+VAL", "cagr") > 0).alias("holds_at_double_cost"))
-    near = neighbours.join(own.select(F.col("variant").alias("neighbour"), F.col("_sharpe").alias("_s")), "neighbour").groupBy("variant").agg(F.min(F.col("_s") > 0).alias("neighbours_positive"))
-    out = own.join(hard, "variant").join(near, "variant", "left")
-    out = out.select("variant", *[F.coalesce(c, F.lit(c == "neighbours_positive")).alias(c) for c in CHECKS])
-    passes = F.col(CHECKS[0])
-    for c in CHECKS[1:]:
-        passes = passes & F.col(c)
-    return out.withColumn("passes", passes)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    own = plain.groupBy("variant").agg(_earns().alias("earns"), _on("DEV+VAL", "sharpe").alias("_sharpe"), yes(F.max(F.when(F.col("split") == "DEV+VAL", F.col("max_dd"))) >= -MAX_LOSS).alias("drawdown_ok"))
+    market = bench.where("split = 'DEV+VAL'").select(F.col("sharpe").alias("_bench"))  # one row
+    out = own.crossJoin(F.broadcast(market)).withColumn("beats_benchmark", yes(F.col("_sharpe") > F.col("_bench"))).drop("_sharpe", "_bench")
+    more = [
+        _dsr(plain, trials, "_dsr").select("variant", yes(F.col("_dsr") >= MIN_DSR).alias("deflated_ok")),
+        trades.select("variant", (F.col("n") >= MIN_TRADES).alias("enough_trades")),
+        events.select("variant", (F.col("worst") >= -MAX_LOSS).alias("worst_event_ok")),
+    ]
+    checks = ["earns", "beats_benchmark", "deflated_ok", "enough_trades", "drawdown_ok", "worst_event_ok"]
+    if nudged is not None:
+        near = nudged.join(own.select(F.col("variant").alias("neighbour"), F.col("earns").alias("_e")), "neighbour")
+        more.append(near.groupBy("variant").agg(F.min("_e").alias("neighbours_earn")))
+        checks.append("neighbours_earn")
+    if related is not None:
+        more.append(related.groupBy("variant").agg(F.min(yes(F.col("cagr") > 0)).alias("related_earn")))
+        checks.append("related_earn")
+    if paths is not None:
+        more.append(paths.select("variant", yes(F.col("final_p05") > 1).alias("resampled_ok")))
+        checks.append("resampled_ok")
+    if doubled is not None:
+        hard = doubled.groupBy("variant").agg(_earns().alias("_e")).join(_dsr(doubled, trials, "_dsr"), "variant")
+        more.append(hard.select("variant", (F.col("_e") & yes(F.col("_dsr") >= MIN_DSR)).alias("holds_at_double_cost")))
+        checks.append("holds_at_double_cost")
+    if holdout is not None:
+        more.append(holdout.select("variant", yes(F.col("cagr") > 0).alias("holdout_earns")))
+        checks.append("holdout_earns")
+    out = reduce(lambda a, b: a.join(b, "variant", "left"), more, out)
+    # A variant without neighbours or related assets passes those checks, one without any other value fails.
+    out = out.select("variant", *[F.coalesce(c, F.lit(c in ("neighbours_earn", "related_earn"))).alias(c) for c in checks])
+    return out.withColumn("passes", reduce(Column.__and__, [F.col(c) for c in checks]))
 
 
 def report_lines(summary: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -112,17 +112,17 @@ def d_spot_check(spark, d):
 
 # --- ledgers: each customer segment and priority is a trial, logged once per split ------------------------------------------
 
-_LOG = "lg AS (SELECT substr(sha1(c_mktsegment || '|' || o_orderpriority), 1, 10) AS trial_id, o_orderdate::DATE::VARCHAR AS logged_at, o_orderstatus AS split, CASE WHEN o_orderkey % 4 = 0 THEN 2e0 ELSE 1e0 END AS cost_mult, CASE WHEN o_totalprice < 2e4 THEN 'needs_data' ELSE 'tested' END AS status, o_totalprice / 1e6 AS sr_period, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY logged_at, o_orderkey) AS n FROM lg) WHERE n = 1)"
+_LOG = "lg AS (SELECT substr(sha1(c_mktsegment || '|' || o_orderpriority), 1, 10) AS trial_id, o_orderdate::DATE::VARCHAR AS timestamp_utc, CASE o_orderstatus WHEN 'F' THEN 'DEVELOPMENT' WHEN 'P' THEN 'VALIDATION' ELSE 'DEV+VAL' END AS split, CASE WHEN o_orderkey % 4 = 0 THEN 2e0 ELSE 1e0 END AS cost_mult, CASE WHEN o_totalprice < 2e4 THEN 'needs_data' ELSE 'tested' END AS status, o_totalprice / 1e6 AS sr_period, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY timestamp_utc, o_orderkey) AS n FROM lg) WHERE n = 1)"
 
 
 def _log(spark, d) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select(
-        F.substring(F.sha1(F.concat_ws("|", "c_mktsegment", "o_orderpriority").cast("binary")), 1, 10).alias("trial_id"), F.to_date("o_orderdate").cast("string").alias("logged_at"), F.col("o_orderstatus").alias("split"),
+        F.substring(F.sha1(F.concat_ws("|", "c_mktsegment", "o_orderpriority").cast("binary")), 1, 10).alias("trial_id"), F.to_date("o_orderdate").cast("string").alias("timestamp_utc"), F.when(F.col("o_orderstatus") == "F", "DEVELOPMENT").when(F.col("o_orderstatus") == "P", "VALIDATION").otherwise("DEV+VAL").alias("split"),
         F.when(F.col("o_orderkey") % 4 == 0, 2.0).otherwise(1.0).alias("cost_mult"), F.when(F.col("o_totalprice") < 20_000, "needs_data").otherwise("tested").alias("status"), (F.col("o_totalprice") / 1e6).alias("sr_period"), "o_orderkey",
     )
     # A trial that is in the ledger is not logged again: the first row of each key, as a minimum of structs.
-    s = F.min(F.struct("logged_at", "o_orderkey", "status", "sr_period")).alias("s")
+    s = F.min(F.struct("timestamp_utc", "o_orderkey", "status", "sr_period")).alias("s")
     return rows.groupBy("trial_id", "split", "cost_mult").agg(s).select("trial_id", "split", "cost_mult", "s.*")
 
 
@@ -131,17 +131,17 @@ def l_logged_once(spark, d):
     return _log(spark, d)
 
 
-@query("l_n_trials", "n", "", f"WITH {_LOG} SELECT count(DISTINCT trial_id) AS n FROM ded WHERE status <> 'needs_data'")
+@query("l_n_trials", "n", "", f"WITH {_LOG} SELECT count(DISTINCT trial_id) AS n FROM ded WHERE status = 'tested'")
 def l_n_trials(spark, d):
     return ledger.n_trials(_log(spark, d))
 
 
-_FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY logged_at, split) AS m FROM ded WHERE status <> 'needs_data' {0}) WHERE m = 1"
+_FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY timestamp_utc, cost_mult) AS m FROM ded WHERE status = 'tested' AND split = 'DEV+VAL' {0}) WHERE m = 1"
 
 
-@query("l_sr_variance", "", "variance", f"WITH {_LOG}, f AS ({_FIRST.format('AND cost_mult = 1')}) SELECT var_samp(sr_period) AS variance FROM f")
+@query("l_sr_variance", "", "variance", f"WITH {_LOG}, f AS ({_FIRST.format('')}) SELECT CASE WHEN count(sr_period) >= 3 THEN var_samp(sr_period) END AS variance FROM f")
 def l_sr_variance(spark, d):
-    return ledger.sr_variance(_log(spark, d).where("cost_mult = 1"))
+    return ledger.sr_variance(_log(spark, d))
 
 
 @query("l_trial_srs", "trial_id", "sr_period", f"WITH {_LOG}, f AS ({_FIRST.format('AND cost_mult = 1')}) SELECT * FROM f")
@@ -156,13 +156,13 @@ def s_bars(spark, d):
 
 
 
-@query("s_markets", "ticker result closed", "strike", "SELECT 'M' || event_id AS ticker, CASE WHEN value > 60 THEN 'yes' ELSE 'no' END AS result, ts::TIMESTAMP AS closed, CASE WHEN event_id % 5 <> 0 THEN value END AS strike FROM events WHERE event_type IN ('view', 'click')")
+@query("s_markets", "ticker result closed", "strike", "SELECT 'M' || event_id AS ticker, CASE WHEN value > 60 THEN 'yes' ELSE 'no' END AS result, ts::TIMESTAMP AS closed, CASE WHEN event_id % 5 <> 0 THEN value END AS strike FROM events")
 def s_markets(spark, d):
     """Listings of two sources that overlap: united, one row per ticker, numbers and times parsed leniently."""
     e = table(spark, d, "events")
     strike = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
     listed = e.select("event_type", F.concat(F.lit("M"), F.col("event_id").cast("string")).alias("ticker"), F.when(F.col("value") > 60, "yes").otherwise("no").alias("result"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("closed"), strike.alias("strike"))
-    archive, live = listed.where("event_type IN ('view', 'click')"), listed.where("event_type = 'view'")
+    archive, live = listed, listed.where("event_type = 'view'")
     return parsers.parse_markets(archive.unionByName(live), "ticker", ["result"], ["strike"], ["closed"])
 
 

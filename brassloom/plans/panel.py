@@ -57,6 +57,7 @@ class Splits:
 
     dev_end: str = "1998-12-31"
     val_end: str = "2000-06-30"
+    name: str = "orders"
 
     def label(self, date: Column | str = "date") -> Column:
         d = F.col(date) if isinstance(date, str) else date

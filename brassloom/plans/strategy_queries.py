@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, signals, stats
-from brassloom.operators.verdict import report_lines, verdicts
+from brassloom.operators.verdict import evaluate, report_lines
 from brassloom.plans.panel import Splits
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
 from brassloom.sources.tables import order_panel, table
@@ -424,9 +424,12 @@ def flagship_grid(spark, d):
     return _grid_summary(spark, d, 1.0)
 
 
+def _grid_net(spark, d, cost: float) -> DataFrame:
+    return B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost))).select("variant", "date", F.col("net").alias("r"), "rf")
+
+
 def _grid_summary(spark, d, cost: float) -> DataFrame:
-    net = B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost))).select("variant", "date", F.col("net").alias("r"), "rf")
-    return metrics.summarize(SPLITS.explode(net), ["split", "variant"], PPY)
+    return metrics.summarize(SPLITS.explode(_grid_net(spark, d, cost)), ["split", "variant"], PPY)
 
 
 @query("flagship_double_cost", "split variant n_periods", "cagr sharpe max_dd sr_period", _grid_sql(2.0))
@@ -436,19 +439,67 @@ def flagship_double_cost(spark, d):
 
 
 _NEAR = ", ".join(f"('sma{a:02d}', 'sma{b:02d}')" for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2]))
-_VERDICT = f"""WITH p AS ({_grid_sql()}), h AS ({_grid_sql(2.0)}), nb(variant, neighbour) AS (VALUES {_NEAR}),
- own AS (SELECT variant, coalesce(max(sharpe) FILTER (WHERE split = 'DEVELOPMENT') > 0, false) AS dev_positive, coalesce(max(sharpe) FILTER (WHERE split = 'VALIDATION') > 0, false) AS val_positive, coalesce(max(max_dd) FILTER (WHERE split = 'DEV+VAL') > -2.5e-1, false) AS drawdown_ok, max(sharpe) FILTER (WHERE split = 'DEV+VAL') AS s FROM p GROUP BY 1),
- hard AS (SELECT variant, coalesce(max(cagr) FILTER (WHERE split = 'DEV+VAL') > 0, false) AS holds_at_double_cost FROM h GROUP BY 1),
- near AS (SELECT nb.variant, coalesce(bool_and(own.s > 0), true) AS neighbours_positive FROM nb JOIN own ON own.variant = nb.neighbour GROUP BY 1)
- SELECT *, dev_positive AND val_positive AND holds_at_double_cost AND neighbours_positive AND drawdown_ok AS passes FROM own JOIN hard USING (variant) JOIN near USING (variant)"""
+_WHOLE = "SELECT split, asset AS variant, n_periods, cagr, sharpe, max_dd, sr_period, skew, kurt FROM summ"
+_VSTRESS = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _STRESS)
 
 
-@query("verdicts", "variant dev_positive val_positive holds_at_double_cost neighbours_positive drawdown_ok passes", "", _VERDICT)
-def verdict_table(spark, d):
-    """Whether each variant of the grid passes all checks; its neighbours are the next shorter and longer averages."""
+def _deflated_sql(of: str) -> str:
+    sr0 = f"sqrt(variance) * (4.22784335098467134e-01 * {quantile_sql('(1e0 - 1e0 / n_trials)')} + 5.77215664901532866e-01 * {quantile_sql(f'(1e0 - 1e0 / (n_trials * {_E}))')})"
+    inner = f"SELECT variant, sr_period, n_periods, skew, kurt, {sr0} AS sr0 FROM (SELECT s.*, t.n_trials, greatest(coalesce(t.robust, 0e0), 1e0 / greatest(n_periods, 2)) AS variance FROM {of} s, tri t WHERE split = 'DEV+VAL')"
+    return f"SELECT variant, coalesce({cdf_sql('z')} >= 9.5e-1, false) AS ok FROM (SELECT variant, (sr_period - sr0) * sqrt(n_periods - 1) / sqrt(1e0 - skew * sr_period + (kurt - 1e0) / 4e0 * sr_period * sr_period) AS z FROM ({inner}))"
+
+
+_VERDICT = f"""WITH p AS ({_grid_sql(1.0, _WHOLE)}), h AS ({_grid_sql(2.0, _WHOLE)}), nb(variant, neighbour) AS (VALUES {_NEAR}),
+ n AS ({_grid_sql(1.0, f"SELECT variant, date, net AS r FROM net WHERE date <= DATE '{SPLITS.val_end}'")}),
+ tc AS ({_grid_sql(1.0, f"SELECT variant, count(*) FILTER (WHERE sg <> 0 AND sg <> psg AND date > DATE '{SPLITS.dev_end}' AND date <= DATE '{SPLITS.val_end}') AS n FROM (SELECT *, coalesce(lag(sg) OVER (PARTITION BY variant, asset ORDER BY date), 0) AS psg FROM (SELECT *, CASE WHEN abs(pos) < 1e-9 THEN 0 ELSE sign(pos)::INT END AS sg FROM sim)) GROUP BY 1")}),
+ bn AS ({panel_sql(f"SELECT avg(b - 8e-4) / nullif(stddev_samp(b - 8e-4), 0) * sqrt(52e0) AS sharpe FROM (SELECT date, avg(r) AS b FROM (SELECT date, adj_close / lag(adj_close) OVER ({BY}) - 1e0 AS r FROM panel) GROUP BY 1) WHERE b IS NOT NULL AND date <= DATE '{SPLITS.val_end}'")}),
+ st(nm, a, b) AS (VALUES {_VSTRESS}),
+ sw AS (SELECT variant, min(x) AS x FROM (SELECT variant, nm, product(1e0 + r) - 1e0 AS x, count(*) AS k FROM (SELECT *, min(date) OVER (PARTITION BY variant) AS lo, max(date) OVER (PARTITION BY variant) AS hi FROM n) s JOIN st ON date BETWEEN a AND b AND lo <= a AND hi >= b GROUP BY 1, 2) WHERE k >= 2 GROUP BY 1),
+ rw AS (SELECT variant, exp(min(l)) - 1e0 AS x FROM (SELECT variant, CASE WHEN count(r) OVER w = 21 THEN sum(ln(1e0 + r)) OVER w END AS l FROM n WINDOW w AS (PARTITION BY variant ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) GROUP BY 1),
+ ev AS (SELECT rw.variant, least(coalesce(sw.x, 0e0), coalesce(rw.x, 0e0)) >= -2.5e-1 AS ok FROM rw LEFT JOIN sw USING (variant)),
+ sr AS (SELECT sr_period FROM p WHERE split = 'DEV+VAL' AND sr_period IS NOT NULL), tri AS (SELECT (SELECT count(*) FROM sr)::DOUBLE AS n_trials, CASE WHEN (SELECT count(*) FROM sr) > 2 THEN pow(1.4826e0 * (SELECT median(abs(sr_period - (SELECT median(sr_period) FROM sr))) FROM sr), 2e0) END AS robust),
+ d1 AS ({_deflated_sql('p')}), d2 AS ({_deflated_sql('h')}),
+ own AS (SELECT variant, coalesce(max(cagr) FILTER (WHERE split = 'DEVELOPMENT' AND n_periods > 10) > 0, false) AND coalesce(max(cagr) FILTER (WHERE split = 'VALIDATION' AND n_periods > 10) > 0, false) AS earns, coalesce(max(max_dd) FILTER (WHERE split = 'DEV+VAL') >= -2.5e-1, false) AS drawdown_ok, coalesce(max(sharpe) FILTER (WHERE split = 'DEV+VAL' AND n_periods > 10) > (SELECT sharpe FROM bn), false) AS beats_benchmark FROM p GROUP BY 1),
+ hard AS (SELECT variant, coalesce(max(cagr) FILTER (WHERE split = 'DEVELOPMENT' AND n_periods > 10) > 0, false) AND coalesce(max(cagr) FILTER (WHERE split = 'VALIDATION' AND n_periods > 10) > 0, false) AS e FROM h GROUP BY 1),
+ near AS (SELECT nb.variant, bool_and(own.earns) AS neighbours_earn FROM nb JOIN own ON own.variant = nb.neighbour GROUP BY 1),
+ al AS (SELECT own.*, d1.ok AS deflated_ok, tc.n >= 100 AS enough_trades, ev.ok AS worst_event_ok, coalesce(neighbours_earn, true) AS neighbours_earn, hard.e AND d2.ok AS holds_at_double_cost FROM own JOIN d1 USING (variant) JOIN tc USING (variant) JOIN ev USING (variant) JOIN hard USING (variant) JOIN d2 USING (variant) LEFT JOIN near USING (variant))
+ SELECT *, earns AND beats_benchmark AND deflated_ok AND enough_trades AND drawdown_ok AND worst_event_ok AND neighbours_earn AND holds_at_double_cost AS passes FROM al"""
+
+_CHECKS = "earns beats_benchmark deflated_ok enough_trades drawdown_ok worst_event_ok neighbours_earn holds_at_double_cost"
+
+
+def _evaluated(spark, d, **more) -> DataFrame:
+    """The grid's variants judged: their own ratios are the trials, the mean of all assets is the benchmark."""
+    from brassloom.operators.windows import pct_change
+
     pairs = [(f"sma{a:02d}", f"sma{b:02d}") for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2])]
-    near = spark.createDataFrame(pairs, "variant string, neighbour string")
-    return verdicts(_grid_summary(spark, d, 1.0), _grid_summary(spark, d, 2.0), near)
+    plain = _grid_summary(spark, d, 1.0)
+    ratios = plain.where("split = 'DEV+VAL'").withColumn("all", F.lit(1))
+    trials = stats.hurdle_variance(ratios, ["all"], "sr_period", F.lit(2)).select(F.col("n").cast("double").alias("n_trials"), "robust")
+    market = order_panel(spark, d).withColumn("r", pct_change("adj_close")).groupBy("date").agg(F.avg("r").alias("r")).withColumn("rf", F.lit(0.0008))
+    bench = metrics.summarize(SPLITS.explode(market), ["split"], PPY)
+    net = _grid_net(spark, d, 1.0).where(F.col("date") <= F.lit(SPLITS.val_end).cast("date"))
+    sim = B.episodes(B.simulate(_grid(spark, d), "next_close", _COST))
+    late = (F.col("entry") > F.lit(SPLITS.dev_end).cast("date")) & (F.col("entry") <= F.lit(SPLITS.val_end).cast("date"))
+    trades = sim.groupBy("variant").agg(F.count(F.when(late, 1)).alias("n"))
+    runs = metrics.worst_windows(net, ["variant"], (21,))
+    stress = metrics.in_windows(net, ["variant"], _STRESS).groupBy("variant").agg(F.min("ret").alias("_s"))
+    events = runs.join(stress, "variant", "left").select("variant", F.least(F.coalesce("_s", F.lit(0.0)), F.coalesce("worst_21", F.lit(0.0))).alias("worst"))
+    if "paths" in more:
+        more["paths"] = stats.block_bootstrap(net, ["variant"], block=3).select("variant", "final_p05")
+    return evaluate(plain, bench, trials, trades, events, _grid_summary(spark, d, 2.0), spark.createDataFrame(pairs, "variant string, neighbour string"), **more)
+
+
+@query("verdicts", f"variant {_CHECKS} passes", "", _VERDICT)
+def verdict_table(spark, d):
+    """Whether each variant of the grid passes all checks but the resampled one; its neighbours are the next shorter and longer averages."""
+    return _evaluated(spark, d)
+
+
+@query("verdicts_resampled", f"variant {_CHECKS} resampled_ok passes")
+def verdicts_resampled(spark, d):
+    """The same with the final equity of resampled blocks; pseudo-random, so no SQL."""
+    return _evaluated(spark, d, paths=True)
 
 
 @query("report_lines", "asset year line", "", panel_sql("SELECT asset, year, concat_ws(' ', rpad(asset, 16, ' '), rpad(year::VARCHAR, 16, ' '), lpad(printf('%.4f', round(ret * 1e4) / 1e4), 12, ' ')) AS line FROM (SELECT asset, year(date) AS year, product(1e0 + r) - 1e0 AS ret FROM ser GROUP BY 1, 2)", _RET))

@@ -171,15 +171,32 @@ def test_faulty_bars_are_reported(spark):
 
 def test_ledgers(spark, tmp_path):
     path = f"{tmp_path}/trials"
-    row = (ledger.trial_id("f", "v", {"b": 1, "a": 2}, "u"), "2020", "f", "v", "{}", "DEV", 1.0, "r", 10, 0.1, 0.0, 3.0, "tested")
-    new = spark.createDataFrame([row, ("needs", *row[1:-1], "needs_data")], ledger.TRIALS)
-    assert (ledger.log_trials(new, path), ledger.log_trials(new, path)) == (2, 0)
-    assert ledger.n_trials(ledger.load(spark, path, ledger.TRIALS)).first().n == 1
-    assert ledger.trial_id("f", "v", {"a": 2, "b": 1}, "u") == row[0]
+    tid = ledger.trial_id("f", "v", {"b": 1, "a": 2}, "u")
+
+    def row(tid, split="DEV+VAL", cost=1.0, sr=0.1, status="tested", at="2020"):
+        return (tid, at, "f", "v", "{}", "u", "s", "r", split, cost, 10, 5, 0.1, 1.0, sr, 0.0, 3.0, -0.1, 0.5, "data-mining", status, "")
+
+    new = spark.createDataFrame([row(tid), row(tid, at="2021", sr=9.0), row("needs", status="needs_data"), row(tid, "DEVELOPMENT", sr=7.0)], ledger.TRIALS)
+    assert (ledger.log_trials(new, path), ledger.log_trials(new, path)) == (3, 0)
+    held = lambda: ledger.load(spark, path, ledger.TRIALS)
+    assert ledger.n_trials(held()).first().n == 1 and ledger.sr_variance(held()).first().variance is None
+    assert [r.sr_period for r in ledger.trial_srs(held()).collect()] == [0.1]
+    more = [row("b", sr=0.2), row("b", cost=2.0, sr=5.0, at="2022"), row("c", cost=2.0, sr=0.3), row("d", "VALIDATION", sr=8.0)]
+    assert ledger.log_trials(spark.createDataFrame(more, ledger.TRIALS), path) == 4
+    # the selection split alone, each trial's first row, whatever its cost for the variance, at plain costs for the ratios
+    assert ledger.sr_variance(held()).first().variance == pytest.approx(0.01)
+    assert sorted(r.sr_period for r in ledger.trial_srs(held()).collect()) == [0.1, 0.2]
+    assert ledger.trial_id("f", "v", {"a": 2, "b": 1}, "u") == tid
     looks = f"{tmp_path}/looks"
-    ledger.open_holdout(spark, looks, "s", {}, "d", "why", "2020")
-    with pytest.raises(HoldoutViolation):
-        ledger.open_holdout(spark, looks, "s", {}, "d", "again", "2021")
+    p = panel(spark, {"a": [1, 2, 3]})
+    splits = Splits("2019-01-01", "2020-01-01", "short")
+    ledger.open_holdout(p, looks, "s", {}, "d", "why", "2020", splits)
+    with pytest.raises(HoldoutViolation, match="look"):
+        ledger.open_holdout(p, looks, "s", {}, "d", "again", "2021", splits)
+    with pytest.raises(HoldoutViolation, match="no rows"):
+        ledger.open_holdout(p, looks, "t", {}, "d", "none", "2021", Splits("2019-01-01", "2021-01-01"))
+    (look,) = ledger.load(spark, looks, ledger.LOOKS).collect()
+    assert (look.splits, look.holdout_first, look.holdout_last) == ("short", "2020-01-02", "2020-01-03")
 
 
 def test_parsers_of_files(spark, tmp_path):
