@@ -125,8 +125,9 @@ def bucket_of(keyed: DataFrame, n: int, bucket: int, most: int = BUCKETS) -> Col
     buckets = min(max(1, -(-n // bucket)), most)
     segments = min(buckets, SEGMENTS)
     each = -(-buckets // segments)
-    # SAMPLE keys at most, whatever n is.
-    sample = sorted(((r.doc_id, r.h) for r in keyed.select("_at.*").orderBy(F.rand(7)).limit(SAMPLE).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    # SAMPLE keys at most, whatever n is; the first draw lets through little more, so that tasks don't send as many each.
+    drawn = keyed.where(F.rand(3) < min(1.0, 1.5 * SAMPLE / max(1, n))).select("_at.*")
+    sample = sorted(((r.doc_id, r.h) for r in drawn.orderBy(F.rand(7)).limit(SAMPLE).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     if not sample:
         return F.lit(0).cast("long")
     borders = [{"doc_id": None, "h": -(1 << 63)}] + [dict(zip(("doc_id", "h"), sample[len(sample) * i // segments])) for i in range(1, segments)]
