@@ -45,7 +45,7 @@ def quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-# Acklam's rational approximation of the inverse (relative error 1.15e-9, refined below).
+# Acklam's rational approximation of the inverse (relative error 1.15e-9).
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 _B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
 _C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)

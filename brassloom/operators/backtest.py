@@ -12,8 +12,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brassloom.operators.metrics import summarize
 from brassloom.operators.windows import run_ids
-from brassloom.plans.panel import adj_open
+from brassloom.plans.panel import Splits, adj_open
 
 EPS = 1e-9
 MODES = ("next_open", "next_close", "same_close")
@@ -57,20 +58,44 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def _ready(rows: DataFrame) -> DataFrame:
-    """With weight 0 where there is no price, and rf."""
-    if "rf" not in rows.columns:
-        rows = rows.withColumn("rf", F.lit(0.0))
-    return rows.withColumn("rf", _zero(F.col("rf"))).withColumn("w", F.when(F.col("adj_close").isNotNull(), _zero(F.col("weight"))).otherwise(0.0))
+@dataclass(frozen=True)
+class Rules:
+    """What a simulation refuses: shorts unless allowed, more gross exposure than max_gross, rows after validation unless the holdout is open."""
 
+    max_gross: float | None = 1.0
+    allow_short: bool = False
+    splits: Splits | None = Splits()
+    opened: bool = False
 
-def simulate(rows: DataFrame, mode: str = "next_open", costs: Costs = Costs(), account: float | None = 5000.0) -> DataFrame:
-    """One row per (variant, date, asset): position, its parts of the return, trade and costs."""
+
+def _ready(rows: DataFrame, rules: Rules, opens: bool) -> DataFrame:
+    """With weight 0 where there is no price, and rf. Rows that break a rule raise as they come along; no job of their own looks for them."""
+    if "rf" not in rows.columns:
+        rows = rows.withColumn("rf", F.lit(0.0))
+    w = F.col("w")
+    bad = [(F.isnan(w) | (F.abs(w) == float("inf")), "weights must be finite")]
+    if not rules.allow_short:
+        bad.append((w < -EPS, "short weights are not allowed"))
+    if rules.max_gross is not None:
+        bad.append((F.sum(F.abs(w)).over(_d()) > rules.max_gross + 1e-6, f"gross exposure is over {rules.max_gross}"))
+    if rules.splits is not None and not rules.opened:
+        bad.append((F.col("date") > F.lit(rules.splits.val_end).cast("date"), f"the holdout after {rules.splits.val_end} is not open"))
+    if opens:
+        bad.append((F.col("adj_close").isNotNull() & adj_open().isNull(), "an open is missing where a close exists"))
+    checked = w
+    for condition, message in reversed(bad):
+        checked = F.when(condition, F.raise_error(F.lit(message)).cast("double")).otherwise(checked)
+    rows = rows.withColumn("rf", _zero(F.col("rf"))).withColumn("w", F.when(F.col("adj_close").isNotNull(), _zero(F.col("weight"))).otherwise(0.0))
+    return rows.withColumn("w", checked)
+
+
+def simulate(rows: DataFrame, mode: str = "next_open", costs: Costs = Costs(), account: float | None = 5000.0, rules: Rules = Rules()) -> DataFrame:
+    """One row per (variant, date, asset): position, its parts of the return, trade and costs. Rows that break the rules raise."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     k = costs.multiplier
     c, last = F.col("adj_close"), F.lag("adj_close").over(_a())
-    df = _ready(rows).withColumn("days", F.datediff("date", F.lag("date").over(_a())))
+    df = _ready(rows, rules, mode == "next_open").withColumn("days", F.datediff("date", F.lag("date").over(_a())))
     first = F.coalesce(F.percentile("days", 0.5).over(Window.partitionBy("variant", "asset")), F.lit(1.0))
     df = df.withColumn("days", F.greatest(F.coalesce(F.col("days").cast("double"), first), F.lit(1.0)))
     if mode == "next_open":
@@ -126,34 +151,52 @@ def episodes(sim: DataFrame) -> DataFrame:
     """One row per position episode: a maximal run of positions of one sign, per variant and asset.
 
     A bar's carried part belongs to the run before, its new part to the run it starts, costs to the new run or,
-    on the way out, to the one before. The three sums are one exploded aggregate.
+    on the way out, to the one before. These sums and what is known of the run's own bars are one exploded aggregate.
     """
     sign = F.when(F.abs("pos") < EPS, 0).otherwise(F.signum("pos")).cast("int")
     df = sim.withColumn("sign", sign).withColumn("run", run_ids(F.col("sign"), _a()))
     df = df.withColumn("run_before", F.coalesce(F.lag("run").over(_a()), F.lit(0))).withColumn("next_date", F.lead("date").over(_a()))
     key = F.when(F.col("sign") != 0, F.col("run")).otherwise(F.col("run_before"))
-    parts = F.array(F.struct(F.col("run_before").alias("of"), F.col("part_prev").alias("v")), F.struct(F.col("run").alias("of"), F.col("part_new").alias("v")), F.struct(key.alias("of"), (-F.col("cost")).alias("v")))
-    pnl = df.select("variant", "asset", F.explode(parts).alias("p")).groupBy("variant", "asset", F.col("p.of").alias("run")).agg(F.sum("p.v").alias("pnl"))
-    head = df.where("sign <> 0").groupBy("variant", "asset", "run").agg(
-        F.any_value("sign").alias("sign"),
-        F.min("date").alias("entry"),
-        F.max("date").alias("last"),
-        F.max_by("next_date", "date").alias("after"),
-        F.count("*").alias("periods"),
-        F.avg(F.abs("pos")).alias("avg_alloc"),
+    part = lambda of, v, own=F.lit(False): F.struct(of.alias("of"), v.alias("v"), own.alias("own"))
+    parts = F.array(part(F.col("run_before"), F.col("part_prev")), part(F.col("run"), F.col("part_new"), F.col("sign") != 0), part(key, -F.col("cost")))
+    own = lambda c: F.when(F.col("p.own"), c)
+    each = df.select("variant", "asset", "date", "next_date", "sign", "pos", F.explode(parts).alias("p"))
+    out = each.groupBy("variant", "asset", F.col("p.of").alias("run")).agg(
+        F.sum("p.v").alias("pnl"),
+        F.max(own(F.col("sign"))).alias("sign"),
+        F.min(own(F.col("date"))).alias("entry"),
+        F.max(own(F.struct("date", "next_date"))).alias("end"),
+        F.count(own(F.lit(1))).alias("periods"),
+        F.avg(own(F.abs("pos"))).alias("avg_alloc"),
     )
-    out = head.join(pnl, ["variant", "asset", "run"])
+    out = out.where("sign IS NOT NULL").withColumn("last", F.col("end.date")).withColumn("after", F.col("end.next_date"))
     return out.select("variant", "asset", F.when(F.col("sign") > 0, "long").otherwise("short").alias("side"), "entry", F.coalesce("after", "last").alias("exit"), "periods", "avg_alloc", "pnl", F.try_divide("pnl", "avg_alloc").alias("ret_on_alloc"), F.col("after").isNull().alias("still_open"))
 
 
-def session_only(rows: DataFrame, session: str, costs: Costs = Costs()) -> DataFrame:
+def sliced(frame: DataFrame, start: str | None, end: str | None, date: str = "date") -> DataFrame:
+    """Periods, or by ``entry`` trades, from start to end, both inclusive; a trade belongs where it was entered."""
+    if start:
+        frame = frame.where(F.col(date) >= F.lit(start).cast("date"))
+    return frame.where(F.col(date) <= F.lit(end).cast("date")) if end else frame
+
+
+def summary(per: DataFrame, trades: DataFrame, splits: Splits, ppy: float) -> DataFrame:
+    """(variant, split) with all metrics of the net returns, trades entered, yearly turnover and cost, and mean exposure."""
+    each = splits.explode(per)
+    out = summarize(each.withColumn("r", F.col("net")), ["variant", "split"], ppy)
+    more = each.groupBy("variant", "split").agg((F.avg("turnover") * ppy).alias("ann_turnover"), (F.avg("costs") * ppy).alias("ann_cost_drag"), F.avg("exposure").alias("exposure"))
+    entered = splits.explode(trades, date="entry").groupBy("variant", "split").agg(F.count("*").alias("n_trades"))
+    return out.join(more, ["variant", "split"]).join(entered, ["variant", "split"], "left").fillna(0, ["n_trades"])
+
+
+def session_only(rows: DataFrame, session: str, costs: Costs = Costs(), rules: Rules = Rules()) -> DataFrame:
     """(variant, date, asset) rows of holding one part of each day only and paying for both legs every day."""
     if session not in ("overnight", "intraday"):
         raise ValueError("session must be overnight or intraday")
     k, o = costs.multiplier, adj_open()
     last = F.lag("adj_close").over(_a())
     part = F.try_divide(o, last) - 1 if session == "overnight" else F.try_divide(F.col("adj_close"), o) - 1
-    df = _ready(rows).withColumn("pos", _zero(F.lag("w").over(_a()))).withColumn("part", F.col("pos") * _zero(part))
+    df = _ready(rows, rules, False).withColumn("pos", _zero(F.lag("w").over(_a()))).withColumn("part", F.col("pos") * _zero(part))
     df = df.withColumn("days", F.greatest(F.coalesce(F.datediff("date", F.lag("date").over(_a())), F.lit(1)), F.lit(1)).cast("double"))
     raw = F.when(F.col("close") != 0, F.col("close"))
     df = df.withColumn("trading", F.abs("pos") * 2.0 * (costs.half_spread() + F.lit(costs.slippage_bps + costs.fee_bps)) * F.lit(k / 1e4))

@@ -1,15 +1,19 @@
-"""Folds over an ordered series whose state isn't associative, inside the JVM: a sorted array per key and ``aggregate``.
+"""Recursive series: closed forms by windows where there is one, a stream per key where there is none.
 
-An array holds one key's series (thousands of bars); keys are what grows and what Spark spreads.
+``fold`` keeps one key's sorted rows in an array inside the JVM, for short series (a row a year). ``stream`` reads rows that
+Spark has dealt by key and sorted, batch by batch, and keeps one state: time is linear and memory constant in the
+length of a series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql.pandas.types import to_arrow_type
 
 def fold(df: DataFrame, keys: list[str], order: str, values: list[str], start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column], Column]) -> DataFrame:
     """keys, order, values and ``out``: the state after each row, as out(state) sees it.
@@ -29,11 +33,37 @@ def fold_last(df: DataFrame, keys: list[str], order: str, values: list[str], sta
     return df.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", start, step).alias("state"))
 
 
+def stream(df: DataFrame, keys: list[str], order: str, values: list[str], start: Any, step: Callable[..., tuple[Any, float | None]]) -> DataFrame:
+    """keys, order, values and ``out`` (double): step(state, *values of a row) gives the next state and what to put out."""
+    names = [*keys, order, *values]
+    rows = df.select(*names).repartition(*keys).sortWithinPartitions(*keys, order)
+    types = [to_arrow_type(rows.schema[c].dataType) for c in names]
+    first, n = len(keys) + 1, len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, start
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:n]), zip(*columns[first:])):
+                if key != at:
+                    at, state = key, start
+                state, shown = step(state, *row)
+                out.append(shown)
+            yield pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(batch.columns, types)), pa.array(out, pa.float64())], names=[*names, "out"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{schema}, out double")
+
+
 def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float) -> DataFrame:
     """Recursive average that the first value seeds; NULLs leave it as it is."""
-    none = F.lit(None).cast("double")
-    step = lambda s, x: F.when(x[value].isNull(), s).otherwise(F.coalesce(F.lit(alpha) * x[value] + F.lit(1.0 - alpha) * s, x[value]))
-    return fold(df, keys, order, [value], none, step, lambda s: s)
+
+    def step(s: float | None, x: float | None) -> tuple[float | None, float | None]:
+        s = s if x is None else x if s is None else alpha * x + (1.0 - alpha) * s
+        return s, s
+
+    return stream(df, keys, order, [value], None, step)
 
 
 def after_tax(yearly: DataFrame, keys: list[str], rate: str) -> DataFrame:
@@ -52,20 +82,30 @@ def after_tax(yearly: DataFrame, keys: list[str], rate: str) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: str, enter: str, leave: str) -> DataFrame:
-    """``out`` is 1 from a row where ``enter`` holds to the one before ``leave`` holds, else 0; a row never does both."""
-    step = lambda s, x: F.when(s == 0, F.when(F.coalesce(x[enter], F.lit(False)), 1.0).otherwise(0.0)).otherwise(F.when(F.coalesce(x[leave], F.lit(False)), 0.0).otherwise(1.0))
-    return fold(df, keys, order, [enter, leave], F.lit(0.0), step, lambda s: s)
+    """df with ``out``: 1 from a row where ``enter`` holds to the one before ``leave`` holds, else 0; a row where both hold changes the state.
+
+    So the state is that of the last row where one of both holds, changed once for each row since then where both do.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    go, stop = (F.coalesce(F.col(c), F.lit(False)) for c in (enter, leave))
+    turns = F.sum(F.when(go & stop, 1).otherwise(0)).over(w)
+    rows = df.withColumn("_turns", turns).withColumn("_set", F.when(go & ~stop, 1).when(stop & ~go, 0))
+    last = F.last(F.when(F.col("_set").isNotNull(), F.struct("_set", "_turns")), ignorenulls=True).over(w)
+    rows = rows.withColumn("_last", last)
+    state = (F.coalesce("_last._set", F.lit(0)) + F.col("_turns") - F.coalesce("_last._turns", F.lit(0))) % 2
+    return rows.withColumn("out", state.cast("double")).drop("_turns", "_set", "_last")
 
 
 def three_state(df: DataFrame, keys: list[str], order: str, z: str, entry: float, leave: float) -> DataFrame:
     """``out`` is -1 after z rose over entry until it falls under leave, 1 the other way round, else 0; 0 where z is NULL, with the state kept."""
-    start = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("shown"))
 
-    def step(s: Column, x: Column) -> Column:
-        v, held = x[z], s["held"]
-        flat = F.when(v > entry, -1.0).when(v < -entry, 1.0).otherwise(0.0)
-        kept = F.when(((held < 0) & (v < leave)) | ((held > 0) & (v > -leave)), 0.0).otherwise(held)
-        new = F.when(v.isNull(), held).when(held == 0, flat).otherwise(kept)
-        return F.struct(new.alias("held"), F.when(v.isNull(), 0.0).otherwise(new).alias("shown"))
+    def step(held: float, v: float | None) -> tuple[float, float]:
+        if v is None:
+            return held, 0.0
+        if held == 0:
+            held = -1.0 if v > entry else 1.0 if v < -entry else 0.0
+        elif (held < 0 and v < leave) or (held > 0 and v > -leave):
+            held = 0.0
+        return held, held
 
-    return fold(df, keys, order, [z], start, step, lambda s: s["shown"])
+    return stream(df, keys, order, [z], 0.0, step)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brassloom.operators.folds import fold, hysteresis, three_state
+from brassloom.operators.folds import hysteresis, stream, three_state
 from brassloom.operators.windows import cross_rank, ffill, first_of_month, pct_change, rolling_mean, rolling_std, session_of_month, shift
 from brassloom.plans.panel import by_date
 
@@ -52,27 +52,27 @@ def xs_momentum(panel: DataFrame, lookback: int, skip: int, top_k: int, abs_filt
 
 
 def rsi(panel: DataFrame, n: int) -> DataFrame:
-    """date, asset and rsi, whose averages are recursive and need n moves."""
+    """panel with rsi, whose averages are recursive and need n moves."""
     moves = panel.withColumn("_d", F.col(PX) - shift(PX, 1))
-    start = F.struct(F.lit(None).cast("double").alias("u"), F.lit(None).cast("double").alias("d"), F.lit(0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        up, down = F.greatest(x["_d"], F.lit(0.0)), F.greatest(-x["_d"], F.lit(0.0))
-        mix = lambda old, new: F.coalesce(F.lit(1.0 / n) * new + F.lit(1.0 - 1.0 / n) * old, new)
-        none = x["_d"].isNull()
-        return F.struct(F.when(none, s["u"]).otherwise(mix(s["u"], up)).alias("u"), F.when(none, s["d"]).otherwise(mix(s["d"], down)).alias("d"), F.when(none, s["n"]).otherwise(s["n"] + 1).alias("n"))
+    def step(s: tuple, d: float | None) -> tuple[tuple, float | None]:
+        up, down, seen = s
+        if d is not None:
+            mix = lambda old, new: new if old is None else 1.0 / n * new + (1.0 - 1.0 / n) * old
+            up, down, seen = mix(up, max(d, 0.0)), mix(down, max(-d, 0.0)), seen + 1
+        ready = seen >= n and down
+        return (up, down, seen), 100.0 - 100.0 / (1.0 + up / down) if ready else None
 
-    out = fold(moves, ["asset"], "date", ["_d"], start, step, lambda s: s)
-    ready = (F.col("out.n") >= n) & (F.col("out.d") != 0)
-    return out.select("date", "asset", F.when(ready, 100.0 - 100.0 / (1.0 + F.try_divide("out.u", "out.d"))).alias("rsi"))
+    kept = [c for c in panel.columns if c not in ("asset", "date")]
+    out = stream(moves, ["asset"], "date", ["_d", *kept], (None, None, 0), lambda s, d, *_: step(s, d))
+    return out.drop("_d").withColumnRenamed("out", "rsi")
 
 
 def rsi_reversal(panel: DataFrame, n: int, entry: float, exit_sma: int, trend_sma: int) -> DataFrame:
     """In after a low RSI above the trend, out after a close above the short average."""
-    rows = panel.join(rsi(panel, n), ["date", "asset"])
+    rows = rsi(panel, n)
     rows = rows.withColumn("_in", (F.col("rsi") < entry) & (F.col(PX) > rolling_mean(PX, trend_sma))).withColumn("_out", F.col(PX) > rolling_mean(PX, exit_sma))
-    state = hysteresis(rows, ["asset"], "date", "_in", "_out").select("date", "asset", F.col("out").alias("weight"))
-    return panel.join(state, ["date", "asset"])
+    return hysteresis(rows, ["asset"], "date", "_in", "_out").withColumnRenamed("out", "weight").drop("_in", "_out", "rsi")
 
 
 def ibs_reversal(panel: DataFrame, below: float, trend_sma: int | None = None) -> DataFrame:

@@ -117,6 +117,31 @@ def o_buying_power(spark, d):
     return one.select("position", kind.alias("kind"), F.when(F.col("side") == "buy", -F.col("cash")).otherwise(F.col("strike") * I.CONTRACT * F.col("qty") - F.col("cash")).alias("need"))
 
 
+_KIND = """CASE WHEN legs = 1 THEN CASE WHEN buys = 1 THEN CASE WHEN calls = 1 THEN 'long_call' ELSE 'long_put' END WHEN calls = 0 THEN 'cash_secured_put' ELSE 'naked_call' END
+ WHEN legs = 2 AND buys = 2 AND calls = 1 THEN CASE WHEN strikes = 1 THEN 'long_straddle' ELSE 'long_strangle' END WHEN legs = 2 AND buys = 1 AND calls <> 1 THEN CASE WHEN cash < 0 THEN 'debit_spread' ELSE 'credit_spread' END
+ WHEN legs = 4 AND buys = 2 AND calls = 2 THEN CASE WHEN strikes = 3 THEN 'iron_butterfly' ELSE 'iron_condor' END ELSE 'other' END"""
+_LEVEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.LEVELS.items()) + " END"
+
+
+@query("o_required", "position kind level", "need", f"""WITH {_L}, {_POINTS}, ml AS (SELECT position, CASE WHEN max(CASE WHEN spot = 2 * hi THEN pnl END) < max(CASE WHEN spot = hi THEN pnl END) - 1e-6 THEN NULL ELSE greatest(0e0, -min(pnl)) END AS loss FROM pl GROUP BY 1),
+ op AS (SELECT position, count(*) AS legs, count(*) FILTER (WHERE side = 'buy') AS buys, count(*) FILTER (WHERE opt = 'C') AS calls, count(DISTINCT strike) AS strikes, sum(strike * 100 * qty) AS secured, sum(CASE side WHEN 'sell' THEN px ELSE -px END * 100 * qty) - sum(qty) * {_PER} AS cash FROM ff GROUP BY 1),
+ kd AS (SELECT op.*, ml.loss, {_KIND} AS kind FROM op JOIN ml USING (position))
+ SELECT position, kind, ({_LEVEL})::BIGINT AS level, CASE WHEN kind IN {I.DEBIT} THEN -cash WHEN kind = 'cash_secured_put' THEN secured - cash ELSE loss END AS need FROM kd""")
+def o_required(spark, d):
+    """Each position's kind, the approval level it needs and the cash: spreads, condors and straddles as well as single legs."""
+    w = Window.partitionBy("position")
+    legs = _legs(spark, d).withColumn("unfilled", F.count(F.when(F.col("px").isNull(), 1)).over(w)).where("unfilled = 0")
+    signed = F.when(F.col("side") == "sell", F.col("px")).otherwise(-F.col("px")) * I.CONTRACT * F.col("qty") - F.col("qty") * PASS_THROUGH
+    own = legs.groupBy("position").agg(
+        F.count("*").alias("legs"), F.count(F.when(F.col("side") == "buy", 1)).alias("buys"), F.count(F.when(F.col("opt") == "C", 1)).alias("calls"), F.countDistinct("strike").alias("strikes"),
+        F.sum(F.col("strike") * I.CONTRACT * F.col("qty")).alias("secured"), F.sum(signed).alias("cash"),
+    )
+    at = lambda k: F.max(F.when(F.col("spot") == F.col("hi") * k, F.col("pnl")))
+    loss = _pnl(spark, d).groupBy("position").agg(F.when(at(2) >= at(1) - 1e-6, F.greatest(F.lit(0.0), -F.min("pnl"))).alias("loss"))
+    out = own.join(loss, "position").withColumn("kind", F.expr(_KIND))
+    return out.select("position", "kind", I.level(F.col("kind")).cast("long").alias("level"), I.buying_power(F.col("kind"), F.col("cash"), F.col("secured"), F.col("loss")).alias("need"))
+
+
 # --- small accounts -----------------------------------------------------------------------------------------------------
 
 
@@ -279,7 +304,7 @@ def k_event_date(spark, d):
     return o.select("o_orderkey", prediction.event_date(t).alias("date"))
 
 
-@query("k_summary", "dt_name n_periods", "cagr sharpe max_dd")
+@query("k_summary", "dt_name n_periods", "cagr sharpe max_dd", f"WITH {_TRADES}, sp AS (SELECT min(D) AS lo, max(D) AS hi FROM j3), cal AS (SELECT x.dt_name, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM sp CROSS JOIN (VALUES ('DT1'), ('DT2')) x(dt_name)), dy AS (SELECT dt_name, D AS date, sum(pnl) / 5e3 AS r FROM ktr GROUP BY 1, 2), dl AS (SELECT cal.dt_name, cal.date, coalesce(dy.r, 0e0) AS r FROM cal LEFT JOIN dy ON dy.dt_name = cal.dt_name AND dy.date = cal.date), de AS (SELECT *, product(1e0 + r) OVER (PARTITION BY dt_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM dl), dd AS (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY dt_name ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1e0 AS dd FROM de) SELECT dt_name, count(*) AS n_periods, CASE WHEN product(1e0 + r) > 0 THEN pow(product(1e0 + r), 3.65e2 / count(r)) - 1e0 ELSE -1e0 END AS cagr, avg(r) / nullif(stddev_samp(r), 0) * sqrt(3.65e2) AS sharpe, min(dd) AS max_dd FROM dd GROUP BY 1")
 def k_summary(spark, d):
     """Metrics of the simulated trades' daily returns."""
     rows = _with_p(spark, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,14 +20,31 @@ def by_date(*more: str) -> Window:
     return Window.partitionBy(*more, "date")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where a local session names none)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="brassloom-"))
+    return df.checkpoint()
+
+
 def densify(bars: DataFrame) -> DataFrame:
-    """All dates for all assets. Assets are few per panel, so dates are multiplied by them rather than joined with them twice."""
+    """All dates for all assets. Bars are made once and checkpointed, as both the grid and its values need them.
+
+    The calendar is one row that holds all dates (some days a year, whatever the number of assets); each asset is
+    exploded into it.
+    """
+    bars = stored(bars)
     if "adj_close" not in bars.columns:
         bars = bars.withColumn("adj_close", F.col("close"))
     for c in FIELDS:
         if c not in bars.columns:
             bars = bars.withColumn(c, F.lit(None).cast("double"))
-    grid = bars.select("date").distinct().crossJoin(bars.select("asset").distinct())
+    calendar = bars.agg(F.array_sort(F.collect_set("date")).alias("_dates"))
+    grid = bars.select("asset").distinct().crossJoin(F.broadcast(calendar)).select("asset", F.explode("_dates").alias("date"))
     return grid.join(bars, ["date", "asset"], "left").select("date", "asset", *FIELDS)
 
 
@@ -116,10 +134,11 @@ def weight_faults(weights: DataFrame, panel: DataFrame, max_gross: float = 1.0,
 
 
 def monthly_rf(panel: DataFrame, rates: DataFrame) -> DataFrame:
-    """date, rf: a month's percent rate (month, percent) spread over the month's dates so that they compound to it."""
+    """date, rf: a month's percent rate (month, percent) spread over the month's dates so that they compound to it. A month without a rate raises."""
     days = panel.select("date").distinct().withColumn("month", F.trunc("date", "month"))
     days = days.withColumn("n", F.count("*").over(Window.partitionBy("month")))
-    return days.join(rates, "month").select("date", (F.pow(1 + F.col("percent") / 100.0, F.lit(1.0) / F.col("n")) - 1).alias("rf"))
+    rate = F.when(F.col("percent").isNull(), F.raise_error(F.concat(F.lit("no rate for "), F.col("month").cast("string"))).cast("double")).otherwise(F.col("percent"))
+    return days.join(rates, "month", "left").withColumn("percent", rate).select("date", (F.pow(1 + F.col("percent") / 100.0, F.lit(1.0) / F.col("n")) - 1).alias("rf"))
 
 
 def annual_rf(dates: DataFrame) -> DataFrame:

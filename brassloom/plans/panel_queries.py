@@ -85,7 +85,8 @@ def weight_faults(spark, d):
     "r AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, avg(o_totalprice) / 1e6 AS percent FROM orders GROUP BY 1)"))
 def rf_monthly(spark, d):
     rates = table(spark, d, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg((F.avg("o_totalprice") / 1e6).alias("percent"))
-    return P.monthly_rf(order_panel(spark, d), rates)
+    # The first week begins in a month without orders, so without a rate.
+    return P.monthly_rf(P.between(order_panel(spark, d), "1995-01-01"), rates)
 
 
 @query("rf_annual", "key date", "rf", "SELECT key, date, annual * greatest(coalesce(date - lag(date) OVER (PARTITION BY key ORDER BY date), 1), 1) / 365e0 AS rf FROM (SELECT o_orderpriority AS key, o_orderdate::DATE AS date, avg(o_totalprice) / 1e7 AS annual FROM orders GROUP BY 1, 2)")
@@ -162,7 +163,7 @@ def j_asof_tolerance(spark, d):
 @query("j_asof", "event_id user_id", "value quote", f"WITH {_E.format('purchase', 'click')} SELECT l.event_id, l.user_id, l.value, r.quote FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.at")
 def j_asof(spark, d):
     right = _events(spark, d, "click").select("user_id", F.col("ts").alias("at"), F.col("value").alias("quote"), "event_id")
-    return asof_join(_events(spark, d, "purchase"), right, "ts", "at", ["user_id"], ["quote"], tie="event_id")
+    return asof_join(_events(spark, d, "purchase"), right, "ts", "at", ["user_id"], ["quote"], tie="event_id", span=604_800)
 
 
 @query("j_windowed_volume", "event_id user_id", "volume", """WITH c AS (SELECT user_id, ts, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cum FROM events WHERE event_type = 'view'),
@@ -182,7 +183,7 @@ def j_windowed_volume(spark, d):
 @query("j_align_ffill", "date asset", "rate", panel_sql("SELECT p.date, p.asset, m.rate FROM panel p ASOF LEFT JOIN m ON p.asset = m.asset AND p.date >= m.date", "m AS (SELECT o_orderpriority AS asset, date_trunc('month', o_orderdate)::DATE AS date, avg(o_totalprice) AS rate FROM orders GROUP BY 1, 2)"))
 def j_align_ffill(spark, d):
     monthly = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("asset"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).agg(F.avg("o_totalprice").alias("rate"))
-    return align(order_panel(spark, d).select("date", "asset"), monthly, ["asset"], "date", ["rate"])
+    return align(order_panel(spark, d).select("date", "asset"), monthly, ["asset"], "date", ["rate"], span=180)
 
 
 @query("j_common_dates", "date", "a b", panel_sql("SELECT x.date, x.close AS a, y.close AS b FROM panel x JOIN panel y ON x.date = y.date AND x.asset = '1-URGENT' AND y.asset = '2-HIGH' WHERE x.close IS NOT NULL AND y.close IS NOT NULL"))
@@ -199,9 +200,9 @@ def j_calendar_union(spark, d):
     return o.join(e, "date", "full").fillna(0)
 
 
-@query("j_anti_fetched", "c_custkey", "c_acctbal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j_anti_fetched", "c_custkey", "c_acctbal", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j_anti_fetched(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return table(spark, d, "customer").where("c_acctbal > 0").join(done, "c_custkey", "left_anti")
 
 

@@ -11,9 +11,9 @@ from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, signals, stats
 from brassloom.operators.verdict import evaluate, report_lines
-from brassloom.plans.panel import Splits
+from brassloom.plans.panel import Splits, by_date
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
-from brassloom.sources.tables import order_panel, table
+from brassloom.sources.tables import order_panel, supplier_panel, table
 
 PPY = 52
 SPLITS = Splits()
@@ -149,17 +149,19 @@ def _sim(mode: str) -> str:
 
 
 _COST = B.Costs(commission_usd=1.0)
+#: These queries report on the whole table, so the holdout is open; one asset is held short.
+WHOLE = B.Rules(allow_short=True, opened=True)
 _PERIODS = "per AS (SELECT date, sum(part_prev + part_new) + any_value(cash) AS gross, sum(trading) AS trading, sum(regulatory) AS regulatory, sum(commission) AS commission, sum(borrow) AS borrow, any_value(fin) AS financing, sum(turnover) AS turnover, sum(abs(pos)) AS exposure, sum(trading) + sum(regulatory) + sum(commission) + sum(borrow) + any_value(fin) AS costs FROM sim GROUP BY date), net AS (SELECT *, gross - costs AS net FROM per)"
 
 for _mode in B.MODES:
 
     @query(f"b_{_mode}", "date", "gross net trading regulatory commission borrow financing turnover exposure", panel_sql("SELECT * FROM net", f"{_sim(_mode)}, {_PERIODS}"))
     def b_periods(spark, d, mode=_mode):
-        return B.periods(B.simulate(_trend_rows(spark, d), mode, _COST))
+        return B.periods(B.simulate(_trend_rows(spark, d), mode, _COST, rules=WHOLE))
 
     @query(f"b_positions_{_mode}", "date asset", "pos trade turnover cost part_prev part_new", panel_sql("SELECT * FROM sim", _sim(_mode)))
     def b_positions(spark, d, mode=_mode):
-        return B.simulate(_trend_rows(spark, d), mode, _COST)
+        return B.simulate(_trend_rows(spark, d), mode, _COST, rules=WHOLE)
 
 
 _EPISODES = f"""g0 AS (SELECT *, CASE WHEN abs(pos) < 1e-9 THEN 0 ELSE sign(pos)::INT END AS sg, lead(date) OVER ({BY}) AS nd FROM sim),
@@ -172,13 +174,29 @@ _EPISODES = f"""g0 AS (SELECT *, CASE WHEN abs(pos) < 1e-9 THEN 0 ELSE sign(pos)
 
 @query("g_episodes", "asset side entry exit periods still_open", "avg_alloc pnl ret_on_alloc", panel_sql("SELECT * FROM ep", f"{_sim('next_open')}, {_EPISODES}"))
 def g_episodes(spark, d):
-    return B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST))
+    return B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE))
+
+
+_SPLITS = "splits(split, a, b) AS (VALUES ('DEVELOPMENT', DATE '1900-01-01', DATE '1998-12-31'), ('VALIDATION', DATE '1999-01-01', DATE '2000-06-30'), ('DEV+VAL', DATE '1900-01-01', DATE '2000-06-30'))"
+
+
+@query("b_result_summary", "split n_periods n_trades", "cagr sharpe max_dd ann_turnover ann_cost_drag exposure", panel_sql("SELECT * FROM rs JOIN (SELECT split, count(*) AS n_trades FROM ep JOIN splits ON entry BETWEEN a AND b GROUP BY 1) USING (split)", f"{_sim('next_open')}, {_PERIODS}, {_EPISODES}, {_SPLITS}, re AS (SELECT split, per.*, gross - costs AS r, product(1e0 + gross - costs) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM per JOIN splits ON date BETWEEN a AND b), rs AS (SELECT split, count(*) AS n_periods, pow(product(1e0 + r), 52e0 / count(r)) - 1e0 AS cagr, avg(r - 8e-4) / stddev_samp(r - 8e-4) * sqrt(52e0) AS sharpe, min(dd) AS max_dd, avg(turnover) * 52 AS ann_turnover, avg(costs) * 52 AS ann_cost_drag, avg(exposure) AS exposure FROM (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1e0 AS dd FROM re) GROUP BY 1)"))
+def b_result_summary(spark, d):
+    """A result by split: metrics, trades entered in it, yearly turnover and costs, exposure."""
+    sim = B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE)
+    return B.summary(B.periods(sim), B.episodes(sim), SPLITS, PPY)
+
+
+@query("b_sliced_trades", "asset side entry exit", "pnl", panel_sql("SELECT * FROM ep WHERE entry BETWEEN DATE '1999-01-01' AND DATE '2000-06-30'", f"{_sim('next_open')}, {_EPISODES}"))
+def b_sliced_trades(spark, d):
+    """The trades that were entered in validation, whenever they ended."""
+    return B.sliced(B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE)), *SPLITS.bounds("VALIDATION"), "entry")
 
 
 @query("b_buy_and_hold", "date", "gross net", panel_sql("SELECT * FROM net", f"{_sim('next_close').replace(_WEIGHTS, 'wt AS (SELECT *, CASE asset WHEN ' + chr(39) + '1-URGENT' + chr(39) + ' THEN 1e0 ELSE 0e0 END AS weight FROM panel)')}, {_PERIODS}"))
 def b_buy_and_hold(spark, d):
     rows = signals.always_long(order_panel(spark, d)).withColumn("weight", F.when(F.col("asset") == "1-URGENT", 1.0).otherwise(0.0))
-    return B.periods(B.simulate(rows.withColumn("variant", F.lit("hold")).withColumn("rf", F.lit(0.0008)), "next_close", _COST))
+    return B.periods(B.simulate(rows.withColumn("variant", F.lit("hold")).withColumn("rf", F.lit(0.0008)), "next_close", _COST, rules=WHOLE))
 
 
 _SESSION = f"""{_WEIGHTS}, s0 AS (SELECT *, CASE WHEN adj_close IS NULL THEN 0e0 ELSE weight END AS w FROM wt), s1 AS (SELECT *, coalesce(lag(w) OVER ({BY}), 0e0) AS pos, open * (adj_close / close) AS o, greatest(coalesce(date - lag(date) OVER ({BY}), 1), 1)::DOUBLE AS days, lag(adj_close) OVER ({BY}) AS lc FROM s0),
@@ -187,11 +205,11 @@ for _session, _part in (("overnight", "o / lc - 1e0"), ("intraday", "adj_close /
 
     @query(f"b_session_{_session}", "date", "gross net turnover", panel_sql("SELECT date, sum(part) + any_value(cash) AS gross, sum(part) + any_value(cash) - sum(trading) - sum(regulatory) AS net, 2 * sum(abs(pos)) AS turnover FROM s2 GROUP BY date", _SESSION.replace("__LEG__", _part)))
     def b_session(spark, d, session=_session):
-        return B.session_periods(B.session_only(_trend_rows(spark, d), session))
+        return B.session_periods(B.session_only(_trend_rows(spark, d), session, rules=WHOLE))
 
     @query(f"b_session_trades_{_session}", "date asset side", "avg_alloc pnl", panel_sql("SELECT date, asset, CASE WHEN pos > 0 THEN 'long' ELSE 'short' END AS side, abs(pos) AS avg_alloc, part - trading - regulatory AS pnl FROM s2 WHERE abs(pos) > 1e-9", _SESSION.replace("__LEG__", _part)))
     def b_session_trades(spark, d, session=_session):
-        return B.session_trades(B.session_only(_trend_rows(spark, d), session)).withColumnRenamed("entry", "date")
+        return B.session_trades(B.session_only(_trend_rows(spark, d), session, rules=WHOLE)).withColumnRenamed("entry", "date")
 
 
 def look_ahead_cuts(spark, d):
@@ -206,6 +224,15 @@ def b_look_ahead(spark, d):
     return B.look_ahead(lambda p: signals.price_above_sma(p, 20), order_panel(spark, d), look_ahead_cuts(spark, d)).withColumnRenamed("full", "whole")
 
 
+@query("b_look_ahead_cheat", "date asset", "whole", panel_sql(f"SELECT n.date, n.asset, n.whole FROM (SELECT date, asset, lead(adj_close) OVER ({BY}) AS whole FROM panel) n JOIN (SELECT DISTINCT date FROM panel ORDER BY md5('0:' || date::VARCHAR) LIMIT 15) c ON n.date = c.date WHERE whole IS NOT NULL"))
+def b_look_ahead_cheat(spark, d):
+    """A builder that reads the next close is found out at every cut: there its weight is gone."""
+    from pyspark.sql import Window
+
+    cheat = lambda p: p.withColumn("weight", F.lead("adj_close").over(Window.partitionBy("asset").orderBy("date")))
+    return B.look_ahead(cheat, order_panel(spark, d), look_ahead_cuts(spark, d)).where("part IS NULL").withColumnRenamed("full", "whole")
+
+
 # --- metrics --------------------------------------------------------------------------------------------------------
 
 _RET = f"ret AS (SELECT asset, date, 2e-1 * (adj_close / lag(adj_close) OVER ({BY}) - 1e0) AS r, 1e-4 AS rf FROM panel), ser AS (SELECT * FROM ret WHERE r IS NOT NULL)"
@@ -267,6 +294,30 @@ def a_stress_windows(spark, d):
     return metrics.in_windows(_returns(spark, d), ["asset"], _STRESS).withColumnRenamed("window", "stress")
 
 
+_BENCH = "bm AS (SELECT date, avg(r) AS r FROM ser GROUP BY date)"
+
+
+def _bench(spark, d) -> DataFrame:
+    """The mean return of all assets."""
+    return _returns(spark, d).groupBy("date").agg(F.avg("r").alias("r")).withColumn("of", F.lit("all"))
+
+
+@query("a_yearly_against", "asset year", "ret bench ahead", panel_sql("SELECT y.asset, y.year, y.ret, b.ret AS bench, y.ret - b.ret AS ahead FROM (SELECT asset, date_trunc('year', date)::DATE AS year, product(1e0 + r) - 1e0 AS ret FROM ser GROUP BY 1, 2) y LEFT JOIN (SELECT date_trunc('year', date)::DATE AS year, product(1e0 + r) - 1e0 AS ret FROM bm GROUP BY 1) b ON b.year = y.year", f"{_RET}, {_BENCH}"))
+def a_yearly_against(spark, d):
+    """Each asset's yearly returns beside the benchmark's."""
+    return metrics.against(metrics.compounded(_returns(spark, d), ["asset"], "year"), metrics.compounded(_bench(spark, d), ["of"], "year"), ["year"])
+
+
+_INSIDE = "SELECT {0}, x.nm AS stress, product(1e0 + r) - 1e0 AS ret FROM (SELECT *, min(date) OVER ({1}) AS lo, max(date) OVER ({1}) AS hi FROM {2}) s JOIN st x ON s.date BETWEEN x.a AND x.b AND s.lo <= x.a AND s.hi >= x.b GROUP BY 1, 2 HAVING count(*) >= 2"
+
+
+@query("a_stress_against", "asset stress", "ret bench ahead", panel_sql(f"SELECT o.asset, o.stress, o.ret, b.ret AS bench, o.ret - b.ret AS ahead FROM ({_INSIDE.format('asset', 'PARTITION BY asset', 'ser')}) o LEFT JOIN ({_INSIDE.format(chr(39) + 'all' + chr(39) + ' AS k', '', 'bm')}) b ON b.stress = o.stress", f"{_RET}, {_BENCH}, st(nm, a, b) AS (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _STRESS) + ")"))
+def a_stress_against(spark, d):
+    """Each asset's return in stress windows beside the benchmark's."""
+    own = metrics.in_windows(_returns(spark, d), ["asset"], _STRESS)
+    return metrics.against(own, metrics.in_windows(_bench(spark, d), ["of"], _STRESS), ["window"]).withColumnRenamed("window", "stress")
+
+
 _PAIRS = f"{_RET}, bench AS (SELECT date, avg(r) AS b FROM ser GROUP BY date), pr AS (SELECT s.asset, s.date, s.r AS s, b.b, 1e-4 AS rf FROM ser s JOIN bench b USING (date))"
 
 
@@ -387,7 +438,7 @@ def mc_block_bootstrap(spark, d):
 
 @query("mc_trades", "asset n_sims", "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25")
 def mc_trades(spark, d):
-    ep = B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST))
+    ep = B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE))
     return stats.resample_trades(ep, ["asset"], "pnl", ["entry"])
 
 
@@ -425,7 +476,7 @@ def flagship_grid(spark, d):
 
 
 def _grid_net(spark, d, cost: float) -> DataFrame:
-    return B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost))).select("variant", "date", F.col("net").alias("r"), "rf")
+    return B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost), rules=WHOLE)).select("variant", "date", F.col("net").alias("r"), "rf")
 
 
 def _grid_summary(spark, d, cost: float) -> DataFrame:
@@ -438,6 +489,36 @@ def flagship_double_cost(spark, d):
     return _grid_summary(spark, d, 2.0)
 
 
+# --- a panel that grows: suppliers are assets, days are bars ------------------------------------------------------------------
+
+_SUPPLIERS = """
+bars AS (SELECT l_shipdate::DATE AS date, l_suppkey::VARCHAR AS asset, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, count(*)::DOUBLE AS volume
+    FROM (SELECT *, 1e2 + l_extendedprice / l_quantity / 5e1 AS px, l_orderkey * 10 + l_linenumber AS k FROM lineitem) GROUP BY 1, 2),
+panel AS (SELECT d.date, a.asset, b.open, b.high, b.low, b.close, b.close AS adj_close, b.volume
+  FROM (SELECT DISTINCT date FROM bars) d CROSS JOIN (SELECT DISTINCT asset FROM bars) a LEFT JOIN bars b ON b.date = d.date AND b.asset = a.asset)
+"""
+_FILLED = f"fp AS (SELECT date, asset, last_value(close IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS close FROM panel), fq AS (SELECT *, close AS adj_close, close AS open FROM fp), wt AS (SELECT *, {_flag('adj_close > 1.000001e0 * ' + roll('avg', 'adj_close', 20))} / greatest(count(adj_close) OVER (PARTITION BY date), 1) AS weight FROM fq)"
+
+
+def _supplier_sql() -> str:
+    tail = _SUMMARY[len(_RET):].lstrip(", \n")
+    return f"WITH {_SUPPLIERS}, {SPLIT_TABLE}, {_sim('next_close').replace(_WEIGHTS, _FILLED)}, {_PERIODS}, ser AS (SELECT 'suppliers' AS asset, date, net AS r, 8e-4 AS rf FROM net), {tail} SELECT * FROM summ"
+
+
+@query("flagship_suppliers", "split n_periods", "cagr sharpe max_dd", _supplier_sql())
+def flagship_suppliers(spark, d):
+    """Trend in equal slots over every supplier's days, whose number grows with the table: panel, signal, simulation, summary."""
+    from brassloom.operators.windows import ffill, rolling_mean
+
+    p = supplier_panel(spark, d).withColumn("close", ffill("close")).withColumn("adj_close", F.col("close")).withColumn("open", F.col("close"))
+    held = F.greatest(F.count("adj_close").over(by_date()), F.lit(1))
+    # Prices that stand still are not above their mean, however it was rounded.
+    up = signals.flag(F.col("adj_close") > 1.000001 * rolling_mean("adj_close", 20))
+    rows = p.withColumn("weight", up / held).withColumn("variant", F.lit("suppliers")).withColumn("rf", F.lit(0.0008))
+    net = B.periods(B.simulate(rows, "next_close", _COST, rules=WHOLE)).select("variant", "date", F.col("net").alias("r"), "rf")
+    return metrics.summarize(SPLITS.explode(net), ["split", "variant"], PPY)
+
+
 _NEAR = ", ".join(f"('sma{a:02d}', 'sma{b:02d}')" for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2]))
 _WHOLE = "SELECT split, asset AS variant, n_periods, cagr, sharpe, max_dd, sr_period, skew, kurt FROM summ"
 _VSTRESS = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _STRESS)
@@ -479,7 +560,7 @@ def _evaluated(spark, d, **more) -> DataFrame:
     market = order_panel(spark, d).withColumn("r", pct_change("adj_close")).groupBy("date").agg(F.avg("r").alias("r")).withColumn("rf", F.lit(0.0008))
     bench = metrics.summarize(SPLITS.explode(market), ["split"], PPY)
     net = _grid_net(spark, d, 1.0).where(F.col("date") <= F.lit(SPLITS.val_end).cast("date"))
-    sim = B.episodes(B.simulate(_grid(spark, d), "next_close", _COST))
+    sim = B.episodes(B.simulate(_grid(spark, d), "next_close", _COST, rules=WHOLE))
     late = (F.col("entry") > F.lit(SPLITS.dev_end).cast("date")) & (F.col("entry") <= F.lit(SPLITS.val_end).cast("date"))
     trades = sim.groupBy("variant").agg(F.count(F.when(late, 1)).alias("n"))
     runs = metrics.worst_windows(net, ["variant"], (21,))

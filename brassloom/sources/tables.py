@@ -36,6 +36,17 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(order_bars(spark, sf_dir))
 
 
+def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ship date for every supplier, with bars of unit prices: assets grow with the table."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("date"),
+        F.col("l_suppkey").cast("string").alias("asset"),
+        (F.lit(PRICE_BASE) + F.col("l_extendedprice") / F.col("l_quantity") / 50.0).alias("px"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
+    )
+    return densify(li.groupBy("date", "asset").agg(F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"), F.count("*").cast("double").alias("volume")))
+
+
 def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of event values per event type."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("asset"), "event_id", "value")

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+import time
 import zipfile
 
 import numpy as np
@@ -14,7 +15,7 @@ from brassloom.functions.normal import cdf, quantile
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, ledger, metrics, prediction, quality, signals, stats
 from brassloom.operators.asof import asof_join
-from brassloom.plans.panel import HoldoutViolation, Splits, densify, guard, weight_faults
+from brassloom.plans.panel import HoldoutViolation, Splits, densify, guard, monthly_rf, weight_faults
 from brassloom.sources import parsers
 from brassloom.streaming import bars as streaming
 
@@ -38,8 +39,11 @@ def weighted(p, weights):
 FREE = B.Costs(half_spread_bps=0, slippage_bps=0, sec_per_million=0, taf_per_share=0, borrow_bps=0, margin_rate=0, cash_haircut=0)
 
 
+OPEN = B.Rules(allow_short=True, opened=True)
+
+
 def net(rows, mode, costs=FREE):
-    return [r.net for r in B.periods(B.simulate(rows, mode, costs)).orderBy("date").collect()]
+    return [r.net for r in B.periods(B.simulate(rows, mode, costs, rules=OPEN)).orderBy("date").collect()]
 
 
 def test_open_to_close_path(spark):
@@ -62,7 +66,7 @@ def test_costs_are_charged_on_both_sides_and_double(spark):
 def test_drift_causes_turnover(spark):
     p = panel(spark, {"a": [100, 100, 200], "b": [100, 100, 100]})
     rows = weighted(p, {"a": [0.5] * 3, "b": [0.5] * 3})
-    t = [r.turnover for r in B.periods(B.simulate(rows, "same_close", FREE)).orderBy("date").collect()]
+    t = [r.turnover for r in B.periods(B.simulate(rows, "same_close", FREE, rules=OPEN)).orderBy("date").collect()]
     assert t == pytest.approx([1, 0, 1 / 3])
 
 
@@ -76,7 +80,7 @@ def test_episode_profits_add_up_to_returns(spark):
     rng = np.random.default_rng(1)
     p = panel(spark, {"a": np.cumprod(1 + rng.normal(0, 0.01, 60)) * 100, "b": np.cumprod(1 + rng.normal(0, 0.01, 60)) * 50})
     rows = weighted(p, {"a": ([0.5] * 10 + [-0.2] * 10 + [0] * 10) * 2, "b": [0] * 20 + [0.3] * 40})
-    sim = B.simulate(rows, "next_close", FREE)
+    sim = B.simulate(rows, "next_close", FREE, rules=OPEN)
     pnl = B.episodes(sim).agg(F.sum("pnl")).first()[0]
     assert pnl == pytest.approx(B.periods(sim).agg(F.sum("net")).first()[0])
     held = B.episodes(sim).where("asset = 'b'").collect()
@@ -96,6 +100,33 @@ def test_weights_and_holdout_are_guarded(spark):
         B.simulate(p, "tomorrow")
 
 
+def test_simulation_refuses_what_breaks_its_rules(spark):
+    p = panel(spark, {"a": [1, 2, 3], "b": [4, 5, 6]})
+    early = Splits("2019-01-01", "2030-01-01")
+    run = lambda rows, mode="next_close", **how: B.simulate(rows, mode, FREE, rules=B.Rules(**{"splits": early, **how})).count() and B.periods(B.simulate(rows, mode, FREE, rules=B.Rules(**{"splits": early, **how}))).collect()
+    good = weighted(p, {"a": [0.5] * 3, "b": [0.5] * 3})
+    assert len(run(good)) == 3 and len(run(good, splits=Splits("2019-01-01", "2020-01-02"), opened=True)) == 3
+    for rows, how, message in [
+        (weighted(p, {"a": [0.8] * 3, "b": [0.8] * 3}), {}, "gross exposure"),
+        (weighted(p, {"a": [-0.1] * 3}), {}, "short"),
+        (weighted(p, {"a": [float("nan")] * 3}), {}, "finite"),
+        (good, {"splits": Splits("2019-01-01", "2020-01-02")}, "holdout"),
+        (good.withColumn("open", F.lit(None).cast("double")), {"mode": "next_open"}, "open is missing"),
+    ]:
+        with pytest.raises(Exception, match=message):
+            run(rows, **how)
+    assert len(run(weighted(p, {"a": [0.8] * 3, "b": [0.8] * 3}), max_gross=2.0)) == 3
+
+
+def test_a_month_without_a_rate_raises(spark):
+    p = panel(spark, {"a": [1.0] * 40})
+    rates = spark.createDataFrame([(DAY, 1.0)], "month date, percent double")
+    with pytest.raises(Exception, match="no rate for 2020-02-01"):
+        monthly_rf(p, rates).collect()
+    got = [r.rf for r in monthly_rf(p.where("date < '2020-02-01'"), rates).collect()]
+    assert np.prod([1 + x for x in got]) == pytest.approx(1.01)
+
+
 def test_look_ahead_is_found(spark):
     p = panel(spark, {"a": list(range(1, 81)), "b": list(range(80, 0, -1))})
     cuts = spark.createDataFrame([(day(40),), (day(60),)], "date date")
@@ -222,3 +253,84 @@ def test_streaming_bars(spark, tmp_path):
     batch = {r.start: r for r in streaming.bars(events).collect()}
     rows = out.collect()
     assert len(rows) >= len(batch) - 2 and all(r.close == batch[r.start].close and r.volume == batch[r.start].volume for r in rows)
+
+
+def test_long_series_fold_in_linear_time(spark):
+    n = 100_000
+    z = F.sin(F.col("id") / 7.0) * 2
+    df = spark.range(n).select(F.lit("k").alias("k"), "id", F.when(F.col("id") % 11 != 0, z).alias("z"), (F.col("id") % 13 == 3).alias("go"), (F.col("id") % 5 == 3).alias("stop"))
+    began = time.perf_counter()
+    mean, held, three = (x.orderBy("id").toPandas() for x in (folds.ema(df, ["k"], "id", "z", 0.2), folds.hysteresis(df, ["k"], "id", "go", "stop"), folds.three_state(df, ["k"], "id", "z", 1.0, 0.5)))
+    assert time.perf_counter() - began < 60
+    s = state = pair = None
+    state, pair = 0, 0
+    zs = [None if i % 11 == 0 else math.sin(i / 7.0) * 2 for i in range(n)]
+    for i, v in enumerate(zs):
+        s = s if v is None else v if s is None else 0.2 * v + 0.8 * s
+        go, stop = i % 13 == 3, i % 5 == 3
+        state = int(go) if not state else int(not stop)
+        if v is not None:
+            if pair == 0:
+                pair = -1 if v > 1 else 1 if v < -1 else 0
+            elif (pair < 0 and v < 0.5) or (pair > 0 and v > -0.5):
+                pair = 0
+        if i % 997 == 0 or i < 300:
+            assert held.out[i] == state and three.out[i] == (0 if v is None else pair)
+            assert (s is None and math.isnan(mean.out[i])) or mean.out[i] == pytest.approx(s, abs=1e-9)
+
+
+@pytest.mark.parametrize("span", [1.0, 7.0, 1000.0])
+def test_asof_with_spans_equals_asof_without(spark, span):
+    rng = np.random.default_rng(4)
+    # one key holds most rows, and long stretches have no right row
+    left = spark.createDataFrame([(str(k), i, float(t)) for i, (k, t) in enumerate(zip(rng.choice(3, 400, p=[0.8, 0.1, 0.1]), rng.integers(0, 300, 400)))] + [("0", 999, None)], "k string, i long, t double")
+    right = spark.createDataFrame([(str(k), float(t), j) for j, (k, t) in enumerate(zip(rng.choice(3, 60, p=[0.8, 0.1, 0.1]), rng.choice([*range(20, 60), *range(200, 220)], 60)))], "k string, at double, v long")
+    how = dict(left_on="t", right_on="at", by=["k"], take=["v", "at"], tie="v")
+    for tolerance in (None, 9.0):
+        got, want = (sorted(map(tuple, asof_join(left, right, tolerance=tolerance, span=s, **how).collect()), key=str) for s in (span, None))
+        assert got == want
+    days = left.withColumn("t", F.date_add(F.lit(DAY), F.col("t").cast("int")))
+    on = right.withColumn("at", F.date_add(F.lit(DAY), F.col("at").cast("int")))
+    got, want = (sorted(map(tuple, asof_join(days, on, tolerance=30, span=s, **how).collect()), key=str) for s in (span, None))
+    assert got == want
+
+
+def test_spread_of_most_likelihood_is_found(spark):
+    rng = np.random.default_rng(6)
+    xnd = rng.choice([1.0, 2.0, 4.0], 20_000)
+    err = np.round(rng.normal(0, np.sqrt(1.2**2 + (0.7 * xnd) ** 2)))
+    rows = spark.createDataFrame([(DAY, 60.0 + float(e), 60.0, 0.0, float(x)) for e, x in zip(err, xnd)], "D date, actual double, txn double, bias double, xnd double")
+    found = prediction.fit_sigma(rows, "2021-01-01")
+    assert found["n"] == 20_000 and found["a"] == pytest.approx(1.2, abs=0.15) and found["c"] == pytest.approx(0.7, abs=0.05)
+    assert stats.nelder_mead(lambda p: (p[0] - 3) ** 2 + (p[1] + 1) ** 4, [0.0, 0.0]) == pytest.approx([3, -1], abs=0.05)
+
+
+def test_bootstraps_have_the_spread_that_follows(spark):
+    rng = np.random.default_rng(8)
+    r = rng.normal(0.001, 0.01, 500)
+    own = series(spark, r)
+    log = np.log1p(r)
+    draws = stats.resample_trades(own, ["k"], "r", ["date"], n_sims=4000).first()
+    mean, sd = 500 * log.mean(), math.sqrt(500) * log.std()
+    assert math.log(draws.final_p50) == pytest.approx(mean, abs=0.06 * sd + 0.01)
+    assert math.log(draws.final_p95) - math.log(draws.final_p05) == pytest.approx(2 * 1.645 * sd, rel=0.1)
+    blocks = stats.block_bootstrap(own, ["k"], n_sims=4000).first()
+    assert math.log(blocks.final_p50) == pytest.approx(mean, abs=0.1 * sd + 0.01)
+    # blocks keep the order inside them: a series of two long halves stays wider than its shuffled draws
+    halves = series(spark, [0.01] * 100 + [-0.01] * 100)
+    wide = lambda x: x.final_p95 / x.final_p05
+    assert wide(stats.block_bootstrap(halves, ["k"], n_sims=2000).first()) > 2 * wide(stats.resample_trades(halves, ["k"], "r", ["date"], n_sims=2000).first())
+
+
+def test_levels_and_buying_power(spark):
+    kinds = [("debit_spread", -210.0, 0.0, 400.0), ("iron_condor", 150.0, 0.0, 350.0), ("cash_secured_put", 120.0, 5000.0, 4880.0), ("naked_call", 99.0, 0.0, None)]
+    df = spark.createDataFrame(kinds, "kind string, cash double, secured double, loss double")
+    got = {r.kind: (r.level, r.need) for r in df.select("kind", I.level(F.col("kind")).alias("level"), I.buying_power(F.col("kind"), F.col("cash"), F.col("secured"), F.col("loss")).alias("need")).collect()}
+    assert got == {"debit_spread": (3, 210.0), "iron_condor": (3, 350.0), "cash_secured_put": (1, 4880.0), "naked_call": (None, None)}
+
+
+def test_panel_is_made_in_one_scan(spark):
+    from brassloom.sources.tables import order_panel
+
+    plan = order_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
