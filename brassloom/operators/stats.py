@@ -61,10 +61,12 @@ def sharpe_difference(pairs: DataFrame, keys: list[str], a: str = "a", b: str =
     return out.withColumn("p", 1 - cdf("z")).select(*keys, "n", "z", "p")
 
 
-def _paths(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    eq = np.cumprod(1.0 + x[at], axis=1)
-    peak = np.maximum.accumulate(np.maximum(eq, 1.0), axis=1)
-    return eq[:, -1], (eq / peak - 1.0).min(axis=1)
+def _outcomes(returns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Final equity and deepest drawdown of each row of returns, by sums of logarithms."""
+    with np.errstate(divide="ignore"):
+        level = np.log1p(np.maximum(returns, -1.0)).cumsum(axis=1)
+    top = np.maximum.accumulate(np.maximum(level, 0.0), axis=1)
+    return np.exp(level[:, -1]), np.expm1((level - top).min(axis=1))
 
 
 def _simulated(series: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int, chunk: int, least: int, draw, seed: int) -> DataFrame:
@@ -79,7 +81,7 @@ def _simulated(series: DataFrame, keys: list[str], value: str, order: list[str],
             for i in range(len(batch)):
                 x = np.asarray(batch.column(len(keys))[i].as_py())
                 c = batch.column(len(keys) + 1)[i].as_py()
-                f, d = _paths(x, draw(np.random.default_rng([seed, c]), min(chunk, n_sims - c * chunk), len(x)))
+                f, d = _outcomes(draw(np.random.default_rng([seed, c]), min(chunk, n_sims - c * chunk), x))
                 same = [pa.array([batch.column(k)[i].as_py()] * len(f), batch.column(k).type) for k in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(f), pa.array(d)], names=[*keys, "final", "dd"])
 
@@ -92,16 +94,18 @@ def _simulated(series: DataFrame, keys: list[str], value: str, order: list[str],
 
 def resample_trades(trades: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int = 10_000, n_trades: int | None = None, seed: int = 0, chunk: int = 1000) -> DataFrame:
     """Distribution of final equity and drawdown when each key's trades are drawn with replacement; keys with under five trades give none."""
-    return _simulated(trades, keys, value, order, n_sims, chunk, 5, lambda rng, m, n: rng.integers(0, n, (m, n_trades or n)), seed)
+    return _simulated(trades, keys, value, order, n_sims, chunk, 5, lambda rng, m, x: rng.choice(x, (m, n_trades or len(x))), seed)
 
 
 def block_bootstrap(series: DataFrame, keys: list[str], value: str = "r", horizon: int | None = None, block: int = 21, n_sims: int = 10_000, seed: int = 0, chunk: int = 1000) -> DataFrame:
     """The same for blocks of consecutive returns, which wrap around at the end; keys with under two blocks give none."""
 
-    def draw(rng: np.random.Generator, m: int, n: int) -> np.ndarray:
-        h = horizon or n
-        starts = rng.integers(0, n, (m, -(-h // block)))
-        return ((starts[:, :, None] + np.arange(block)) % n).reshape(m, -1)[:, :h]
+    def draw(rng: np.random.Generator, m: int, x: np.ndarray) -> np.ndarray:
+        # Every block there is, those that wrap around included, as a row of a view.
+        blocks = np.lib.stride_tricks.sliding_window_view(np.resize(x, len(x) + block - 1), block)
+        length = horizon or len(x)
+        picked = blocks[rng.integers(len(blocks), size=(m, math.ceil(length / block)))]
+        return picked.reshape(m, -1)[:, :length]
 
     return _simulated(series, keys, value, ["date"], n_sims, chunk, 2 * block, draw, seed)
 

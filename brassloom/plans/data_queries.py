@@ -16,7 +16,11 @@ _DAY = "dy AS (SELECT event_type AS asset, ts::DATE AS date, arg_min(value, even
 
 def _days(spark, d) -> DataFrame:
     e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("asset"), F.to_date("ts").alias("date")).agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.count("*").cast("double").alias("volume"))
+    return e.groupBy(F.col("event_type").alias("asset"), F.to_date("ts").alias("date")).agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.count("*").cast("double").alias("volume")).withColumn("month", F.trunc("date", "month"))
+
+
+#: A payload holds a month of an asset, or a day of a ticker, so its length has a bound.
+_MONTH = "month"
 
 
 def _sorted(*columns):
@@ -27,7 +31,7 @@ def _sorted(*columns):
 def s_daily_csv(spark, d):
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("date", "open", "high", "low", "close", "volume")])
     text = F.concat(F.lit("Date,Open,High,Low,Close,Volume\n"), F.array_join(F.transform(_sorted("date", line.alias("l")), lambda x: x["l"]), "\n"))
-    return parsers.parse_daily_csv(_days(spark, d).groupBy("asset").agg(text.alias("text")), ["asset"], "text")
+    return parsers.parse_daily_csv(_days(spark, d).groupBy("asset", _MONTH).agg(text.alias("text")), ["asset"], "text")
 
 
 @query("s_chart_json", "asset date", "open high low close volume adj_close", f"WITH {_DAY} SELECT *, close AS adj_close FROM dy WHERE volume > 50")
@@ -36,7 +40,7 @@ def s_chart_json(spark, d):
     fields = ("open", "high", "low", "close", "volume")
     days = _days(spark, d).withColumn("close", F.when(F.col("volume") > 50, F.col("close")))
     rows = _sorted("date", *fields).alias("r")
-    docs = days.groupBy("asset").agg(rows)
+    docs = days.groupBy("asset", _MONTH).agg(rows)
     arrays = F.struct(F.transform("r", lambda x: F.unix_date(x["date"]).cast("long") * 86_400 + 3600).alias("timestamp"), F.lit(7200).cast("long").alias("gmtoffset"), *[F.col(f"r.{c}").alias(c) for c in fields])
     return parsers.parse_chart(docs.select("asset", F.to_json(arrays, {"ignoreNullFields": "false"}).alias("text")), ["asset"], "text")
 
@@ -50,7 +54,7 @@ def s_series_csv(spark, d):
 @query("s_candles", "asset ts", "open high low close volume", f"WITH {_DAY} SELECT *, date::TIMESTAMP AS ts FROM dy")
 def s_candles(spark, d):
     x = F.array(F.unix_date("date").cast("double") * 86_400, "low", "high", "open", "close", "volume")
-    docs = _days(spark, d).groupBy("asset").agg(F.to_json(F.concat(F.collect_list(x), F.collect_list(x))).alias("text"))
+    docs = _days(spark, d).groupBy("asset", _MONTH).agg(F.to_json(F.concat(F.collect_list(x), F.collect_list(x))).alias("text"))
     return parsers.parse_candles(docs, ["asset"], "text")
 
 
@@ -59,7 +63,7 @@ def s_klines(spark, d):
     """Times are in milliseconds for some assets and in microseconds for others."""
     unit = F.when(F.length("asset") % 2 == 0, 1_000_000).otherwise(1000)
     x = F.array((F.unix_date("date").cast("long") * 86_400 * unit).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")], *[F.lit("0")] * 6)
-    return parsers.parse_klines(_days(spark, d).groupBy("asset").agg(F.to_json(F.collect_list(x)).alias("text")), ["asset"], "text")
+    return parsers.parse_klines(_days(spark, d).groupBy("asset", _MONTH).agg(F.to_json(F.collect_list(x)).alias("text")), ["asset"], "text")
 
 
 @query("s_quote_candles", "ticker end_ts", "bid_close ask_close volume", "SELECT user_id AS ticker, event_id AS end_ts, value / 1e3 AS bid_close, value / 1e3 + 2e-2 AS ask_close, CASE WHEN event_id % 3 = 0 THEN 0e0 ELSE value END AS volume FROM events")
@@ -68,7 +72,7 @@ def s_quote_candles(spark, d):
     price = lambda x: F.when(odd, F.struct(x.alias("close"), F.lit(None).cast("double").alias("close_dollars"))).otherwise(F.struct(F.lit(None).cast("double").alias("close"), x.alias("close_dollars")))
     has = F.col("event_id") % 3 != 0
     c = F.struct(F.col("event_id").alias("end_period_ts"), price(v / 1000.0).alias("yes_bid"), price(v / 1000.0 + 0.02).alias("yes_ask"), F.when(has & odd, v).alias("volume"), F.when(has & ~odd, v).alias("volume_fp"))
-    docs = table(spark, d, "events").groupBy(F.col("user_id").alias("ticker")).agg(F.to_json(F.collect_list(c)).alias("text"))
+    docs = table(spark, d, "events").groupBy(F.col("user_id").alias("ticker"), F.to_date("ts").alias("day")).agg(F.to_json(F.collect_list(c)).alias("text"))
     return parsers.parse_quote_candles(docs, ["ticker"], "text")
 
 
