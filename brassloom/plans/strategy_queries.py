@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, signals, stats
+from brassloom.operators.runner import Trial, score, trial_rows
 from brassloom.operators.verdict import evaluate, report_lines
 from brassloom.plans.panel import Splits, by_date
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
@@ -489,6 +491,92 @@ def flagship_double_cost(spark, d):
     return _grid_summary(spark, d, 2.0)
 
 
+# --- families of strategies: each a builder and a range of parameters, all in one plan ----------------------------------------------
+
+
+def _up(n: int) -> str:
+    return f"adj_close > {roll('avg', 'adj_close', n)}"
+
+
+def _per_asset(condition: str) -> str:
+    return f"SELECT date, asset, {_flag(condition)} / 5e0 AS weight FROM panel"
+
+
+def _held(ctes: str, scale: str = "1e0") -> str:
+    return f"WITH {ctes} SELECT date, asset, {_monthly('')} * {scale} AS weight FROM t"
+
+
+def _vol_sql(target: float, n: int) -> tuple[str, str]:
+    return f"r AS (SELECT *, adj_close / lag(adj_close) OVER ({BY}) - 1 AS ret FROM panel), v AS (SELECT *, {roll('stddev_samp', 'ret', n)} AS vol FROM r)", f"CASE WHEN vol IS NULL THEN 0e0 WHEN vol = 0 THEN 1e0 ELSE least({target:.17e} / (vol * sqrt(52e0)), 1e0) END"
+
+
+def _families() -> list[tuple[Trial, str]]:
+    """Every trial with the SQL of its weights (date, asset, weight over panel); what acts on single assets has a fifth of equity for each."""
+    out = []
+
+    def add(family: str, params: dict, lookback: int, build, sql: str) -> None:
+        out.append((Trial(family, "_".join([family, *(f"{k}{v:g}" for k, v in params.items())]), build, params, lookback), sql))
+
+    fifth = lambda build: lambda p: signals.scaled(build(p), 1 / ASSETS)
+    for n in (10, 20, 30, 40):
+        add("trend", {"n": n}, n, fifth(lambda p, n=n: signals.price_above_sma(p, n)), _per_asset(_up(n)))
+        add("slots", {"n": n}, n, lambda p, n=n: signals.equal_slot_trend(p, n, ASSETS), _held(f"t AS (SELECT date, asset, {_FIRST}, {_flag(_up(n))} / 5e0 AS weight FROM panel)"))
+    for n in (13, 26, 52):
+        add("momentum", {"n": n}, n, fifth(lambda p, n=n: signals.momentum_sign(p, n)), _per_asset(f"adj_close / lag(adj_close, {n}) OVER ({BY}) - 1 > 0"))
+    for fast, slow in ((5, 20), (10, 40), (8, 32)):
+        add("cross", {"fast": fast, "slow": slow}, slow, fifth(lambda p, a=fast, b=slow: signals.sma_cross(p, a, b)), _per_asset(f"{roll('avg', 'adj_close', fast)} > {roll('avg', 'adj_close', slow)}"))
+    for look, k, absolute in product((13, 26, 52), (1, 3), (False, True)):
+        skip = 4 if look == 52 else 0
+        past = f"lag(adj_close, {skip}) OVER ({BY})" if skip else "adj_close"
+        ranked = f"m AS (SELECT date, asset, {past} / lag(adj_close, {look}) OVER ({BY}) - 1 AS mom FROM panel), k AS (SELECT date, asset, mom, CASE WHEN mom IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY mom DESC NULLS LAST, asset) END AS r FROM m)"
+        add("leaders", {"look": look, "skip": skip, "k": k, "abs": int(absolute)}, look, lambda p, a=look, s=skip, k=k, b=absolute: signals.xs_momentum(p, a, s, k, b), _held(f"{ranked}, t AS (SELECT date, asset, {_FIRST}, {_flag(f'r <= {k}' + (' AND mom > 0' if absolute else ''))} / {k}e0 AS weight FROM k)"))
+    for days in (2, 3, 4):
+        add("turn_of_month", {"days": days}, 0, fifth(lambda p, d=days: signals.turn_of_month(p, d)), _per_asset(f"row_number() OVER (PARTITION BY asset, date_trunc('month', date) ORDER BY date DESC) = 1 OR row_number() OVER (PARTITION BY asset, date_trunc('month', date) ORDER BY date) <= {days - 1}"))
+    for below, n in ((0.1, None), (0.2, None), (0.3, None), (0.2, 40)):
+        add("range_low", {"below": below, "n": n or 0}, n or 0, fifth(lambda p, b=below, n=n: signals.ibs_reversal(p, b, n)), _per_asset(f"(close - low) / nullif(high - low, 0) < {below:.17e}" + (f" AND {_up(n)}" if n else "")))
+    for target, n in product((0.08, 0.12, 0.15), (12, 26)):
+        ctes, w = _vol_sql(target, n)
+        add("vol_target", {"target": target, "n": n}, n + 1, fifth(lambda p, t=target, n=n: signals.vol_target(p, t, n, PPY)), _held(f"{ctes}, t AS (SELECT date, asset, {_FIRST}, {w} AS weight FROM v)", "2e-1"))
+    for target in (0.10, 0.15):
+        ctes, w = _vol_sql(target, 12)
+        add("trend_vol", {"n": 40, "target": target}, 40, fifth(lambda p, t=target: signals.trend_and_vol(p, 40, t, 12, PPY)), f"WITH {ctes}, t AS (SELECT date, asset, {_FIRST}, {w} AS weight, {_flag(_up(40))} AS up FROM v) SELECT date, asset, {_monthly('')} * up / 5e0 AS weight FROM t")
+    for n in (20, 30, 40):
+        ctes, _ = _vol_sql(0.1, 12)
+        add("inverse_vol", {"n": n}, n, lambda p, n=n: signals.inverse_vol_slots(p, n, 12), _held(f"{ctes}, i AS (SELECT *, CASE WHEN vol > 0 THEN 1e0 / vol END AS iv FROM v), t AS (SELECT date, asset, {_FIRST}, coalesce({_flag(_up(n))} * iv / sum(iv) OVER (PARTITION BY date), 0e0) AS weight FROM i)"))
+    return out
+
+
+FAMILIES = _families()
+_UNIVERSE = "priorities"
+
+
+def _family_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT '{t.variant}' AS variant, date, asset, weight FROM ({sql})" for t, sql in FAMILIES)
+    names = "variant, asset"
+    sim = _sim("next_close").replace(_WEIGHTS, f"wt AS (SELECT w.variant, p.*, w.weight FROM panel p JOIN ({each}) w ON w.date = p.date AND w.asset = p.asset)")
+    head, tail = sim.split(", s0 AS", 1)
+    sim = head + ", s0 AS" + tail.replace(BY, f"PARTITION BY {names} ORDER BY date").replace("PARTITION BY asset)", f"PARTITION BY {names})").replace("d AS (PARTITION BY date)", "d AS (PARTITION BY variant, date)")
+    per = _PERIODS.replace("SELECT date,", "SELECT variant, date,").replace("GROUP BY date", "GROUP BY variant, date")
+    summ = _SUMMARY[len(_RET):].lstrip(", \n")
+    start = f"(SELECT date FROM (SELECT DISTINCT date FROM panel) ORDER BY date LIMIT 1 OFFSET {max(t.lookback for t, _ in FAMILIES)})"
+    trades = f"tc AS (SELECT variant, split, count(*) AS n_trades FROM (SELECT variant, date FROM (SELECT *, coalesce(lag(sg) OVER (PARTITION BY {names} ORDER BY date), 0) AS psg FROM (SELECT *, CASE WHEN abs(pos) < 1e-9 THEN 0 ELSE sign(pos)::INT END AS sg FROM sim)) WHERE sg <> 0 AND sg <> psg AND date >= {start}) JOIN splits ON date BETWEEN a AND b GROUP BY 1, 2)"
+    bench = f"bn AS (SELECT split, avg(r - 8e-4) / nullif(stddev_samp(r - 8e-4), 0) * sqrt(52e0) AS bench_sharpe FROM (SELECT date, avg(r) AS r FROM (SELECT date, adj_close / lag(adj_close) OVER ({BY}) - 1e0 AS r FROM panel) GROUP BY 1) JOIN splits ON date BETWEEN a AND b WHERE r IS NOT NULL AND date >= {start} GROUP BY 1)"
+    ids = ", ".join(f"('{t.variant}', '{t.family}', '{t.id(_UNIVERSE)}')" for t, _ in FAMILIES)
+    ser = f"ser AS (SELECT variant AS asset, date, net AS r, 8e-4 AS rf FROM net WHERE date >= {start})"
+    return panel_sql("SELECT k.family, k.variant, k.trial_id, s.split, s.n_periods, coalesce(tc.n_trades, 0) AS n_trades, s.cagr, s.sharpe AS sharpe_ann, s.sr_period, s.skew, s.kurt, s.max_dd, bn.bench_sharpe FROM summ s JOIN known k ON k.variant = s.asset JOIN bn ON bn.split = s.split LEFT JOIN tc ON tc.variant = s.asset AND tc.split = s.split", f"{SPLIT_TABLE}, {sim}, {per}, {ser}, {summ}, {trades}, {bench}, known(variant, family, trial_id) AS (VALUES {ids})")
+
+
+@query("family_grid", "family variant trial_id split n_periods n_trades", "cagr sharpe_ann sr_period skew kurt max_dd bench_sharpe", _family_sql())
+def family_grid(spark, d):
+    """All trials of all families as rows for the ledger, scored on every split from the longest look-back on."""
+    from brassloom.operators.windows import pct_change
+
+    trials, p = [t for t, _ in FAMILIES], order_panel(spark, d)
+    market = p.withColumn("r", pct_change("adj_close")).groupBy("date").agg(F.avg("r").alias("r")).withColumn("rf", F.lit(0.0008))
+    scores = score(p, trials, SPLITS, PPY, _COST, "next_close", WHOLE, 0.0008, market)
+    return trial_rows(scores, trials, _UNIVERSE, "orders", "2024-01-01T00:00:00Z")
+
+
 # --- a panel that grows: suppliers are assets, days are bars ------------------------------------------------------------------
 
 _SUPPLIERS = """
