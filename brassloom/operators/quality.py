@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,42 @@ def assert_clean(issues: DataFrame) -> None:
         raise ValueError("data quality errors: " + "; ".join(f"{r['check']}: {r['n']}" for r in errors))
 
 
-def spot_check(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 0.002) -> DataFrame:
-    """keys and how two sources' returns agree: days in common, correlation, share within tol, range of the level ratio."""
+def validate(datasets: dict[str, DataFrame], keys: list[str], **how) -> DataFrame:
+    """dataset, rows, first, last, and how many issues of either kind its series have."""
+    out = []
+    for name, bars in datasets.items():
+        rows = bars.agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"))
+        found = check_bars(bars, keys, **how).agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warn", 1)).alias("warnings"))
+        out.append(rows.crossJoin(found).select(F.lit(name).alias("dataset"), "*"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
+def both_returns(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, date and the closes and returns of two sources on the dates that both have."""
     w = Window.partitionBy(*keys).orderBy("date")
     ra = a.select(*keys, "date", F.col("close").alias("_ca"), pct_change("close", 1, w).alias("_a"))
     rb = b.select(*keys, "date", F.col("close").alias("_cb"), pct_change("close", 1, w).alias("_b"))
-    df = ra.join(rb, [*keys, "date"])
+    return ra.join(rb, [*keys, "date"])
+
+
+def top_differences(a: DataFrame, b: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """keys, rank, date and diff: the n dates on which two sources' returns differ most."""
+    df = both_returns(a, b, keys).withColumn("diff", F.abs(F.col("_a") - F.col("_b"))).where("diff IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("diff").desc(), "date"))
+    return df.select(*keys, rank.alias("rank"), "date", "diff").where(F.col("rank") <= n)
+
+
+def sampled_differences(a: DataFrame, b: DataFrame, keys: list[str], n: int = 40, seed: int = 0) -> DataFrame:
+    """keys, sample_n and the greatest difference in a sample of n dates, chosen by a hash of the date."""
+    df = both_returns(a, b, keys).withColumn("diff", F.abs(F.col("_a") - F.col("_b"))).where("diff IS NOT NULL")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("date").cast("string")).cast("binary"))
+    chosen = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= n)
+    return chosen.groupBy(*keys).agg(F.count("*").alias("sample_n"), F.max("diff").alias("sample_worst"))
+
+
+def spot_check(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 0.002) -> DataFrame:
+    """keys and how two sources' returns agree: days in common, correlation, share within tol, range of the level ratio."""
+    df = both_returns(a, b, keys)
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     pair = lambda c: F.when(both, F.col(c))
     near = F.when(both, F.when(F.abs(F.col("_a") - F.col("_b")) <= tol, 1.0).otherwise(0.0))

@@ -110,8 +110,12 @@ def term_structure(panel: DataFrame, front: str, back: str, below: float, cap: f
     return rows.withColumn("weight", cap * flag(on)).drop("_f", "_b")
 
 
-def turn_of_month(panel: DataFrame, days_after: int) -> DataFrame:
-    """Hold on a month's last session and its first days_after - 1, on the panel's calendar."""
+def turn_of_month(panel: DataFrame, days_after: int, calendar: DataFrame | None = None) -> DataFrame:
+    """Hold on a month's last session and its first days_after - 1, on the panel's calendar or on a given one (date); dates that it lacks are no sessions."""
+    if calendar is not None:
+        n, left = session_of_month()
+        days = calendar.select("date").distinct().select("date", n.alias("_n"), left.alias("_left"))
+        return panel.join(days, "date", "left").withColumn("weight", flag((F.col("_left") == 0) | (F.col("_n") <= days_after - 1))).drop("_n", "_left")
     n, left = session_of_month("asset")
     return panel.withColumn("_n", n).withColumn("_left", left).withColumn("weight", flag((F.col("_left") == 0) | (F.col("_n") <= days_after - 1))).drop("_n", "_left")
 

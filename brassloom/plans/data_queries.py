@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brassloom.operators import ledger, quality
 from brassloom.plans.registry import PANEL, panel_sql, query
-from brassloom.sources import parsers
+from brassloom.sources import cache, parsers
 from brassloom.sources.tables import order_bars, table
 from brassloom.streaming.bars import bars
 
@@ -114,6 +114,42 @@ def d_spot_check(spark, d):
     return quality.spot_check(a, b, ["asset"])
 
 
+_OTHER = "SELECT *, close * 1.05e0 + CASE WHEN volume > 8 THEN 1e0 ELSE 0e0 END AS c2 FROM bars"
+_DIFF = f"df AS (SELECT asset, date, abs(a - b) AS diff FROM (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS a, c2 / lag(c2) OVER (PARTITION BY asset ORDER BY date) - 1 AS b FROM ({_OTHER})) WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def _two_sources(spark, d) -> tuple[DataFrame, DataFrame]:
+    a = order_bars(spark, d)
+    return a, a.withColumn("close", F.col("close") * 1.05 + F.when(F.col("volume") > 8, 1.0).otherwise(0.0))
+
+
+@query("d_top_differences", "asset rank date", "diff", panel_sql("SELECT asset, rank, date, diff FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(diff, 9) DESC, date) AS rank FROM df) WHERE rank <= 5", _DIFF))
+def d_top_differences(spark, d):
+    """The five dates of each asset on which two sources differ most."""
+    return quality.top_differences(*_two_sources(spark, d), ["asset"])
+
+
+@query("d_sampled_differences", "asset sample_n", "sample_worst", panel_sql("SELECT asset, count(*) AS sample_n, max(diff) AS sample_worst FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY md5('0:' || date::VARCHAR)) AS n FROM df) WHERE n <= 40 GROUP BY 1", _DIFF))
+def d_sampled_differences(spark, d):
+    return quality.sampled_differences(*_two_sources(spark, d), ["asset"])
+
+
+_ISSUES = _CHECKS[len(f"WITH {PANEL}, {_BARS}, "):]
+
+
+@query("d_validation", "dataset rows first last errors warnings", "", " UNION ALL ".join(f"SELECT '{name}' AS dataset, (SELECT count(*) FROM ({source})) AS rows, (SELECT min(date) FROM ({source})) AS first, (SELECT max(date) FROM ({source})) AS last, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warn') AS warnings FROM (WITH {ctes}, {_ISSUES})" for name, source, ctes in (("orders", f"WITH {PANEL} SELECT * FROM bars", f"{PANEL}, {_BARS}"), ("events", f"WITH {_DAY} SELECT * FROM dy", f"{_DAY}, br AS (SELECT asset, date, open, high, low, close, volume FROM dy)"))))
+def d_validation(spark, d):
+    """One line for each dataset: its rows and dates, and the issues that its series have."""
+    return quality.validate({"orders": _faulty(spark, d), "events": _days(spark, d)}, ["asset"])
+
+
+@query("s_fetch_plan", "ticker", "volume", "SELECT user_id AS ticker, sum(value) AS volume FROM events GROUP BY 1 HAVING sum(value) >= 1e3 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 1.5e2)")
+def s_fetch_plan(spark, d):
+    """Tickers of enough volume that haven't been fetched yet."""
+    e = table(spark, d, "events").withColumnRenamed("user_id", "ticker")
+    return cache.fetch_plan(e.groupBy("ticker").agg(F.sum("value").alias("volume")), e.where("event_type = 'purchase' AND value > 150"), "ticker", "volume", 1000.0)
+
+
 # --- ledgers: each customer segment and priority is a trial, logged once per split ------------------------------------------
 
 _LOG = "lg AS (SELECT substr(sha1(c_mktsegment || '|' || o_orderpriority), 1, 10) AS trial_id, o_orderdate::DATE::VARCHAR AS timestamp_utc, CASE o_orderstatus WHEN 'F' THEN 'DEVELOPMENT' WHEN 'P' THEN 'VALIDATION' ELSE 'DEV+VAL' END AS split, CASE WHEN o_orderkey % 4 = 0 THEN 2e0 ELSE 1e0 END AS cost_mult, CASE WHEN o_totalprice < 2e4 THEN 'needs_data' ELSE 'tested' END AS status, o_totalprice / 1e6 AS sr_period, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY timestamp_utc, o_orderkey) AS n FROM lg) WHERE n = 1)"

@@ -82,6 +82,14 @@ def o_open_position(spark, d):
     return out.withColumn("cash", F.col("net") - F.col("fees"))
 
 
+@query("o_quote_faults", "l_orderkey l_linenumber fault", "", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_returnflag NOT IN ('C', 'P', 'A', 'N') THEN 'right must be C or P' WHEN l_tax < l_discount THEN 'crossed quote' END AS fault FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') OR l_tax < l_discount")
+def o_quote_faults(spark, d):
+    """Quotes that are refused, with the reason."""
+    right = F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "P").otherwise(F.col("l_returnflag"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", I.quote_fault(right, F.col("l_discount"), F.col("l_tax")).alias("fault"))
+    return li.where("fault IS NOT NULL")
+
+
 _POINTS = "ff AS (SELECT * FROM fl WHERE position IN (SELECT position FROM fl GROUP BY 1 HAVING count(px) = count(*))), pt AS (SELECT position, unnest([0e0, hi, hi * 2] || ks) AS spot, hi FROM (SELECT position, list(DISTINCT strike) AS ks, max(strike) * 10 + 1000 AS hi FROM ff GROUP BY 1)), pl AS (SELECT f.position, p.spot, p.hi, sum(CASE f.side WHEN 'sell' THEN f.px ELSE -f.px END * 100 * qty) - sum(qty) * " + _PER + " + sum(CASE f.side WHEN 'buy' THEN 1 ELSE -1 END * qty * 100 * CASE opt WHEN 'C' THEN greatest(p.spot - strike, 0e0) ELSE greatest(strike - p.spot, 0e0) END) AS pnl FROM ff f JOIN pt p ON p.position = f.position GROUP BY 1, 2, 3)"
 
 

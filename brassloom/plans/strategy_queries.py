@@ -62,6 +62,15 @@ _signal("x_trend_vol_weekly", lambda p: signals.trend_and_vol(p, 20, 0.15, 12, P
 _IV = f"{_VOL}, i AS (SELECT *, CASE WHEN vol > 0 THEN 1e0 / vol END AS iv FROM v), t AS (SELECT date, asset, {_FIRST}, coalesce({_flag('adj_close > ' + roll('avg', 'adj_close', 20))} * iv / sum(iv) OVER (PARTITION BY date), 0e0) AS weight FROM i)"
 _signal("x_inverse_vol_slots", lambda p: signals.inverse_vol_slots(p, 20, 12), _monthly(""), _IV, "t")
 _signal("x_turn_of_month", lambda p: signals.turn_of_month(p, 2), _flag("row_number() OVER (PARTITION BY asset, date_trunc('month', date) ORDER BY date DESC) = 1 OR row_number() OVER (PARTITION BY asset, date_trunc('month', date) ORDER BY date) <= 1"))
+
+
+@query("x_turn_of_month_calendar", "date asset", "weight", panel_sql("SELECT p.date, p.asset, CASE WHEN c.r = 1 OR c.n <= 1 THEN 1e0 ELSE 0e0 END AS weight FROM panel p LEFT JOIN (SELECT date, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS n, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date DESC) AS r FROM (SELECT DISTINCT l_shipdate::DATE AS date FROM lineitem)) c ON c.date = p.date"))
+def x_turn_of_month_calendar(spark, d):
+    """Sessions counted on a calendar of its own, the ship dates."""
+    calendar = table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return signals.turn_of_month(order_panel(spark, d), 2, calendar)
+
+
 _signal("x_always_long", lambda p: signals.always_long(p), "1e0")
 _signal("x_scaled", lambda p: signals.scaled(signals.price_above_sma(p, 20), 0.5), f"5e-1 * {_flag('adj_close > ' + roll('avg', 'adj_close', 20))}")
 

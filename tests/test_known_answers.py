@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from brassloom.functions import instruments as I
 from brassloom.functions.normal import cdf, quantile
 from brassloom.operators import backtest as B
-from brassloom.operators import folds, ledger, metrics, prediction, quality, signals, stats
+from brassloom.operators import folds, ledger, metrics, prediction, quality, runner, signals, stats
 from brassloom.operators.asof import asof_join
 from brassloom.plans.panel import HoldoutViolation, Splits, densify, guard, monthly_rf, weight_faults
-from brassloom.sources import parsers
+from brassloom.sources import cache, parsers
 from brassloom.streaming import bars as streaming
 
 DAY = dt.date(2020, 1, 1)
@@ -334,3 +334,35 @@ def test_panel_is_made_in_one_scan(spark):
 
     plan = order_panel(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower()
+
+
+def test_trades_are_kept_by_variant(spark, tmp_path):
+    path = f"{tmp_path}/trades"
+    rows = lambda k: spark.createDataFrame([(v, float(i), k) for v in ("a", "b") for i in range(3)], "variant string, pnl double, run int")
+    cache.write_trades(rows(1), path)
+    cache.write_trades(rows(2).where("variant = 'b'"), path)
+    got = {(r.variant, r.run) for r in cache.read_trades(spark, path).collect()}
+    assert got == {("a", 1), ("b", 2)} and cache.read_trades(spark, path, "a").count() == 3
+
+
+def test_fetch_plans_resume(spark):
+    listed = spark.createDataFrame([("a", 5.0), ("b", 50.0), ("c", 70.0), ("d", 60.0)], "t string, v double")
+    plan = cache.fetch_plan(listed, spark.createDataFrame([("d",)], "t string"), "t", "v", 10.0, 1)
+    assert [r.t for r in plan.collect()] == ["c"]
+    months = spark.createDataFrame([("k", 1), ("k", 2)], "key string, month int")
+    assert [r.month for r in cache.months_missing(months, months.where("month = 1")).collect()] == [2]
+
+
+def test_runner_scores_on_a_common_window_and_logs(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    p = panel(spark, {a: np.cumprod(1 + rng.normal(0.001, 0.01, 120)) * 100 for a in "xy"})
+    half = lambda n: lambda q: signals.scaled(signals.price_above_sma(q, n), 0.5)
+    trials = [runner.Trial("trend", f"sma{n}", half(n), {"n": n}, n) for n in (5, 30)]
+    splits = Splits("2020-03-15", "2020-04-29", "t")
+    scores = runner.score(p, trials, splits, 252, FREE, "next_close", B.Rules(splits=splits, opened=True))
+    rows = runner.trial_rows(scores, trials, "u", "s", "2020")
+    found = {(r.variant, r.split): r for r in rows.collect()}
+    assert len(found) == 6 and {r.data_range[:10] for (_, s), r in found.items() if s != "VALIDATION"} == {str(day(30))}
+    path = f"{tmp_path}/trials"
+    assert (ledger.log_trials(rows, path), ledger.log_trials(rows, path)) == (6, 0)
+    assert ledger.n_trials(ledger.load(spark, path, ledger.TRIALS)).first().n == 2
