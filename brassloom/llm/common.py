@@ -14,8 +14,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that become Python objects at a time: whole documents are wide. Spark itself bounds a batch's bytes.
+#: Rows of an Arrow batch, and of one that become Python objects at a time: whole documents are wide.
 ARROW_ROWS = 500
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of one or two numbers each up to which a counted table is broadcast (24 MB at most).
 FEW_IDS = 1_000_000
 
@@ -72,6 +73,9 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it."""
     sc: SparkContext = spark.sparkContext
     key = (sc.applicationId, id(sc))
+    # Batches of Spark's default size take 64 MB of each task, beside and in its Python worker. A session that names a size of its own keeps it.
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, ARROW_ROWS)
     if key in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
@@ -84,7 +88,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ARROW_ROWS rows, so that what a task makes of one stays small; the session's settings are left alone."""
+    """The batches in slices of ARROW_ROWS rows, so that what a task makes of one stays small, whatever size the session asks for."""
     for batch in batches:
         for at in range(0, batch.num_rows, ARROW_ROWS):
             yield batch.slice(at, ARROW_ROWS)
