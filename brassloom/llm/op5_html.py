@@ -296,7 +296,9 @@ def tree(features: DataFrame) -> DataFrame:
     # A block on n of m pages has entropy log n / log m over them: 1 where it is on all, 0 where it is on one.
     leaf = F.when(F.col("pages") <= 1, 1.0).otherwise(1.0 - F.least(F.lit(1.0), F.ln("n") / log))
     plain = F.col("chars") - F.col("links")
-    at = counts.where("NOT is_style").drop("elements").join(styles.select("host", "path", "pages"), ["host", "path"])
+    # What counts of a block is on how many pages it is, so blocks are summed by that before they meet their node.
+    alike = counts.where("NOT is_style").groupBy("host", "path", "n").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.bit_or("flags").alias("flags"))
+    at = alike.join(styles.select("host", "path", "pages"), ["host", "path"])
     info = plain * (FLOOR + (1 - FLOOR) * leaf) * F.when(_has(BELOW), PRIOR[0]).otherwise(1.0)
     leaves = at.groupBy("host", "path").agg(F.sum(plain * leaf).alias("worth"), F.sum(info).alias("info"), F.sum("chars").alias("chars"), F.bit_or("flags").alias("flags"))
     # A node's content is that of all blocks at or below it.
