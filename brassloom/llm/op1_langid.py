@@ -4,9 +4,9 @@ A text is the average of the embeddings of all its letter n-grams (two to four
 letters of a word, its ends marked), hashed into a fixed number of buckets; a
 linear softmax over the average gives the languages' probabilities. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy, on a
-bounded sample (``SAMPLE`` documents of at most ``LONGEST`` code points, chosen
-by a hash of their id; the largest test tables hold more labelled rows than it
-takes). A second sample sets the temperature that makes probabilities honest,
+bounded sample (``SAMPLE`` documents of at most ``LONGEST`` code points in all, an
+equal share of each language, so that rare ones are learned as well; chosen by a hash
+of their id). A second sample sets the temperature that makes probabilities honest,
 and the least probability at which a prediction is accepted.
 
 As the average and the softmax are linear, embeddings and weights are multiplied
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brassloom.llm.common import fold, ship, small_batches, table
@@ -36,6 +36,8 @@ WIDTH = 16
 EPOCHS = 4
 #: Documents that are learned from, and as many code points at most in each; a quarter of them serves calibration.
 SAMPLE, LONGEST = 4000, 20_000
+#: Documents that a language needs of the sample.
+EACH = 20
 #: Share of wrong predictions that may be among the accepted ones.
 ERRORS = 0.01
 SLICE = 1 << 20
@@ -152,18 +154,19 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Train on a bounded sample of labelled (doc_id, text, lang); which rows it takes depends on their ids only."""
+    """Train on a bounded sample of labelled (doc_id, text, lang); which rows it takes depends on their ids and languages only."""
     key = F.xxhash64(F.col("doc_id"))
-    known = labelled.where(F.col("lang").isNotNull())
-    # The hash lets through little more than the sample, so that tasks don't send many texts each.
-    part = min(1.0, 1.5 * sample / max(1, known.count()))
-    rows = (
-        known.where((F.pmod(key, F.lit(1 << 30)) < int(part * (1 << 30))) & F.col("text").isNotNull() & (F.length("text") <= longest))
-        .select(key.alias("key"), "text", "lang")
-        .orderBy("key", "text")
-        .limit(sample)
-        .collect()
-    )
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
+    # The most frequent languages, as many as can be learned from the sample.
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max(1, sample // EACH)).collect()
+    if not counts:
+        return train([], [])
+    share = sample // len(counts)
+    # The hash lets through little more than a language's share, so that tasks don't send many texts each.
+    parts = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.5 * share / r.n) * (1 << 30)))])
+    drawn = known.where(F.pmod(key, F.lit(1 << 30)) < F.coalesce(parts[F.col("lang")], F.lit(0))).select(key.alias("key"), "text", "lang")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
+    rows = drawn.withColumn("_n", nth).where(F.col("_n") <= share).orderBy("key", "text").collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

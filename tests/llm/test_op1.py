@@ -35,3 +35,24 @@ def test_slices_give_the_same_answer(monkeypatch):
     whole = model.predict(text)
     monkeypatch.setattr(op1_langid, "SLICE", 37)
     assert model.predict(text)[0] == whole[0] and abs(model.predict(text)[1] - whole[1]) < 0.05
+
+
+def test_rare_languages_are_learned(docs):
+    rows = [(i, t, "en", "s") for i, (t, lang) in enumerate(_texts(1600)) if lang == "en"] + [(5000 + i, t, "de", "s") for i, (t, lang) in enumerate(_texts(60, 5)) if lang == "de"]
+    model = fit(docs(rows), sample=120)
+    assert model.langs == ["de", "en"]
+    assert sum(model.predict(t)[0] == lang for t, lang in _texts(seed=9)) >= 110
+
+
+def test_average_of_embeddings_is_what_votes_give():
+    import numpy as np
+
+    from brassloom.llm.op1_langid import grams
+
+    model = train(*map(list, zip(*_texts())))
+    text = _texts(1)[0][0]
+    ids = np.concatenate([*grams(text)])
+    want = np.mean([model.votes[i] for i in ids.tolist()], axis=0) + model.bias
+    assert np.allclose(model.logits(text), want)
+    # words of two letters: each letter with its ends, and the pairs and triples over them
+    assert len(np.concatenate([*grams("ab")])) == len(np.concatenate([*grams("  ab ")]))
