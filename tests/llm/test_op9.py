@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from brassloom.llm import op9_quality
 from brassloom.llm.op9_quality import NAMES, filter_documents, isotonic, score_documents, statistics
 
 
@@ -37,3 +39,39 @@ def test_held_out_accuracy_and_filter(spark, docs, edge):
     assert len(score_documents(edge, lab).collect()) == 8
     assert {x.score for x in score_documents(edge, lab.limit(0)).collect()} == {0.5}
     assert score_documents(edge.limit(0), lab).collect() == []
+
+
+def test_weights_solve_the_whole_normal_equations(spark, docs):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(("word", "Spam!!", "12", "other,")) for _ in range(r.randint(1, 60))), "en", "s") for i in range(1300)]
+    y = {i: float(i % 2) if i % 7 else None for i, *_ in rows}
+    given = docs(rows).repartition(7)
+    marks = spark.createDataFrame(list(y.items()), "of long, y double")
+    stats = op9_quality.extract(given, ["doc_id"]).join(marks, F.col("doc_id") == F.col("of"))
+    model = op9_quality.fit(stats, F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0)
+    x = np.array([statistics(t) for i, t, *_ in rows if i % 5 and y[i] is not None])
+    want = np.array([y[i] for i, *_ in rows if i % 5 and y[i] is not None])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    z = model.features(x)
+    a = z.T @ z / len(z) + op9_quality.RIDGE * np.eye(z.shape[1])
+    assert np.allclose(a @ model.weight, z.T @ want / len(z), atol=1e-8)
+    # the kernel that the features stand for is a Gaussian's
+    u, v = (np.clip((x[k] - model.mean) / model.scale, -6, 6) for k in (0, 1))
+    cosines = z[:2, : op9_quality.FEATURES]
+    assert abs(cosines[0] @ cosines[1] - np.exp(-((u - v) ** 2).sum() / (4 * len(u)))) < 0.35
+
+
+def test_null_labels_and_long_texts(spark, docs):
+    none = spark.createDataFrame([(1, None, None), (2, None, 1)], "doc_id long, quality int, toxic int")
+    rows = [(1, "word " * 300_000, "en", "s"), (2, None, None, None), (2, "", None, None)]
+    got = score_documents(docs(rows), none).collect()
+    assert [x.score for x in got] == [0.5] * 3 and filter_documents(docs(rows), none).count() == 3
+
+
+def test_joins_by_shuffle_agree(spark, docs, monkeypatch):
+    rows = [(i, "Good words stand here. " * 9 if i % 3 else "SPAM!! " * 60, "en", "s") for i in range(200)]
+    lab = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)], "doc_id long, quality int")
+    kept = lambda: sorted(x.doc_id for x in filter_documents(docs(rows), lab).collect())
+    want = kept()
+    monkeypatch.setattr(op9_quality, "FEW_IDS", 0)
+    assert kept() == want and 0 < len(want) < 200
