@@ -12,6 +12,12 @@ two again. That is found by taking both apart again, latest merge first: when a
 merge over the seam would have come before the merge being taken apart, BPE
 would have joined across the seam and the pair can't occur.
 
+The automaton is the pyahocorasick package's, built over the vocabulary: its state
+after a letter is the longest suffix read that begins a token, and its suffix links
+lead to all tokens that end there, which is what a suffix automaton would be asked
+for. Prefixes, compatibility and back-pointers are worked out here; no tokenizer is
+called for the merges.
+
 Edge cases: null text is the empty text; it has no ids, and its decoded text is
 empty. The strings of special tokens in a text become their ids, as in the
 tokenizers library. Columns beside doc_id and text are ignored by the query and

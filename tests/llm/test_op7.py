@@ -17,8 +17,9 @@ def _brute(rows, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [0.0, 0.1, 1.0])
-def test_against_brute_force_with_small_blocks(spark, monkeypatch, scale):
+@pytest.mark.parametrize(("scale", "few"), [(0.0, op7_topk.FEW_IDS), (0.1, 0), (1.0, op7_topk.FEW_IDS)])
+def test_against_brute_force_with_small_blocks(spark, monkeypatch, scale, few):
+    monkeypatch.setattr(op7_topk, "FEW_IDS", few)
     monkeypatch.setattr(op7_topk, "BLOCK", 40)
     monkeypatch.setattr(op7_topk, "QUERIES", 7)
     monkeypatch.setattr(op7_topk, "GROUP", 2)
