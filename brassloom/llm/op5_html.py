@@ -81,10 +81,11 @@ _NEVER = frozenset("script style noscript template head button select textarea i
 _ROLES = frozenset("nav aside footer form dialog menu".split())
 #: Elements that hold a whole page or its main text, whatever their names say.
 _WHOLE = frozenset("html body main article".split())
-#: Whole names in class, id or role that declare a part that is no main text; so do names made of these words and numbers only (``cookie-notice``, ``ad-2``).
+#: Whole names in class, id or role that declare a part that is no main text; so do names made of these words, neutral ones and numbers only (``cookie-notice``, ``ad-2``, ``comment-list``).
 _NOISE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related reply replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+_NEUTRAL = frozenset("area bar block bottom box column container count form inner item left list outer panel primary right row secondary section site slot thread top unit wrap wrapper zone".split())
 #: Elements that recurrence alone never removes.
 _KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6 p blockquote pre li td".split())
 
@@ -112,7 +113,7 @@ def _declared(tag: str, of: dict[str, str], in_main: bool) -> bool:
     if tag in _WHOLE:
         return False
     names = (x for name in ("class", "id", "role") for x in of.get(name, "").split())
-    return any(words and _NOISE.issuperset(words) for words in (re.findall(r"[^-_0-9]+", x) for x in names))
+    return any(not _NOISE.isdisjoint(words) and (_NOISE | _NEUTRAL).issuperset(words) for words in (re.findall(r"[^-_0-9]+", x) for x in names))
 
 
 def _main(tag: str, of: dict[str, str]) -> bool:

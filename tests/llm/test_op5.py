@@ -182,10 +182,11 @@ def test_declared_roles_are_whole_names(spark):
         "<body class='has-sidebar comments-open'><article class='post category-ads'><p>Text</p></article>",
         "<body class='sidebar'><article class='share' id='comments'><p>Text</p></article>",
         "<div class='content social-proof'><p>Text</p></div>",
+        "<div class='list section'><p>Text</p></div>",
         """<p title="A hidden gem" data-x=' class="ad" style="display:none"'>Text</p>""",
         "<p data-class='ad' data-hidden title='x hidden'>Text</p>",
     ]
-    names = ["class='x ad'", "class=ad", "id = 'sidebar'", "role=navigation", "class='cookie-notice'", "id='ad-2'", "hidden", "class='a' hidden", "aria-hidden='true'", 'title="x" style="display: none"']
+    names = ["class='x ad'", "class=ad", "id = 'sidebar'", "role=navigation", "class='cookie-notice'", "id='ad-2'", "class='comment-list'", "id=comments_section", "class='site-footer'", "hidden", "class='a' hidden", "aria-hidden='true'", 'title="x" style="display: none"']
     got = _texts(spark, [*kept, *[f"<p>Text</p><div {gone}>no</div>" for gone in names], "<body hidden><p>Text</p>"])
     assert got == ["Text"] * (len(kept) + len(names)) + [""]
 
