@@ -18,7 +18,8 @@ Edge cases: null text and null role are empty texts. Roles that the template
 doesn't know get a mark with their name and no loss; they may follow any turn.
 Turns are ordered by turn (null first), then role and text, so repeated rows stay
 side by side and count each. Rows with null conv_id form one conversation. Extra
-columns are ignored.
+columns are ignored, whatever their names. The query's own conversation -7 joins a
+given one of that number.
 """
 
 from __future__ import annotations
