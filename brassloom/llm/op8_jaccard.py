@@ -153,7 +153,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key (a hash of the text), n and sid (a hash of the whole set; null if empty) of each document, written."""
+    """doc_id, key (a hash of id and text), n and sid (a hash of the whole set; null if empty) of each document, written."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -163,11 +163,12 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             sid = [_sid(s) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "key", "n", "sid"])
 
-    return save(docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, sid long"), "jaccard-sets")
+    return save(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, sid long"), "jaccard-sets")
 
 
-def text_key() -> Column:
-    return F.xxhash64(text_or_empty())
+def row_key() -> Column:
+    """Never null; equal for rows that are equal in id and text."""
+    return F.xxhash64("doc_id", text_or_empty())
 
 
 #: What stands for a set where keys meet: its hash's last 40 bits. Sets that share them are one more pair to verify.
@@ -425,7 +426,7 @@ def _links_in(grouped: DataFrame, by: list[str], percent: int, labels: bool = Fa
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sid, cluster, n and elements (sorted hashes as bytes) of the wanted sets (first, key: the doc_id and text of one that has the set)."""
+    """sid, cluster, n and elements (sorted hashes as bytes) of the wanted sets (key: a document that has the set, named: whether it has a doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -435,28 +436,27 @@ def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["sid", "cluster", "n", "elements"])
             yield out.filter(same)
 
-    wanted = wanted.select("sid", "cluster", "first", F.col("key").alias("of"))
-    texts = docs.select("doc_id", "text", text_key().alias("key"))
-    small = _small(wanted)
-    rows = texts.join(small, (F.col("doc_id") == F.col("first")) & (F.col("key") == F.col("of"))).select("text", "sid", "cluster")
-    nameless = wanted.where("first IS NULL")
-    if nameless.limit(1).count():
-        # Sets of rows without a doc_id only are known by their text; of its copies one will do.
-        found = texts.where("doc_id IS NULL").join(_small(nameless.select(F.col("of").alias("key")).distinct()), "key", "left_semi").dropDuplicates(["key"])
-        rows = rows.unionByName(found.join(_small(nameless), F.col("key") == F.col("of")).select("text", "sid", "cluster"))
+    texts = docs.select("text", row_key().alias("of"))
+    pick = lambda of, some: of.join(_small(some.select("sid", "cluster", "key")), F.col("of") == F.col("key")).select("text", "sid", "cluster")
+    nameless = wanted.where("NOT named")
+    if not nameless.limit(1).count():
+        rows = pick(texts, wanted)
+    else:
+        # Of the copies of a text without a doc_id, one will do.
+        found = texts.join(_small(nameless.select(F.col("key").alias("of")).distinct()), "of", "left_semi").dropDuplicates(["of"])
+        rows = pick(texts, wanted.where("named")).unionByName(pick(found, nameless))
     return rows.mapInArrow(run, "sid long, cluster long, n long, elements binary")
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id long, text string)."""
     sets = shingle_sets(docs, size)
-    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))
-    once = sets.where("sid IS NOT NULL").groupBy("sid").agg(named.alias("named"), F.min("key").alias("any"), F.count("*").alias("copies"))
-    once = save(once.select("sid", F.col("named.doc_id").alias("first"), F.coalesce("named.key", "any").alias("key"), "copies"), "jaccard-once")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.col("key")))
+    once = save(sets.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"), F.coalesce(named, F.min("key")).alias("key"), F.count("*").alias("copies")), "jaccard-once")
     short = save(key_pairs(key_rows(docs, size, percent, common_shingles(docs, size))), "jaccard-short")
     pairs = save(_full(short, once), "jaccard-pairs")
     cluster = components(pairs, "jaccard-cluster").select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
-    wanted = save(cluster.join(once, "sid").select("sid", "cluster", "first", "key"), "jaccard-wanted")
+    wanted = save(cluster.join(once, "sid").select("sid", "cluster", "key", F.col("first").isNotNull().alias("named")), "jaccard-wanted")
     members = save(_elements(docs, wanted, size), "jaccard-elements")
     labels = save(_cluster_labels(members, pairs, percent), "jaccard-labels")
     discard(short, pairs, wanted, members)
