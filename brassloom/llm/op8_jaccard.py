@@ -60,7 +60,7 @@ SAMPLE, SHARE, COMMON, KEPT = 20_000, 0.01, 3, 1_000_000
 CHUNK, ELEMENTS = 512, 1_000_000
 REMEMBER = 200_000
 #: Keys that a task gathers before it hands them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
