@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brassloom.llm import op3_linededup, op4_chat, op6_mix, op7_topk, op12_hashtree
+from brassloom.llm import op3_linededup, op4_chat, op6_mix, op7_topk, op11_ranked, op12_hashtree
 from brassloom.llm.op1_langid import op1_langid
 from brassloom.llm.op2_merkle import op2_merkle
 from brassloom.llm.op5_html import op5_html
@@ -21,6 +21,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
+    "op11_ranked": op11_ranked.op11_ranked,
     "op12_hashtree": op12_hashtree.op12_hashtree,
 }
 
@@ -29,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat": op4_chat.SQL,
     "op6_mix": op6_mix.SQL,
     "op7_topk": op7_topk.SQL,
+    "op11_ranked": op11_ranked.SQL,
     "op12_hashtree": op12_hashtree.SQL,
 }
