@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brassloom.llm import op3_linededup, op4_chat, op6_mix, op7_topk, op11_ranked, op12_hashtree
+from brassloom.llm import op3_linededup, op4_chat, op6_mix, op7_topk, op11_ranked, op12_hashtree, op13_variants
 from brassloom.llm.op1_langid import op1_langid
 from brassloom.llm.op2_merkle import op2_merkle
 from brassloom.llm.op5_html import op5_html
@@ -23,6 +23,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op11_ranked": op11_ranked.op11_ranked,
     "op12_hashtree": op12_hashtree.op12_hashtree,
+    "op13_variants": op13_variants.op13_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_topk": op7_topk.SQL,
     "op11_ranked": op11_ranked.SQL,
     "op12_hashtree": op12_hashtree.SQL,
+    "op13_variants": op13_variants.SQL,
 }
