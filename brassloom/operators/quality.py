@@ -67,9 +67,9 @@ def both_returns(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return ra.join(rb, [*keys, "date"])
 
 
-def top_differences(a: DataFrame, b: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    """keys, rank, date and diff: the n dates on which two sources' returns differ most."""
-    df = both_returns(a, b, keys).withColumn("diff", F.abs(F.col("_a") - F.col("_b"))).where("diff IS NOT NULL")
+def top_differences(a: DataFrame, b: DataFrame, keys: list[str], n: int = 5, digits: int = 9) -> DataFrame:
+    """keys, rank, date and diff: the n dates on which two sources' returns differ most, by so many digits; ties go to the earlier date, so rounding noise ranks nothing."""
+    df = both_returns(a, b, keys).withColumn("diff", F.round(F.abs(F.col("_a") - F.col("_b")), digits)).where("diff IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("diff").desc(), "date"))
     return df.select(*keys, rank.alias("rank"), "date", "diff").where(F.col("rank") <= n)
 

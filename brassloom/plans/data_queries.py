@@ -123,7 +123,7 @@ def _two_sources(spark, d) -> tuple[DataFrame, DataFrame]:
     return a, a.withColumn("close", F.col("close") * 1.05 + F.when(F.col("volume") > 8, 1.0).otherwise(0.0))
 
 
-@query("d_top_differences", "asset rank date", "diff", panel_sql("SELECT asset, rank, date, diff FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(diff, 9) DESC, date) AS rank FROM df) WHERE rank <= 5", _DIFF))
+@query("d_top_differences", "asset rank date", "diff", panel_sql("SELECT asset, rank, date, round(diff, 9) AS diff FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(diff, 9) DESC, date) AS rank FROM df) WHERE rank <= 5", _DIFF))
 def d_top_differences(spark, d):
     """The five dates of each asset on which two sources differ most."""
     return quality.top_differences(*_two_sources(spark, d), ["asset"])

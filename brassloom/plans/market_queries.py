@@ -9,7 +9,7 @@ from brassloom.functions import instruments as I
 from brassloom.functions.normal import cdf_sql
 from brassloom.operators import metrics, prediction
 from brassloom.plans.panel import Splits
-from brassloom.plans.registry import query
+from brassloom.plans.registry import mean_of_money, mean_of_money_sql, query
 from brassloom.sources.tables import table
 
 # --- binary contracts: one per event, its prices and side derived from the event -------------------------------------
@@ -339,7 +339,7 @@ _GRID = f"""{_PROB}, {_CFG}, {_BOUNDS},
  q5 AS (SELECT *, row_number() OVER (PARTITION BY variant, D ORDER BY edge DESC, ticker) AS rk FROM q4 WHERE CASE WHEN longshot IS NULL THEN edge >= theta ELSE side_yes OR coalesce(pn >= 1e0 - longshot, false) END),
  q6 AS (SELECT *, least(greatest(floor(frac * 5e3 / price), 1), greatest(1, floor(1e-1 * coalesce(volume, 0))))::BIGINT AS n, CASE WHEN side_yes THEN y = 1 ELSE y = 0 END AS win FROM q5 WHERE topk = 0 OR rk <= topk),
  q7 AS (SELECT *, n * (CASE WHEN win THEN 1e0 ELSE 0e0 END - price) - ceil(round(7e-2 * n * price * (1e0 - price) * 1e2, 9)) / 1e2 * cost AS pnl FROM q6),
- qs AS (SELECT variant, split, count(*) AS n_trades, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate, avg(pnl) AS avg_pnl FROM q7 JOIN bd ON D BETWEEN a AND b GROUP BY 1, 2),
+ qs AS (SELECT variant, split, count(*) AS n_trades, avg(CASE WHEN win THEN 1e0 ELSE 0e0 END) AS win_rate, {mean_of_money_sql('pnl')} AS avg_pnl FROM q7 JOIN bd ON D BETWEEN a AND b GROUP BY 1, 2),
  sp AS (SELECT min(D) AS lo FROM kp WHERE p IS NOT NULL), days AS (SELECT unnest(generate_series(lo::TIMESTAMP, TIMESTAMP '{PREDICTION.val_end}', INTERVAL 1 DAY))::DATE AS date FROM sp),
  qd AS (SELECT variant, D, sum(pnl) / 5e3 AS r FROM q7 GROUP BY 1, 2), dl AS (SELECT cfg.variant, days.date, coalesce(r, 0e0) AS r FROM cfg CROSS JOIN days LEFT JOIN qd ON qd.variant = cfg.variant AND qd.D = days.date),
  qe AS (SELECT variant, split, date, r, product(1e0 + r) OVER (PARTITION BY variant, split ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM dl JOIN bd ON date BETWEEN a AND b),
@@ -355,7 +355,7 @@ def _settled(spark, d) -> DataFrame:
 def k_grid(spark, d):
     """All configurations in one plan: a market is exploded into those that trade it, each day's trades into the splits that hold it."""
     trades = prediction.simulate_configs(_settled(spark, d), CONFIGS)
-    counts = PREDICTION.explode(trades.withColumn("date", F.col("D"))).groupBy("variant", "split").agg(F.count("*").alias("n_trades"), F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl").alias("avg_pnl"))
+    counts = PREDICTION.explode(trades.withColumn("date", F.col("D"))).groupBy("variant", "split").agg(F.count("*").alias("n_trades"), F.avg(F.when(F.col("win"), 1.0).otherwise(0.0)).alias("win_rate"), mean_of_money("pnl").alias("avg_pnl"))
     first = _settled(spark, d).agg(F.min("D").alias("lo"))
     days = first.select(F.explode(F.sequence("lo", F.lit(PREDICTION.val_end).cast("date"))).alias("date")).withColumn("variant", F.explode(F.array(*[F.lit(c.variant) for c in CONFIGS])))
     daily = prediction.daily_returns(trades, ["variant"], days).withColumn("rf", F.lit(0.0))

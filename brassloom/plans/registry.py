@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,18 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def mean_of_money(x: str) -> Column:
+    """The mean of amounts of up to four decimals, rounded half up to DIGITS in integers: a mean of cents often lies halfway, where doubles would decide."""
+    n = F.count(x)
+    twice = F.sum(F.round(F.col(x) * 1e4).cast("long")) * (2 * 10 ** (DIGITS - 4)) + n
+    return F.floor((twice - F.pmod(twice, 2 * n)) / (2 * n)) / float(10**DIGITS)
+
+
+def mean_of_money_sql(x: str) -> str:
+    twice = f"(sum(round({x} * 1e4)::BIGINT)::BIGINT * {2 * 10 ** (DIGITS - 4)} + count({x}))"
+    return f"(({twice} - (({twice} % (2 * count({x}))) + 2 * count({x})) % (2 * count({x}))) // (2 * count({x}))) / 1e{DIGITS}"
+
+
 def query(name: str, keys: str, values: str = "", sql: str | None = None):
     """Register a query whose result has the columns keys (as they are), and values (doubles, rounded)."""
 

@@ -191,7 +191,7 @@ def g_episodes(spark, d):
 _SPLITS = "splits(split, a, b) AS (VALUES ('DEVELOPMENT', DATE '1900-01-01', DATE '1998-12-31'), ('VALIDATION', DATE '1999-01-01', DATE '2000-06-30'), ('DEV+VAL', DATE '1900-01-01', DATE '2000-06-30'))"
 
 
-@query("b_result_summary", "split n_periods n_trades", "cagr sharpe max_dd ann_turnover ann_cost_drag exposure", panel_sql("SELECT * FROM rs JOIN (SELECT split, count(*) AS n_trades FROM ep JOIN splits ON entry BETWEEN a AND b GROUP BY 1) USING (split)", f"{_sim('next_open')}, {_PERIODS}, {_EPISODES}, {_SPLITS}, re AS (SELECT split, per.*, gross - costs AS r, product(1e0 + gross - costs) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM per JOIN splits ON date BETWEEN a AND b), rs AS (SELECT split, count(*) AS n_periods, pow(product(1e0 + r), 52e0 / count(r)) - 1e0 AS cagr, avg(r - 8e-4) / stddev_samp(r - 8e-4) * sqrt(52e0) AS sharpe, min(dd) AS max_dd, avg(turnover) * 52 AS ann_turnover, avg(costs) * 52 AS ann_cost_drag, avg(exposure) AS exposure FROM (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1e0 AS dd FROM re) GROUP BY 1)"))
+@query("b_result_summary", "split n_periods n_trades", "cagr sharpe max_dd ann_turnover ann_cost_drag exposure", panel_sql("SELECT rs.*, coalesce(nt.n, 0) AS n_trades FROM rs LEFT JOIN (SELECT split, count(*) AS n FROM ep JOIN splits ON entry BETWEEN a AND b GROUP BY 1) nt ON nt.split = rs.split", f"{_sim('next_open')}, {_PERIODS}, {_EPISODES}, {_SPLITS}, re AS (SELECT split, per.*, gross - costs AS r, product(1e0 + gross - costs) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM per JOIN splits ON date BETWEEN a AND b), rs AS (SELECT split, count(*) AS n_periods, pow(product(1e0 + r), 52e0 / count(r)) - 1e0 AS cagr, CASE WHEN stddev_pop(r - 8e-4) > 1e-9 * max(abs(r - 8e-4)) THEN avg(r - 8e-4) / stddev_samp(r - 8e-4) END * sqrt(52e0) AS sharpe, min(dd) AS max_dd, avg(turnover) * 52 AS ann_turnover, avg(costs) * 52 AS ann_cost_drag, avg(exposure) AS exposure FROM (SELECT *, eq / greatest(max(eq) OVER (PARTITION BY split ORDER BY date ROWS UNBOUNDED PRECEDING), 1e0) - 1e0 AS dd FROM re) GROUP BY 1)"))
 def b_result_summary(spark, d):
     """A result by split: metrics, trades entered in it, yearly turnover and costs, exposure."""
     sim = B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE)
@@ -265,8 +265,8 @@ _SUMMARY = f"""{_RET}, spl AS (SELECT split, ser.* FROM ser JOIN splits ON date
  qt AS (SELECT split, asset, quantile_cont(r, 0.05) AS q FROM spl GROUP BY 1, 2),
  cv AS (SELECT s.split, s.asset, CASE WHEN count(r) >= 20 THEN avg(r) FILTER (WHERE r <= q) END AS cvar FROM spl s JOIN qt USING (split, asset) GROUP BY 1, 2),
  ag AS (SELECT split, asset, min(date) AS start, max(date) AS stop, count(r) AS n_periods, CASE WHEN product(1e0 + r) > 0 THEN pow(product(1e0 + r), 52e0 / count(r)) - 1e0 ELSE -1e0 END AS cagr, stddev_samp(r) * sqrt(52e0) AS ann_vol,
-   avg(r - rf) / nullif(stddev_samp(r - rf), 0) * sqrt(52e0) AS sharpe, avg(r - rf) / nullif(sqrt(avg(pow(least(r - rf, 0e0), 2e0))), 0) * sqrt(52e0) AS sortino, min(dd) AS max_dd, min(r) AS worst_period, product(1e0 + r) - 1e0 AS total_return,
-   avg(pow(r - m, 3)) / nullif(pow(avg(pow(r - m, 2)), 1.5e0), 0) AS skew, avg(pow(r - m, 4)) / nullif(pow(avg(pow(r - m, 2)), 2e0), 0) AS kurt, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS pct_positive, avg(r - rf) / nullif(stddev_samp(r - rf), 0) AS sr_period FROM dd GROUP BY 1, 2),
+   CASE WHEN stddev_pop(r - rf) > 1e-9 * max(abs(r - rf)) THEN avg(r - rf) / stddev_samp(r - rf) END * sqrt(52e0) AS sharpe, avg(r - rf) / nullif(sqrt(avg(pow(least(r - rf, 0e0), 2e0))), 0) * sqrt(52e0) AS sortino, min(dd) AS max_dd, min(r) AS worst_period, product(1e0 + r) - 1e0 AS total_return,
+   CASE WHEN stddev_pop(r) > 1e-9 * max(abs(r)) THEN avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5e0) END AS skew, CASE WHEN stddev_pop(r) > 1e-9 * max(abs(r)) THEN avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2e0) END AS kurt, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS pct_positive, CASE WHEN stddev_pop(r - rf) > 1e-9 * max(abs(r - rf)) THEN avg(r - rf) / stddev_samp(r - rf) END AS sr_period FROM dd GROUP BY 1, 2),
  summ AS (SELECT *, CASE WHEN max_dd < 0 THEN cagr / abs(max_dd) END AS calmar FROM ag JOIN ln USING (split, asset) JOIN mo USING (split, asset) JOIN cv USING (split, asset))"""
 SPLIT_TABLE = "splits(split, a, b) AS (VALUES ('DEVELOPMENT', DATE '1900-01-01', DATE '1998-12-31'), ('VALIDATION', DATE '1999-01-01', DATE '2000-06-30'), ('DEV+VAL', DATE '1900-01-01', DATE '2000-06-30'))"
 _VALUES = "cagr ann_vol sharpe sortino max_dd worst_period worst_month cvar total_return skew kurt pct_positive calmar sr_period"
