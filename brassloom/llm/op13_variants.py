@@ -56,7 +56,7 @@ QMIN, QMAX = 2, 6
 FREQUENT, SHARE = 1000, 1 / 40_000
 LONG = 1000
 #: Distinct words that a task gathers before it hands them on.
-FLUSH = 200_000
+FLUSH = 50_000
 #: Pairs of letters that are compared at a time.
 CELLS = 4_000_000
 #: Words up to which a table of two words a row is broadcast.
@@ -111,16 +111,19 @@ def dictionary(found: DataFrame) -> dict[str, int]:
     positions = found.agg(F.sum(F.length("word"))).first()[0] or 0
     limit = max(FREQUENT, int(positions * SHARE))
     out: dict[str, int] = {}
-    spark, longer = found.sparkSession, None
+    shorter = shorter_table = None
     for q in range(QMIN, QMAX):
         grams = found.where(F.length("word") >= q).select(F.explode(F.expr(f"transform(sequence(1, length(word) - {q - 1}), p -> substring(word, p, {q}))")).alias("gram"))
-        if longer is not None:
-            grams = grams.join(F.broadcast(longer), F.substring("gram", 1, q - 1) == F.col("prefix"), "left_semi")
-        rows = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()  # 1 / SHARE grams at most
+        if shorter is not None:
+            grams = grams.join(F.broadcast(shorter), F.substring("gram", 1, q - 1) == F.col("prefix"), "left_semi")
+        table = save(grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit), "variant-grams")
+        rows = table.collect()  # 1 / SHARE grams at most
         out |= {r.gram: r.n for r in rows}
+        discard(shorter_table)
+        shorter, shorter_table = table.select(F.col("gram").alias("prefix")), table
         if not rows:
             break
-        longer = spark.createDataFrame([(r.gram,) for r in rows], "prefix string")
+    discard(shorter_table)
     return out
 
 
