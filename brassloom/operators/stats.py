@@ -1,4 +1,4 @@
-"""Is it skill or luck: probabilistic and deflated Sharpe ratios, hurdles, a Sharpe difference test, bootstraps.
+"""Is it skill or luck: probabilistic and deflated Sharpe ratios, hurdles, a Sharpe difference test.
 
 Sharpe ratios in here are per period, kurtosis is the plain one (3 for a normal distribution).
 """
@@ -6,10 +6,8 @@ Sharpe ratios in here are per period, kurtosis is the plain one (3 for a normal
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,55 +59,6 @@ def sharpe_difference(pairs: DataFrame, keys: list[str], a: str = "a", b: str =
     return out.withColumn("p", 1 - cdf("z")).select(*keys, "n", "z", "p")
 
 
-def _outcomes(returns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Final equity and deepest drawdown of each row of returns, by sums of logarithms."""
-    with np.errstate(divide="ignore"):
-        level = np.log1p(np.maximum(returns, -1.0)).cumsum(axis=1)
-    top = np.maximum.accumulate(np.maximum(level, 0.0), axis=1)
-    return np.exp(level[:, -1]), np.expm1((level - top).min(axis=1))
-
-
-def _simulated(series: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int, chunk: int, least: int, draw, seed: int) -> DataFrame:
-    """Each key's values as an array, times chunks of simulations; a chunk has a generator of its own, so results don't depend on partitions."""
-    arrays = series.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value]).alias("x"))
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-n_sims // chunk) - 1)))
-    tasks = arrays.where(F.size("x") >= least).withColumn("chunk", chunks).repartition(*keys, "chunk")
-    kinds = [tasks.schema[k].dataType.simpleString() for k in keys]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                x = np.asarray(batch.column(len(keys))[i].as_py())
-                c = batch.column(len(keys) + 1)[i].as_py()
-                f, d = _outcomes(draw(np.random.default_rng([seed, c]), min(chunk, n_sims - c * chunk), x))
-                same = [pa.array([batch.column(k)[i].as_py()] * len(f), batch.column(k).type) for k in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(f), pa.array(d)], names=[*keys, "final", "dd"])
-
-    sims = tasks.select(*keys, "x", "chunk").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds)) + ", final double, dd double")
-    return sims.groupBy(*keys).agg(
-        F.count("*").alias("n_sims"), *[F.percentile("final", q).alias(f"final_p{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)],
-        F.percentile("dd", 0.5).alias("dd_p50"), F.percentile("dd", 0.05).alias("dd_p05"), F.avg(F.when(F.col("final") < 1, 1.0).otherwise(0.0)).alias("prob_loss"), F.avg(F.when(F.col("dd") < -0.25, 1.0).otherwise(0.0)).alias("prob_dd_25"),
-    )
-
-
-def resample_trades(trades: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int = 10_000, n_trades: int | None = None, seed: int = 0, chunk: int = 1000) -> DataFrame:
-    """Distribution of final equity and drawdown when each key's trades are drawn with replacement; keys with under five trades give none."""
-    return _simulated(trades, keys, value, order, n_sims, chunk, 5, lambda rng, m, x: rng.choice(x, (m, n_trades or len(x))), seed)
-
-
-def block_bootstrap(series: DataFrame, keys: list[str], value: str = "r", horizon: int | None = None, block: int = 21, n_sims: int = 10_000, seed: int = 0, chunk: int = 1000) -> DataFrame:
-    """The same for blocks of consecutive returns, which wrap around at the end; keys with under two blocks give none."""
-
-    def draw(rng: np.random.Generator, m: int, x: np.ndarray) -> np.ndarray:
-        # Every block there is, those that wrap around included, as a row of a view.
-        blocks = np.lib.stride_tricks.sliding_window_view(np.resize(x, len(x) + block - 1), block)
-        length = horizon or len(x)
-        picked = blocks[rng.integers(len(blocks), size=(m, math.ceil(length / block)))]
-        return picked.reshape(m, -1)[:, :length]
-
-    return _simulated(series, keys, value, ["date"], n_sims, chunk, 2 * block, draw, seed)
-
-
 def nelder_mead(f, x0: list[float], steps: int = 400, tol: float = 1e-8) -> np.ndarray:
     """Least value of f by the simplex method of Nelder and Mead."""
     n = len(x0)

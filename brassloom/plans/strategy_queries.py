@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
-from brassloom.operators import folds, metrics, signals, stats
+from brassloom.operators import folds, metrics, resample, signals, stats
 from brassloom.operators.runner import Trial, score, trial_rows
 from brassloom.operators.verdict import evaluate, report_lines
 from brassloom.plans.panel import Splits, by_date
@@ -439,18 +439,21 @@ def a_tax_drag(spark, d):
     return out.withColumn("cagr", F.pow("equity", F.lit(1.0) / F.col("years")) - 1)
 
 
-# --- Monte Carlo (no SQL: pseudo-random draws) -----------------------------------------------------------------------
+# --- Monte Carlo: draws that any engine repeats ---------------------------------------------------------------------
 
+_PATHS = "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25"
 
-@query("mc_block_bootstrap", "asset n_sims", "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25")
+
+@query("mc_block_bootstrap", "asset n_sims", _PATHS, panel_sql(f"SELECT * FROM ({resample.resampled_sql('ser', 'asset', 'r', 'date', 21, 42)})", _RET))
 def mc_block_bootstrap(spark, d):
-    return stats.block_bootstrap(_returns(spark, d), ["asset"])
+    return resample.block_bootstrap(_returns(spark, d), ["asset"])
 
 
-@query("mc_trades", "asset n_sims", "final_p05 final_p50 final_p95 dd_p50 dd_p05 prob_loss prob_dd_25")
+@query("mc_trades", "asset n_sims", _PATHS, panel_sql(f"SELECT * FROM ({resample.resampled_sql('ep', 'asset', 'pnl', 'entry', 1, 5)})", f"{_sim('next_open')}, {_EPISODES}"))
 def mc_trades(spark, d):
+    """Each asset's trades drawn with replacement; an asset with under five has no paths."""
     ep = B.episodes(B.simulate(_trend_rows(spark, d), "next_open", _COST, rules=WHOLE))
-    return stats.resample_trades(ep, ["asset"], "pnl", ["entry"])
+    return resample.resample_trades(ep, ["asset"], "pnl", ["entry"])
 
 
 # --- the whole pipeline in one plan: a grid of variants, all splits ---------------------------------------------------
@@ -664,7 +667,7 @@ def _evaluated(spark, d, **more) -> DataFrame:
     stress = metrics.in_windows(net, ["variant"], _STRESS).groupBy("variant").agg(F.min("ret").alias("_s"))
     events = runs.join(stress, "variant", "left").select("variant", F.least(F.coalesce("_s", F.lit(0.0)), F.coalesce("worst_21", F.lit(0.0))).alias("worst"))
     if "paths" in more:
-        more["paths"] = stats.block_bootstrap(net, ["variant"], block=3).select("variant", "final_p05")
+        more["paths"] = resample.block_bootstrap(net, ["variant"], block=3).select("variant", "final_p05")
     return evaluate(plain, bench, trials, trades, events, _grid_summary(spark, d, 2.0), spark.createDataFrame(pairs, "variant string, neighbour string"), **more)
 
 
@@ -674,9 +677,12 @@ def verdict_table(spark, d):
     return _evaluated(spark, d)
 
 
-@query("verdicts_resampled", f"variant {_CHECKS} resampled_ok passes")
+_BLOCKS = resample.resampled_sql("n", "variant", "r", "date", 3, 6)
+
+
+@query("verdicts_resampled", f"variant {_CHECKS} resampled_ok passes", "", f"SELECT v.* EXCLUDE (passes), coalesce(b.final_p05 > 1, false) AS resampled_ok, v.passes AND coalesce(b.final_p05 > 1, false) AS passes FROM ({_VERDICT}) v LEFT JOIN ({_VERDICT.split(' tc AS (')[0].rstrip().rstrip(',')} SELECT * FROM ({_BLOCKS})) b USING (variant)")
 def verdicts_resampled(spark, d):
-    """The same with the final equity of resampled blocks; pseudo-random, so no SQL."""
+    """The same with the final equity of resampled blocks."""
     return _evaluated(spark, d, paths=True)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brassloom.functions import instruments as I
 from brassloom.functions.normal import cdf, quantile
 from brassloom.operators import backtest as B
-from brassloom.operators import folds, ledger, metrics, prediction, quality, runner, signals, stats
+from brassloom.operators import folds, ledger, metrics, prediction, quality, resample, runner, signals, stats
 from brassloom.operators.asof import asof_join
 from brassloom.plans.panel import HoldoutViolation, Splits, densify, guard, monthly_rf, weight_faults
 from brassloom.sources import cache, parsers
@@ -146,11 +146,12 @@ def test_drawdown_counts_a_first_loss(spark):
 
 
 def test_constant_returns_bootstrap_exactly(spark):
-    won = stats.resample_trades(series(spark, [0.01] * 50), ["k"], "r", ["date"], n_sims=200).first()
+    won = resample.resample_trades(series(spark, [0.01] * 50), ["k"], "r", ["date"], n_sims=200).first()
     assert won.final_p05 == pytest.approx(1.01**50) and won.prob_loss == 0 and won.dd_p05 == 0
-    lost = stats.block_bootstrap(series(spark, [-0.02] * 60), ["k"], n_sims=100).first()
+    lost = resample.block_bootstrap(series(spark, [-0.02] * 60), ["k"], n_sims=100).first()
     assert lost.final_p95 == pytest.approx(0.98**60) and lost.prob_dd_25 == 1
-    assert stats.block_bootstrap(series(spark, [0.1] * 30), ["k"], n_sims=10).count() == 0
+    none = resample.block_bootstrap(series(spark, [0.1] * 30), ["k"], n_sims=10).first()
+    assert none.n_sims == 0 and none.final_p50 is None
 
 
 def test_normal_distribution(spark):
@@ -310,16 +311,16 @@ def test_bootstraps_have_the_spread_that_follows(spark):
     r = rng.normal(0.001, 0.01, 500)
     own = series(spark, r)
     log = np.log1p(r)
-    draws = stats.resample_trades(own, ["k"], "r", ["date"], n_sims=4000).first()
+    draws = resample.resample_trades(own, ["k"], "r", ["date"], n_sims=4000).first()
     mean, sd = 500 * log.mean(), math.sqrt(500) * log.std()
     assert math.log(draws.final_p50) == pytest.approx(mean, abs=0.06 * sd + 0.01)
     assert math.log(draws.final_p95) - math.log(draws.final_p05) == pytest.approx(2 * 1.645 * sd, rel=0.1)
-    blocks = stats.block_bootstrap(own, ["k"], n_sims=4000).first()
+    blocks = resample.block_bootstrap(own, ["k"], n_sims=4000).first()
     assert math.log(blocks.final_p50) == pytest.approx(mean, abs=0.1 * sd + 0.01)
     # blocks keep the order inside them: a series of two long halves stays wider than its shuffled draws
     halves = series(spark, [0.01] * 100 + [-0.01] * 100)
     wide = lambda x: x.final_p95 / x.final_p05
-    assert wide(stats.block_bootstrap(halves, ["k"], n_sims=2000).first()) > 2 * wide(stats.resample_trades(halves, ["k"], "r", ["date"], n_sims=2000).first())
+    assert wide(resample.block_bootstrap(halves, ["k"], n_sims=2000).first()) > 2 * wide(resample.resample_trades(halves, ["k"], "r", ["date"], n_sims=2000).first())
 
 
 def test_levels_and_buying_power(spark):
