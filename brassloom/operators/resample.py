@@ -2,9 +2,9 @@
 
 A block is summarized once by four numbers of its log returns: their sum, the highest and the lowest prefix, and the
 deepest fall inside. Summaries compose, so a path of T returns is a walk over T / block summaries, whatever the block
-holds. Paths are rows (path, step) that are joined to the summaries by the block drawn: a step is a row, a path a window,
-and neither a series nor a matrix of paths is held in one task. Draws are 32 bits of the md5 of (seed, path, step), so
-any engine can repeat them, and no task has a generator of its own.
+holds. For a short series the summaries go to each task of paths, which walks bounded matrices of them; for a long one
+paths are rows (path, step) that are joined to the summaries by the block drawn, where a path is a window. Draws are integers
+from (seed, path, step), so both ways and any other engine repeat them, and no task has a generator of its own.
 
 Series are numbered by a prefix scan and cut into ranges before blocks are made, each with the rows that the blocks at
 its end need from the next one.
@@ -12,28 +12,61 @@ its end need from the next one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brassloom.operators import scan
 from brassloom.plans.panel import stored
 
+PRIME = 2147483647
 #: Log return that stands for the loss of everything.
 RUIN = -800.0
-#: Blocks up to which their summaries (nine numbers each) are broadcast.
+#: Blocks of a key up to which their summaries (eight numbers each) go to each task of paths as arrays; beyond, steps are joined to them by a shuffle.
 FEW = 100_000
+#: Steps of paths that a task walks at a time.
+CELLS = 1_000_000
 QUANTILES = ("final_p05", "final_p50", "final_p95", "dd_p50", "dd_p05")
 RESULTS = (*QUANTILES, "prob_loss", "prob_dd_25")
 
 
+def _mixed(x, xor, right):
+    """Two rounds of a product modulo a prime and a shift, for whatever knows +, *, %, xor and shifts of 64-bit integers."""
+    for a, by in ((1583458089, 16), (784588716, 13)):
+        x = (x * a + 1) % PRIME
+        x = xor(x, right(x, by))
+    return x
+
+
+def _drawn(path, step, n, seed: int, xor, right):
+    of_path = _mixed((path + (1 + 40692 * seed)) % PRIME, xor, right)
+    return right(_mixed((of_path + step * 69621) % PRIME, xor, right) * n, 31)
+
+
 def drawn(path: Column, step: Column, n: Column, seed: int = 0) -> Column:
     """A number from 0 to n - 1 for each path and step; n is below 2**31."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), path, step).cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.shiftright(bits * n.cast("long"), 32)
+    return _drawn(path.cast("long"), step.cast("long"), n.cast("long"), seed, lambda a, b: a.bitwiseXOR(b), F.shiftright)
+
+
+class _Sql(str):
+    """Text of an integer expression."""
+
+    def __add__(self, other) -> _Sql:
+        return _Sql(f"({self} + {str(other)})")
+
+    def __mul__(self, other) -> _Sql:
+        return _Sql(f"({self} * {str(other)}::BIGINT)")
+
+    def __mod__(self, other) -> _Sql:
+        return _Sql(f"({self} % {other})")
 
 
 def drawn_sql(path: str, step: str, n: str, seed: int = 0) -> str:
-    return f"(('0x' || substr(md5('{seed}:' || {path} || ':' || {step}), 1, 8))::BIGINT * {n}) >> 32"
+    return _drawn(_Sql(path), _Sql(step), _Sql(n), seed, lambda a, b: _Sql(f"xor({a}, {b})"), lambda a, by: _Sql(f"({a} >> {by})"))
 
 
 def _walk(values: Column) -> Column:
@@ -61,27 +94,70 @@ def blocks(rows: DataFrame, keys: list[str], block: int, tail: Column) -> DataFr
     return held.select(*keys, F.col("_at").alias("pos"), _walk(F.col("_x")).alias("full"), _walk(F.slice("_x", F.lit(1), tail)).alias("last"))
 
 
-def resampled(series: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int, block: int, horizon: int | None, least: int, seed: int) -> DataFrame:
-    """keys, n_sims and RESULTS; a key with fewer than ``least`` values has n_sims 0 and NULLs."""
-    good = series.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *order, F.when(F.col(value) > -1, F.log1p(value)).otherwise(RUIN).alias("x"))
-    rows = stored(scan.numbered(good, keys, order[0], tuple(order[1:])))
-    lengths = series.groupBy(*keys).agg(F.count(F.when(F.col(value).isNotNull() & ~F.isnan(value), 1)).alias("n"))
-    lengths = stored(lengths.withColumn("_h", F.lit(horizon).cast("long") if horizon else F.col("n")).withColumn("_steps", F.ceil(F.col("_h") / block)))
-    known = lengths.where(F.col("n") >= least)
-    tail = (F.col("_h") - (F.col("_steps") - 1) * block).cast("int")
-    summaries = stored(blocks(rows.join(F.broadcast(known.withColumn("_tail", tail)), keys), keys, block, F.col("_tail")))
-    small = summaries.count() <= FEW
+def _walked(known: DataFrame, summaries: DataFrame, keys: list[str], n_sims: int, seed: int) -> DataFrame:
+    """keys, final and dd of each path, from arrays of a key's summaries."""
+    names = [f"{b}_{c}" for b in ("full", "last") for c in ("sum", "high", "low", "fall")]
+    held = summaries.join(F.broadcast(known.select(*keys)), keys, "left_semi")
+    held = held.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *[F.col(n.replace("_", ".")).alias(n) for n in names]))).alias("b"))
+    tasks = known.withColumn("_many", F.greatest(F.lit(1), F.floor(F.lit(CELLS) / F.col("_steps"))).cast("int"))
+    tasks = tasks.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1), F.col("_many"))))
+    tasks = held.select(*keys, *[F.col("b")[n].alias(n) for n in names]).join(tasks.select(*keys, "_from", "_many", "_steps"), keys)
+    k, types = len(keys), [to_arrow_type(tasks.schema[c].dataType) for c in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                full, last = (np.array([batch.column(k + j)[i].values.to_numpy() for j in part]) for part in (range(4), range(4, 8)))
+                first, many, steps = (batch.column(k + 8 + j)[i].as_py() for j in range(3))
+                final, dd = _ends(full, last, np.arange(first, min(first + many, n_sims)), steps, seed)
+                same = [pa.array([batch.column(j)[i].as_py()] * len(final), t) for j, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(final), pa.array(dd)], names=[*keys, "final", "dd"])
+
+    fields = ", ".join(f"`{c}` {tasks.schema[c].dataType.simpleString()}" for c in keys)
+    return tasks.repartition(*keys, "_from").select(*keys, *names, "_from", "_many", "_steps").mapInArrow(run, f"{fields}, final double, dd double")
+
+
+def _ends(full: np.ndarray, last: np.ndarray, paths: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Final equity and deepest drawdown of paths; full and last: sum, high, low and fall of whole blocks and of those that a path ends with."""
+    at = _drawn(paths[:, None].astype(np.int64), np.arange(steps, dtype=np.int64)[None], full.shape[1], seed, np.bitwise_xor, np.right_shift)
+    total, high, low, fall = full[:, at]
+    for x, of in zip((total, high, low, fall), last):
+        x[:, -1] = of[at[:, -1]]
+    level = np.cumsum(total, axis=1) - total
+    peak = np.zeros_like(level)
+    np.maximum(np.maximum.accumulate(level + high, axis=1)[:, :-1], 0.0, out=peak[:, 1:])
+    deepest = np.minimum(np.minimum(level + low - peak, fall).min(axis=1), 0.0)
+    return np.exp(total.sum(axis=1)), np.expm1(deepest)
+
+
+def _joined(known: DataFrame, summaries: DataFrame, keys: list[str], n_sims: int, seed: int) -> DataFrame:
+    """The same by a row for each step."""
     paths = known.withColumn("_path", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).repartition(*keys, "_path")
     steps = paths.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps") - 1)))
     steps = steps.withColumn("pos", drawn(F.col("_path"), F.col("_step"), F.col("n"), seed))
-    taken = steps.join(F.broadcast(summaries) if small else summaries, [*keys, "pos"])
+    taken = steps.join(summaries, [*keys, "pos"])
     b = F.when(F.col("_step") == F.col("_steps") - 1, F.col("last")).otherwise(F.col("full"))
     taken = taken.select(*keys, "_path", "_step", b.alias("b"))
     before = Window.partitionBy(*keys, "_path").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     taken = taken.withColumn("_level", F.coalesce(F.sum("b.sum").over(before), F.lit(0.0)))
     peak = F.greatest(F.coalesce(F.max(F.col("_level") + F.col("b.high")).over(before), F.lit(0.0)), F.lit(0.0))
     taken = taken.withColumn("_fall", F.least(F.col("_level") + F.col("b.low") - peak, F.col("b.fall"), F.lit(0.0)))
-    ends = taken.groupBy(*keys, "_path").agg(F.exp(F.sum("b.sum")).alias("final"), F.expm1(F.min("_fall")).alias("dd"))
+    return taken.groupBy(*keys, "_path").agg(F.exp(F.sum("b.sum")).alias("final"), F.expm1(F.min("_fall")).alias("dd")).drop("_path")
+
+
+def resampled(series: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int, block: int, horizon: int | None, least: int, seed: int) -> DataFrame:
+    """keys, n_sims and RESULTS; a key with fewer than ``least`` values has n_sims 0 and NULLs."""
+    good = series.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *order, F.when(F.col(value) > -1, F.log1p(value)).otherwise(RUIN).alias("x"))
+    rows = stored(scan.numbered(good, keys, order[0], tuple(order[1:])))
+    lengths = series.groupBy(*keys).agg(F.count(F.when(F.col(value).isNotNull() & ~F.isnan(value), 1)).alias("n"))
+    lengths = stored(lengths.withColumn("_h", F.lit(horizon).cast("long") if horizon else F.col("n")).withColumn("_steps", F.ceil(F.col("_h") / block)))
+    known = lengths.where(F.col("n") >= least)
+    tail = (F.col("_h") - (F.col("_steps") - 1) * block).cast("int")
+    summaries = stored(blocks(rows.join(F.broadcast(known.withColumn("_tail", tail)), keys), keys, block, F.col("_tail")))
+    short = known.where(F.col("n") <= FEW)
+    ends = _walked(short, summaries, keys, n_sims, seed)
+    if known.where(F.col("n") > FEW).limit(1).count():
+        ends = ends.unionByName(_joined(known.where(F.col("n") > FEW), summaries, keys, n_sims, seed))
     out = ends.groupBy(*keys).agg(
         F.count("*").alias("n_sims"), *[F.percentile(q.split("_")[0], int(q[-2:]) / 100).alias(q) for q in QUANTILES],
         F.avg(F.when(F.col("final") < 1, 1.0).otherwise(0.0)).alias("prob_loss"), F.avg(F.when(F.col("dd") < -0.25, 1.0).otherwise(0.0)).alias("prob_dd_25"),

@@ -1,7 +1,6 @@
 """Resampled paths from block summaries, against paths that are walked return by return."""
 
 import datetime as dt
-import hashlib
 import math
 import random
 from collections import Counter
@@ -15,7 +14,13 @@ from brassloom.operators.resample import block_bootstrap, resample_trades
 
 
 def _drawn(path, step, n, seed=0):
-    return int(hashlib.md5(f"{seed}:{path}:{step}".encode()).hexdigest()[:8], 16) * n >> 32
+    def mixed(x):
+        for a, by in ((1583458089, 16), (784588716, 13)):
+            x = (x * a + 1) % resample.PRIME
+            x ^= x >> by
+        return x
+
+    return mixed((mixed((path + 1 + 40692 * seed) % resample.PRIME) + step * 69621) % resample.PRIME) * n >> 31
 
 
 def _walked(r, block, horizon, n_sims, seed):
@@ -35,9 +40,11 @@ def _walked(r, block, horizon, n_sims, seed):
     return [*np.percentile(final, (5, 50, 95)), *np.percentile(dd, (50, 5)), np.mean(np.array(final) < 1), np.mean(np.array(dd) < -0.25)]
 
 
-@pytest.mark.parametrize(("block", "horizon", "segment"), [(5, None, 10**6), (5, 33, 7), (21, 100, 4), (1, None, 10)])
-def test_equals_paths_that_are_walked(spark, monkeypatch, block, horizon, segment):
+@pytest.mark.parametrize(("block", "horizon", "segment", "few"), [(5, None, 10**6, 10**5), (5, 33, 7, 10), (21, 100, 4, 10**5), (1, None, 10, 10)])
+def test_equals_paths_that_are_walked(spark, monkeypatch, block, horizon, segment, few):
     monkeypatch.setattr(scan, "SEGMENT", segment)
+    monkeypatch.setattr(resample, "FEW", few)
+    monkeypatch.setattr(resample, "CELLS", 100)
     r = random.Random(block)
     long, short = [r.gauss(0, 0.04) for _ in range(57)], [0.1, -0.1]
     long[7], long[20] = -1.0, -0.5
