@@ -147,16 +147,20 @@ def _joined(known: DataFrame, summaries: DataFrame, keys: list[str], n_sims: int
 
 def resampled(series: DataFrame, keys: list[str], value: str, order: list[str], n_sims: int, block: int, horizon: int | None, least: int, seed: int) -> DataFrame:
     """keys, n_sims and RESULTS; a key with fewer than ``least`` values has n_sims 0 and NULLs."""
-    good = series.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *order, F.when(F.col(value) > -1, F.log1p(value)).otherwise(RUIN).alias("x"))
-    rows = stored(scan.numbered(good, keys, order[0], tuple(order[1:])))
-    lengths = series.groupBy(*keys).agg(F.count(F.when(F.col(value).isNotNull() & ~F.isnan(value), 1)).alias("n"))
-    lengths = stored(lengths.withColumn("_h", F.lit(horizon).cast("long") if horizon else F.col("n")).withColumn("_steps", F.ceil(F.col("_h") / block)))
+    x = F.when(F.col(value) > -1, F.log1p(value)).otherwise(RUIN)
+    # Both the lengths and the blocks need the series, which may be costly to make.
+    given = stored(series.select(*keys, *order, F.when(F.col(value).isNotNull() & ~F.isnan(value), x).alias("x")))
+    lengths = given.groupBy(*keys).agg(F.count("x").alias("n")).withColumn("_h", F.lit(horizon).cast("long") if horizon else F.col("n"))
+    lengths = stored(lengths.withColumn("_steps", F.ceil(F.col("_h") / block)))
+    longest = lengths.agg(F.max("n")).first()[0] or 0
+    rows = scan.numbered(given.where("x IS NOT NULL"), keys, order[0], tuple(order[1:]), longest=longest)
     known = lengths.where(F.col("n") >= least)
     tail = (F.col("_h") - (F.col("_steps") - 1) * block).cast("int")
-    summaries = stored(blocks(rows.join(F.broadcast(known.withColumn("_tail", tail)), keys), keys, block, F.col("_tail")))
-    short = known.where(F.col("n") <= FEW)
-    ends = _walked(short, summaries, keys, n_sims, seed)
-    if known.where(F.col("n") > FEW).limit(1).count():
+    summaries = blocks(rows.join(F.broadcast(known.withColumn("_tail", tail)), keys), keys, block, F.col("_tail"))
+    if longest > FEW:
+        summaries = stored(summaries)
+    ends = _walked(known.where(F.col("n") <= FEW), summaries, keys, n_sims, seed)
+    if longest > FEW:
         ends = ends.unionByName(_joined(known.where(F.col("n") > FEW), summaries, keys, n_sims, seed))
     out = ends.groupBy(*keys).agg(
         F.count("*").alias("n_sims"), *[F.percentile(q.split("_")[0], int(q[-2:]) / 100).alias(q) for q in QUANTILES],

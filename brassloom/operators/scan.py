@@ -27,13 +27,20 @@ MOST = 4096
 FEW = 10_000
 
 
+def _long(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
+    """keys and _n of those with more than so many rows; None if there is none."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    return stored(sizes.where(F.col("_n") > rows)) if most > rows else None
+
+
 def segmented(df: DataFrame, keys: list[str], order: str, rows: int | None = None) -> DataFrame:
     """df with ``_seg``, the number of a row's range within its key (0 throughout for keys of up to so many rows)."""
     rows = rows or SEGMENT
-    long = stored(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows))
-    few, most = long.agg(F.count("*"), F.max("_n")).first()
-    if not few:
+    long = _long(df, keys, rows)
+    if long is None:
         return df.withColumn("_seg", F.lit(0))
+    few, most = long.agg(F.count("*"), F.max("_n")).first()
     small = F.broadcast if few <= FEW else lambda x: x
     parts = min(MOST, -(-most // rows))
     at = _number(F.col(order), df.schema[order].dataType.typeName())
@@ -67,8 +74,10 @@ def _carried(rows: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(F.broadcast(elements) if n <= FEW * 10 else elements, [*keys, "_seg"])
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = (), rows: int | None = None, to: str = "pos") -> DataFrame:
-    """df with the number of a row within its key, from 0."""
+def numbered(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = (), rows: int | None = None, to: str = "pos", longest: int | None = None) -> DataFrame:
+    """df with the number of a row within its key, from 0; longest: how many rows a key has at most, if that is known."""
+    if (longest is not None and longest <= (rows or SEGMENT)) or _long(df, keys, rows or SEGMENT) is None:
+        return df.withColumn(to, (F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)) - 1).cast("long"))
     cut = segmented(df, keys, order, rows)
     local = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(order, *ties))
     sizes = stored(cut.groupBy(*keys, "_seg").agg(F.count("*").alias("_n")))
