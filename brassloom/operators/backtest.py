@@ -39,13 +39,28 @@ class Costs:
     def scaled(self, k: float) -> Costs:
         return replace(self, multiplier=self.multiplier * k)
 
+    def of(self, name: str) -> Column:
+        """A friction as the plan sees it, beside the multiplier that scales it."""
+        return F.lit(float(getattr(self, name)))
+
     def half_spread(self, asset: str = "asset") -> Column:
-        out = F.lit(self.half_spread_bps)
+        out = self.of("half_spread_bps")
         for a, v in self.half_spread_by_asset.items():
             out = F.when(F.col(asset) == a, F.lit(v)).otherwise(out)
         return out
 
 
+class CostColumns(Costs):
+    """Frictions that differ by row: columns ``cost_`` and a friction's name."""
+
+    def of(self, name: str) -> Column:
+        return F.col(f"cost_{name}")
+
+
+#: The frictions that are one number.
+FRICTIONS = tuple(f for f in Costs.__dataclass_fields__ if f != "half_spread_by_asset")
+
+
 def _a() -> Window:
     return Window.partitionBy("variant", "asset").orderBy("date")
 
@@ -60,10 +75,10 @@ def _zero(x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rules:
-    """What a simulation refuses: shorts unless allowed, more gross exposure than max_gross, rows after validation unless the holdout is open."""
+    """What a simulation refuses: shorts unless allowed, more gross exposure than max_gross (both may be columns), rows after validation unless the holdout is open."""
 
-    max_gross: float | None = 1.0
-    allow_short: bool = False
+    max_gross: float | Column | None = 1.0
+    allow_short: bool | Column = False
     splits: Splits | None = Splits()
     opened: bool = False
 
@@ -74,10 +89,11 @@ def _ready(rows: DataFrame, rules: Rules, opens: bool) -> DataFrame:
         rows = rows.withColumn("rf", F.lit(0.0))
     w = F.col("w")
     bad = [(F.isnan(w) | (F.abs(w) == float("inf")), "weights must be finite")]
-    if not rules.allow_short:
-        bad.append((w < -EPS, "short weights are not allowed"))
+    if rules.allow_short is not True:
+        bad.append((~F.lit(rules.allow_short) & (w < -EPS), "short weights are not allowed"))
     if rules.max_gross is not None:
-        bad.append((F.sum(F.abs(w)).over(_d()) > rules.max_gross + 1e-6, f"gross exposure is over {rules.max_gross}"))
+        said = "the limit" if isinstance(rules.max_gross, Column) else rules.max_gross
+        bad.append((F.sum(F.abs(w)).over(_d()) > F.lit(rules.max_gross) + 1e-6, f"gross exposure is over {said}"))
     if rules.splits is not None and not rules.opened:
         bad.append((F.col("date") > F.lit(rules.splits.val_end).cast("date"), f"the holdout after {rules.splits.val_end} is not open"))
     if opens:
@@ -93,7 +109,7 @@ def simulate(rows: DataFrame, mode: str = "next_open", costs: Costs = Costs(), a
     """One row per (variant, date, asset): position, its parts of the return, trade and costs. Rows that break the rules raise."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    k = costs.multiplier
+    of, k = costs.of, costs.of("multiplier")
     c, last = F.col("adj_close"), F.lag("adj_close").over(_a())
     df = _ready(rows, rules, mode == "next_open").withColumn("days", F.datediff("date", F.lag("date").over(_a())))
     first = F.coalesce(F.percentile("days", 0.5).over(Window.partitionBy("variant", "asset")), F.lit(1.0))
@@ -119,12 +135,12 @@ def simulate(rows: DataFrame, mode: str = "next_open", costs: Costs = Costs(), a
     sells = F.when(F.col("turnover") > 0, plus(-F.col("trade"))).otherwise(0.0)
     raw = F.when(F.col("close") != 0, F.col("close"))
     year = F.col("days") / 365.0
-    df = df.withColumn("trading", F.col("turnover") * (costs.half_spread() + F.lit(costs.slippage_bps + costs.fee_bps)) * F.lit(k / 1e4))
-    df = df.withColumn("regulatory", sells * (F.lit(costs.sec_per_million / 1e6) + _zero(F.lit(costs.taf_per_share) / raw)) * k)
-    df = df.withColumn("commission", F.when(F.col("turnover") > 0, F.lit(costs.commission_usd * k / account if account else 0.0)).otherwise(0.0))
-    df = df.withColumn("borrow", plus(-F.col("held")) * year * F.lit(costs.borrow_bps / 1e4 * k))
-    df = df.withColumn("financing_all", plus(F.col("long_held") - 1) * F.lit(costs.margin_rate * k) * year)
-    df = df.withColumn("cash", plus(1 - F.col("long_held")) * (F.col("rf") - F.lit(costs.cash_haircut) * year))
+    df = df.withColumn("trading", F.col("turnover") * (costs.half_spread() + of("slippage_bps") + of("fee_bps")) * (k / 1e4))
+    df = df.withColumn("regulatory", sells * (of("sec_per_million") / 1e6 + _zero(of("taf_per_share") / raw)) * k)
+    df = df.withColumn("commission", F.when(F.col("turnover") > 0, of("commission_usd") * k / account if account else F.lit(0.0)).otherwise(0.0))
+    df = df.withColumn("borrow", plus(-F.col("held")) * year * (of("borrow_bps") / 1e4 * k))
+    df = df.withColumn("financing_all", plus(F.col("long_held") - 1) * (of("margin_rate") * k) * year)
+    df = df.withColumn("cash", plus(1 - F.col("long_held")) * (F.col("rf") - of("cash_haircut") * year))
     share = _zero(F.try_divide(plus(F.col("held")), F.col("long_held")))
     return df.withColumn("cost", F.col("trading") + F.col("regulatory") + F.col("commission") + F.col("borrow") + share * F.col("financing_all"))
 
@@ -193,16 +209,16 @@ def session_only(rows: DataFrame, session: str, costs: Costs = Costs(), rules: R
     """(variant, date, asset) rows of holding one part of each day only and paying for both legs every day."""
     if session not in ("overnight", "intraday"):
         raise ValueError("session must be overnight or intraday")
-    k, o = costs.multiplier, adj_open()
+    of, k, o = costs.of, costs.of("multiplier"), adj_open()
     last = F.lag("adj_close").over(_a())
     part = F.try_divide(o, last) - 1 if session == "overnight" else F.try_divide(F.col("adj_close"), o) - 1
     df = _ready(rows, rules, False).withColumn("pos", _zero(F.lag("w").over(_a()))).withColumn("part", F.col("pos") * _zero(part))
     df = df.withColumn("days", F.greatest(F.coalesce(F.datediff("date", F.lag("date").over(_a())), F.lit(1)), F.lit(1)).cast("double"))
     raw = F.when(F.col("close") != 0, F.col("close"))
-    df = df.withColumn("trading", F.abs("pos") * 2.0 * (costs.half_spread() + F.lit(costs.slippage_bps + costs.fee_bps)) * F.lit(k / 1e4))
-    df = df.withColumn("regulatory", F.abs("pos") * (F.lit(costs.sec_per_million / 1e6) + _zero(F.lit(costs.taf_per_share) / raw)) * k)
+    df = df.withColumn("trading", F.abs("pos") * 2.0 * (costs.half_spread() + of("slippage_bps") + of("fee_bps")) * (k / 1e4))
+    df = df.withColumn("regulatory", F.abs("pos") * (of("sec_per_million") / 1e6 + _zero(of("taf_per_share") / raw)) * k)
     free = F.greatest(1 - F.sum(F.greatest("pos", F.lit(0.0))).over(_d()), F.lit(0.0))
-    return df.withColumn("cash", free * (F.col("rf") - F.lit(costs.cash_haircut) * F.col("days") / 365.0))
+    return df.withColumn("cash", free * (F.col("rf") - of("cash_haircut") * F.col("days") / 365.0))
 
 
 def session_periods(sim: DataFrame) -> DataFrame:

@@ -11,14 +11,16 @@ from brassloom.sources.tables import table
 
 #: Rows of a range in these queries: short enough that a series of some tens of thousand rows is cut.
 ROWS = 10_000
-_LINES = "l AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag, (l_discount - 5e-2) / 1e2 AS r, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem)"
+#: Order and line numbers aren't unique; rows equal in all of these are interchangeable.
+TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flag", "r")
+_LINES = "l AS (SELECT l_orderkey, l_linenumber, l_returnflag AS flag, (l_discount - 5e-2) / 1e2 AS r, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_discount) AS n FROM lineitem)"
 _EVENTS = "e AS (SELECT event_id, (value - 2.5e2) / 1e2 AS x, row_number() OVER (ORDER BY ts, event_id) AS n FROM events)"
 
 
 def _lines(spark, d) -> DataFrame:
     """Line items by ship date: their discounts, about the mean, as returns of one series."""
     li = table(spark, d, "lineitem")
-    return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("at"), ((F.col("l_discount") - 0.05) / 100.0).alias("r"), F.lit("all").alias("of"))
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("at"), ((F.col("l_discount") - 0.05) / 100.0).alias("r"), F.lit("all").alias("of"))
 
 
 def _events(spark, d) -> DataFrame:
@@ -29,14 +31,13 @@ def _events(spark, d) -> DataFrame:
  SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, equity, dd, n - coalesce(max(CASE WHEN dd >= 0 THEN n END) OVER (ORDER BY n), 0) AS under FROM q""")
 def g_long_drawdown(spark, d):
     """Equity, drawdown and time under water of one series with every line item, cut into ranges."""
-    return scan.drawdown(_lines(spark, d), ["of"], "at", "r", ("l_orderkey", "l_linenumber"), ROWS)
+    return scan.drawdown(_lines(spark, d), ["of"], "at", "r", TIES, ROWS)
 
 
 @query("g_long_runs", "l_orderkey l_linenumber pos run", "", f"WITH {_LINES} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, n - 1 AS pos, (sum(CASE WHEN flag IS DISTINCT FROM before OR n = 1 THEN 1 ELSE 0 END) OVER (ORDER BY n))::BIGINT AS run FROM (SELECT *, lag(flag) OVER (ORDER BY n) AS before FROM l)")
 def g_long_runs(spark, d):
     """Positions and runs of one flag in the same series."""
-    ties = ("l_orderkey", "l_linenumber")
-    return scan.runs(scan.numbered(_lines(spark, d), ["of"], "at", ties, ROWS), ["of"], "at", "flag", ties, ROWS)
+    return scan.runs(scan.numbered(_lines(spark, d), ["of"], "at", TIES, ROWS), ["of"], "at", "flag", TIES, ROWS)
 
 
 @query("f_long_ema", "event_id", "ema", f"WITH RECURSIVE {_EVENTS}, f AS (SELECT n, event_id, x AS ema FROM e WHERE n = 1 UNION ALL SELECT e.n, e.event_id, 1e-1 * e.x + 9e-1 * f.ema FROM f JOIN e ON e.n = f.n + 1) SELECT event_id, ema FROM f")

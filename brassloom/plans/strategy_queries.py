@@ -118,12 +118,17 @@ def f_ema(spark, d):
     return folds.ema(order_panel(spark, d), ["asset"], "date", "close", 0.1).withColumnRenamed("out", "x")
 
 
-_PAIR = f"""q AS (SELECT x.date, 'p' AS asset, ln(x.adj_close) - ln(y.adj_close) AS s FROM panel x JOIN panel y ON x.date = y.date AND x.asset = '1-URGENT' AND y.asset = '2-HIGH'),
+def _pair_sql(a: str, b: str) -> str:
+    """The held side f (n, date, held, shown) of a pair's spread, as recursive CTEs over panel."""
+    return f"""q AS (SELECT x.date, 'p' AS asset, ln(x.adj_close) - ln(y.adj_close) AS s FROM panel x JOIN panel y ON x.date = y.date AND x.asset = '{a}' AND y.asset = '{b}'),
  z AS (SELECT date, row_number() OVER (ORDER BY date) AS n, (s - {roll('avg', 's', 26)}) / nullif({roll('stddev_samp', 's', 26)}, 0) AS z FROM q),
  f AS (SELECT date, n, CASE WHEN z > 1e0 THEN -1e0 WHEN z < -1e0 THEN 1e0 ELSE 0e0 END AS held, CASE WHEN z IS NULL THEN 0e0 WHEN z > 1e0 THEN -1e0 WHEN z < -1e0 THEN 1e0 ELSE 0e0 END AS shown FROM z WHERE n = 1
   UNION ALL SELECT date, n, held, CASE WHEN gap THEN 0e0 ELSE held END FROM (SELECT z.date, z.n, z.z IS NULL AS gap, CASE WHEN z.z IS NULL THEN f.held WHEN f.held = 0 THEN CASE WHEN z.z > 1e0 THEN -1e0 WHEN z.z < -1e0 THEN 1e0 ELSE 0e0 END WHEN (f.held < 0 AND z.z < 5e-1) OR (f.held > 0 AND z.z > -5e-1) THEN 0e0 ELSE f.held END AS held FROM f JOIN z ON z.n = f.n + 1))"""
 
 
+_PAIR = _pair_sql("1-URGENT", "2-HIGH")
+
+
 @query("x_pairs_zscore", "date asset", "weight", f"WITH RECURSIVE {PANEL}, {_PAIR} SELECT date, '1-URGENT' AS asset, 5e-1 * shown AS weight FROM f UNION ALL SELECT date, '2-HIGH', -5e-1 * shown FROM f")
 def x_pairs_zscore(spark, d):
     return signals.pairs_zscore(order_panel(spark, d), "1-URGENT", "2-HIGH", 26, 1.0)
