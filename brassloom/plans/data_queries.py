@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brassloom.operators import ledger, quality
+from brassloom.plans.panel import shared_folder
 from brassloom.plans.registry import PANEL, panel_sql, query
-from brassloom.sources import cache, parsers
+from brassloom.sources import cache, forecasts, keyed, parsers
 from brassloom.sources.tables import order_bars, table
 from brassloom.streaming.bars import bars
 
@@ -206,8 +210,37 @@ def s_markets(spark, d):
     return parsers.parse_markets(archive.unionByName(live), "ticker", ["result"], ["strike"], ["closed"])
 
 
-@query("s_forecasts", "runtime ftime station", "txn", "SELECT date_trunc('hour', ts)::TIMESTAMP AS runtime, (ts::DATE + 1)::TIMESTAMP AS ftime, user_id AS station, max(value) AS txn FROM events WHERE value > 20 GROUP BY 1, 2, 3")
+_FORECAST = "SELECT date_trunc('hour', ts)::TIMESTAMP AS runtime, (ts::DATE + 1)::TIMESTAMP AS ftime, user_id AS station, max(value) AS txn FROM events WHERE value > 20 GROUP BY 1, 2, 3"
+
+
+@query("s_forecasts", "runtime ftime station", "txn", _FORECAST)
 def s_forecasts(spark, d):
     """Forecast rows, the largest of those with one run and time, without rows that hold no forecast."""
     e = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("runtime"), F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("ftime"), F.col("user_id").alias("station"), F.when(F.col("value") > 20, F.col("value")).alias("txn"))
     return e.where("txn IS NOT NULL").groupBy(F.col("runtime").cast("timestamp").alias("runtime"), "ftime", "station").agg(F.max("txn").alias("txn"))
+
+
+@query("s_forecast_parts", "runtime ftime station model", "n_x txn xnd tmp", "SELECT date_trunc('hour', ts)::TIMESTAMP AS runtime, (ts::DATE + 1)::TIMESTAMP AS ftime, (user_id % 20)::VARCHAR AS station, CASE WHEN day(ts) % 2 = 0 THEN 'A' ELSE 'B' END AS model, CASE WHEN day(ts) % 2 = 0 THEN value END AS n_x, CASE WHEN day(ts) % 2 = 1 THEN value END AS txn, CASE WHEN day(ts) % 2 = 1 THEN value / 8e0 END AS xnd, CASE WHEN day(ts) % 2 = 0 THEN value / 2e0 END AS tmp FROM events WHERE value > 20")
+def s_forecast_parts(spark, d):
+    """Texts of parts, one a day and station, whose columns and their order change from day to day, read by their own headers."""
+    e = table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), (F.col("user_id") % 20).cast("string").alias("station"), F.date_format("ts", "yyyy-MM-dd HH:00").alias("run"), "value")
+    even, shown = F.dayofmonth("day") % 2 == 0, F.when(F.col("value") > 20, F.col("value").cast("string")).otherwise("")
+    ftime = F.date_format(F.date_add("day", 1), "yyyy-MM-dd HH:mm")
+    half = lambda by: F.when(F.col("value") > 20, (F.col("value") / by).cast("string")).otherwise("")
+    line = F.when(even, F.concat_ws(",", "station", "run", ftime, F.lit("A"), half(2.0), shown)).otherwise(F.concat_ws(",", "run", F.lit("x"), ftime, "station", F.lit("B"), shown, half(8.0)))
+    header = F.when(even, "station,runtime,ftime,model,tmp,n_x").otherwise("runtime,wind,ftime,station,model,txn,xnd")
+    parts = e.groupBy("day", F.col("station").alias("of")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return forecasts.parse_forecasts(parts.select("day", F.concat(header, F.lit("\n"), F.array_join("lines", "\n")).alias("text")), ["day"], "text")
+
+
+@query("s_keyed_tables", "key rows first last", "", "SELECT o_orderpriority AS key, count(*) AS rows, min(o_orderdate)::DATE::VARCHAR AS first, max(o_orderdate)::DATE::VARCHAR AS last FROM orders GROUP BY 1")
+def s_keyed_tables(spark, d):
+    """Each priority's orders saved by key and recorded; the record's rows are those of the table that is loaded and checked."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.to_date("o_orderdate").alias("date"))
+    store = keyed.Store(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
+    out = []
+    for r in o.select("o_orderpriority").distinct().collect():  # five priorities
+        store.save(o.where(F.col("o_orderpriority") == r[0]), "orders", r[0])
+        out.append(store.load("orders", r[0]).groupBy(F.col("o_orderpriority").alias("key")).agg(F.count("*").alias("_n")))
+    loaded = reduce(DataFrame.unionByName, out)
+    return store.records().join(loaded, "key").where("rows = _n")

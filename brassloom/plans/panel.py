@@ -6,7 +6,7 @@ import datetime as dt
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
@@ -20,14 +20,22 @@ def by_date(*more: str) -> Window:
     return Window.partitionBy(*more, "date")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder (spark.checkpoint.dir; a temporary one where a local session names none)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where a local session names none."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="brassloom-"))
+        root = tempfile.mkdtemp(prefix="brassloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
+    return root or sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

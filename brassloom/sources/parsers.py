@@ -15,13 +15,20 @@ CANDLE = "struct<end_period_ts:bigint,yes_bid:struct<close:double,close_dollars:
 
 
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars from CSV files with the header Date,Open,High,Low,Close[,Volume]; other files raise."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first or not first[0][0].startswith("Date,"):
-        raise ValueError(f"no daily bars in {path}")
-    df = spark.read.csv(path, header=True)
-    number = lambda c: F.expr(f"try_cast(`{c}` AS double)") if c in df.columns else F.lit(None).cast("double")
-    return df.select(F.to_date("Date").alias("date"), *[number(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Volume")]).withColumn("adj_close", F.col("close"))
+    """Daily bars from CSV files with the header Date,Open,High,Low,Close[,Volume]; a folder with any other file raises, and so does one without files' text.
+
+    Volume may be there in some files only: it is the sixth field wherever it stands.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("value <> ''")
+    header = F.col("value").startswith("Date,Open,High,Low,Close")
+    files = lines.groupBy("file").agg(F.count(F.when(header, 1)).alias("headers"))
+    bad, n = files.agg(F.min(F.when(F.col("headers") == 0, F.col("file"))), F.count("*")).first()
+    if bad or not n:
+        raise ValueError(f"no daily bars in {bad or path}")
+    part = F.split("value", ",")
+    number = lambda i: F.try_element_at(part, F.lit(i)).try_cast("double")
+    rows = lines.where(~header).select(F.try_element_at(part, F.lit(1)).try_cast("date").alias("date"), *[number(i).alias(c) for i, c in enumerate(("open", "high", "low", "close", "volume"), 2)])
+    return rows.withColumn("adj_close", F.col("close"))
 
 
 def parse_daily_csv(payloads: DataFrame, keys: list[str], text: str) -> DataFrame:
