@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -87,11 +89,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(key)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ARROW_ROWS rows, so that what a task makes of one stays small, whatever size the session asks for."""
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to clear what a module keeps in a worker from task to task."""
+    _caches[name] = clear
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ARROW_ROWS rows, so that what a task makes of one stays small, whatever size the session asks for.
+
+    Workers outlive their tasks: what operators but ``keep`` have cached goes first, and at the end freed memory goes back to
+    the system, beside which the executor's own heap may be full.
+    """
+    for name, clear in _caches.items():
+        if name != keep:
+            clear()
     for batch in batches:
         for at in range(0, batch.num_rows, ARROW_ROWS):
             yield batch.slice(at, ARROW_ROWS)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

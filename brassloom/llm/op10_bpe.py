@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from brassloom.llm.common import ship, small_batches, table
+from brassloom.llm.common import cached, ship, small_batches, table
 
 #: Words, and pairs of tokens, that a worker remembers in each of two generations.
 REMEMBER = 60_000
@@ -227,6 +227,9 @@ def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+cached("bpe", vocabulary.cache_clear)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -244,7 +247,7 @@ def encode_column(docs: DataFrame, path: str | None = None, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path or default_path())
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "bpe"):
             found = [bpe.encode(x or "") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([bpe.decode(x) for x in found], pa.string())],
@@ -261,7 +264,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path or default_path())
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "bpe"):
             n, of_ids, of_text = [], [], []
             for x in batch.column(1).to_pylist():
                 ids = bpe.encode(x or "")

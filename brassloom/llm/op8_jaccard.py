@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.llm.common import FEW_IDS, discard, save, ship, small_batches, table, text_or_empty
+from brassloom.llm.common import FEW_IDS, cached, discard, save, ship, small_batches, table, text_or_empty
 from brassloom.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -81,6 +81,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cached("words", _words.clear)
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -141,7 +142,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     part = min(1.0, max(SHARE, SAMPLE / max(1, docs.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "words"):
             found = [shingles(x, size).view(np.int64) for x in batch.column(0).to_pylist()]
             flat = np.concatenate([*found, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["h"])
@@ -158,7 +159,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "words"):
             found = [shingles(x, size) for x in batch.column(2).to_pylist()]
             sid = [_sid(s) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array(sid, pa.int64())], names=["doc_id", "key", "n", "sid"])
@@ -185,7 +186,7 @@ def key_rows(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, held, many = size_ranges(percent), [], 0
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "words"):
             for text in batch.column(0).to_pylist():
                 s = shingles(text, size)
                 if len(s):
@@ -376,7 +377,7 @@ def links_of(sets: list[np.ndarray], other: list[np.ndarray], comp: np.ndarray,
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Rows of batches that are sorted by their first columns, by equal keys."""
     held, at = [], None
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, "words"):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:keys] != at:
                 if held:
@@ -429,7 +430,7 @@ def _elements(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """sid, cluster, n and elements (sorted hashes as bytes) of the wanted sets (key: a document that has the set, named: whether it has a doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "words"):
             found = [shingles(x, size) for x in batch.column(0).to_pylist()]
             sid = batch.column(1).to_pylist()
             same = pa.array([_sid(s) == k for s, k in zip(found, sid)])
@@ -487,7 +488,7 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, "words"):
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x, y)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(good)
