@@ -20,7 +20,7 @@ joined by a shuffle, in which Spark splits skewed partitions.
 
 Edge cases: null text is one empty line. Rows equal in doc_id and text are one
 document; rows with the same doc_id and other texts count each, and those with
-the largest doc_id all keep the line. Ids may lie any distance apart. A null doc_id is smaller than any other; a key held by null ids only
+the largest doc_id all keep the line. Ids may lie any distance apart, as batches are cut at quantiles. A null doc_id is smaller than any other; a key held by null ids only
 is never dropped. Other columns are ignored by the query and kept by ``dedup``.
 """
 
@@ -59,12 +59,12 @@ def row_key() -> Column:
 
 
 def line_hashes(docs: DataFrame, least: int = LEAST, batches: int = BATCHES) -> DataFrame:
-    """doc_id, rid, pos and the hashes of each line that counts, by batch; batch 0 has the largest ids."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = float(low or 0), float(high or 0)
-    # In doubles, which keep the order of ids and can't overflow.
-    share = (F.lit(high) - F.coalesce(F.col("doc_id").cast("double"), F.lit(low))) / (high - low or 1.0)
-    batch = F.least(F.floor(share * batches), F.lit(batches - 1))
+    """doc_id, rid, pos and the hashes of each line that counts, by batch; batch 0 has the largest ids, and batches have about as many documents."""
+    # Borders are ids themselves, so rows with one id share a batch; a null id is below all.
+    borders = docs.agg(F.percentile_approx("doc_id", [(i + 1) / batches for i in range(batches - 1)], 10_000)).first()[0] if batches > 1 else None
+    kind = docs.schema["doc_id"].dataType
+    above = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in borders or []]), lambda b: b < F.col("doc_id"))) if borders else F.lit(0)
+    batch = F.when(F.col("doc_id").isNull(), batches - 1).otherwise(F.lit(batches - 1) - above)
     lines = docs.select("doc_id", row_key().alias("rid"), batch.cast("int").alias("batch"), F.posexplode(F.transform(F.split(text_or_empty(), "\n"), lambda x: _hashes(x, least))).alias("pos", "h"))
     return save(lines.where("h IS NOT NULL").select("doc_id", "rid", "pos", "h.h1", "h.h2", "batch"), "line-hashes", ("batch",))
 

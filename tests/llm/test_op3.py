@@ -70,3 +70,9 @@ def test_runs_are_compacted(spark):
     got = {r.h1: (r.docs, r.holder) for r in runs.counts().collect()}
     assert got[0] == (1, 100) and got[2] == (3, 100) and got[7] == (1, 95)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_a_far_id_leaves_batches_even(docs):
+    given = docs([(i, f"line number {i} is long enough", "en", "a") for i in range(400)] + [(10**15, "a line that is far from the others", "en", "a"), (None, "a line without any id at all", "en", "a")])
+    sizes = {r.batch: r["count"] for r in op3_linededup.line_hashes(given, batches=4).groupBy("batch").count().collect()}
+    assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) <= 110
