@@ -2,7 +2,7 @@
 
 The pages of a host are merged into one tree of styles: a node stands for all
 block elements with the same path of tag and class names (digits are one sign,
-levels below ``DEEPEST`` belong to the one there). It counts the pages that hold
+levels below ``DEEPEST``, where browsers stop nesting too, belong to the one there). It counts the pages that hold
 it, the ways in which its children are laid out (presentation styles) and, at its
 text blocks, on how many pages each block occurs (content features).
 
@@ -34,7 +34,8 @@ becomes one space, blocks are joined in page order by one space. Scripts, styles
 form controls and elements that are not shown never hold text.
 
 Edge cases: null html is empty, and its text too. Malformed markup never fails:
-unclosed elements end with their parents, what isn't a tag is text. Pages with a
+unclosed elements end with their parents, what isn't a tag is text. Pages of any length and
+any markup are read in time that grows with their length. Pages with a
 null or unreadable url share one host. Repeated pages count as pages; further
 columns are ignored by the query, whatever their names.
 """
@@ -57,15 +58,15 @@ LEAST, PAGES, DAMPING = 0.2, 4, 0.9
 PRIOR, KNOWN, INSIDE = (0.1, 0.5), 20, 0.15
 #: What a recurring block still counts, so that hosts on which all recurs have a main text; the share that leads on; elements a page at most on the way.
 FLOOR, LEADS, SINGLE = 0.1, 0.5, 1.25
-#: Levels of the tree.
-DEEPEST = 64
+#: Levels of the tree: the depth to which browsers nest elements.
+DEEPEST = 512
 #: Hosts and removed branches (8 bytes each) up to which they are broadcast.
 FEW = 100_000
 #: Paths whose numbers a worker remembers.
 REMEMBER = 200_000
 
-_QUOTED = r"""=\s*"[^"]*"|=\s*'[^']*'"""
-_TAG = re.compile(rf"<!--(.*?)-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:{_QUOTED}|[^>])*+)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_NEITHER, _SPACE = re.compile(r"[^>=]*"), re.compile(r"\s*")
 #: An attribute's name and value; values in quotes are passed over as a whole.
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|["'=/]""")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -139,6 +140,61 @@ class _Numbers(dict):
 _numbers = _Numbers()
 
 
+class Tags:
+    """What a page's markup consists of, in one pass: each `<` is looked at once, and what lies ahead without an end is remembered."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last, self.comments = page.rfind(">"), page.rfind("-->")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        # Marks places where attributes were read, outside of quotes, in tags that turned out to have no end.
+        self.endless = bytearray()
+
+    def at(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The next markup from a place on: its begin, its end, a slash for end tags, the tag (empty for comments and declarations), its attributes."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0 and at < self.last:
+            if page.startswith("<!--", at) and self.comments >= at + 4:
+                return at, page.index("-->", at + 4) + 3, "", "", ""
+            if page[at + 1] in "!?":
+                return at, page.index(">", at + 2) + 1, "", "", ""
+            if m := _NAME.match(page, at + 1):
+                end = self._end(m.end())
+                if end >= 0:
+                    return at, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at += 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at a place; -1 if it doesn't. A value in quotes may hold anything."""
+        page, passed = self.page, []
+        while not self.endless[at : at + 1].strip(b"\0"):
+            begin = at
+            at, quoted = self._outside(at)
+            passed.append((begin, at))
+            if not quoted:
+                if at < len(page):
+                    return at
+                break
+            at = page.index(page[quoted], quoted + 1) + 1
+        self.endless = self.endless or bytearray(len(page))
+        for begin, end in passed:
+            self.endless[begin:end] = b"\1" * (end - begin)
+        return -1
+
+    def _outside(self, at: int) -> tuple[int, int]:
+        """The next `>` (or the page's end) or, if one comes first, the place where a quoted value begins, and the quote's place."""
+        page = self.page
+        while True:
+            at = _NEITHER.match(page, at).end()
+            if at == len(page) or page[at] == ">":
+                return at, 0
+            quote = _SPACE.match(page, at + 1).end()
+            if quote < len(page) and page[quote] in self.quotes and self.quotes[page[quote]] > quote:
+                return quote, quote
+            at += 1
+
+
 class Page:
     """A page read: blocks as (path, text, code points of it that are links), and of each node's path its children in order, elements and flags."""
 
@@ -149,6 +205,9 @@ class Page:
         # Of each open element: tag, path, whether it is dropped (2) or faded (1), inside a link, inside article or main.
         first = ("", (ROOT,), 0, False, False)
         self.stack, self.state = [first], first
+        # The depths at which each tag, and any block element, is open.
+        self.depths: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
         self.parts: list[str] = []
         self.links, self.block = 0, (ROOT,)
         self._read(page, gone, faded)
@@ -162,11 +221,19 @@ class Page:
             self.parts, self.links = [], 0
 
     def _close(self, depth: int) -> None:
-        if any(s[0] in _BLOCK for s in self.stack[depth:]):
+        if self.open_blocks and self.open_blocks[-1] >= depth:
             self._flush()
+        for tag, *_ in self.stack[depth:]:
+            self.depths[tag].pop()
         del self.stack[depth:]
+        while self.open_blocks and self.open_blocks[-1] >= depth:
+            self.open_blocks.pop()
         self.state = self.stack[-1]
 
+    def _depth(self, names) -> int:
+        """The depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
     def _text(self, raw: str) -> None:
         if raw and not self.state[2]:
             if not self.parts:
@@ -176,14 +243,6 @@ class Page:
             if self.state[3]:
                 self.links += len(raw)
 
-    def _close_up_to(self, names: tuple[str, ...] | list[str], bounds: frozenset[str] | tuple[str, ...]) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] in names:
-                self._close(depth)
-                return
-            if self.stack[depth][0] in bounds:
-                return
-
     def _open(self, tag: str, raw: str, gone: frozenset[int], faded: frozenset[int]) -> None:
         of = _attributes(raw)
         _, path, dropped, link, in_main = self.state
@@ -211,41 +270,43 @@ class Page:
         elif declared and tag not in _BLOCK:
             dropped = 2
         self.state = (tag, path, dropped, link or tag == "a", in_main)
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag in _BLOCK:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(self.state)
 
     def _read(self, page: str, gone: frozenset[int], faded: frozenset[int]) -> None:
-        at, end = 0, len(page)
-        while at < end:
-            m = _TAG.search(page, at)
-            if not m:
-                self._text(page[at:])
-                break
-            self._text(page[at : m.start()])
-            at = m.end()
-            if not m[3]:
+        at, tags = 0, Tags(page)
+        while found := tags.at(at):
+            begin, end, slash, tag, raw = found
+            self._text(page[at:begin])
+            at = end
+            if not tag:
                 continue
-            tag = m[3].lower()
-            if m[2]:
-                for depth in range(len(self.stack) - 1, 0, -1):
-                    if self.stack[depth][0] == tag:
-                        self._close(depth)
-                        break
+            if slash:
+                if depth := self._depth((tag,)):
+                    self._close(depth)
                 continue
             if tag in _BLOCK:
                 self._flush()
             if tag in _VOID:
                 continue
             if tag in _RAW:
-                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = closing.end() if closing else end
+                closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                at = page.find(">", closing.end()) + 1 if closing else 0
+                if not at:
+                    at = len(page)
+                    break
                 continue
-            if tag in _BLOCK:
+            if tag in _BLOCK and (depth := self._depth(("p",))) and depth == self.open_blocks[-1]:
                 # A paragraph ends where another block begins, and so do its unclosed inline elements.
-                self._close_up_to(("p",), _BLOCK)
+                self._close(depth)
             if tag in _CLOSES:
                 names, bounds = _CLOSES[tag]
-                self._close_up_to(names.split(), bounds)
-            self._open(tag, m[4], gone, faded)
+                if (depth := self._depth(names.split())) > self._depth(bounds):
+                    self._close(depth)
+            self._open(tag, raw, gone, faded)
+        self._text(page[at:])
         self._flush()
 
 

@@ -1,11 +1,13 @@
 import math
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 
 from brassloom.llm import op5_html
-from brassloom.llm.op5_html import BELOW, DECLARED, END, HEADING, KEPT, LAYOUT, PLAIN, Page, extract, importances, main_text, removed, style_features
+from brassloom.llm.op5_html import BELOW, DECLARED, END, HEADING, KEPT, LAYOUT, PLAIN, Page, Tags, extract, importances, main_text, removed, style_features
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a>Home</a></nav>
 <div class="ad">Buy</div><article><h1>T&eacute;st &amp;amp; x</h1><p>One <b>bold</b>text<br>two<p>Th&#114;ee 1 < 2<span class="ads">buy</span>
@@ -196,3 +198,40 @@ def test_only_most_of_a_page_is_its_main_text(spark):
     long = "The long main text of this page"
     got = _texts(spark, [f"<div><p>{long}</p></div>{cards}{cards}", f"<div>Other</div><article><p>{long}</p></article>", "<div data-x='role=main'>aa</div><p>b</p>", f"<form><div class=bar>x</div><article><p>{long}</p></article></form>"])
     assert got == [f"{long} Teaser Teaser", long, "aa b", long]
+
+
+def _by_regex(page):
+    """The markup of a page by one pattern, which takes quadratic time on some pages."""
+    quoted = r"""=\s*"[^"]*"|=\s*'[^']*'"""
+    pattern = re.compile(rf"<!--(.*?)-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:{quoted}|[^>])*+)>", re.S)
+    return [(m.start(), m.end(), m[2] or "", (m[3] or "").lower(), m[4] or "") for m in pattern.finditer(page)]
+
+
+def test_the_scanner_finds_what_the_pattern_does():
+    r = random.Random(11)
+    pieces = ["<", ">", "<a ", "</b", "<p>", "</p>", "<!--", "-->", "<!x", "<?", '="', "='", '"', "'", "=", " ", "x", "\n", "/", "<a href=", "<1", "<>", "<!>"]
+    for _ in range(4000):
+        page, at, found = "".join(r.choice(pieces) for _ in range(r.randint(1, 40))), 0, []
+        tags = Tags(page)
+        while m := tags.at(at):
+            found.append(m)
+            at = m[1]
+        assert found == _by_regex(page), page
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "<!--", "<b>", "<b></i>", '<a ="x>" ', "<a ='", '<a ="', "<div>", "<li>", "</title ", "<p><b>", "&", "&#", "&amp", '<a b="', "<table><td>", "<ul><li><div>", "=", "<a =", "<title>", "<!", "<a href=' \" "],
+)
+def test_long_hostile_pages_take_seconds(piece):
+    n = 500_000 // len(piece)
+    began = time.perf_counter()
+    for page in (piece * n, f"<li>{'<b>' * 1000}{piece * (n // 2)}>{'</i>' * (n // 8)}<li>", f"<title>{piece * n}</title ", f"<ul>{piece * (n // 2)}{'<li></li>' * 20_000}"):
+        main_text(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_nesting_as_deep_as_browsers_go(spark):
+    deep = "<div>" * 300
+    pages = [("http://deep.example/", f"<html><body>{deep}<article><h1>Title {k}</h1><p>{' '.join(f'word{k}x{i}' for i in range(60))}</p><div class='foot'>same words on every page here</div></article>") for k in range(6)]
+    assert all("same words" not in t and f"word{k}x59" in t for k, t in enumerate(_texts(spark, pages)))
