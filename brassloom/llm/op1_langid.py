@@ -5,8 +5,9 @@ letters of a word, its ends marked), hashed into a fixed number of buckets; a
 linear softmax over the average gives the languages' probabilities. Embeddings
 and softmax are trained together by stochastic gradient descent in numpy, on a
 bounded sample (``SAMPLE`` documents of at most ``LONGEST`` code points in all, an
-equal share of each language, so that rare ones are learned as well; chosen by a hash
-of their id). A second sample sets the temperature that makes probabilities honest,
+equal share of each language, so that rare ones are learned as well, but no less than
+``EACH``; chosen by a hash of id and text). The ``LANGUAGES`` most frequent values of
+lang are learned; a bound of the model, not of the documents that it reads. A second sample sets the temperature that makes probabilities honest,
 and the least probability at which a prediction is accepted.
 
 As the average and the softmax are linear, embeddings and weights are multiplied
@@ -14,8 +15,9 @@ once before prediction: each n-gram then adds one number per language.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is
 every text if nothing could be learned. Whole texts are read, in slices, so that
-a very long one needs no more memory. Rows with null doc_id, repeated rows and
-further columns change nothing: each row is predicted from its text alone.
+a very long one needs no more memory. Each row is predicted from its text alone.
+Labelled rows without a doc_id are drawn by their texts; repeated ones are learned once.
+Further columns change nothing.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ WIDTH = 16
 EPOCHS = 4
 #: Documents that are learned from, and as many code points at most in each; a quarter of them serves calibration.
 SAMPLE, LONGEST = 4000, 20_000
-#: Documents that a language needs of the sample.
-EACH = 20
+#: Documents that a language gets of the sample at least, and languages that are learned, the most frequent ones: a bucket has a number for each, 52 MB for 200, which go to every worker.
+EACH, LANGUAGES = 20, 200
 #: Share of wrong predictions that may be among the accepted ones.
 ERRORS = 0.01
 SLICE = 1 << 20
@@ -154,17 +156,18 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Train on a bounded sample of labelled (doc_id, text, lang); which rows it takes depends on their ids and languages only."""
-    key = F.xxhash64(F.col("doc_id"))
+    """Train on a bounded sample of labelled (doc_id, text, lang); which rows it takes depends on the rows alone, not on their order."""
+    # Rows without an id are told apart by their texts; equal rows are one.
+    key = F.xxhash64("doc_id", "text")
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    # The most frequent languages, as many as can be learned from the sample.
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max(1, sample // EACH)).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
     if not counts:
         return train([], [])
-    share = sample // len(counts)
+    share = max(EACH, sample // len(counts))
     # The hash lets through little more than a language's share, so that tasks don't send many texts each.
     parts = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.5 * share / r.n) * (1 << 30)))])
     drawn = known.where(F.pmod(key, F.lit(1 << 30)) < F.coalesce(parts[F.col("lang")], F.lit(0))).select(key.alias("key"), "text", "lang")
+    drawn = drawn.groupBy("lang", "key").agg(F.min("text").alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
     rows = drawn.withColumn("_n", nth).where(F.col("_n") <= share).orderBy("key", "text").collect()
     return train([r.text for r in rows], [r.lang for r in rows])

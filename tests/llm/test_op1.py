@@ -56,3 +56,10 @@ def test_average_of_embeddings_is_what_votes_give():
     assert np.allclose(model.logits(text), want)
     # words of two letters: each letter with its ends, and the pairs and triples over them
     assert len(np.concatenate([*grams("ab")])) == len(np.concatenate([*grams("  ab ")]))
+
+
+def test_labelled_rows_without_ids_are_drawn_by_their_texts(docs):
+    rows = [(None, t, lang, "s") for t, lang in _texts(800)] + [(None, "the same text of a row that is repeated", "en", "s")] * 400
+    model = fit(docs(rows), sample=100)
+    assert model.langs == ["de", "en"]
+    assert sum(model.predict(t)[0] == lang for t, lang in _texts(seed=9)) >= 115
