@@ -17,7 +17,8 @@ other's opened sections lack, then those paragraphs' leaves. Weights are code po
 agrees; opened paragraphs agree by the share of their leaves that the other side's
 opened paragraphs have. Likeness is the weight that agrees, of both sides, over the
 weight of both and one for the roots; it is 1 for equal roots only.
-``edited_branches`` names the sections and paragraphs in which two trees differ.
+``edited_branches`` names the sections and paragraphs of one tree that the other lacks, by their
+digests, so an insertion moves nothing behind it.
 
 The next document (by ascending doc_id) is found in buckets of neighbouring ids,
 each with the first document of the bucket after it as its last row. The buckets'
@@ -106,18 +107,35 @@ def add_likeness(df: DataFrame, a: tuple[str, str], b: tuple[str, str], to: str)
     return df.drop("_oa", "_ob", "_ea", "_eb", "_la", "_lb", "_both", "_alla", "_allb", "_samea", "_sameb")
 
 
+def _digest(section: Column) -> Column:
+    return F.substring(section, 1, 64)
+
+
+def _lines(section: Column) -> Column:
+    return F.split(F.substr(section, F.lit(65)), "\n")
+
+
+def _lost(a: Column, b: Column) -> Column:
+    """The digests of a's sections that b lacks, wherever they stand."""
+    return F.array_except(F.transform(a["sections"], _digest), F.transform(b["sections"], _digest))
+
+
 def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the places where two trees' sections differ."""
-    differs = F.zip_with(a["sections"], b["sections"], lambda x, y: ~F.substring(x, 1, 64).eqNullSafe(F.substring(y, 1, 64)))
-    return F.filter(F.transform(differs, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+    """Numbers (from 0) of a's sections that b lacks. What stands before or after them moves nothing, as digests are compared, not places."""
+    lost = _lost(a, b)
+    return F.filter(F.transform(a["sections"], lambda x, i: F.when(F.array_contains(lost, _digest(x)), i)), lambda i: i.isNotNull())
 
 
 def edited_branches(a: Column, b: Column) -> Column:
-    """The places where sections of two trees differ, each with the numbers of those of its paragraphs that do."""
-    lines = lambda s: F.when(s.isNull(), F.array().cast("array<string>")).otherwise(F.split(F.substr(s, F.lit(65)), "\n"))
-    pairs = F.zip_with(a["sections"], b["sections"], lambda x, y: F.struct((~F.substring(x, 1, 64).eqNullSafe(F.substring(y, 1, 64))).alias("differs"), F.zip_with(lines(x), lines(y), lambda u, v: ~u.eqNullSafe(v)).alias("lines")))
-    numbered = F.transform(pairs, lambda z, i: F.struct(i.alias("section"), z["differs"].alias("differs"), F.filter(F.transform(z["lines"], lambda d, j: F.when(d, j)), lambda n: n.isNotNull()).alias("paragraphs")))
-    return F.transform(F.filter(numbered, lambda n: n["differs"]), lambda n: F.struct(n["section"], n["paragraphs"]))
+    """a's sections that b lacks, each with the numbers of those of its paragraphs that none of b's sections has that a lacks.
+
+    With a and b exchanged, it tells what was put in.
+    """
+    lost, other = _lost(a, b), _lost(b, a)
+    theirs = F.flatten(F.transform(F.filter(b["sections"], lambda s: F.array_contains(other, _digest(s))), _lines))
+    numbers = lambda s: F.filter(F.transform(_lines(s), lambda p, j: F.when(~F.array_contains(theirs, p), j)), lambda j: j.isNotNull())
+    found = F.transform(a["sections"], lambda s, i: F.when(F.array_contains(lost, _digest(s)), F.struct(i.alias("section"), numbers(s).alias("paragraphs"))))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def bucket_of(keyed: DataFrame, n: int, bucket: int, most: int = BUCKETS) -> Column:

@@ -66,8 +66,7 @@ def _check(rows, given):
             root, _, digests = _tree(of)
             assert got == root + ":" + ",".join(sorted({d[:16] for d in digests})[: op2_merkle.SKETCH])
         x, y = _tree(text)[2], _tree(edited)[2]
-        n = max(len(x), len(y))
-        assert r.edited_sections == ",".join(str(j) for j in range(n) if x[j : j + 1] != y[j : j + 1])
+        assert r.edited_sections == ",".join(str(j) for j in range(len(x)) if x[j] not in y)
 
 
 def _texts():
@@ -139,15 +138,38 @@ def test_edge_cases(spark, edge, tmp_path):
     assert only.near_next == 1
 
 
+def _branches(spark, a, b):
+    df = add_tree(add_tree(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y")
+    row = df.select(edited_branches(F.col("x"), F.col("y")).alias("gone"), edited_branches(F.col("y"), F.col("x")).alias("new")).first()
+
+    def named(text, found):
+        sections = [list(s) for s in _sections(text)]
+        return [sections[z.section][j] for z in found for j in z.paragraphs]
+
+    return named(a, row.gone), named(b, row.new), len(row.gone), len(row.new)
+
+
+def _sections(text):
+    out, held = [], []
+    for line in text.split("\n"):
+        held.append(line)
+        if _hex(line)[-1] in "08":
+            out.append(held)
+            held = []
+    return [*out, held] if held else out
+
+
 def test_branches_locate_edits(spark):
-    lines = [f"line {i}" for i in range(40)]
-    a, b = "\n".join(lines), "\n".join(lines).replace("line 9", "line nine")
-    df = spark.createDataFrame([(a, b), (a, a)], "a string, b string")
-    df = add_tree(add_tree(df, "a", "x"), "b", "y").select(edited_branches(F.col("x"), F.col("y")).alias("e"))
-    first, second = (r.e for r in df.collect())
-    want, x, y = [], [*_tree(a)[1].values()], [*_tree(b)[1].values()]
-    for k in range(max(len(x), len(y))):
-        u, v = (s[k] if k < len(s) else () for s in (x, y))
-        if u != v:
-            want.append((k, [j for j in range(max(len(u), len(v))) if u[j : j + 1] != v[j : j + 1]]))
-    assert [(z.section, list(z.paragraphs)) for z in first] == want and want and second == []
+    lines = [f"line {i}" for i in range(160)]
+    text = "\n".join(lines)
+    assert len(_sections(text)) > 10
+    assert _branches(spark, text, text) == ([], [], 0, 0)
+    gone, new, n, m = _branches(spark, text, text.replace("line 9\n", "line nine\n"))
+    assert (gone, new) == (["line 9"], ["line nine"]) and n <= 2 and m <= 2
+    # ten lines in front, in the middle and at the end, and ten that are taken out
+    some = [f"new {i}" for i in range(10)]
+    for at in (0, 77, 160):
+        gone, new, n, m = _branches(spark, text, "\n".join([*lines[:at], *some, *lines[at:]]))
+        assert gone == [] and new == some and n <= 1
+        gone, new, n, m = _branches(spark, "\n".join([*lines[:at], *some, *lines[at:]]), text)
+        assert gone == some and new == [] and m <= 1
