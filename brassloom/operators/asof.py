@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     return found.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in take])
 
 
+def asof_lookup(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str], take: list[str], tolerance: float | None = None, tie: str | None = None, span: float | None = None) -> DataFrame:
+    """What asof_join gives, for left rows many of which share key and time: each distinct (key, time) is looked up once.
+
+    The distinct pairs come from a partial aggregate and are joined back by equality, where Spark splits a hot key, so a
+    million rows of one key and time are one row in the window.
+    """
+    on = [*by, left_on]
+    pairs = asof_join(left.select(*on).distinct(), right, left_on, right_on, by, take, tolerance, tie, span)
+    found = pairs.select(*[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(c).alias(f"_take_{c}") for c in take])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(found, same, "left").select(*left.columns, *[F.col(f"_take_{c}").alias(c) for c in take])
+
+
 def align(grid: DataFrame, values: DataFrame, by: list[str], on: str, take: list[str], span: float | None = None) -> DataFrame:
     """grid with the slower values carried forward to its times: an as-of join without tolerance."""
     return asof_join(grid, values, on, on, by, take, span=span)

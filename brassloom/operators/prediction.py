@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brassloom.functions.instruments import ceil_cent
 from brassloom.functions.normal import cdf
-from brassloom.operators.asof import asof_join
+from brassloom.operators.asof import asof_lookup
 from brassloom.operators.stats import nelder_mead
 from brassloom.operators.windows import rolling_mean
 
@@ -42,7 +42,8 @@ def build_markets(markets: DataFrame, forecasts: DataFrame, candles: DataFrame)
     e = e.withColumn("dt_name", F.col("_s.dt_name")).withColumn("dt", stamp).drop("_s")
     e = e.withColumn("avail", F.col("dt") - F.make_dt_interval(hours=F.lit(LAG_HOURS))).withColumn("ftime", F.date_add("D", 1).cast("timestamp"))
     known = forecasts.where((F.hour("ftime") == 0) & F.col("txn").isNotNull())
-    e = asof_join(e, known, "avail", "runtime", ["ftime"], ["txn", "xnd"], FORECAST_HOURS * 3600)
+    # All markets of a day ask for one forecast at two times.
+    e = asof_lookup(e, known, "avail", "runtime", ["ftime"], ["txn", "xnd"], FORECAST_HOURS * 3600)
     return with_quotes(e, candles).drop("end_ts")
 
 

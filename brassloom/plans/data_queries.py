@@ -159,15 +159,18 @@ def s_fetch_plan(spark, d):
 _LOG = "lg AS (SELECT substr(sha1(c_mktsegment || '|' || o_orderpriority), 1, 10) AS trial_id, o_orderdate::DATE::VARCHAR AS timestamp_utc, CASE o_orderstatus WHEN 'F' THEN 'DEVELOPMENT' WHEN 'P' THEN 'VALIDATION' ELSE 'DEV+VAL' END AS split, CASE WHEN o_orderkey % 4 = 0 THEN 2e0 ELSE 1e0 END AS cost_mult, CASE WHEN o_totalprice < 2e4 THEN 'needs_data' ELSE 'tested' END AS status, o_totalprice / 1e6 AS sr_period, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey), ded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY timestamp_utc, o_orderkey) AS n FROM lg) WHERE n = 1)"
 
 
-def _log(spark, d) -> DataFrame:
+def _log_rows(spark, d) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = o.select(
+    return o.select(
         F.substring(F.sha1(F.concat_ws("|", "c_mktsegment", "o_orderpriority").cast("binary")), 1, 10).alias("trial_id"), F.to_date("o_orderdate").cast("string").alias("timestamp_utc"), F.when(F.col("o_orderstatus") == "F", "DEVELOPMENT").when(F.col("o_orderstatus") == "P", "VALIDATION").otherwise("DEV+VAL").alias("split"),
         F.when(F.col("o_orderkey") % 4 == 0, 2.0).otherwise(1.0).alias("cost_mult"), F.when(F.col("o_totalprice") < 20_000, "needs_data").otherwise("tested").alias("status"), (F.col("o_totalprice") / 1e6).alias("sr_period"), "o_orderkey",
     )
-    # A trial that is in the ledger is not logged again: the first row of each key, as a minimum of structs.
+
+
+def _log(spark, d) -> DataFrame:
+    """A trial that is in the ledger is not logged again: the first row of each key, as a minimum of structs."""
     s = F.min(F.struct("timestamp_utc", "o_orderkey", "status", "sr_period")).alias("s")
-    return rows.groupBy("trial_id", "split", "cost_mult").agg(s).select("trial_id", "split", "cost_mult", "s.*")
+    return _log_rows(spark, d).groupBy("trial_id", "split", "cost_mult").agg(s).select("trial_id", "split", "cost_mult", "s.*")
 
 
 @query("l_logged_once", "trial_id split o_orderkey", "cost_mult", f"WITH {_LOG} SELECT * FROM ded")
@@ -175,6 +178,14 @@ def l_logged_once(spark, d):
     return _log(spark, d)
 
 
+@query("l_unlogged", "trial_id split timestamp_utc o_orderkey", "cost_mult", f"WITH {_LOG}, kn AS (SELECT DISTINCT trial_id, split, cost_mult FROM lg WHERE timestamp_utc < '1997-01-01') SELECT ded.* FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY timestamp_utc, o_orderkey) AS m FROM lg WHERE o_orderkey % 5 = 0 AND timestamp_utc >= '1997-01-01') WHERE m = 1) ded ANTI JOIN kn USING (trial_id, split, cost_mult)")
+def l_unlogged(spark, d):
+    """Of later trials, those that a ledger of the years before doesn't hold; of several of a key, the first."""
+    rows = _log_rows(spark, d).withColumn("data_range", F.lit("all"))
+    new = rows.where("o_orderkey % 5 = 0 AND timestamp_utc >= '1997-01-01'").select("trial_id", "timestamp_utc", "o_orderkey", "split", "cost_mult", "data_range")
+    return ledger.unlogged(new, rows.where("timestamp_utc < '1997-01-01'"))
+
+
 @query("l_n_trials", "n", "", f"WITH {_LOG} SELECT count(DISTINCT trial_id) AS n FROM ded WHERE status = 'tested'")
 def l_n_trials(spark, d):
     return ledger.n_trials(_log(spark, d))
