@@ -178,12 +178,11 @@ def l_logged_once(spark, d):
     return _log(spark, d)
 
 
-@query("l_unlogged", "trial_id split timestamp_utc o_orderkey", "cost_mult", f"WITH {_LOG}, kn AS (SELECT DISTINCT trial_id, split, cost_mult FROM lg WHERE timestamp_utc < '1997-01-01') SELECT ded.* FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult ORDER BY timestamp_utc, o_orderkey) AS m FROM lg WHERE o_orderkey % 5 = 0 AND timestamp_utc >= '1997-01-01') WHERE m = 1) ded ANTI JOIN kn USING (trial_id, split, cost_mult)")
+@query("l_unlogged", "trial_id split data_range timestamp_utc o_orderkey", "cost_mult", f"WITH {_LOG}, lr AS (SELECT *, substr(timestamp_utc, 1, 7) AS data_range FROM lg), kn AS (SELECT DISTINCT trial_id, split, cost_mult, data_range FROM lr WHERE o_orderkey % 3 = 0) SELECT w.* FROM (SELECT *, row_number() OVER (PARTITION BY trial_id, split, cost_mult, data_range ORDER BY timestamp_utc, o_orderkey) AS m FROM lr WHERE o_orderkey % 3 <> 0) w ANTI JOIN kn USING (trial_id, split, cost_mult, data_range) WHERE m = 1")
 def l_unlogged(spark, d):
-    """Of later trials, those that a ledger of the years before doesn't hold; of several of a key, the first."""
-    rows = _log_rows(spark, d).withColumn("data_range", F.lit("all"))
-    new = rows.where("o_orderkey % 5 = 0 AND timestamp_utc >= '1997-01-01'").select("trial_id", "timestamp_utc", "o_orderkey", "split", "cost_mult", "data_range")
-    return ledger.unlogged(new, rows.where("timestamp_utc < '1997-01-01'"))
+    """Trials by month of which a ledger that holds every third row has none; of several of a key, the first."""
+    rows = _log_rows(spark, d).withColumn("data_range", F.substring("timestamp_utc", 1, 7)).select("trial_id", "timestamp_utc", "o_orderkey", "split", "cost_mult", "data_range")
+    return ledger.unlogged(rows.where("o_orderkey % 3 <> 0"), rows.where("o_orderkey % 3 = 0"))
 
 
 @query("l_n_trials", "n", "", f"WITH {_LOG} SELECT count(DISTINCT trial_id) AS n FROM ded WHERE status = 'tested'")
