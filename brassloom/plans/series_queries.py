@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brassloom.operators import scan
+from brassloom.operators import metrics, quantiles, scan
 from brassloom.plans.registry import query
 from brassloom.sources.tables import table
 
@@ -51,3 +51,15 @@ def f_long_ema(spark, d):
 def f_long_bands(spark, d):
     """A position between bands over all events as one series: each range is a table of states to states."""
     return scan.machine(_events(spark, d), ["of"], "ts", ["x"], scan.ThreeState(1.5, 0.5), ("event_id",), ROWS // 10).withColumnRenamed("out", "held")
+
+
+@query("a_exact_quantiles", "l_returnflag", "p01 p50 p95 p999", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95, quantile_cont(l_extendedprice, 0.999) AS p999 FROM lineitem GROUP BY 1")
+def a_exact_quantiles(spark, d):
+    """Quantiles of prices in three large groups; a group's values are never held in one task."""
+    return quantiles.exact(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.999})
+
+
+@query("a_tail_mean", "flag", "cvar", f"WITH {_LINES}, q AS (SELECT flag, quantile_cont(r, 0.05) AS cut FROM l GROUP BY 1) SELECT l.flag, avg(r) FILTER (WHERE r <= cut) AS cvar FROM l JOIN q USING (flag) GROUP BY 1")
+def a_tail_mean(spark, d):
+    """The mean of the lowest twentieth of returns, ties at the border included."""
+    return metrics.tail_mean(_lines(spark, d), ["flag"])
