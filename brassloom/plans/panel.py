@@ -39,11 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def densify(bars: DataFrame) -> DataFrame:
+def densify(bars: DataFrame, dates: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
     """All dates for all assets. Bars are made once and checkpointed, as both the grid and its values need them.
 
     The calendar is one row that holds all dates (some days a year, whatever the number of assets); each asset is
-    exploded into it.
+    exploded into it. dates (date) and assets (asset) give the grid where bars are only a part of the panel, so that what a slice or a
+    subset doesn't hold is filtered in the scan of what the bars are made of.
     """
     bars = stored(bars)
     if "adj_close" not in bars.columns:
@@ -51,8 +52,9 @@ def densify(bars: DataFrame) -> DataFrame:
     for c in FIELDS:
         if c not in bars.columns:
             bars = bars.withColumn(c, F.lit(None).cast("double"))
-    calendar = bars.agg(F.array_sort(F.collect_set("date")).alias("_dates"))
-    grid = bars.select("asset").distinct().crossJoin(F.broadcast(calendar)).select("asset", F.explode("_dates").alias("date"))
+    calendar = (bars if dates is None else dates).agg(F.array_sort(F.collect_set("date")).alias("_dates"))
+    known = (bars if assets is None else assets).select("asset").distinct()
+    grid = known.crossJoin(F.broadcast(calendar)).select("asset", F.explode("_dates").alias("date"))
     return grid.join(bars, ["date", "asset"], "left").select("date", "asset", *FIELDS)
 
 

@@ -26,12 +26,12 @@ def panel_duplicates(spark, d):
 
 @query("panel_slice", "date asset", "close", panel_sql("SELECT * FROM panel WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'"))
 def panel_slice(spark, d):
-    return P.between(order_panel(spark, d), "1997-01-01", "1998-06-30")
+    return order_panel(spark, d, "1997-01-01", "1998-06-30")
 
 
 @query("panel_subset", "date asset", "close", panel_sql("SELECT * FROM panel WHERE asset IN ('1-URGENT', '5-LOW')"))
 def panel_subset(spark, d):
-    return P.subset(order_panel(spark, d), ["1-URGENT", "5-LOW"])
+    return order_panel(spark, d, assets=["1-URGENT", "5-LOW"])
 
 
 @query("panel_index", "date n_assets", "", panel_sql("SELECT date, count(close) AS n_assets FROM panel GROUP BY date"))
@@ -62,8 +62,7 @@ def split_windows(spark, d):
 
 @query("research_panel", "date asset", "close", panel_sql("SELECT * FROM panel WHERE date <= DATE '2000-06-30'"))
 def research_panel(spark, d):
-    kept = P.between(order_panel(spark, d), None, SPLITS.bounds("RESEARCH")[1])
-    return P.guard(kept, SPLITS)
+    return P.guard(order_panel(spark, d, None, SPLITS.bounds("RESEARCH")[1]), SPLITS)
 
 
 _W = "w AS (SELECT date, asset, CASE WHEN volume > 2 THEN 0.3e0 WHEN volume = 1 THEN -0.1e0 ELSE 0e0 END AS weight FROM panel WHERE volume IS NOT NULL)"

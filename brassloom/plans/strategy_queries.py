@@ -13,7 +13,7 @@ from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, resample, signals, stats
 from brassloom.operators.runner import Trial, score, trial_rows
 from brassloom.operators.verdict import evaluate, report_lines
-from brassloom.plans.panel import Splits, by_date
+from brassloom.plans.panel import Splits, by_date, stored
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
 from brassloom.sources.tables import order_panel, supplier_panel, table
 
@@ -466,11 +466,10 @@ def mc_trades(spark, d):
 GRID = (5, 10, 20, 40)
 
 
-def _grid(spark, d) -> DataFrame:
-    """Every variant's rows: a rolling frame is a literal, so each length is a column, and they are unpivoted in one scan."""
+def _grid(p: DataFrame) -> DataFrame:
+    """Every variant's rows over a panel: a rolling frame is a literal, so each length is a column, and they are unpivoted in one scan."""
     from brassloom.operators.windows import rolling_mean
 
-    p = order_panel(spark, d)
     held = F.array(*[F.struct(F.lit(f"sma{n:02d}").alias("variant"), (signals.flag(F.col("adj_close") > F.col(f"_m{n}")) / ASSETS).alias("weight")) for n in GRID])
     return reduce(lambda df, n: df.withColumn(f"_m{n}", rolling_mean("adj_close", n)), GRID, p).select(*p.columns, F.inline(held)).withColumn("rf", F.lit(0.0008))
 
@@ -495,7 +494,11 @@ def flagship_grid(spark, d):
 
 
 def _grid_net(spark, d, cost: float) -> DataFrame:
-    return B.periods(B.simulate(_grid(spark, d), "next_close", _COST.scaled(cost), rules=WHOLE)).select("variant", "date", F.col("net").alias("r"), "rf")
+    return _net(B.simulate(_grid(order_panel(spark, d)), "next_close", _COST.scaled(cost), rules=WHOLE))
+
+
+def _net(sim: DataFrame) -> DataFrame:
+    return B.periods(sim).select("variant", "date", F.col("net").alias("r"), "rf")
 
 
 def _grid_summary(spark, d, cost: float) -> DataFrame:
@@ -659,21 +662,26 @@ def _evaluated(spark, d, **more) -> DataFrame:
     from brassloom.operators.windows import pct_change
 
     pairs = [(f"sma{a:02d}", f"sma{b:02d}") for i, a in enumerate(GRID) for b in (*GRID[max(i - 1, 0) : i], *GRID[i + 1 : i + 2])]
-    plain = _grid_summary(spark, d, 1.0)
+    # The panel is built once, and each variant simulated once at plain and once at doubled costs.
+    panel = stored(order_panel(spark, d))
+    rows = stored(_grid(panel))
+    sim = stored(B.simulate(rows, "next_close", _COST, rules=WHOLE))
+    every, doubled = stored(_net(sim)), _net(B.simulate(rows, "next_close", _COST.scaled(2.0), rules=WHOLE))
+    summary = lambda r: metrics.summarize(SPLITS.explode(r), ["split", "variant"], PPY)
+    plain = stored(summary(every))
     ratios = plain.where("split = 'DEV+VAL'").withColumn("all", F.lit(1))
     trials = stats.hurdle_variance(ratios, ["all"], "sr_period", F.lit(2)).select(F.col("n").cast("double").alias("n_trials"), "robust")
-    market = order_panel(spark, d).withColumn("r", pct_change("adj_close")).groupBy("date").agg(F.avg("r").alias("r")).withColumn("rf", F.lit(0.0008))
+    market = panel.withColumn("r", pct_change("adj_close")).groupBy("date").agg(F.avg("r").alias("r")).withColumn("rf", F.lit(0.0008))
     bench = metrics.summarize(SPLITS.explode(market), ["split"], PPY)
-    net = _grid_net(spark, d, 1.0).where(F.col("date") <= F.lit(SPLITS.val_end).cast("date"))
-    sim = B.episodes(B.simulate(_grid(spark, d), "next_close", _COST, rules=WHOLE))
+    net = every.where(F.col("date") <= F.lit(SPLITS.val_end).cast("date"))
     late = (F.col("entry") > F.lit(SPLITS.dev_end).cast("date")) & (F.col("entry") <= F.lit(SPLITS.val_end).cast("date"))
-    trades = sim.groupBy("variant").agg(F.count(F.when(late, 1)).alias("n"))
+    trades = B.episodes(sim).groupBy("variant").agg(F.count(F.when(late, 1)).alias("n"))
     runs = metrics.worst_windows(net, ["variant"], (21,))
     stress = metrics.in_windows(net, ["variant"], _STRESS).groupBy("variant").agg(F.min("ret").alias("_s"))
     events = runs.join(stress, "variant", "left").select("variant", F.least(F.coalesce("_s", F.lit(0.0)), F.coalesce("worst_21", F.lit(0.0))).alias("worst"))
     if "paths" in more:
         more["paths"] = resample.block_bootstrap(net, ["variant"], block=3).select("variant", "final_p05")
-    return evaluate(plain, bench, trials, trades, events, _grid_summary(spark, d, 2.0), spark.createDataFrame(pairs, "variant string, neighbour string"), **more)
+    return evaluate(plain, bench, trials, trades, events, stored(summary(doubled)), spark.createDataFrame(pairs, "variant string, neighbour string"), **more)
 
 
 @query("verdicts", f"variant {_CHECKS} passes", "", _VERDICT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brassloom.plans.panel import densify
+from brassloom.plans.panel import between, densify, subset
 
 PRICE_BASE, PRICE_SCALE = 100.0, 50_000.0
 
@@ -14,9 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of order prices, one asset per order priority: a partial aggregate per week and priority is all that is shuffled."""
-    o = table(spark, sf_dir, "orders").select(
+def order_bars(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None, assets: list[str] | None = None) -> DataFrame:
+    """Weekly bars of order prices, one asset per order priority: a partial aggregate per week and priority is all that is shuffled.
+
+    start and end (Mondays or other days) and assets are filters of the scan: a week is in where its Monday is.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if start:
+        first = F.date_trunc("week", F.date_add(F.lit(start).cast("date"), 6))
+        orders = orders.where(F.col("o_orderdate") >= first)
+    if end:
+        orders = orders.where(F.col("o_orderdate") < F.date_add(F.date_trunc("week", F.lit(end).cast("date")), 7))
+    if assets:
+        orders = orders.where(F.col("o_orderpriority").isin(*assets))
+    o = orders.select(
         F.to_date(F.date_trunc("week", "o_orderdate")).alias("date"),
         F.col("o_orderpriority").alias("asset"),
         "o_orderkey",
@@ -31,9 +42,17 @@ def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense weekly panel: every week for every priority, NULL where there was no order."""
-    return densify(order_bars(spark, sf_dir))
+def order_panel(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None, assets: list[str] | None = None) -> DataFrame:
+    """The dense weekly panel: every week for every priority, NULL where there was no order; from start to end and for some assets only, if they are given.
+
+    A part has the weeks and the assets that the whole panel has there: they are read from their own columns alone.
+    """
+    if not (start or end or assets):
+        return densify(order_bars(spark, sf_dir))
+    orders = table(spark, sf_dir, "orders")
+    dates = between(orders.select(F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")).distinct(), start, end)
+    known = orders.select(F.col("o_orderpriority").alias("asset"))
+    return densify(order_bars(spark, sf_dir, start, end, assets), dates, subset(known, assets) if assets else known)
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
