@@ -78,3 +78,22 @@ def report_lines(summary: DataFrame, keys: list[str], columns: list[str]) -> Dat
     cells = [F.rpad(F.coalesce(F.col(k).cast("string"), F.lit("-")), 16, " ") for k in keys]
     cells += [F.lpad(F.coalesce(F.format_number(c, 4), F.lit("-")), 12, " ") for c in columns]
     return summary.select(*keys, F.concat_ws(" ", *cells).alias("line"))
+
+
+def summary_lines(summary: DataFrame, label: Column, percents: dict[str, str], plain: dict[str, str]) -> DataFrame:
+    """label and a line in fixed width of several metrics, by title: shares as percent with one decimal, others with two; what is missing is a dash. The titles' line is ``summary_title``."""
+    cell = lambda c, by, digits, sign: F.lpad(F.coalesce(F.format_string(f"%.{digits}f{sign}", F.round(F.col(c) * by, digits) + F.lit(0.0)), F.lit("-")), 10, " ")
+    cells = [cell(c, 100.0, 1, "%%") for c in percents.values()] + [cell(c, 1.0, 2, "") for c in plain.values()]
+    return summary.select("*", F.concat(F.rpad(label, 30, " "), *cells).alias("line"))
+
+
+def summary_title(percents: dict[str, str], plain: dict[str, str]) -> str:
+    return " " * 30 + "".join(f"{t:>10}" for t in [*percents, *plain])
+
+
+def markdown(verdicts: DataFrame, checks: list[str]) -> DataFrame:
+    """variant and its verdict as a section of Markdown: a table of the checks, and whether all hold."""
+    row = lambda c: F.concat(F.lit(f"| {c} | "), F.when(F.col(c), "PASS").otherwise("FAIL"), F.lit(" |"))
+    overall = F.concat(F.lit("**Overall: "), F.when(F.col("passes"), "passed all").otherwise("did not pass"), F.lit("**"))
+    lines = [F.concat(F.lit("### "), "variant"), F.lit(""), F.lit("| check | result |"), F.lit("|---|---|"), *map(row, checks), F.lit(""), overall]
+    return verdicts.select("variant", F.concat_ws("\n", *lines).alias("text"))

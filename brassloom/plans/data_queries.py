@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brassloom.operators import ledger, quality
 from brassloom.plans.panel import shared_folder
 from brassloom.plans.registry import PANEL, panel_sql, query
-from brassloom.sources import cache, forecasts, keyed, parsers
+from brassloom.sources import cache, forecasts, keyed, parsers, routing
 from brassloom.sources.tables import order_bars, table
 from brassloom.streaming.bars import bars
 
@@ -254,3 +254,30 @@ def s_keyed_tables(spark, d):
         out.append(store.load("orders", r[0]).groupBy(F.col("o_orderpriority").alias("key")).agg(F.count("*").alias("_n")))
     loaded = reduce(DataFrame.unionByName, out)
     return store.records().join(loaded, "key").where("rows = _n")
+
+
+_ROUTES = "m AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%d') AS ticker, min(event_id) AS opened, max(event_id) - 2 AS closed FROM events GROUP BY 1)"
+
+
+@query("s_routed_candles", "ticker end_ts", "bid_close ask_close volume", f"WITH {_ROUTES}, c AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%d') AS ticker, event_id AS end_ts, value FROM events) SELECT c.ticker, end_ts, CASE WHEN closed < 700 THEN value / 1e3 ELSE value / 1e3 + 1e-2 END AS bid_close, CASE WHEN closed < 700 THEN value / 1e3 + 2e-2 ELSE value / 1e3 + 3e-2 END AS ask_close, value AS volume FROM c JOIN m USING (ticker) WHERE end_ts BETWEEN opened AND closed")
+def s_routed_candles(spark, d):
+    """A user's day is a market; both stores hold pages of all of them, at prices that tell which one was read."""
+    e = table(spark, d, "events").select("event_id", "value", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "dd")).alias("ticker"))
+    markets = e.groupBy("ticker").agg(F.min("event_id").alias("opened"), (F.max("event_id") - 2).alias("closed"))
+
+    def pages(name: str, volume: str, more: float) -> DataFrame:
+        side = lambda x: F.struct((F.col("value") / 1000.0 + x).alias(name))
+        c = F.struct(F.col("event_id").alias("end_period_ts"), side(more).alias("yes_bid"), side(more + 0.02).alias("yes_ask"), F.col("value").alias(volume))
+        # Two pages of a market that overlap.
+        halves = e.withColumn("page", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("event_id") % 2).cast("int")))))
+        return halves.groupBy("ticker", "page").agg(F.to_json(F.collect_list(c)).alias("text"))
+
+    return routing.routed_candles(markets, pages("close", "volume", 0.0), pages("close_dollars", "volume_fp", 0.01), F.lit(700))
+
+
+@query("s_first_listed", "ticker store", "volume", "SELECT user_id AS ticker, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN 'archive' ELSE 'live' END AS store, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') > 0 THEN min(value) FILTER (WHERE event_type = 'purchase') ELSE min(value) END AS volume FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1")
+def s_first_listed(spark, d):
+    """Listings of two stores: the archive's row where it has one."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("ticker"), F.col("value").alias("volume"), "event_type")
+    store = lambda kind, name: e.where(F.col("event_type") == kind).select("ticker", F.lit(name).alias("store"), "volume")
+    return routing.first_listed([store("purchase", "archive"), store("click", "live")], "ticker").select("ticker", "store", "volume")

@@ -12,7 +12,7 @@ from brassloom.functions.normal import cdf_sql, quantile_sql
 from brassloom.operators import backtest as B
 from brassloom.operators import folds, metrics, resample, signals, stats
 from brassloom.operators.runner import Trial, score, trial_rows
-from brassloom.operators.verdict import evaluate, report_lines
+from brassloom.operators.verdict import evaluate, markdown, report_lines, summary_lines
 from brassloom.plans.panel import Splits, by_date, stored
 from brassloom.plans.registry import BY, PANEL, panel_sql, query, roll
 from brassloom.sources.tables import order_panel, supplier_panel, table
@@ -704,3 +704,19 @@ def report_table(spark, d):
     """A fixed-width text line for each asset and year."""
     yearly = metrics.compounded(_returns(spark, d), ["asset"], "year").select("asset", F.year("year").cast("long").alias("year"), (F.round(F.col("ret") * 1e4) / 1e4).alias("ret"))
     return report_lines(yearly, ["asset", "year"], ["ret"])
+
+
+_TABLE = ({"CAGR": "cagr", "MaxDD": "max_dd"}, {"Sharpe": "sharpe", "Calmar": "calmar"})
+
+
+@query("summary_lines", "split asset line", "", panel_sql("SELECT split, asset, concat(rpad(concat(split, ' ', asset), 30, ' '), " + ", ".join([f"lpad(coalesce(printf('%.1f%%', round({c} * 1e2, 1) + 0e0), '-'), 10, ' ')" for c in ("cagr", "max_dd")] + [f"lpad(coalesce(printf('%.2f', round({c}, 2) + 0e0), '-'), 10, ' ')" for c in ("sharpe", "calmar")]) + ") AS line FROM summ", f"{SPLIT_TABLE}, {_SUMMARY}"))
+def metric_lines(spark, d):
+    """A line of several metrics for each split and asset."""
+    rows = metrics.summarize(SPLITS.explode(_returns(spark, d)), ["split", "asset"], PPY)
+    return summary_lines(rows, F.concat_ws(" ", "split", "asset"), *_TABLE)
+
+
+@query("verdicts_markdown", "variant text", "", f"SELECT variant, concat_ws(chr(10), '### ' || variant, '', '| check | result |', '|---|---|', {', '.join(f'{chr(39)}| {c} | {chr(39)} || CASE WHEN {c} THEN {chr(39)}PASS{chr(39)} ELSE {chr(39)}FAIL{chr(39)} END || {chr(39)} |{chr(39)}' for c in _CHECKS.split())}, '', '**Overall: ' || CASE WHEN passes THEN 'passed all' ELSE 'did not pass' END || '**') AS text FROM ({_VERDICT})")
+def verdict_texts(spark, d):
+    """The verdicts as sections of Markdown."""
+    return markdown(_evaluated(spark, d), _CHECKS.split())
