@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from brassloom.llm.common import cached, ship, small_batches, table
 
 #: Words, and pairs of tokens, that a worker remembers in each of two generations.
-REMEMBER = 60_000
+REMEMBER = 150_000
 
 
 def byte_letters() -> list[str]:
