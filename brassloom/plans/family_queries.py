@@ -39,11 +39,8 @@ def _panels(spark, d) -> dict[str, DataFrame]:
     return {"week": densify(bars(week)), "day": densify(bars(day))}
 
 
-class _Sql(dict):
-    """Each variant's weights (date, asset, weight) in SQL, over its desk's panel."""
-
-
-_sql = _Sql()
+#: Each variant's weights (date, asset, weight) in SQL, over its desk's panel.
+_sql: dict[str, str] = {}
 
 
 def _t(family: str, variant: str, build, sql: str, **params) -> Trial:
