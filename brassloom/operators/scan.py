@@ -1,7 +1,7 @@
 """Prefix scans over series of any length: a long key is cut into ranges of its order, which are reduced, scanned and applied.
 
-A window or a stream by key puts a whole series into one task. Here a key with more than ``SEGMENT`` rows is cut at
-sampled quantiles of its order; each range is reduced to an element of a monoid (a product and its peaks, an affine map, a
+A window or a stream by key puts a whole series into one task. Here a key with more than ``SEGMENT`` rows is cut into
+Spark's range partitions of its order; each range is reduced to an element of a monoid (a product and its peaks, an affine map, a
 table of states to states), the elements are scanned - one row for each range - and what came before a range is
 applied to its rows. Keys of ordinary length are one range, and cost what they cost by windows.
 
@@ -21,9 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from brassloom.plans.panel import stored
 
 SEGMENT = 1_000_000
-#: Ranges of one key at most; beyond them ranges grow, with 4096 times SEGMENT rows in a key.
+#: Ranges of one key that a smaller number of rows makes at most; beyond them ranges grow, up to SEGMENT rows.
+SPREAD = 256
+#: Ranges of all long keys at most; beyond them ranges grow, with 4096 times SEGMENT rows.
 MOST = 4096
-#: Keys longer than a segment whose borders are broadcast; beyond, they are joined by a shuffle.
+#: Keys longer than a segment that are broadcast; beyond, they are joined by a shuffle. Tenfold, for what a range carries.
 FEW = 10_000
 
 
@@ -34,30 +36,25 @@ def _long(df: DataFrame, keys: list[str], rows: int) -> DataFrame | None:
     return stored(sizes.where(F.col("_n") > rows)) if most > rows else None
 
 
-def segmented(df: DataFrame, keys: list[str], order: str, rows: int | None = None) -> DataFrame:
-    """df with ``_seg``, the number of a row's range within its key (0 throughout for keys of up to so many rows)."""
+def segmented(df: DataFrame, keys: list[str], order: str, rows: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with ``_seg``, which grows with a row's range within its key (0 throughout for keys of up to so many rows); where a key is cut, rows are stored."""
     rows = rows or SEGMENT
     long = _long(df, keys, rows)
-    if long is None:
-        return df.withColumn("_seg", F.lit(0))
-    few, most = long.agg(F.count("*"), F.max("_n")).first()
-    small = F.broadcast if few <= FEW else lambda x: x
-    parts = min(MOST, -(-most // rows))
-    at = _number(F.col(order), df.schema[order].dataType.typeName())
-    cuts = df.join(small(long), keys, "left_semi").groupBy(*keys).agg(F.percentile_approx(at, [(i + 1) / parts for i in range(parts - 1)], 100 * parts).alias("_cuts"))
-    width = max(1, int(parts**0.5))
-    # Borders in groups: one comparison for each group, and then for each border of one.
-    coarse = F.filter("_cuts", lambda _, i: i % width == width - 1)
-    out = df.join(small(stored(cuts)), keys, "left").withColumn("_at", at)
-    group = F.size(F.filter(coarse, lambda c: c < F.col("_at"))) * width
-    seg = group + F.size(F.filter(F.slice("_cuts", group + 1, F.lit(width)), lambda c: c < F.col("_at")))
-    return out.withColumn("_seg", F.when(F.col("_cuts").isNull(), 0).otherwise(seg)).drop("_cuts", "_at")
-
-
-def _number(x: Column, kind: str) -> Column:
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(x.cast("timestamp"))
-    return F.datediff(x, F.lit("1970-01-01").cast("date")).cast("long") if kind == "date" else x
+    return df.withColumn("_seg", F.lit(0)) if long is None else stored(_cut(df, long, keys, order, rows, ties))
+
+
+def _cut(df: DataFrame, long: DataFrame, keys: list[str], order: str, rows: int, ties: tuple[str, ...]) -> DataFrame:
+    """df with _seg, each range in one partition and in order: Spark's range partitions cut the long keys, so no row carries their borders."""
+    parts = F.greatest(F.least(F.ceil(F.col("_n") / rows), F.lit(SPREAD)), F.ceil(F.col("_n") / SEGMENT))
+    few, total, held = long.agg(F.count("*"), F.sum(parts), F.sum("_n")).first()
+    small = F.broadcast(long) if few <= FEW else long
+    of_long = df if held == df.count() else df.join(small, keys, "left_semi")
+    cut = of_long.repartitionByRange(min(MOST, total), *keys, order).sortWithinPartitions(*keys, order, *ties).withColumn("_seg", F.spark_partition_id())
+    return cut if of_long is df else cut.unionByName(_whole(df.join(small, keys, "left_anti"), keys, order, ties))
+
+
+def _whole(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...]) -> DataFrame:
+    return df.withColumn("_seg", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys, order, *ties)
 
 
 def _within(keys: list[str], order: str, ties: tuple[str, ...]):
@@ -78,7 +75,7 @@ def numbered(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] =
     """df with the number of a row within its key, from 0; longest: how many rows a key has at most, if that is known."""
     if (longest is not None and longest <= (rows or SEGMENT)) or _long(df, keys, rows or SEGMENT) is None:
         return df.withColumn(to, (F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties)) - 1).cast("long"))
-    cut = segmented(df, keys, order, rows)
+    cut = segmented(df, keys, order, rows, ties)
     local = F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(order, *ties))
     sizes = stored(cut.groupBy(*keys, "_seg").agg(F.count("*").alias("_n")))
     starts = stored(sizes.select(*keys, "_seg", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_start")))
@@ -93,7 +90,7 @@ def drawdown(df: DataFrame, keys: list[str], order: str, r: str = "r", ties: tup
     """
     w = _within(keys, order, ties)
     # A return that is missing compounds nothing.
-    local = segmented(df, keys, order, rows).withColumn("_p", F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).over(w))
+    local = segmented(df, keys, order, rows, ties).withColumn("_p", F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).over(w))
     local = stored(local.withColumn("_hi", F.max("_p").over(w)).withColumn("_lo", F.min("_p").over(w)).withColumn("_k", F.count(F.lit(1)).over(w)))
     # The last row of a range has its product; the greatest count tells it.
     last = local.groupBy(*keys, "_seg").agg(F.max_by("_p", "_k").alias("p"), F.max("_hi").alias("hi"), F.min("_lo").alias("lo"))
@@ -115,20 +112,23 @@ def drawdown(df: DataFrame, keys: list[str], order: str, r: str = "r", ties: tup
     return _carried(out, ends, keys).withColumn("under", under.cast("long")).drop("_seg", "_k", "_peak", "_n", "_last")
 
 
-def runs(df: DataFrame, keys: list[str], order: str, value: str, ties: tuple[str, ...] = (), rows: int | None = None, to: str = "run") -> DataFrame:
-    """df with the number of a row's maximal run of one value, from 1; nulls are a value."""
+def runs(df: DataFrame, keys: list[str], order: str, value: str, ties: tuple[str, ...] = (), rows: int | None = None, to: str = "run", pos: str | None = None) -> DataFrame:
+    """df with the number of a row's maximal run of one value, from 1; nulls are a value. pos: a column for the row's own number within its key, from 0, if it is wanted."""
     w = Window.partitionBy(*keys, "_seg").orderBy(order, *ties)
     new = ~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)
-    local = segmented(df, keys, order, rows).withColumn("_r", F.sum(F.when(new, 1).otherwise(0)).over(_within(keys, order, ties))).withColumn("_k", F.count(F.lit(1)).over(_within(keys, order, ties)))
+    local = segmented(df, keys, order, rows, ties).withColumn("_r", F.sum(F.when(new, 1).otherwise(0)).over(_within(keys, order, ties))).withColumn("_k", F.count(F.lit(1)).over(_within(keys, order, ties)))
     local = stored(local)
-    ends = local.groupBy(*keys, "_seg").agg(F.max("_r").alias("n"), F.min_by(F.struct(F.col(value).alias("v")), "_k").alias("first"), F.max_by(F.struct(F.col(value).alias("v")), "_k").alias("last"))
+    ends = local.groupBy(*keys, "_seg").agg(F.max("_k").alias("rows"), F.max("_r").alias("n"), F.min_by(F.struct(F.col(value).alias("v")), "_k").alias("first"), F.max_by(F.struct(F.col(value).alias("v")), "_k").alias("last"))
     along = Window.partitionBy(*keys).orderBy("_seg")
     # A range that goes on with the value of the one before shares a run with it.
     joined = F.when(F.col("first").eqNullSafe(F.lag("last").over(along)), 1).otherwise(0)
     ends = ends.withColumn("_j", joined)
     shift = F.coalesce(F.sum("n").over(_before(keys)), F.lit(0)) - F.sum("_j").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = stored(ends.select(*keys, "_seg", shift.alias("_shift")))
-    return _carried(local, carry, keys).withColumn(to, (F.col("_r") + F.col("_shift")).cast("long")).drop("_seg", "_r", "_k", "_shift")
+    carry = stored(ends.select(*keys, "_seg", shift.alias("_shift"), F.coalesce(F.sum("rows").over(_before(keys)), F.lit(0)).alias("_start")))
+    out = _carried(local, carry, keys).withColumn(to, (F.col("_r") + F.col("_shift")).cast("long"))
+    if pos:
+        out = out.withColumn(pos, (F.col("_start") + F.col("_k") - 1).cast("long"))
+    return out.drop("_seg", "_r", "_k", "_shift", "_start")
 
 
 class Machine:
@@ -205,10 +205,13 @@ class ThreeState(Machine):
 def machine(df: DataFrame, keys: list[str], order: str, values: list[str], how: Machine, ties: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
     """df with ``out``, what the machine puts out at each row. Two streams over the rows of a range: one reduces, one applies."""
     by = [*keys, "_seg"]
-    cut = stored(segmented(df, keys, order, rows).repartition(*by).sortWithinPartitions(*by, order, *ties))
+    long = _long(df, keys, rows or SEGMENT)
+    cut = stored(_whole(df, keys, order, ties) if long is None else _cut(df, long, keys, order, rows or SEGMENT, ties))
     elements = stored(_reduced(cut, by, values, how))
     states = stored(_scanned(elements, keys, how))
-    placed = _carried(cut, states, keys).repartition(*by).sortWithinPartitions(*by, order, *ties)
+    placed = _carried(cut, states, keys)
+    if states.count() > FEW * 10:  # joined by a shuffle, not by a broadcast that leaves rows where they are
+        placed = placed.repartition(*by).sortWithinPartitions(*by, order, *ties)
     return _applied(placed, by, values, how).drop("_seg", "_state")
 
 

@@ -37,7 +37,7 @@ def g_long_drawdown(spark, d):
 @query("g_long_runs", "l_orderkey l_linenumber pos run", "", f"WITH {_LINES} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, n - 1 AS pos, (sum(CASE WHEN flag IS DISTINCT FROM before OR n = 1 THEN 1 ELSE 0 END) OVER (ORDER BY n))::BIGINT AS run FROM (SELECT *, lag(flag) OVER (ORDER BY n) AS before FROM l)")
 def g_long_runs(spark, d):
     """Positions and runs of one flag in the same series."""
-    return scan.runs(scan.numbered(_lines(spark, d), ["of"], "at", TIES, ROWS), ["of"], "at", "flag", TIES, ROWS)
+    return scan.runs(_lines(spark, d), ["of"], "at", "flag", TIES, ROWS, pos="pos")
 
 
 @query("f_long_ema", "event_id", "ema", f"WITH RECURSIVE {_EVENTS}, f AS (SELECT n, event_id, x AS ema FROM e WHERE n = 1 UNION ALL SELECT e.n, e.event_id, 1e-1 * e.x + 9e-1 * f.ema FROM f JOIN e ON e.n = f.n + 1) SELECT event_id, ema FROM f")

@@ -89,3 +89,31 @@ def test_empty_series(series):
     none = series.limit(0)
     assert scan.drawdown(none, ["k"], "date").collect() == [] and scan.runs(none, ["k"], "date", "v").collect() == []
     assert scan.machine(none, ["k"], "date", ["r"], scan.Ema(0.1)).collect() == [] and scan.numbered(none, ["k"], "date").collect() == []
+
+
+def test_ranges_grow_beyond_a_number_of_them(series):
+    """Their number is bounded, whatever the rows of a range; none is cut within one time and rows carry no borders."""
+    cut = scan.segmented(series.where("k = 'a'"), ["k"], "date", 1)
+    each = cut.groupBy("_seg").agg(F.min("date").alias("a"), F.max("date").alias("b")).orderBy("_seg").collect()
+    assert 100 <= len(each) <= scan.SPREAD and set(cut.columns) == {*series.columns, "_seg"}
+    assert all(x.b < y.a for x, y in zip(each, each[1:]))
+
+
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_runs_number_their_rows(spark, series, rows):
+    some = series.where("k IS NOT NULL")
+    both = scan.runs(scan.numbered(some, ["k"], "date", ("i",), rows), ["k"], "date", "v", ("i",), rows)
+    _equal(_keyed(scan.runs(some, ["k"], "date", "v", ("i",), rows, pos="pos"), "pos", "run"), _keyed(both, "pos", "run"))
+
+
+@pytest.mark.parametrize("rows", [2, 7, 10_000])
+def test_no_return_at_a_peak_is_no_drawdown(spark, rows):
+    """A product in another order would be a rounding below the peak."""
+    values = [0.0003, -0.0002, 0.0004, 0.0, 0.0, 0.0001, -0.0005] * 20
+    found = scan.drawdown(spark.createDataFrame([("a", i, x) for i, x in enumerate(values)], "k string, i int, r double"), ["k"], "i", "r", (), rows)
+    equity, peak, under, want = 1.0, 1.0, 0, []
+    for x in values:
+        equity *= 1 + x
+        under, peak = (0, equity) if equity >= peak * (1 - 1e-14) else (under + 1, peak)
+        want.append(under)
+    assert [x.under for x in found.orderBy("i").collect()] == want
