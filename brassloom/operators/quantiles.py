@@ -3,7 +3,7 @@
 ``percentile`` keeps a group's distinct values in one task's memory. Here a group of more than ``LEAF`` values is
 sketched, which gives for each quantile two values that surely enclose it; how many values lie below is counted,
 and the values between go on to the next round, a two-hundredth of the group. The last few are counted by value and
-added up in order. Results are those of linear interpolation between neighbouring values.
+added up in order, as soon as they are few, however many rows have them. Results are those of linear interpolation between neighbouring values.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ def exact(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> D
         below = placed.groupBy(*by).agg(F.count(F.when(F.col("v") < F.col("a"), 1)).alias("below"))
         held = stored(placed.where("v >= a AND v <= b").select(*by, "v"))
         targets = stored(targets.join(below, by).select(*by, (F.col("rank") - F.col("below")).alias("rank"), "part"))
-        left = held.groupBy(*by).agg(F.count("*").alias("n"), (F.min("v") == F.max("v")).alias("one"))
-        first = False
-        if not left.where((F.col("n") > LEAF) & ~F.col("one")).limit(1).count():
+        # Few values that many rows share need no further round; nor does a round help that leaves most rows, as one value next to the rank has them.
+        most, several = held.groupBy(*by).agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("d")).agg(F.max("n"), F.max(F.when(F.col("n") > LEAF, F.col("d")))).first()
+        if not several or several <= LEAF or (not first and most > last / 2):
             break
+        first, last = False, most
     each = held.groupBy(*by, "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = each.withColumn("_upto", upto).join(targets, by)

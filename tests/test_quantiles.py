@@ -41,3 +41,12 @@ def test_equals_sorting(spark, monkeypatch, leaf):
 
 def test_empty_table(spark):
     assert quantiles.exact(spark.createDataFrame([], "k string, x double"), ["k"], "x", QS).collect() == []
+
+
+def test_a_rank_between_values_that_many_rows_share(spark, monkeypatch):
+    """The twentieth lies at the border of two values, which no sketch can tell apart from the rank."""
+    monkeypatch.setattr(quantiles, "LEAF", 100)
+    rows = [("a", float(v)) for v, n in ((0, 100), (1, 200), (2, 1700)) for _ in range(n)] + [("b", float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    found = {r.k: (r.q, r.m) for r in quantiles.exact(df, ["k"], "x", {"q": 0.05, "m": 0.5}).collect()}
+    assert abs(found["a"][0] - 0.95) < 1e-9 and found["a"][1] == 2.0 and abs(found["b"][0] - 0.45) < 1e-9 and found["b"][1] == 4.5
