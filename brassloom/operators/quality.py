@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from brassloom.operators.windows import pct_change
 
 
-def check_bars(bars: DataFrame, keys: list[str], max_move: float = 0.25, max_gap: int = 5, tol: float = 1e-6, ordinal: str | None = None) -> DataFrame:
+def check_bars(bars: DataFrame, keys: list[str], max_move: float = 0.25, max_gap: int = 5, tol: float = 1e-6, ordinal: str | None = None, checks: tuple[str, ...] | None = None) -> DataFrame:
     """keys, severity, check and n of each issue in bars (keys, date, open, high, low, close, volume).
 
     ordinal: a column with the rows' order in their source; with it, dates that don't ascend are an issue.
+    checks: names of the checks to make; all of them without it.
     """
     w = Window.partitionBy(*keys).orderBy("date")
     last = F.lag("close").over(w)
@@ -37,6 +38,10 @@ def check_bars(bars: DataFrame, keys: list[str], max_move: float = 0.25, max_gap
         ("warn", "stale_prices", n(F.col("_stale5") >= 5)),
         ("warn", "open_equals_prev_close", F.when(F.avg("_eq") > 0.2, F.sum("_eq").cast("long")).otherwise(0)),
     ]
+    if checks is not None:
+        if unknown := set(checks) - {name for _, name, _ in found}:
+            raise ValueError(f"unknown checks {sorted(unknown)}")
+        found = [f for f in found if f[1] in checks]
     one = df.groupBy(*keys).agg(*[c.cast("long").alias(name) for _, name, c in found])
     issues = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(name).alias("check"), F.col(name).alias("n")) for s, name, _ in found])
     return one.select(*keys, F.inline(issues)).where("n > 0")

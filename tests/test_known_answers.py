@@ -367,3 +367,15 @@ def test_runner_scores_on_a_common_window_and_logs(spark, tmp_path):
     path = f"{tmp_path}/trials"
     assert (ledger.log_trials(rows, path), ledger.log_trials(rows, path)) == (6, 0)
     assert ledger.n_trials(ledger.load(spark, path, ledger.TRIALS)).first().n == 2
+
+
+def test_chosen_checks_of_bars(spark):
+    """A low of 0 is an issue of the operator, and of no query whose SQL doesn't look at lows."""
+    from brassloom.plans import data_queries
+
+    day = [(dt.date(2024, 1, 1 + i), "a", 1.0, 2.0, 0.0, 1.0, 1.0) for i in range(3)]
+    bars = spark.createDataFrame(day, "date date, asset string, open double, high double, low double, close double, volume double")
+    assert {r.check for r in quality.check_bars(bars, ["asset"]).collect()} >= {"nonpositive_low"}
+    assert quality.check_bars(bars, ["asset"], checks=data_queries._MADE).collect() == []
+    with pytest.raises(ValueError, match="unknown"):
+        quality.check_bars(bars, ["asset"], checks=("lows",))
