@@ -93,10 +93,21 @@ def o_quote_faults(spark, d):
 _POINTS = "ff AS (SELECT * FROM fl WHERE position IN (SELECT position FROM fl GROUP BY 1 HAVING count(px) = count(*))), pt AS (SELECT position, unnest([0e0, hi, hi * 2] || ks) AS spot, hi FROM (SELECT position, list(DISTINCT strike) AS ks, max(strike) * 10 + 1000 AS hi FROM ff GROUP BY 1)), pl AS (SELECT f.position, p.spot, p.hi, sum(CASE f.side WHEN 'sell' THEN f.px ELSE -f.px END * 100 * qty) - sum(qty) * " + _PER + " + sum(CASE f.side WHEN 'buy' THEN 1 ELSE -1 END * qty * 100 * CASE opt WHEN 'C' THEN greatest(p.spot - strike, 0e0) ELSE greatest(strike - p.spot, 0e0) END) AS pnl FROM ff f JOIN pt p ON p.position = f.position GROUP BY 1, 2, 3)"
 
 
+#: Line items of a task: a position's legs are sorted and its points added up in memory.
+TASK_ROWS = 100_000
+
+
+def _by_position(spark, d) -> DataFrame:
+    """Legs shuffled once, by position, into as many tasks as the table is long; what comes after groups by position and stays there."""
+    legs = _legs(spark, d)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return legs.repartition(max(few, -(-legs.count() // TASK_ROWS)), "position")
+
+
 def _pnl(spark, d) -> DataFrame:
     """Profit at expiry at spot 0, at every strike and at two very high spots: enough for a piecewise linear payoff. A position with a leg that doesn't fill is none."""
     w = Window.partitionBy("position")
-    legs = _legs(spark, d).withColumn("unfilled", F.count(F.when(F.col("px").isNull(), 1)).over(w)).where("unfilled = 0")
+    legs = _by_position(spark, d).withColumn("unfilled", F.count(F.when(F.col("px").isNull(), 1)).over(w)).where("unfilled = 0")
     legs = legs.withColumn("hi", F.max("strike").over(w) * 10 + 1000).withColumn("ks", F.collect_set("strike").over(w))
     legs = legs.withColumn("spot", F.explode(F.array_union(F.array(F.lit(0.0), F.col("hi"), F.col("hi") * 2), F.col("ks"))))
     cash = F.when(F.col("side") == "sell", F.col("px")).otherwise(-F.col("px")) * I.CONTRACT * F.col("qty") - F.col("qty") * PASS_THROUGH
@@ -138,7 +149,7 @@ _LEVEL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.LEVELS.ite
 def o_required(spark, d):
     """Each position's kind, the approval level it needs and the cash: spreads, condors and straddles as well as single legs."""
     w = Window.partitionBy("position")
-    legs = _legs(spark, d).withColumn("unfilled", F.count(F.when(F.col("px").isNull(), 1)).over(w)).where("unfilled = 0")
+    legs = _by_position(spark, d).withColumn("unfilled", F.count(F.when(F.col("px").isNull(), 1)).over(w)).where("unfilled = 0")
     signed = F.when(F.col("side") == "sell", F.col("px")).otherwise(-F.col("px")) * I.CONTRACT * F.col("qty") - F.col("qty") * PASS_THROUGH
     own = legs.groupBy("position").agg(
         F.count("*").alias("legs"), F.count(F.when(F.col("side") == "buy", 1)).alias("buys"), F.count(F.when(F.col("opt") == "C", 1)).alias("calls"), F.countDistinct("strike").alias("strikes"),
@@ -201,6 +212,12 @@ _K = f"""mk AS (SELECT 'U' || user_id::VARCHAR AS ticker, user_id % 5 AS series,
  j3 AS (SELECT j.*, j.cum - coalesce(q.cum, 0e0) AS volume, (epoch(j.dt) - epoch(j.end_ts)) / 3.6e3 AS quote_age_h FROM j2 j ASOF LEFT JOIN cq q ON q.ticker = j.ticker AND j.dt - INTERVAL 6 HOUR >= q.end_ts)"""
 
 
+def _exact_mean(x: str):
+    """A mean that doesn't depend on the order of rows: amounts are added up as decimals, if all of them are such, so that a mean at a border stays there."""
+    amount = F.expr(f"try_cast({x} AS DECIMAL(30,12))")
+    return F.when(F.count(amount) == F.count(x), F.sum(amount).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def _markets(spark, d) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     ticker = F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker")
@@ -212,12 +229,6 @@ def _markets(spark, d) -> DataFrame:
     end = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
     cd = e.groupBy(ticker, end.alias("end_ts")).agg(F.least(F.max("value") / 500.0, F.lit(0.97)).alias("bid_close"), F.least(F.max("value") / 500.0 + 0.02, F.lit(0.99)).alias("ask_close"), (F.count("*").cast("double") * 20.0).alias("volume"))
     return prediction.build_markets(mk, fc, cd)
-def _exact_mean(x: str):
-    """A mean that doesn't depend on the order of rows: amounts are added up as decimals, if all of them are such, so that a mean at a border stays there."""
-    amount = F.expr(f"try_cast({x} AS DECIMAL(30,12))")
-    return F.when(F.count(amount) == F.count(x), F.sum(amount).cast("double") / F.count(x)).otherwise(F.avg(x))
-
-
 
 
 @query("k_build_markets", "ticker series D dt_name y", "txn xnd bid_close ask_close volume quote_age_h", f"WITH {_K} SELECT *  REPLACE (y::BIGINT AS y) FROM j3")

@@ -379,3 +379,49 @@ def test_chosen_checks_of_bars(spark):
     assert quality.check_bars(bars, ["asset"], checks=data_queries._MADE).collect() == []
     with pytest.raises(ValueError, match="unknown"):
         quality.check_bars(bars, ["asset"], checks=("lows",))
+
+
+def test_a_mean_at_a_border_stays_there(spark):
+    """The mean of these is 60, but the sum of the doubles depends on their order."""
+    from brassloom.plans.market_queries import _exact_mean
+
+    values = [0.1, 0.2, 0.3, 119.9, 119.8, 119.7, 54.77, 65.23, 60.07, 59.93] * 30
+    orders = [values, values[::-1], sorted(values), sorted(values, key=lambda x: -x), sorted(values, key=lambda x: abs(x - 60))]
+    assert any(sum_in_order(o) != 60.0 * len(o) for o in orders)
+    df = spark.createDataFrame([(k, x) for k, o in enumerate(orders) for x in o], "k int, value double").coalesce(1)
+    assert {r.m for r in df.groupBy("k").agg(_exact_mean("value").alias("m")).collect()} == {60.0}
+    odd = spark.createDataFrame([(0, None), (1, float("inf")), (1, 2.0), (2, 1e300), (2, 1e300)], "k int, value double")
+    assert {r.k: r.m for r in odd.groupBy("k").agg(_exact_mean("value").alias("m")).collect()} == {0: None, 1: float("inf"), 2: 1e300}
+
+
+def sum_in_order(values):
+    total = 0.0
+    for v in values:
+        total += v
+    return total
+
+
+def test_positions_take_more_tasks_when_the_table_grows(spark, monkeypatch):
+    from brassloom.plans import market_queries
+
+    sf = "/root/testdata/sf0.001"
+    before = sorted(tuple(r) for r in market_queries.o_required(spark, sf).collect())
+    monkeypatch.setattr(market_queries, "TASK_ROWS", 300)
+    assert market_queries._by_position(spark, sf).rdd.getNumPartitions() >= 20
+    assert market_queries._pnl(spark, sf).rdd.getNumPartitions() >= 20
+    assert [r[0] for r in sorted(tuple(r) for r in market_queries.o_required(spark, sf).collect())] == [r[0] for r in before]
+
+
+def test_forecast_parts_are_bounded(spark, tmp_path, monkeypatch):
+    """Many short parts and few long ones give the same forecasts."""
+    from brassloom.plans import data_queries, registry
+
+    e = spark.range(400).select(F.col("id").alias("event_id"), (F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 300)).alias("ts"), (F.col("id") % 2).alias("user_id"), (F.col("id") % 90 + 0.25).alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    texts, parse = [], data_queries.forecasts.parse_forecasts
+    monkeypatch.setattr(data_queries.forecasts, "parse_forecasts", lambda parts, *a: (texts.append(parts.agg(F.max(F.length("text"))).first()[0]), parse(parts, *a))[1])
+    rows = []
+    for ids in (100_000, 50):
+        monkeypatch.setattr(data_queries, "PART_IDS", ids)
+        rows.append(sorted(map(str, registry.QUERIES["s_forecast_parts"](spark, str(tmp_path)).collect())))
+    assert rows[0] == rows[1] and rows[0] and texts[1] < texts[0]
