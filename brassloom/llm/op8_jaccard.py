@@ -26,6 +26,13 @@ link when their sets' Jaccard similarity reaches the threshold (``PERCENT``).
    into chunks. Each set is first verified against the smallest set with which
    it shares a key; what this links needs no further look. Then trees of chunks
    are traversed against one another, but for chunks that are linked already.
+6. Texts that quote the same passages chain into clusters that grow with the input,
+   where chunks that all meet would move every set as often as there are chunks. A
+   cluster of more than ``WIDE`` chunks is taken apart before: sets that link share
+   one of their few rarest elements (so many that the others are too few for a
+   link), and sets that share one are joined if their bitmaps differ by little
+   enough. A bitmap goes along with each of these elements, so what is moved grows
+   with the sets.
 
 Only components are asked for, so a pair inside one component isn't verified.
 The result is exact up to collisions of 64-bit hashes.
@@ -58,6 +65,8 @@ WORDS, PERCENT = 3, 90
 SAMPLE, SHARE, COMMON, KEPT = 20_000, 0.01, 3, 1_000_000
 #: Sets, and elements of their sets, that one tree may hold.
 CHUNK, ELEMENTS = 512, 1_000_000
+#: Chunks of a cluster beyond which it is taken apart first, and bits of a set's bitmap there at most.
+WIDE, BITS = 8, 8192
 REMEMBER = 200_000
 #: Keys that a task gathers before it hands them on.
 FLUSH = 1_000_000
@@ -479,7 +488,7 @@ def _cluster_labels(members: DataFrame, pairs: DataFrame, percent: int) -> DataF
     if not over.limit(1).count():
         return named(save(_links_in(rows, ["cluster"], percent, True), "jaccard-found"), "a", "b").distinct()
     small = save(_links_in(rows.join(_small(over), "cluster", "left_anti"), ["cluster"], percent, True), "jaccard-found")
-    inside = members.join(_small(over), "cluster").drop("chunks")
+    inside = members.join(_small(over), "cluster")
     large = components(_large_links(inside, pairs, percent), "jaccard-links")
     return named(small, "a", "b").unionByName(named(large, "label", "node")).distinct()
 
@@ -499,10 +508,31 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _large_links(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links of clusters of several chunks; members have how many."""
     members = save(members, "jaccard-members")
+    wide = members.where(F.col("chunks") > WIDE)
+    if wide.limit(1).count():
+        apart = components(_candidates(wide, percent), "jaccard-apart").select(F.col("node").alias("sid"), F.col("label").alias("part_of"))
+        # A set without a candidate links with nothing.
+        parts = wide.join(apart, "sid").withColumn("cluster", F.col("part_of")).select(*members.columns)
+        whole, members = members, save(members.where(F.col("chunks") <= WIDE).unionByName(parts), "jaccard-known")
+        discard(whole)
+        one, other = (members.select(F.col("sid").alias(k), F.col("cluster").alias(f"of_{k}")) for k in "ab")
+        pairs = save(pairs.join(one, "a").join(other, "b").where("of_a = of_b").select("a", "b"), "jaccard-pairs")
+    members = members.drop("chunks")
     star = save(_verified(pairs, members, percent), "jaccard-star")
     comps = components(star, "jaccard-star").select(F.col("node").alias("sid"), F.col("label").alias("comp"))
     known = members.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    placed, meets = _meetings(known)
+    columns = ["cluster", "c1", "c2", "side", "sid", "comp", "elements"]
+    first = placed.join(meets, (F.col("cluster") == F.col("of")) & (F.col("chunk") == F.col("c1"))).withColumn("side", F.lit(0)).select(*columns)
+    second = placed.join(meets.where("c1 <> c2"), (F.col("cluster") == F.col("of")) & (F.col("chunk") == F.col("c2"))).withColumn("side", F.lit(1)).select(*columns)
+    found = save(_links_in(first.unionByName(second), ["cluster", "c1", "c2"], percent), "jaccard-chunks")
+    return star.unionByName(found)
+
+
+def _meetings(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets with their chunk, and which chunks (c1, c2) of a cluster (of) are to be compared."""
     each = known.groupBy("cluster", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("e"))
     # A large component has chunks of its own; small ones share theirs with others.
     solo = F.col("m") >= CHUNK // 4
@@ -514,12 +544,124 @@ def _large_links(members: DataFrame, pairs: DataFrame, percent: int) -> DataFram
     chunks = save(placed.select("cluster", "chunk", "solo", "pool").distinct(), "jaccard-chunk-list")
     left, right = chunks.toDF("cluster", "c1", "s1", "p1"), chunks.toDF("cluster", "c2", "s2", "p2")
     # Chunks of one component need no comparison. What is left grows with the chunks that hold other components.
-    meets = save(left.join(right, "cluster").where("c1 <= c2 AND NOT (s1 AND s2 AND p1 = p2)").select(F.col("cluster").alias("of"), "c1", "c2"), "jaccard-meets")
-    columns = ["cluster", "c1", "c2", "side", "sid", "comp", "elements"]
-    first = placed.join(meets, (F.col("cluster") == F.col("of")) & (F.col("chunk") == F.col("c1"))).withColumn("side", F.lit(0)).select(*columns)
-    second = placed.join(meets.where("c1 <> c2"), (F.col("cluster") == F.col("of")) & (F.col("chunk") == F.col("c2"))).withColumn("side", F.lit(1)).select(*columns)
-    found = save(_links_in(first.unionByName(second), ["cluster", "c1", "c2"], percent), "jaccard-chunks")
-    return star.unionByName(found)
+    meets = left.join(right, "cluster").where("c1 <= c2 AND NOT (s1 AND s2 AND p1 = p2)").select(F.col("cluster").alias("of"), "c1", "c2")
+    return placed, save(meets, "jaccard-meets")
+
+
+def _frequent(members: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Elements of several sets, sorted, their ranks by frequency from 1, and whether these are all; the KEPT most frequent, as ranks bear on speed only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "words"):
+            held, many = [], 0
+            for x in batch.column(0).to_pylist():
+                held.append(np.frombuffer(x, np.int64))
+                many += len(held[-1])
+                if many >= FLUSH:
+                    yield out(held)
+                    held, many = [], 0
+            if held:
+                yield out(held)
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    counts = members.select("elements").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = counts.orderBy(F.col("n").desc(), "h").limit(KEPT).toArrow()
+    h, n = (rows.column(c).to_numpy() for c in ("h", "n"))
+    h, rank = h.view(np.uint64), np.empty(len(h), np.int32)
+    rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order], len(h) < KEPT
+
+
+def bitmap(s: np.ndarray, width: int) -> bytes:
+    flags = np.zeros(width, np.uint8)
+    flags[(s & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def bitmap_widths(n: int, percent: int) -> list[int]:
+    """Some two bits an element, for a set of n elements and for the larger ones that it may link with: the larger one's width is where two sets meet."""
+    fit = lambda m: min(BITS, max(64, 1 << int(2 * m - 1).bit_length()))
+    out = [fit(n)]
+    while out[-1] < fit(100 * n // percent):
+        out.append(2 * out[-1])
+    return out
+
+
+def rarest(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """So many of a set's rarest elements that any set that links with it has one of them among its own rarest, and their ranks (0 if not frequent)."""
+    of = np.zeros(len(s), np.int32)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        of = np.where(frequent[at] == s, rank[at], 0)
+    first = np.lexsort((s, of))[: len(s) + -percent * len(s) // 100 + 1]
+    return s[first], of[first]
+
+
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) over which any two sets of one cluster that link are joined, and few others; fewer pairs than sets have rarest elements."""
+    frequent, rank, every = _frequent(members)
+    sent = members.sparkSession.sparkContext.broadcast((frequent, rank))  # KEPT of each at most
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in small_batches(batches, "words"):
+            for sid, cluster, x in zip(*(c.to_pylist() for c in batch.columns)):
+                s = np.frombuffer(x, np.uint64)
+                few, of = rarest(s, percent, *sent.value)
+                if every:
+                    few = few[of > 0]  # no other set has the rest
+                few = _scramble(few ^ _scramble(np.array([cluster], np.int64).view(np.uint64))).view(np.int64)
+                for width in bitmap_widths(len(s), percent) if len(few) else []:
+                    bits = bitmap(s, width)
+                    for k in range(0, len(few), 4096):
+                        held.append((few[k : k + 4096], width, sid, len(s), bits))
+                        size += len(held[-1][0]) * (len(bits) + 28)
+                        if size >= 4 * FLUSH:
+                            yield out(held)
+                            held, size = [], 0
+        if held:
+            yield out(held)
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        times = [len(x[0]) for x in held]
+        each = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in held], kind), times))
+        bits = pa.array([x[4] for x, m in zip(held, times) for _ in range(m)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in held])), each(1, np.int32), each(2, np.int64), each(3, np.int64), bits], names=["key", "width", "sid", "n", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 2):
+            if len(rows) > 1 and (found := joined(rows, percent)):
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = members.select("sid", "cluster", "elements").mapInArrow(keys, "key long, width int, sid long, n long, bits binary")
+    return rows.repartition("key", "width").sortWithinPartitions("key", "width").mapInArrow(run, "a long, b long").distinct()
+
+
+def joined(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """A spanning set of pairs among rows (key, width, sid, n, bits) that bitmaps don't keep from linking: a bit in one of two only is an element in one of them only."""
+    rows = sorted(rows, key=lambda r: r[3])
+    sid, n = [r[2] for r in rows], np.array([r[3] for r in rows])
+    bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+    label, out = np.arange(len(rows)), []
+    for x in range(len(rows) - 1):
+        last = np.searchsorted(n, 100 * n[x] // percent, "right")
+        y = x + 1 + np.flatnonzero(label[x + 1 : last] != label[x])
+        if not len(y):
+            continue
+        cuts = np.array_split(y, 1 + len(y) * bits.shape[1] // (1 << 22))
+        differ = np.concatenate([np.bitwise_count(bits[k] ^ bits[x]).sum(1).astype(np.int64) for k in cuts])
+        both = n[y] + n[x]
+        y = y[(100 + percent) * ((both - differ) // 2) >= percent * both]
+        if len(y):
+            labels, first = np.unique(label[y], return_index=True)
+            out += [(sid[x], sid[k]) for k in y[first].tolist()]
+            label[np.isin(label, labels)] = label[x]
+    return out
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

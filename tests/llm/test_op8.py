@@ -87,3 +87,38 @@ def test_edge_cases(edge):
     assert by[1].n_shingles == by[2].n_shingles == by[3].n_shingles == 0 and [by[i].component_id for i in (1, 2, 3)] == [1, 2, 3]
     assert by[4].n_shingles == 1 and by[5].n_shingles == 1 and by[None].n_shingles == 3
     assert jaccard_components(edge.limit(0)).collect() == []
+
+
+def _quoting(n, seed=5):
+    """Texts of passages that many others quote, few of which link: they chain into one cluster."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(n // 4)]
+    texts = [" ".join([*r.sample(passages, 3), *(word() for _ in range(r.choice((0, 5, 40))))]) for _ in range(n)]
+    for k in range(0, n, 10):
+        w = r.choice(texts).split()
+        w[r.randrange(len(w))] = word()
+        texts[k] = " ".join(w)
+    return list(enumerate(texts))
+
+
+def test_meetings_grow_with_the_sets(docs, monkeypatch):
+    """Chunks of a cluster that quotes chain together don't all meet, and no link is lost."""
+    meets, write = [], op8_jaccard.save
+
+    def save(df, name, *a):
+        out = write(df, name, *a)
+        if name == "jaccard-meets":
+            meets.append(out.count())
+        return out
+
+    monkeypatch.setattr(op8_jaccard, "save", save)
+    monkeypatch.setattr(op8_jaccard, "CHUNK", 8)
+    monkeypatch.setattr(op8_jaccard, "COMMON", 10_000)
+    rows = _quoting(400)
+    for kept in (op8_jaccard.KEPT, 50):
+        monkeypatch.setattr(op8_jaccard, "KEPT", kept)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs([(i, t, "en", "s") for i, t in rows]), 5, 80).collect()}
+        want = _brute(rows, 5, 80)
+        assert got == want and any(i != c for i, (_, c) in want.items())
+    assert len(meets) == 2 and max(meets) < 200, meets
